@@ -1 +1,14 @@
-"""Plans of the cohort analytics engine."""
+"""Registered queries, by section of the survey."""
+
+from importlib import import_module
+
+from .registry import REGISTRY
+
+SECTIONS = ("ranking_plans",)
+
+
+def load() -> dict:
+    """Import every section and return the registry."""
+    for section in SECTIONS:
+        import_module(f"{__name__}.{section}")
+    return REGISTRY
