@@ -11,6 +11,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 # Abramowitz and Stegun, formula 26.2.17.
 CDF_SCALE = 0.2316419
@@ -130,13 +131,13 @@ def reg_beta(a, b, x):
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution."""
     return pd.Series(reg_gamma_upper(dof.to_numpy(float) / 2, x.to_numpy(float) / 2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_sf(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """Upper tail of the F distribution."""
     x, d1, d2 = (s.to_numpy(float) for s in (x, d1, d2))
@@ -152,7 +153,7 @@ def _beta_quantile(q, a, b):
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def beta_ppf(q: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     """Beta quantile by bisection."""
     return pd.Series(_beta_quantile(*(s.to_numpy(float) for s in (q, a, b))))

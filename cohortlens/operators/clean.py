@@ -166,12 +166,10 @@ def profile_buckets(profile: DataFrame, sizes: DataFrame, swing: float = 0.2, lo
 
     profile: name, period, share; sizes: period, n.
     """
-    total = sizes.agg(F.sum("n").alias("tot"))
     joined = profile.join(sizes, on="period")
     agg = joined.groupBy("name").agg(
         (F.sum(F.col("share") * F.col("n")) / F.sum("n")).alias("mu"),
         (F.max("share") - F.min("share")).alias("delta"))
-    del total
     return agg.select("name", "mu", "delta",
                       F.when(F.col("mu") == 0, "complete").when(F.col("mu") == 1, "absent")
                       .when(F.col("delta") > swing, "swing").when(F.col("mu") < low, "low")

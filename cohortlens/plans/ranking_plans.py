@@ -140,16 +140,16 @@ x as (select gr.yr, gr.j, gr.thresh, gr.n1, gr.n0,
 
 
 @query("roc_grid", "I10", _grid_sql("scored", 100, 1.01, "0.99") + """
-select yr, j, round(thresh, 4) as thresh, round(cast(p_gt as double) / n1, 6) as tpr, round(cast(n_gt as double) / n0, 6) as fpr from x""")
+select yr, j, round(thresh, 2) as thresh, round(cast(p_gt as double) / n1, 6) as tpr, round(cast(n_gt as double) / n0, 6) as fpr from x""")
 def _(t):
-    return rounded(T.roc_grid(scored(t), ["yr"], 100)).withColumn("thresh", F.round("thresh", 4))
+    return rounded(T.roc_grid(scored(t), ["yr"], 100)).withColumn("thresh", F.round("thresh", 2))
 
 
 @query("pr_grid", "I11", _grid_sql("scored", 200, 0.99, "0.99") + """
-select yr, j, round(thresh, 4) as thresh, round(cast(p_gt as double) / n1, 6) as tpr,
+select yr, j, round(thresh, 2) as thresh, round(cast(p_gt as double) / n1, 6) as tpr,
   round(cast(p_ge as double) / nullif(p_ge + n_ge, 0), 6) as "precision" from x""")
 def _(t):
-    return rounded(T.pr_grid(scored(t), ["yr"], 200)).withColumn("thresh", F.round("thresh", 4))
+    return rounded(T.pr_grid(scored(t), ["yr"], 200)).withColumn("thresh", F.round("thresh", 2))
 
 
 @query("sens_spec", "I12", f"""with {SCORED_SQL}
@@ -181,17 +181,17 @@ cand as (select b.yr, b.lo + i * ((b.hi - b.lo) / 99) as t from b cross join ran
 m as (select c.yr, c.t, sum(case when h.score >= c.t then h.p else 0 end) as tp, sum(case when h.score >= c.t then h.n else 0 end) as fp
   from cand c join h on h.yr = c.yr group by all),
 r as (select yr, t, cast(tp as double) / nullif(tp + fp, 0) as ppv from m)
-select yr, round(t, 4) as thresh, round(ppv, 6) as ppv from r where ppv is not null
+select yr, round(t, 2) as thresh, round(ppv, 6) as ppv from r where ppv is not null
 qualify row_number() over (partition by yr order by round((ppv - 0.34) * (ppv - 0.34), 12), t) = 1""")
 def _(t):
-    return rounded(T.threshold_for_ppv(scored(t), ["yr"], 0.34, "inf")).withColumn("thresh", F.round("thresh", 4))
+    return rounded(T.threshold_for_ppv(scored(t), ["yr"], 0.34, "inf")).withColumn("thresh", F.round("thresh", 2))
 
 
 @query("threshold_balance", "I16", _grid_sql("scored", 250, 1.01, "0.99") + """
-select yr, round(thresh, 4) as thresh, j from x
+select yr, round(thresh, 2) as thresh, j from x
 qualify row_number() over (partition by yr order by round(power(cast(p_gt + n_gt as double) / (n1 + n0) - cast(n1 as double) / (n1 + n0), 2), 12), j) = 1""")
 def _(t):
-    return rounded(T.threshold_balance(scored(t), ["yr"], 250)).withColumn("thresh", F.round("thresh", 4))
+    return rounded(T.threshold_balance(scored(t), ["yr"], 250)).withColumn("thresh", F.round("thresh", 2))
 
 
 def _edges_sql(src: str, keys: str) -> str:
