@@ -182,38 +182,57 @@ def lag_value(df: DataFrame, keys: list[str], order: list[str], col: str, out: s
             .withColumn(out, F.col("_prev.v")).drop("_box", "_prev"))
 
 
-def rolling(df: DataFrame, keys: list[str], order: list[str], before: int, after: int,
-            outputs: dict[str, Column], *, full_only: bool = True, block_rows: int = 100_000) -> DataFrame:
-    """Row-frame statistics over ``before`` rows back and ``after`` rows ahead.
+def rolling(df: DataFrame, keys: list[str], order: list[str], outputs: dict[str, tuple[Column, int, int]], *,
+            full_only: bool = True, block_rows: int = 100_000, keep_block: bool = False) -> DataFrame:
+    """Row-frame statistics: {output: (aggregate, rows before, rows after)}.
 
     Rows are numbered, cut into blocks, and the rows near an edge are copied into the neighbouring
-    block, so a frame never needs more than one block. ``full_only`` gives NULL on incomplete frames.
+    block, so a frame never needs more than one block. ``full_only`` gives NULL on incomplete frames;
+    ``keep_block`` leaves the columns _pos and _block for a following scan.
     """
+    before = max(b for _, b, _ in outputs.values())
+    after = max(a for _, _, a in outputs.values())
     numbered = number_rows(df, keys, order, "_pos")
     lo = F.floor((F.col("_pos") - after) / block_rows)
     hi = F.floor((F.col("_pos") + before) / block_rows)
     copies = (numbered
               .withColumn("_home", F.floor(F.col("_pos") / block_rows))
               .withColumn("_block", F.explode(F.sequence(lo, hi))))
-    frame = W.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(-before, after)
-    full = F.count(F.lit(1)).over(frame) == before + after + 1
+    by_pos = W.partitionBy(*keys, "_block").orderBy("_pos")
     cols = []
-    for name, expr in outputs.items():
+    for name, (expr, b, a) in outputs.items():
+        frame = by_pos.rowsBetween(-b, a)
         value = expr.over(frame)
-        cols.append((F.when(full, value) if full_only else value).alias(name))
-    return (copies.select("*", *cols)
-            .filter(F.col("_block") == F.col("_home"))
-            .drop("_pos", "_home", "_block"))
+        if full_only:
+            value = F.when(F.count(F.lit(1)).over(frame) == b + a + 1, value)
+        cols.append(value.alias(name))
+    out = copies.select("*", *cols).filter(F.col("_block") == F.col("_home")).drop("_home")
+    return out if keep_block else out.drop("_pos", "_block")
 
 
-def fill_edges(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
-    """Backward fill, then forward fill, inside keys."""
-    back = scan(df, keys, order, {f"_bf_{c}": ("last", c) for c in cols}, reverse=True)
-    back = back.select(*[c for c in df.columns if c not in cols],
-                       *[F.coalesce(F.col(c), F.col(f"_bf_{c}")).alias(c) for c in cols])
-    ahead = scan(back, keys, order, {f"_ff_{c}": ("last", c) for c in cols})
-    return ahead.select(*[F.coalesce(F.col(c), F.col(f"_ff_{c}")).alias(c) if c in cols else F.col(c)
-                          for c in df.columns])
+def fill_edges(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
+               block: str | None = None) -> DataFrame:
+    """Backward fill, then forward fill, inside keys; both directions in one pass.
+
+    ``block`` names a column that already cuts the order into bounded pieces.
+    """
+    data, bcols = (df, [block]) if block else with_buckets(df, order)
+    inner = W.partitionBy(*keys, *bcols).orderBy(*order)
+    ahead, back = inner.rowsBetween(0, W.unboundedFollowing), inner.rowsBetween(W.unboundedPreceding, 0)
+    local = data.select("*", *[F.first(c, ignorenulls=True).over(ahead).alias(f"_ln_{c}") for c in cols],
+                        *[F.last(c, ignorenulls=True).over(back).alias(f"_lp_{c}") for c in cols])
+    at = F.struct(*[F.col(c) for c in order])
+    edge = data.groupBy(*keys, *bcols).agg(
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_f_{c}") for c in cols],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_l_{c}") for c in cols])
+    outer = W.partitionBy(*keys).orderBy(*bcols)
+    later, earlier = outer.rowsBetween(1, W.unboundedFollowing), outer.rowsBetween(W.unboundedPreceding, -1)
+    carried = edge.select(*keys, *bcols, *[F.first(f"_f_{c}", ignorenulls=True).over(later).alias(f"_on_{c}") for c in cols],
+                          *[F.last(f"_l_{c}", ignorenulls=True).over(earlier).alias(f"_op_{c}") for c in cols])
+    joined = local.join(carried, on=[*keys, *bcols])
+    return joined.select(*[
+        F.coalesce(F.col(c), F.col(f"_ln_{c}"), F.col(f"_on_{c}"), F.col(f"_lp_{c}"), F.col(f"_op_{c}")).alias(c)
+        if c in cols else F.col(c) for c in df.columns])
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], col: str, probs: list[float],
@@ -237,7 +256,8 @@ def quantile_columns(df: DataFrame, keys: list[str], col: str, probs: dict[str,
     data = df.filter(F.col(col).isNotNull())
     hist = data.groupBy(*keys, F.col(col).cast("double").alias("_v")).agg(n.alias("_n"))
     hist = hist.filter(F.col("_n") > 0)
-    ranked = scan(hist, keys, ["_v"], {"_before": ("sum", "_n")}, exclusive=True, totals={"_total": "_n"})
+    ranked = scan(hist, keys, ["_v"], {"_before": ("sum", "_n")}, exclusive=True, totals={"_total": "_n"},
+                  sketch_from=data.select(F.col(col).cast("double").alias("_v")))
     aggs = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_total") - 1)

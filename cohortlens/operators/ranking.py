@@ -30,12 +30,18 @@ def score_histogram(df: DataFrame, keys: list[str], y: str = "y", s: str = "scor
                  F.sum(F.when(F.col(y) == 0, w).otherwise(0)).alias("n")))
 
 
-def auc_from_histogram(hist: DataFrame, keys: list[str], s: str = "score") -> DataFrame:
-    """keys -> n1, n0, num (pairs won), den (pairs), auc."""
-    ranked = scan(hist, keys, [s], {"_cn": ("sum", "n")}, exclusive=True)
+def auc_from_histogram(hist: DataFrame, keys: list[str], s: str = "score",
+                       sketch_from: DataFrame | None = None) -> DataFrame:
+    """keys -> n1, n0, num (pairs won), den (pairs), auc.
+
+    Both branches of the scan read the same columns of the histogram, so its shuffle happens once;
+    ``sketch_from`` (the scored rows) spares a third one for the bucket edges.
+    """
+    ranked = scan(hist, keys, [s], {"_cn": ("sum", "n")}, exclusive=True, totals={"_n1": "p", "_n0": "n"},
+                  sketch_from=sketch_from)
     won = F.col("p").cast("double") * (F.col("_cn").cast("double") + F.col("n").cast("double") / 2)
     return (ranked.groupBy(*keys)
-            .agg(F.sum("p").alias("n1"), F.sum("n").alias("n0"), F.sum(won).alias("num"))
+            .agg(F.max("_n1").alias("n1"), F.max("_n0").alias("n0"), F.sum(won).alias("num"))
             .withColumn("den", F.col("n1").cast("double") * F.col("n0").cast("double"))
             .withColumn("auc", div(F.col("num"), F.col("den"))))
 
@@ -43,7 +49,7 @@ def auc_from_histogram(hist: DataFrame, keys: list[str], s: str = "score") -> Da
 def auc(df: DataFrame, keys: list[str], y: str = "y", s: str = "score",
         weight: str | None = None) -> DataFrame:
     """AUROC by keys."""
-    return auc_from_histogram(score_histogram(df, keys, y, s, weight), keys, s)
+    return auc_from_histogram(score_histogram(df, keys, y, s, weight), keys, s, df.select(s))
 
 
 def auc_by_group(df: DataFrame, keys: list[str], g: str, y: str = "y", s: str = "score") -> DataFrame:
@@ -57,16 +63,17 @@ def auc_by_group(df: DataFrame, keys: list[str], g: str, y: str = "y", s: str =
                     F.col("den").alias("n0n1"), "auc")
 
 
-def decompose_histogram(hist: DataFrame, keys: list[str], g: str, s: str = "score") -> DataFrame:
+def decompose_histogram(hist: DataFrame, keys: list[str], g: str, s: str = "score",
+                        sketch_from: DataFrame | None = None) -> DataFrame:
     """Decomposition from a histogram that is at least as fine as (keys, g, s)."""
     fine = hist.groupBy(*keys, g, s).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     flat = hist.groupBy(*keys, s).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     if not keys:
         fine, flat = fine.withColumn("_all", F.lit(1)), flat.withColumn("_all", F.lit(1))
     k = keys or ["_all"]
-    within = (auc_from_histogram(fine, [*k, g], s).groupBy(*k)
+    within = (auc_from_histogram(fine, [*k, g], s, sketch_from).groupBy(*k)
               .agg(F.sum("num").alias("num_w"), F.sum("den").alias("den_w")))
-    total = auc_from_histogram(flat, k, s)
+    total = auc_from_histogram(flat, k, s, sketch_from)
     both = total.join(within, on=k)
     parts = F.array(
         F.struct(F.lit("total").alias("tt"), F.col("num").alias("num"), F.col("den").alias("den")),
@@ -85,15 +92,15 @@ def auc_decompose(df: DataFrame, keys: list[str], g: str, y: str = "y", s: str =
 
     total * den_total = within * den_within + between * den_between; n1, n0 belong to the total.
     """
-    return decompose_histogram(score_histogram(df, [*keys, g], y, s, weight), keys, g, s)
+    return decompose_histogram(score_histogram(df, [*keys, g], y, s, weight), keys, g, s, df.select(s))
 
 
 def decompose_all(df: DataFrame, keys: list[str], period: str, g: str, y: str = "y",
                   s: str = "score") -> DataFrame:
     """Decomposition by period and over all periods ('all'), from one histogram."""
     hist = score_histogram(df, [*keys, period, g], y, s)
-    by_period = decompose_histogram(hist, [*keys, period], g, s)
-    overall = decompose_histogram(hist, keys, g, s)
+    by_period = decompose_histogram(hist, [*keys, period], g, s, df.select(s))
+    overall = decompose_histogram(hist, keys, g, s, df.select(s))
     return (by_period.withColumn(period, F.col(period).cast("string"))
             .unionByName(overall.withColumn(period, F.lit("all"))))
 

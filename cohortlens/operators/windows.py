@@ -23,19 +23,25 @@ def lag_diff(df: DataFrame, keys: list[str], order: list[str], col: str, out: st
     return lag_value(df, keys, order, col, "_lag").withColumn(out, F.col(col) - F.col("_lag")).drop("_lag")
 
 
+def _centred(col: str, k: int) -> dict:
+    """Frames of a centred mean over k rows and sd over 2k rows; even windows reach one further back."""
+    return {"mu": (F.avg(col), k // 2, k - k // 2 - 1), "se": (F.stddev_samp(col), k, k - 1)}
+
+
 def rolling_stats(df: DataFrame, keys: list[str], order: list[str], col: str, k: int) -> DataFrame:
-    """Centred mean over k rows and sample sd over 2k rows, full windows only (even windows reach one
-    row further back than ahead)."""
-    out = rolling(df, keys, order, k // 2, k - k // 2 - 1, {"mu": F.avg(col)})
-    return rolling(out, keys, order, k, k - 1, {"se": F.stddev_samp(col)})
+    """Centred mean over k rows and sample sd over 2k rows, full windows only."""
+    return rolling(df, keys, order, _centred(col, k))
 
 
-def rolling_outliers(df: DataFrame, keys: list[str], order: list[str], col: str, k: int, width: Column) -> DataFrame:
-    """Flag values outside mean +/- width * sd of the rolling statistics and set them to NULL.
+def rolling_filled(df: DataFrame, keys: list[str], order: list[str], col: str, k: int) -> DataFrame:
+    """rolling_stats with incomplete windows filled from the nearest complete one."""
+    stats = rolling(df, keys, order, _centred(col, k), keep_block=True)
+    return fill_edges(stats, keys, ["_pos"], ["mu", "se"], block="_block").drop("_pos", "_block")
 
-    Incomplete windows take the nearest complete window's statistics.
-    """
-    stats = fill_edges(rolling_stats(df, keys, order, col, k), keys, order, ["mu", "se"])
+
+def rolling_outliers(df: DataFrame, keys: list[str], order: list[str], col: str, k: int, width: Column) -> DataFrame:
+    """Flag values outside mean +/- width * sd of the rolling statistics and set them to NULL."""
+    stats = rolling_filled(df, keys, order, col, k)
     far = (F.col(col) > F.col("mu") + width * F.col("se")) | (F.col(col) < F.col("mu") - width * F.col("se"))
     return (stats.withColumn("outlier", F.coalesce(far, F.lit(False)).cast("int"))
             .withColumn("kept", F.when(F.col("outlier") == 0, F.col(col))))

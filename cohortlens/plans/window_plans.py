@@ -51,8 +51,16 @@ f as (select event_id, event_type, value, coalesce(mu, last_value(mu ignore null
 
 @query("fill_edges", "E5", f"""with {FILL_SQL} select event_id, round(mu, 5) as mu, round(se, 5) as se from f""")
 def _(t):
-    r = W.rolling_stats(events_of(t), ["event_type"], ["ts", "event_id"], "value", 30)
-    return rounded(W.fill_edges(r, ["event_type"], ["ts", "event_id"], ["mu", "se"]).select("event_id", "mu", "se"), 5)
+    r = W.rolling_filled(events_of(t), ["event_type"], ["ts", "event_id"], "value", 30)
+    return rounded(r.select("event_id", "mu", "se"), 5)
+
+
+@query("fill_nearest", "E5", """with e as (select event_id, event_type, ts, case when value > 12 then value end as v from events),
+b as (select *, coalesce(v, first_value(v ignore nulls) over (partition by event_type order by ts, event_id rows between current row and unbounded following)) as w from e)
+select event_id, round(coalesce(w, last_value(w ignore nulls) over (partition by event_type order by ts, event_id rows between unbounded preceding and current row)), 6) as v from b""")
+def _(t):
+    e = events_of(t).withColumn("v", F.when(F.col("value") > 12, F.col("value")))
+    return rounded(W.fill_edges(e, ["event_type"], ["ts", "event_id"], ["v"]).select("event_id", "v"))
 
 
 @query("rolling_outliers", "E6", f"""with {FILL_SQL} select event_id, cast(case when value > mu + 2 * se or value < mu - 2 * se then 1 else 0 end as bigint) as outlier,
