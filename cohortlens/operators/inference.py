@@ -1,4 +1,8 @@
-"""Uncertainty, tests and multiplicity control (section 2.J)."""
+"""Uncertainty, tests and multiplicity control (section 2.J).
+
+Bootstraps checkpoint what several later branches read: the numbered rows, the histogram of all
+replicates and the table of replicate statistics. Everything else is lazy.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
 from ..functions.dist import beta_ppf, chi2_sf, norm_cdf, norm_ppf, normal_quantile, reg_beta
+from ..session import cut_lineage
 from .ordered import quantile_columns, scan
-from .ranking import auc, auc_decompose, div
-from .resample import draw_counts, numbered, resample
+from .ranking import auc, auc_decompose, auc_from_histogram, decompose_histogram, div, score_histogram
+from .resample import resample
 from .windows import midrank
 
 
@@ -37,9 +42,15 @@ def normal_ci(df: DataFrame, est: str, se: str, alpha: float = 0.05, clip01: boo
     return out if null is None else out.withColumn("is_sig", (F.col("lb") > null).cast("int"))
 
 
+def _boot_auc(weighted: DataFrame, keys: list[str], y: str = "y", s: str = "score") -> DataFrame:
+    """AUROC per replicate from one materialised histogram."""
+    hist = cut_lineage(score_histogram(weighted, keys, y, s, "weight"))
+    return auc_from_histogram(hist, keys, s)
+
+
 # Metrics by name: (rows, keys, weight column or None) -> keys, stat.
 METRICS: dict[str, Callable[[DataFrame, list[str], str | None], DataFrame]] = {
-    "auc": lambda df, keys, w: auc(df, keys, weight=w).select(*keys, F.col("auc").alias("stat")),
+    "auc": lambda df, keys, w: (_boot_auc(df, keys) if w else auc(df, keys)).select(*keys, F.col("auc").alias("stat")),
     "mean": lambda df, keys, w: df.groupBy(*keys).agg(
         div(F.sum(F.col("y") * F.col(w)), F.sum(w)).alias("stat") if w else F.avg("y").alias("stat")),
     "r2": lambda df, keys, w: _weighted_r2(df, keys, w),
@@ -59,7 +70,7 @@ def bootstrap_ci(df: DataFrame, keys: list[str], metric: str, order: list[str],
     """iid bootstrap within keys, percentiles of the replicates less their bias: stat, lb, ub."""
     fn = METRICS[metric]
     base = fn(df, keys, None)
-    boot = fn(resample(df, keys, order, reps, seed), [*keys, "rep"], "weight")
+    boot = cut_lineage(fn(resample(df, keys, order, reps, seed), [*keys, "rep"], "weight"))
     q = quantile_columns(boot, keys, "stat", {"_lo": alpha / 2, "_hi": 1 - alpha / 2})
     mean = boot.groupBy(*keys).agg(F.avg("stat").alias("_mean"))
     joined = base.join(q, keys).join(mean, keys)
@@ -71,7 +82,7 @@ def auc_bootstrap(df: DataFrame, keys: list[str], order: list[str], reps: int, s
                   y: str = "y", s: str = "score") -> DataFrame:
     """Class-stratified bootstrap of the AUROC: auc, lb, ub."""
     base = auc(df, keys, y, s).filter((F.col("n1") > 0) & (F.col("n0") > 0)).select(*keys, "auc")
-    boot = auc(resample(df, [*keys, y], order, reps, seed), [*keys, "rep"], y, s, "weight")
+    boot = cut_lineage(_boot_auc(resample(df, [*keys, y], order, reps, seed), [*keys, "rep"], y, s))
     q = quantile_columns(boot, keys, "auc", {"lb": alpha / 2, "ub": 1 - alpha / 2})
     return base.join(q, keys)
 
@@ -85,7 +96,8 @@ def cluster_bootstrap(groups: DataFrame, keys: list[str], g: str, reps: int, see
         part = F.col("n0n1") * w
         return df.groupBy(*by).agg(div(F.sum(F.col("auc") * part), F.sum(F.when(F.col("auc").isNotNull(), part))).alias("auc"))
 
-    boot = pooled(resample(groups, keys, [g], reps, seed), [*keys, "rep"], F.col("weight"))
+    groups = cut_lineage(groups)
+    boot = cut_lineage(pooled(resample(groups, keys, [g], reps, seed), [*keys, "rep"], F.col("weight")))
     q = quantile_columns(boot, keys, "auc", {"lb": alpha / 2, "ub": 1 - alpha / 2})
     return pooled(groups, keys, F.lit(1.0)).join(q, keys)
 
@@ -94,7 +106,8 @@ def decompose_bootstrap(df: DataFrame, keys: list[str], g: str, order: list[str]
                         alpha: float = 0.05, y: str = "y", s: str = "score") -> DataFrame:
     """Bootstrap of the decomposition, stratified by keys and class: keys, tt, auc, lb, ub."""
     weighted = resample(df, [*keys, y], order, reps, seed)
-    boot = auc_decompose(weighted, [*keys, "rep"], g, y, s, "weight")
+    hist = cut_lineage(score_histogram(weighted, [*keys, "rep", g], y, s, "weight"))
+    boot = cut_lineage(decompose_histogram(hist, [*keys, "rep"], g, s))
     q = quantile_columns(boot, [*keys, "tt"], "auc", {"lb": alpha / 2, "ub": 1 - alpha / 2})
     return auc_decompose(df, keys, g, y, s).select(*keys, "tt", "auc").join(q, [*keys, "tt"])
 
@@ -106,15 +119,18 @@ def compare_bootstrap(df: DataFrame, keys: list[str], a: str, b: str, order: lis
     One-class replicates are discarded. Returns the 2.5% quantiles of auc_b - auc_a, auc_a - 0.5,
     auc_b - 0.5 and p-values 1 - #(> 0) / (n + 1).
     """
-    weighted = resample(df, keys, order, reps, seed)
     k = [*keys, "rep"]
-    both = (auc(weighted, k, y, a, "weight").select(*k, F.col("auc").alias("_a"))
-            .join(auc(weighted, k, y, b, "weight").select(*k, F.col("auc").alias("_b")), k)
-            .filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    scores = F.array(F.struct(F.lit("a").alias("which"), F.col(a).cast("double").alias("score")),
+                     F.struct(F.lit("b").alias("which"), F.col(b).cast("double").alias("score")))
+    long = resample(df, keys, order, reps, seed).select(*k, y, "weight", F.explode(scores).alias("_s"))
+    aucs = _boot_auc(long.select(*k, y, "weight", "_s.*"), [*k, "which"], y, "score")
+    wide = aucs.groupBy(*k).agg(F.max(F.when(F.col("which") == "a", F.col("auc"))).alias("_a"),
+                                F.max(F.when(F.col("which") == "b", F.col("auc"))).alias("_b"))
+    both = (wide.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
             .select(*keys, (F.col("_b") - F.col("_a")).alias("diff"), (F.col("_a") - 0.5).alias("agg"),
                     (F.col("_b") - 0.5).alias("sub")))
     parts = ["diff", "agg", "sub"]
-    long = both.unpivot(keys, parts, "part", "v")
+    long = cut_lineage(both.unpivot(keys, parts, "part", "v"))
     q = quantile_columns(long, [*keys, "part"], "v", {"q": 0.025})
     p = long.groupBy(*keys, "part").agg(
         (1 - F.sum((F.round("v", 12) > 0).cast("double")) / (F.count(F.lit(1)) + 1)).alias("p"))
@@ -123,7 +139,7 @@ def compare_bootstrap(df: DataFrame, keys: list[str], a: str, b: str, order: lis
 
 def fdr(df: DataFrame, keys: list[str], p: str, id_col: str, out: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg adjusted p-values within keys; ``id_col`` orders tied p-values."""
-    one = df.filter(F.col(p).isNotNull()).withColumn("_one", F.lit(1).cast("bigint"))
+    one = cut_lineage(df.filter(F.col(p).isNotNull()).withColumn("_one", F.lit(1).cast("bigint")))
     ranked = scan(one, keys, [p, id_col], {"_rk": ("count", None)}, totals={"_m": "_one"})
     ranked = ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("_rk"))
     back = scan(ranked, keys, [p, id_col], {"_min": ("min", "_q")}, reverse=True)
@@ -219,6 +235,7 @@ def student_bounds(boot: DataFrame, base: DataFrame, keys: list[str], alpha: flo
 
     boot: keys, rep, sub, stat (sub 0 is the replicate itself); base: keys, stat.
     """
+    boot, base = cut_lineage(boot), cut_lineage(base)
     outer = boot.filter("sub = 0").select(*keys, "rep", F.col("stat").alias("_b"))
     inner = boot.filter("sub > 0").groupBy(*keys, "rep").agg(F.stddev_samp("stat").alias("_se"))
     t = outer.join(inner, [*keys, "rep"]).join(base, keys).withColumn("_t", div(F.col("_b") - F.col("stat"), F.col("_se")))
@@ -239,8 +256,8 @@ def student_bounds(boot: DataFrame, base: DataFrame, keys: list[str], alpha: flo
 def spearman_ci(df: DataFrame, keys: list[str], a: str, b: str, id_col: str, reps: int, subreps: int, seed: int,
                 alpha: float = 0.05) -> DataFrame:
     """Nested bootstrap bounds of the rank correlation; ranks are taken once, before resampling."""
-    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = midrank(midrank(both, keys, a, "_ra"), keys, b, "_rb").select(*keys, id_col, "_ra", "_rb")
+    both = cut_lineage(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()))
+    ranked = cut_lineage(midrank(midrank(both, keys, a, "_ra"), keys, b, "_rb").select(*keys, id_col, "_ra", "_rb"))
     base = ranked.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("stat"))
     boot = (resample(ranked, keys, [id_col], reps, seed, subreps).groupBy(*keys, "rep", "sub")
             .agg(_weighted_corr("_ra", "_rb", "weight").alias("stat")))
@@ -250,9 +267,10 @@ def spearman_ci(df: DataFrame, keys: list[str], a: str, b: str, id_col: str, rep
 def quantile_lower_bound(df: DataFrame, keys: list[str], value: str, id_col: str, target: float, reps: int,
                          subreps: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """Quantile of the positives' scores with its studentized lower bound: thresh, se, crit, thresh_lb."""
+    df = cut_lineage(df.select(*keys, id_col, value))
     base = quantile_columns(df, keys, value, {"thresh": target})
-    rows = resample(df.select(*keys, id_col, value), keys, [id_col], reps, seed, subreps)
-    boot = quantile_columns(rows, [*keys, "rep", "sub"], value, {"stat": target}, weight="weight")
+    rows = cut_lineage(resample(df, keys, [id_col], reps, seed, subreps))
+    boot = cut_lineage(quantile_columns(rows, [*keys, "rep", "sub"], value, {"stat": target}, weight="weight"))
     outer = boot.filter("sub = 0").select(*keys, "rep", F.col("stat").alias("_b"))
     inner = boot.filter("sub > 0").groupBy(*keys, "rep").agg(F.stddev_samp("stat").alias("_se"))
     z = outer.join(inner, [*keys, "rep"]).join(base, keys).withColumn("_z", div(F.col("_b") - F.col("thresh"), F.col("_se")))
@@ -305,7 +323,7 @@ def total_gap_bootstrap(df: DataFrame, keys: list[str], preds: list[str], order:
     w = resample(df, keys, order, reps, seed)
     sums = w.groupBy(*keys, "rep").agg(*[
         F.sum(F.col("weight") * (F.col(y) - F.col(p))).alias(p) for p in preds])
-    return quantile_columns(sums.unpivot([*keys, "rep"], preds, "mdl", "yd"), [*keys, "mdl"], "yd", {"yd": alpha / 2})
+    return quantile_columns(cut_lineage(sums.unpivot([*keys, "rep"], preds, "mdl", "yd")), [*keys, "mdl"], "yd", {"yd": alpha / 2})
 
 
 def replicate_ci(df: DataFrame, keys: list[str], value: str, alpha: float = 0.05) -> DataFrame:
@@ -317,9 +335,10 @@ def replicate_ci(df: DataFrame, keys: list[str], value: str, alpha: float = 0.05
 def mann_whitney_ci(df: DataFrame, keys: list[str], y: str, x: str, id_col: str, reps: int, subreps: int, seed: int,
                     alpha: float = 0.05) -> DataFrame:
     """Nested bootstrap bounds of the Mann-Whitney statistic (as AUROC), both samples resampled."""
+    df = cut_lineage(df.select(*keys, y, x, id_col))
     base = auc(df, keys, y, x).select(*keys, F.col("auc").alias("stat"))
-    w = resample(df.select(*keys, y, x, id_col), [*keys, y], [id_col], reps, seed, subreps)
-    boot = auc(w, [*keys, "rep", "sub"], y, x, "weight").select(*keys, "rep", "sub", F.col("auc").alias("stat"))
+    w = resample(df, [*keys, y], [id_col], reps, seed, subreps)
+    boot = _boot_auc(w, [*keys, "rep", "sub"], y, x).select(*keys, "rep", "sub", F.col("auc").alias("stat"))
     return student_bounds(boot, base, keys, alpha)
 
 

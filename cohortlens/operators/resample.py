@@ -12,6 +12,7 @@ from math import exp, factorial
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.draws import draw_index, draw_uniform
+from ..session import cut_lineage
 from .ordered import scan
 
 
@@ -38,9 +39,9 @@ def resample(df: DataFrame, strata: list[str], order: list[str], reps: int, seed
     """Rows with their multiplicity: all columns, rep, (sub,) weight.
 
     ``order`` must make rows distinct within a stratum (or tied rows interchangeable). Strata must be
-    integers or text.
+    integers or text. The numbered rows are checkpointed (an action), as draws and join both read them.
     """
-    rows = numbered(df, strata, order)
+    rows = cut_lineage(numbered(df, strata, order))
     counts = draw_counts(rows, strata, reps, seed, subreps)
     out = rows.join(counts, on=[*strata, "_idx"]).drop("_idx", "_n")
     return out if subreps else out.drop("sub")

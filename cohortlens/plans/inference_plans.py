@@ -263,8 +263,7 @@ def _bounds_out(key: str, base: str, stat: str) -> str:
 bt as (select pair, rep, sub, (sum(weight) * sum(weight * ra * rb) - sum(weight * ra) * sum(weight * rb)) / (sqrt(sum(weight) * sum(weight * ra * ra) - pow(sum(weight * ra), 2)) * sqrt(sum(weight) * sum(weight * rb * rb) - pow(sum(weight * rb), 2))) as stat from rs group by all),
 {_bounds_sql('pair', 'base')} {_bounds_out('pair', 'base', 'rho')}""")
 def _(t):
-    d = rounded(I.spearman_ci(pair_table(t), ["pair"], "v1", "v2", "id", 40, 10, 21))
-    return d.withColumn("lb", F.round("lb", 5)).withColumn("ub", F.round("ub", 5))
+    return rounded(I.spearman_ci(pair_table(t), ["pair"], "v1", "v2", "id", 40, 10, 21), lb=5, ub=5)
 
 
 QLB_SQL = f"""{SCORED_SQL}, rt as (select g, max(score) as v, count(*) as n from scored where y = 1 group by g),
@@ -308,11 +307,11 @@ def _(t):
 
 
 @query("null_cut", "J20", f"""with {CASES_SQL}, nul as (select g, {_q('score', 0.95)} as cut from cases where yr < 1999 group by g)
-select caseid, g, round(cut, 3) as cut, cast(case when score >= cut then 1 else 0 end as bigint) as is_sig from cases join nul using (g) where yr >= 1999""")
+select caseid, g, round(cut, 6) as cut, cast(case when score >= cut then 1 else 0 end as bigint) as is_sig from cases join nul using (g) where yr >= 1999""")
 def _(t):
     c = g_cases(t)
     d = I.null_cut(c.filter("yr >= 1999").select("caseid", "g", "score"), c.filter("yr < 1999"), ["g"], "score", 0.95)
-    return rounded(d.drop("score"), 3)
+    return rounded(d.drop("score"))
 
 
 @query("total_gap_bootstrap", "J21", f"""with {CASES_SQL}, cs as (select caseid, g, y, score / 1e6 as p1, 0.33::double as p2 from cases), {sql_resample('cs', 'g', 'caseid', 30, 13)},
@@ -337,8 +336,7 @@ bt as (select k, rep, sub, auc as stat from b1), {_bounds_sql('k', 'base')} {_bo
 def _(t):
     gm = scored(t).groupBy(F.col("g").alias("id")).agg(F.avg("score").alias("x")).withColumn(
         "y", (F.col("id") % 2 == 0).cast("bigint")).withColumn("k", F.lit("all"))
-    d = rounded(I.mann_whitney_ci(gm, ["k"], "y", "x", "id", 30, 8, 23))
-    return d.withColumn("lb", F.round("lb", 5)).withColumn("ub", F.round("ub", 5))
+    return rounded(I.mann_whitney_ci(gm, ["k"], "y", "x", "id", 30, 8, 23), lb=5, ub=5)
 
 
 @query("significant_share", "J24", f"""with {SIG_SQL}, c as (select yr, sum(is_sig) as s, count(*) as n from sig group by yr)

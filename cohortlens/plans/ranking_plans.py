@@ -142,14 +142,14 @@ x as (select gr.yr, gr.j, gr.thresh, gr.n1, gr.n0,
 @query("roc_grid", "I10", _grid_sql("scored", 100, 1.01, "0.99") + """
 select yr, j, round(thresh, 2) as thresh, round(cast(p_gt as double) / n1, 6) as tpr, round(cast(n_gt as double) / n0, 6) as fpr from x""")
 def _(t):
-    return rounded(T.roc_grid(scored(t), ["yr"], 100)).withColumn("thresh", F.round("thresh", 2))
+    return rounded(T.roc_grid(scored(t), ["yr"], 100), thresh=2)
 
 
 @query("pr_grid", "I11", _grid_sql("scored", 200, 0.99, "0.99") + """
 select yr, j, round(thresh, 2) as thresh, round(cast(p_gt as double) / n1, 6) as tpr,
   round(cast(p_ge as double) / nullif(p_ge + n_ge, 0), 6) as "precision" from x""")
 def _(t):
-    return rounded(T.pr_grid(scored(t), ["yr"], 200)).withColumn("thresh", F.round("thresh", 2))
+    return rounded(T.pr_grid(scored(t), ["yr"], 200), thresh=2)
 
 
 @query("sens_spec", "I12", f"""with {SCORED_SQL}
@@ -184,14 +184,14 @@ r as (select yr, t, cast(tp as double) / nullif(tp + fp, 0) as ppv from m)
 select yr, round(t, 2) as thresh, round(ppv, 6) as ppv from r where ppv is not null
 qualify row_number() over (partition by yr order by round((ppv - 0.34) * (ppv - 0.34), 12), t) = 1""")
 def _(t):
-    return rounded(T.threshold_for_ppv(scored(t), ["yr"], 0.34, "inf")).withColumn("thresh", F.round("thresh", 2))
+    return rounded(T.threshold_for_ppv(scored(t), ["yr"], 0.34, "inf"), thresh=2)
 
 
 @query("threshold_balance", "I16", _grid_sql("scored", 250, 1.01, "0.99") + """
 select yr, round(thresh, 2) as thresh, j from x
 qualify row_number() over (partition by yr order by round(power(cast(p_gt + n_gt as double) / (n1 + n0) - cast(n1 as double) / (n1 + n0), 2), 12), j) = 1""")
 def _(t):
-    return rounded(T.threshold_balance(scored(t), ["yr"], 250)).withColumn("thresh", F.round("thresh", 2))
+    return rounded(T.threshold_balance(scored(t), ["yr"], 250), thresh=2)
 
 
 def _edges_sql(src: str, keys: str) -> str:
@@ -215,7 +215,7 @@ ppv_t as (select a.yr, a.pp, e.qq, cast(a.y1 as double) / (a.y1 + a.y0) as ppv,
 select yr, pp, round(qq, 4) as qq, 'ppv' as metric, round(ppv, 6) as value from ppv_t
 union all select yr, pp, round(qq, 4), 'sens', round(sens, 6) from ppv_t""")
 def _(t):
-    return rounded(T.ppv_by_percentile(scored(t), ["yr"], PP)).withColumn("qq", F.round("qq", 4))
+    return rounded(T.ppv_by_percentile(scored(t), ["yr"], PP), qq=4)
 
 
 @query("transfer_cutoffs", "I18", f"""with {CASES_SQL},
@@ -264,8 +264,7 @@ def _(t):
     te = s.filter("yr >= 1999").join(rates, "g")
     a = R.auc(te, ["yr"]).select("yr", F.col("auc").alias("auc_all"))
     b = R.auc(te, ["yr"], s="rate").select("yr", F.col("auc").alias("auc_group"))
-    return rounded(a.join(b, "yr").withColumn("gain", R.gain_share(F.col("auc_all"), F.col("auc_group")))).withColumn(
-        "gain", F.round("gain", 4))
+    return rounded(a.join(b, "yr").withColumn("gain", R.gain_share(F.col("auc_all"), F.col("auc_group"))), gain=4)
 
 
 @query("select_best", "I21", f"""with {MULTI_SQL}, {sql_decompose('multi', 'model, outcome, version, method', 'cpt', 'dec', 'preds')},

@@ -33,13 +33,13 @@ def query(name: str, ids: str, sql: str | None = None):
     return wrap
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded (and -0.0 made 0.0), integers as bigint, so engines compare."""
+def rounded(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
+    """Doubles rounded once (``own``: digits by column; -0.0 made 0.0), integers as bigint, so engines compare."""
     cols = []
     for name, kind in df.dtypes:
         c = F.col(name)
         if kind in ("double", "float") or kind.startswith("decimal"):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = F.round(c.cast("double"), own.get(name, digits)) + F.lit(0.0)
         elif kind in ("int", "smallint", "tinyint"):
             c = c.cast("bigint")
         elif kind in ("date",):
