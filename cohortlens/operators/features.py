@@ -93,6 +93,11 @@ def min_max(df: DataFrame, train: DataFrame, cols: list[str]) -> DataFrame:
                       if c in cols else F.col(c) for c in df.columns])
 
 
+def _bin_name(edges: Column, value: Column) -> Column:
+    place = F.size(F.filter(edges, lambda e: e <= value)) + 1
+    return F.when(value.isNotNull(), F.concat(F.lit("q"), place.cast("string")))
+
+
 def discretise(df: DataFrame, train: DataFrame, cols: list[str], bins: int = 10, max_levels: int = 31) -> DataFrame:
     """Numeric columns to codes: quantile bins where training has more than ``max_levels`` values, the
     value itself otherwise. Bins are left-closed between distinct quantile edges, the last closed.
@@ -107,8 +112,7 @@ def discretise(df: DataFrame, train: DataFrame, cols: list[str], bins: int = 10,
         names = {f"e{i}": i / bins for i in range(1, bins)}
         edges = quantile_columns(train, [], c, names).select(F.array_distinct(F.array(*names))).scalar()
         out = out.withColumn(f"_q_{c}", edges)
-        picks[c] = F.when(F.col(c).isNotNull(), F.concat(F.lit("q"), (
-            F.size(F.filter(F.col(f"_q_{c}"), lambda e, c=c: e <= F.col(c))) + 1).cast("string")))
+        picks[c] = _bin_name(F.col(f"_q_{c}"), F.col(c))
     return out.select(*[(picks[c] if c in picks else F.col(c).cast("bigint").cast("string")).alias(c)
                         if c in cols else F.col(c) for c in df.columns])
 

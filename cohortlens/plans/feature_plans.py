@@ -123,12 +123,12 @@ def _(t):
     return K.permute(cases(t).select("caseid", "y", "score"), "caseid", ["y"], 6)
 
 
-@query("valid_holdout", "K13", f"""with a as (select o_orderkey as caseid, cast((o_totalprice > 499900)::int as bigint) as rare, cast((o_orderstatus = 'F')::int as bigint) as f from orders),
+@query("valid_holdout", "K13", f"""with a as (select o_orderkey as caseid, cast((o_totalprice > 495000)::int as bigint) as rare, cast((o_orderstatus = 'F')::int as bigint) as f from orders),
 h as (select s, caseid, rare, f from a cross join range(1, 9) as r(s) where {_u('X', 'h', 'caseid').replace("':', X", "':', s")} < 0.1),
 k as (select min(s) as seed from (select s from h group by s having max(rare) = 1 and max(f) = 1))
 select caseid, rare, f, cast(seed as bigint) as seed, cast(({_u('X', 'h', 'caseid').replace("':', X", "':', seed")} < 0.1)::int as bigint) as is_test from a, k where seed is not null""")
 def _(t):
-    a = t("orders").select(F.col("o_orderkey").alias("caseid"), (F.col("o_totalprice") > 499900).cast("bigint").alias("rare"),
+    a = t("orders").select(F.col("o_orderkey").alias("caseid"), (F.col("o_totalprice") > 495000).cast("bigint").alias("rare"),
                            (F.col("o_orderstatus") == "F").cast("bigint").alias("f"))
     return rounded(K.valid_holdout(a, ["rare", "f"], 0.1, "caseid", list(range(1, 9))))
 
