@@ -268,7 +268,7 @@ def gaussian_scores(df: DataFrame, train: DataFrame, nums: list[str], y: str = "
     """Gaussian naive Bayes from class means and variances (one aggregation)."""
     known = train.filter(F.col(y).isin(0, 1))
     stats = {int(r[y]): r for r in known.groupBy(y).agg(F.count(F.lit(1)).alias("n"), *[
-        f(c).alias(f"{k}_{c}") for c in nums for k, f in (("m", F.avg), ("v", F.var_pop)))] ).collect()}
+        f(c).alias(f"{k}_{c}") for c in nums for k, f in (("m", F.avg), ("v", F.var_pop))]).collect()}
     spread = max(float(stats[k][f"v_{c}"] or 0) for k in (0, 1) for c in nums)
     eta = F.lit(float(np.log(stats[1]["n"] / stats[0]["n"])))
     for c in nums:
