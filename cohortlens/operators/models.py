@@ -299,12 +299,14 @@ def univariate_table(design: DataFrame, total_n: Column, total_y: Column, total_
     pval, fdr, weight (R-squared where the adjusted p is below alpha, else 0).
     """
     n, sy, syy = total_n.cast("double"), total_y.cast("double"), total_yy.cast("double")
-    sx, sxx, sxy = (F.col(c).cast("double") for c in ("sx", "sxx", "sxy"))
-    d = design.withColumn("b1", div(n * sxy - sx * sy, n * sxx - sx * sx))
-    d = d.withColumn("b0", (sy - F.col("b1") * sx) / n)
-    rss = syy - F.col("b0") * sy - F.col("b1") * sxy
-    d = d.withColumn("s2", rss / (n - 2)).withColumn("r2", F.greatest(F.lit(0.0), 1 - F.col("s2") / (syy / n - (sy / n) ** 2)))
-    se = F.sqrt(div(F.col("s2") * n, n * sxx - sx * sx))
+    # the feature table is small; it is checkpointed where later expressions would repeat earlier ones
+    d = design.select("name", "sx", "sxx", "sxy", n.alias("n"), sy.alias("sy"), syy.alias("syy"))
+    n, sy, syy = F.col("n"), F.col("sy"), F.col("syy")
+    d = cut_lineage(d.withColumn("b1", div(n * F.col("sxy") - F.col("sx") * sy, n * F.col("sxx") - F.col("sx") * F.col("sx"))))
+    d = d.withColumn("b0", (sy - F.col("b1") * F.col("sx")) / n)
+    d = cut_lineage(d.withColumn("s2", (syy - F.col("b0") * sy - F.col("b1") * F.col("sxy")) / (n - 2)))
+    d = d.withColumn("r2", F.greatest(F.lit(0.0), 1 - F.col("s2") / (syy / n - (sy / n) ** 2)))
+    se = F.sqrt(div(F.col("s2") * n, n * F.col("sxx") - F.col("sx") * F.col("sx")))
     d = d.withColumn("pval", F.when(F.col("r2") > 0, 2 * (1 - norm_cdf(F.abs(F.col("b1") / se)))).otherwise(1.0))
     adjusted = fdr(d.filter("r2 > 0").withColumn("_k", F.lit(1)), ["_k"], "pval", "name").drop("_k")
     rest = d.filter("r2 = 0 or r2 is null").withColumn("fdr", F.lit(1.0))

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import REGISTRY
 
-SECTIONS = ("clean_plans", "join_plans", "profile_plans", "window_plans", "ranking_plans", "inference_plans", "monitor_plans",
+SECTIONS = ("source_plans", "clean_plans", "join_plans", "profile_plans", "window_plans", "ranking_plans", "inference_plans", "monitor_plans",
             "feature_plans", "model_plans")
 
 
