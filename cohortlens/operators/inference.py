@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
@@ -282,17 +283,14 @@ def quantile_lower_bound(df: DataFrame, keys: list[str], value: str, id_col: str
 
 @F.pandas_udf(LongType())
 def _order_rank(n: pd.Series, k: pd.Series, j: pd.Series) -> pd.Series:
-    out = []
-    for size, miss, level in zip(n.to_numpy(), k.to_numpy(float), j.to_numpy(float)):
-        lo, hi = 0, int(size)  # P(X < l) grows with l: largest l with P(X < l) <= 1 - level
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            if 1 - float(reg_beta(mid, size - mid + 1, 1 - miss)) <= 1 - level:
-                lo = mid
-            else:
-                hi = mid - 1
-        out.append(max(lo, 1))
-    return pd.Series(out, dtype="int64")
+    size, p, level = n.to_numpy(float), 1 - k.to_numpy(float), 1 - j.to_numpy(float)
+    lo, hi = np.zeros(len(size)), size.copy()
+    while (lo < hi).any():  # P(X < l) = 1 - I_p(l, n-l+1) grows with l: largest l with P(X < l) <= 1-j
+        mid = np.floor((lo + hi + 1) / 2)
+        fits = 1 - reg_beta(np.maximum(mid, 1), size - mid + 1, p) <= level
+        open_ = lo < hi
+        lo, hi = np.where(open_ & fits, mid, lo), np.where(open_ & ~fits, mid - 1, hi)
+    return pd.Series(np.maximum(lo, 1).astype("int64"))
 
 
 def order_threshold(df: DataFrame, n: str, k: str, j: str, out: str = "rank") -> DataFrame:

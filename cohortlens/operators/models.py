@@ -186,10 +186,10 @@ def fit_grouped_logit(df: DataFrame, keys: list[str], features: list[str], y: st
                       iterations: int = ITERATIONS) -> DataFrame:
     """keys, n1, n0, beta (intercept first), se. Groups with one class get no row.
 
-    One aggregation job per Newton step for all groups together; the coefficient table (one small row per
-    group) is checkpointed between steps.
+    One aggregation job per Newton step for all groups together. The pruned design is checkpointed once
+    (every step reads it), the coefficient table (one small row per group) after each step.
     """
-    df = df.filter(F.col(y).isin(0, 1))
+    df = cut_lineage(df.filter(F.col(y).isin(0, 1)).select(*keys, *features, y))
     size = df.groupBy(*keys).agg(F.sum((F.col(y) == 1).cast("bigint")).alias("n1"), F.sum((F.col(y) == 0).cast("bigint")).alias("n0"))
     size = size.filter((F.col("n1") > 0) & (F.col("n0") > 0))
     zeros = [F.ln(F.col("n1") / F.col("n0"))] + [F.lit(0.0)] * len(features)

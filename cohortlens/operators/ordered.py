@@ -217,17 +217,22 @@ def fill_edges(df: DataFrame, keys: list[str], order: list[str], cols: list[str]
     ``block`` names a column that already cuts the order into bounded pieces.
     """
     data, bcols = (df, [block]) if block else with_buckets(df, order)
-    inner = W.partitionBy(*keys, *bcols).orderBy(*order)
-    ahead, back = inner.rowsBetween(0, W.unboundedFollowing), inner.rowsBetween(W.unboundedPreceding, 0)
-    local = data.select("*", *[F.first(c, ignorenulls=True).over(ahead).alias(f"_ln_{c}") for c in cols],
+    # both directions run from an unbounded start to the row (in opposite orders): such frames grow by one
+    # row at a time, where "row to unbounded end" would be evaluated anew for every row
+    def run(part, ordering, stop):
+        return W.partitionBy(*part).orderBy(*ordering).rowsBetween(W.unboundedPreceding, stop)
+
+    back = run([*keys, *bcols], [F.col(c).asc() for c in order], 0)
+    ahead = run([*keys, *bcols], [F.col(c).desc() for c in order], 0)
+    local = data.select("*", *[F.last(c, ignorenulls=True).over(ahead).alias(f"_ln_{c}") for c in cols],
                         *[F.last(c, ignorenulls=True).over(back).alias(f"_lp_{c}") for c in cols])
     at = F.struct(*[F.col(c) for c in order])
     edge = data.groupBy(*keys, *bcols).agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_f_{c}") for c in cols],
         *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_l_{c}") for c in cols])
-    outer = W.partitionBy(*keys).orderBy(*bcols)
-    later, earlier = outer.rowsBetween(1, W.unboundedFollowing), outer.rowsBetween(W.unboundedPreceding, -1)
-    carried = edge.select(*keys, *bcols, *[F.first(f"_f_{c}", ignorenulls=True).over(later).alias(f"_on_{c}") for c in cols],
+    later = run(keys, [F.col(b).desc() for b in bcols], -1)
+    earlier = run(keys, [F.col(b).asc() for b in bcols], -1)
+    carried = edge.select(*keys, *bcols, *[F.last(f"_f_{c}", ignorenulls=True).over(later).alias(f"_on_{c}") for c in cols],
                           *[F.last(f"_l_{c}", ignorenulls=True).over(earlier).alias(f"_op_{c}") for c in cols])
     joined = local.join(carried, on=[*keys, *bcols])
     return joined.select(*[

@@ -152,11 +152,11 @@ def _(t):
     return rounded(C.drop_sparse(dirty(t), "yr", 2))
 
 
-@query("drop_rare_labels", "B12", """with a as (select o_orderkey, case when o_totalprice > 499500 then 1 else 0 end as rare,
+@query("drop_rare_labels", "B12", """with a as (select o_orderkey, case when o_totalprice > 1e9 then 1 else 0 end as rare,
   cast(case when o_orderstatus = 'F' then 1 else 0 end as bigint) as common from orders)
 select o_orderkey, common from a where (select sum(rare) from a) < 100 and (select sum(common) from a) >= 100""")
 def _(t):
-    a = t("orders").select("o_orderkey", (F.col("o_totalprice") > 499500).cast("bigint").alias("rare"),
+    a = t("orders").select("o_orderkey", (F.col("o_totalprice") > 1e9).cast("bigint").alias("rare"),
                            (F.col("o_orderstatus") == "F").cast("bigint").alias("common"))
     return C.drop_rare_labels(a, ["rare", "common"], 100)
 

@@ -11,11 +11,11 @@ from .registry import CASES_SQL, SCORED_SQL, cases, query, rounded, scored
 
 @query("group_summary", "D1,D2", f"""with {SCORED_SQL}
 select yr, g, count(*) as n, cast(sum(y) as bigint) as events, round(avg(score), 4) as mean, round(min(score), 4) as lo, round(max(score), 4) as hi,
-  round(stddev_samp(score), 4) as sd, round(var_samp(score) / 1e6, 4) as var_m from scored group by yr, g""")
+  round(stddev_samp(score), 4) as sd, round(var_samp(score) / 7e5, 4) as var_m from scored group by yr, g""")
 def _(t):
     return rounded(P.summarise(scored(t), ["yr", "g"], {
         "n": F.count(F.lit(1)), "events": F.sum("y"), "mean": F.avg("score"), "lo": F.min("score"), "hi": F.max("score"),
-        "sd": F.stddev_samp("score"), "var_m": F.var_samp("score") / 1e6}), 4)
+        "sd": F.stddev_samp("score"), "var_m": F.var_samp("score") / 7e5}), 4)
 
 
 @query("weighted_mean", "D3", """select l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) as wm from lineitem group by 1""")

@@ -36,7 +36,9 @@ def parse_stata(contents: DataFrame, schema: str, chunk_rows: int = 50_000) -> D
                 with pd.read_stata(io.BytesIO(bytes(blob)), chunksize=chunk_rows, convert_categoricals=False) as reader:
                     for part in reader:
                         part.columns = [c.lower() for c in part.columns]
-                        yield part.reindex(columns=names)
+                        for absent in [c for c in names if c not in part.columns]:
+                            part[absent] = pd.Series([None] * len(part), index=part.index, dtype=object)
+                        yield part[names]
 
     return contents.select("content").mapInPandas(parse, schema)
 
