@@ -152,7 +152,7 @@ def _newton_step(beta: pd.Series, upper: pd.Series, grad: pd.Series, ridge: pd.S
         penalty = np.full(len(b), r)
         penalty[0] = 0.0
         step = _solve(_unpack(np.asarray(u, float), len(b)) + np.diag(penalty + 1e-8), g - penalty * b)
-        out.append(np.clip(b + np.clip(step, -5, 5), -30, 30).tolist())
+        out.append((b + np.clip(step, -5, 5)).tolist())
     return pd.Series(out)
 
 

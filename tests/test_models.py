@@ -139,7 +139,8 @@ def test_concordance_recovers_direction(planted):
 
 
 def test_multi_output_calibration(planted):
-    s = M.multi_output_logit(planted.withColumn("y2", (F.col("x3") > 0.3).cast("long")), X, ["y", "y2"], ["id"])
+    noisy = (F.col("x3") + draw_uniform(9, "z", F.col("id")) * 2 > 1.3).cast("long")
+    s = M.multi_output_logit(planted.withColumn("y2", noisy), X, ["y", "y2"], ["id"])
     for r in s.groupBy("label").agg(F.avg("preds").alias("p"), F.avg("y").alias("y")).collect():
         assert r["p"] == pytest.approx(r["y"], abs=1e-3)
 
