@@ -1,7 +1,7 @@
 """Uncertainty, tests and multiplicity control (section 2.J).
 
-Bootstraps checkpoint what several later branches read: the numbered rows, the histogram of all
-replicates and the table of replicate statistics. Everything else is lazy.
+Bootstraps checkpoint what several later branches read: the numbered rows and the table of replicate
+statistics. Everything else is lazy.
 """
 
 from __future__ import annotations
@@ -43,15 +43,16 @@ def normal_ci(df: DataFrame, est: str, se: str, alpha: float = 0.05, clip01: boo
     return out if null is None else out.withColumn("is_sig", (F.col("lb") > null).cast("int"))
 
 
-def _boot_auc(weighted: DataFrame, keys: list[str], y: str = "y", s: str = "score") -> DataFrame:
-    """AUROC per replicate from one materialised histogram."""
-    hist = cut_lineage(score_histogram(weighted, keys, y, s, "weight"))
-    return auc_from_histogram(hist, keys, s)
+def _boot_auc(weighted: DataFrame, keys: list[str], y: str = "y", s: str = "score",
+              sketch_from: DataFrame | None = None) -> DataFrame:
+    """AUROC per replicate. The histogram's shuffle is read by both halves of the scan; the bucket edges
+    come from the rows before resampling (``sketch_from``), so nothing is computed twice."""
+    return auc_from_histogram(score_histogram(weighted, keys, y, s, "weight"), keys, s, sketch_from)
 
 
 # Metrics by name: (rows, keys, weight column or None) -> keys, stat.
 METRICS: dict[str, Callable[[DataFrame, list[str], str | None], DataFrame]] = {
-    "auc": lambda df, keys, w: (_boot_auc(df, keys) if w else auc(df, keys)).select(*keys, F.col("auc").alias("stat")),
+    "auc": lambda df, keys, w: auc(df, keys, weight=w).select(*keys, F.col("auc").alias("stat")),
     "mean": lambda df, keys, w: df.groupBy(*keys).agg(
         div(F.sum(F.col("y") * F.col(w)), F.sum(w)).alias("stat") if w else F.avg("y").alias("stat")),
     "r2": lambda df, keys, w: _weighted_r2(df, keys, w),
@@ -83,7 +84,7 @@ def auc_bootstrap(df: DataFrame, keys: list[str], order: list[str], reps: int, s
                   y: str = "y", s: str = "score") -> DataFrame:
     """Class-stratified bootstrap of the AUROC: auc, lb, ub."""
     base = auc(df, keys, y, s).filter((F.col("n1") > 0) & (F.col("n0") > 0)).select(*keys, "auc")
-    boot = cut_lineage(_boot_auc(resample(df, [*keys, y], order, reps, seed), [*keys, "rep"], y, s))
+    boot = cut_lineage(_boot_auc(resample(df, [*keys, y], order, reps, seed), [*keys, "rep"], y, s, df.select(s)))
     q = quantile_columns(boot, keys, "auc", {"lb": alpha / 2, "ub": 1 - alpha / 2})
     return base.join(q, keys)
 
@@ -107,8 +108,8 @@ def decompose_bootstrap(df: DataFrame, keys: list[str], g: str, order: list[str]
                         alpha: float = 0.05, y: str = "y", s: str = "score") -> DataFrame:
     """Bootstrap of the decomposition, stratified by keys and class: keys, tt, auc, lb, ub."""
     weighted = resample(df, [*keys, y], order, reps, seed)
-    hist = cut_lineage(score_histogram(weighted, [*keys, "rep", g], y, s, "weight"))
-    boot = cut_lineage(decompose_histogram(hist, [*keys, "rep"], g, s))
+    hist = score_histogram(weighted, [*keys, "rep", g], y, s, "weight")
+    boot = cut_lineage(decompose_histogram(hist, [*keys, "rep"], g, s, df.select(s)))
     q = quantile_columns(boot, [*keys, "tt"], "auc", {"lb": alpha / 2, "ub": 1 - alpha / 2})
     return auc_decompose(df, keys, g, y, s).select(*keys, "tt", "auc").join(q, [*keys, "tt"])
 
@@ -124,7 +125,8 @@ def compare_bootstrap(df: DataFrame, keys: list[str], a: str, b: str, order: lis
     scores = F.array(F.struct(F.lit("a").alias("which"), F.col(a).cast("double").alias("score")),
                      F.struct(F.lit("b").alias("which"), F.col(b).cast("double").alias("score")))
     long = resample(df, keys, order, reps, seed).select(*k, y, "weight", F.explode(scores).alias("_s"))
-    aucs = _boot_auc(long.select(*k, y, "weight", "_s.*"), [*k, "which"], y, "score")
+    both_scores = df.select(F.col(a).cast("double").alias("score")).unionByName(df.select(F.col(b).cast("double").alias("score")))
+    aucs = _boot_auc(long.select(*k, y, "weight", "_s.*"), [*k, "which"], y, "score", both_scores)
     wide = aucs.groupBy(*k).agg(F.max(F.when(F.col("which") == "a", F.col("auc"))).alias("_a"),
                                 F.max(F.when(F.col("which") == "b", F.col("auc"))).alias("_b"))
     both = (wide.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
@@ -336,7 +338,7 @@ def mann_whitney_ci(df: DataFrame, keys: list[str], y: str, x: str, id_col: str,
     df = cut_lineage(df.select(*keys, y, x, id_col))
     base = auc(df, keys, y, x).select(*keys, F.col("auc").alias("stat"))
     w = resample(df, [*keys, y], [id_col], reps, seed, subreps)
-    boot = _boot_auc(w, [*keys, "rep", "sub"], y, x).select(*keys, "rep", "sub", F.col("auc").alias("stat"))
+    boot = _boot_auc(w, [*keys, "rep", "sub"], y, x, df.select(x)).select(*keys, "rep", "sub", F.col("auc").alias("stat"))
     return student_bounds(boot, base, keys, alpha)
 
 

@@ -64,9 +64,13 @@ def auc_by_group(df: DataFrame, keys: list[str], g: str, y: str = "y", s: str =
 
 
 def decompose_histogram(hist: DataFrame, keys: list[str], g: str, s: str = "score",
-                        sketch_from: DataFrame | None = None) -> DataFrame:
-    """Decomposition from a histogram that is at least as fine as (keys, g, s)."""
-    fine = hist.groupBy(*keys, g, s).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+                        sketch_from: DataFrame | None = None, at_grain: bool = True) -> DataFrame:
+    """Decomposition from a histogram by (keys, g, s), or finer when ``at_grain`` is off.
+
+    Its shuffle is shared: the within and the total branch, and both halves of their scans, read the same
+    columns of it.
+    """
+    fine = hist if at_grain else hist.groupBy(*keys, g, s).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     flat = hist.groupBy(*keys, s).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     if not keys:
         fine, flat = fine.withColumn("_all", F.lit(1)), flat.withColumn("_all", F.lit(1))
@@ -100,7 +104,7 @@ def decompose_all(df: DataFrame, keys: list[str], period: str, g: str, y: str =
     """Decomposition by period and over all periods ('all'), from one histogram."""
     hist = score_histogram(df, [*keys, period, g], y, s)
     by_period = decompose_histogram(hist, [*keys, period], g, s, df.select(s))
-    overall = decompose_histogram(hist, keys, g, s, df.select(s))
+    overall = decompose_histogram(hist, keys, g, s, df.select(s), at_grain=False)
     return (by_period.withColumn(period, F.col(period).cast("string"))
             .unionByName(overall.withColumn(period, F.lit("all"))))
 

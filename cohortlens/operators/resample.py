@@ -30,7 +30,8 @@ def draw_counts(rows: DataFrame, strata: list[str], reps: int, seed: int, subrep
     inner = draw_index(F.col("_n"), seed, "s", *k, F.col("rep"), F.col("sub"), F.col("_idx")) + 1
     at = F.when(F.col("sub") == 0, F.col("_idx")).otherwise(inner)
     pick = draw_index(F.col("_n"), seed, "r", *k, F.col("rep"), at) + 1
-    return (spread.select(*strata, "rep", "sub", pick.alias("_idx"))
+    # one shuffle on (strata, _idx) serves both this count and the join to the rows that follows
+    return (spread.select(*strata, "rep", "sub", pick.alias("_idx")).repartition(*strata, "_idx")
             .groupBy(*strata, "rep", "sub", "_idx").agg(F.count(F.lit(1)).alias("weight")))
 
 
