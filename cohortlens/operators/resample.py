@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.draws import draw_index, draw_uniform
 from ..session import cut_lineage
-from .ordered import scan
+from .ordered import default_buckets, scan
 
 
 def numbered(df: DataFrame, strata: list[str], order: list[str]) -> DataFrame:
@@ -24,7 +24,10 @@ def numbered(df: DataFrame, strata: list[str], order: list[str]) -> DataFrame:
 
 def draw_counts(rows: DataFrame, strata: list[str], reps: int, seed: int, subreps: int = 0) -> DataFrame:
     """strata, rep, sub, _idx, weight. sub 0 is the replicate itself; sub 1.. resample the replicate."""
-    spread = rows.select(*strata, "_idx", "_n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    # the fan-out by replicates starts from all cores, however few partitions the rows came in
+    tasks = max(default_buckets(rows), rows.sparkSession.sparkContext.defaultParallelism)
+    spread = rows.select(*strata, "_idx", "_n").repartition(tasks, *strata, "_idx")
+    spread = spread.select(*strata, "_idx", "_n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(subreps))).alias("sub"))
     k = [F.col(c) for c in strata]
     inner = draw_index(F.col("_n"), seed, "s", *k, F.col("rep"), F.col("sub"), F.col("_idx")) + 1
