@@ -20,23 +20,22 @@ def default_buckets(df: DataFrame) -> int:
     return max(1, min(n, MAX_BUCKETS))
 
 
-def _numeric(df: DataFrame, col: str) -> tuple[Column, bool]:
-    """A monotone numeric image of an order column; True when it is one to one."""
+def _comparable(df: DataFrame, col: str) -> Column:
+    """A one-to-one, order-keeping image of an order column: numeric, or the text itself."""
     kind = df.schema[col].dataType
     c = F.col(col)
     if isinstance(kind, T.NumericType):
-        return c, True
+        return c
     if isinstance(kind, T.DateType):
-        return F.unix_date(c), True
+        return F.unix_date(c)
     if isinstance(kind, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)"), True
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
     if isinstance(kind, T.TimestampType):
-        return F.unix_micros(c), True
+        return F.unix_micros(c)
     if isinstance(kind, T.BooleanType):
-        return c.cast("int"), True
+        return c.cast("int")
     if isinstance(kind, T.StringType):
-        prefix = F.rpad(F.substring(F.encode(c, "UTF-8"), 1, 6), 6, F.lit(b"\x00"))
-        return F.conv(F.hex(prefix), 16, 10).cast("bigint"), False
+        return c
     raise TypeError(f"cannot order by {col}: {kind}")
 
 
@@ -55,6 +54,26 @@ def _count_below(edges: Column, value: Column, buckets: int) -> Column:
         start + F.size(F.filter(rest, lambda e: e < value)))
 
 
+TEXT_EDGES = 4  # text edges per bucket, as they are drawn rather than computed
+
+
+def _edges(source: DataFrame, col: str, order: list[str], buckets: int) -> Column:
+    """Sorted distinct cut points of a column as a scalar subquery.
+
+    Numbers: quantiles of a mergeable sketch. Text: the value with the smallest row hash in each of a fixed
+    number of hash cells, a deterministic draw of rows whose size does not grow with the data.
+    """
+    value = _comparable(source, col)
+    if isinstance(source.schema[col].dataType, T.StringType):
+        known = [c for c in order if c in source.columns]
+        h = F.xxhash64(*known)
+        drawn = (source.filter(F.col(col).isNotNull()).groupBy(F.pmod(h, F.lit(TEXT_EDGES * buckets)).alias("_cell"))
+                 .agg(F.min_by(F.col(col), h).alias("_v")))
+        return drawn.agg(F.array_sort(F.collect_set("_v"))).scalar()
+    probs = [i / buckets for i in range(1, buckets)]
+    return source.select(F.array_sort(F.array_distinct(F.percentile_approx(value, probs, SKETCH_ACCURACY)))).scalar()
+
+
 def with_buckets(df: DataFrame, order: list[str], buckets: int | None = None,
                  sketch_from: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """Add bucket columns that follow ``order`` and hold about 1/buckets of the rows each.
@@ -65,20 +84,16 @@ def with_buckets(df: DataFrame, order: list[str], buckets: int | None = None,
     buckets = buckets or default_buckets(df)
     if buckets == 1:
         return df.withColumn("_b0", F.lit(0)), ["_b0"]
-    probs = [i / buckets for i in range(1, buckets)]
     names: list[str] = []
     inside_tie = None
     for i, col in enumerate(order):
-        value, exact = _numeric(df, col)
+        value = _comparable(df, col)
         source = sketch_from if sketch_from is not None and col in sketch_from.columns else df
-        edges = source.select(
-            F.array_sort(F.array_distinct(
-                F.percentile_approx(_numeric(source, col)[0], probs, SKETCH_ACCURACY)))
-        ).scalar()
         last = i == len(order) - 1
-        df = df.withColumn(f"_e{i}", edges)
-        below = _count_below(F.col(f"_e{i}"), value, buckets)
-        if last or not exact:
+        df = df.withColumn(f"_e{i}", _edges(source, col, order, buckets))
+        most = TEXT_EDGES * buckets if isinstance(df.schema[col].dataType, T.StringType) else buckets
+        below = _count_below(F.col(f"_e{i}"), value, most)
+        if last:
             code = below
         else:
             code = below * 2 + F.array_contains(F.col(f"_e{i}"), value).cast("int")
@@ -88,7 +103,7 @@ def with_buckets(df: DataFrame, order: list[str], buckets: int | None = None,
         name = f"_b{i}"
         df = df.withColumn(name, code).drop(f"_e{i}")
         names.append(name)
-        if last or not exact:
+        if last:
             break
         tie = F.col(name) % 2 == 1
         inside_tie = tie if inside_tie is None else inside_tie & tie

@@ -323,10 +323,11 @@ def _(t):
     return rounded(I.total_gap_bootstrap(cs, ["g"], ["p1", "p2"], ["caseid"], 30, 13), 5)
 
 
-@query("replicate_ci", "J22", f"""with {CASES_SQL}, b as (select g, o_custkey % 40 as rep, regr_slope(score, yr) as bhat from cases group by all)
+@query("replicate_ci", "J22", f"""with {CASES_SQL}, b as (select g, o_custkey % 40 as rep, regr_slope(score, yr) as bhat from cases group by all having min(yr) < max(yr))
 select g, round({_q('bhat', 0.025)}, 3) as lb, round({_q('bhat', 0.975)}, 3) as ub, cast(case when sign({_q('bhat', 0.025)}) = sign({_q('bhat', 0.975)}) then 1 else 0 end as bigint) as is_sig from b group by g""")
 def _(t):
-    b = cases(t).groupBy("g", (F.col("o_custkey") % 40).alias("rep")).agg(F.regr_slope("score", "yr").alias("bhat"))
+    b = cases(t).groupBy("g", (F.col("o_custkey") % 40).alias("rep")).agg(
+        F.when(F.min("yr") < F.max("yr"), F.regr_slope("score", "yr")).alias("bhat"))
     return rounded(I.replicate_ci(b, ["g"], "bhat"), 3)
 
 

@@ -43,6 +43,15 @@ def test_global_numbering_and_text_order(spark, rows):
     assert rows(got.select("id", F.col("rn").cast("int"))) == rows(want)
 
 
+def test_text_with_a_long_common_prefix_is_spread(spark):
+    df = spark.range(3000).select("id", F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 12, "0")).alias("name"))
+    data, cols = O.with_buckets(df, ["name"], 8)
+    assert data.groupBy(*cols).count().agg(F.max("count")).first()[0] < 3000 / 3
+    hot = df.withColumn("name", F.when(F.col("id") % 3 != 0, "same").otherwise(F.col("name")))
+    data, cols = O.with_buckets(hot, ["name", "id"], 8)
+    assert data.groupBy(*cols).count().agg(F.max("count")).first()[0] < 3000 / 3
+
+
 def test_date_and_timestamp_orders(spark, rows):
     df = spark.range(200).select("id", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 17).cast("int")).alias("d"))
     df = df.withColumn("t", F.col("d").cast("timestamp_ntz"))
