@@ -18,7 +18,8 @@ from pyspark.sql import SparkSession, functions as F  # noqa: E402
 
 from cohortlens.operators import features as K, inference as I, models as M  # noqa: E402
 from cohortlens.plans import load  # noqa: E402
-from cohortlens.plans.registry import cases, scored  # noqa: E402
+from cohortlens.plans.registry import cases  # noqa: E402
+from cohortlens.session import ship_package  # noqa: E402
 
 HEADLINE = ["auc_by_period", "auc_by_group", "auc_decompose", "auc_by_annotation", "ppv_by_percentile", "roc_grid",
             "threshold_for_ppv", "missing_profile", "group_quantiles", "midrank", "rolling_outliers", "expanding_folds",
@@ -47,6 +48,7 @@ def main() -> None:
              .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC")
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     registry = load()
     jobs = {name: (lambda q=registry[name]: q.run(spark, folder)) for name in HEADLINE}
     read = lambda table: spark.read.parquet(f"{folder}/{table}.parquet")
