@@ -109,12 +109,12 @@ def _(t):
     return rounded(M.compare_rates(sides(t), "term", "side", ("a", "b")))
 
 
-@query("calibration", "M6", f"""with {SCORED_SQL}, a as (select case when yr < 1999 then 'nsq' else 'sk' end as ds, y::double as y, score / 2e5 as preds, 0.3::double as nb from scored),
+@query("calibration", "M6", f"""with {SCORED_SQL}, a as (select case when yr < 1999 then 'home' else 'ext' end as ds, y::double as y, score / 2e5 as preds, 0.3::double as nb from scored),
 l as (select ds, 'y' as mdl, y as p from a union all select ds, 'preds', preds from a union all select ds, 'nb', nb from a),
 m as (select ds, mdl, avg(p) as p, count(*) as n from l group by all)
 select ds, mdl, round(p, 6) as prop, round(p - {Z975} * sqrt(p * (1 - p) / n), 6) as lb, round(p + {Z975} * sqrt(p * (1 - p) / n), 6) as ub from m""")
 def _(t):
-    a = scored(t).select(F.when(F.col("yr") < 1999, "nsq").otherwise("sk").alias("ds"), "y", (F.col("score") / 2e5).alias("preds"), F.lit(0.3).alias("nb"))
+    a = scored(t).select(F.when(F.col("yr") < 1999, "home").otherwise("ext").alias("ds"), "y", (F.col("score") / 2e5).alias("preds"), F.lit(0.3).alias("nb"))
     return rounded(M.calibration(a, "ds", "y", ["preds", "nb"]))
 
 
