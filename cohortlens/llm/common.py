@@ -49,6 +49,29 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - (off[0] if len(off) else 0), data
 
 
+def text_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts in order, number of words of each text), split at ASCII white space; lower: A-Z made a-z."""
+    offsets, data = text_bytes(texts)
+    gap = (data == 32) | ((data >= 9) & (data <= 13))
+    if lower:
+        data = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
+    before = np.empty(len(data), bool)
+    before[:1], before[1:] = True, gap[:-1]
+    before[offsets[:-1][offsets[:-1] < len(data)]] = True
+    after = np.empty(len(data), bool)
+    after[-1:], after[:-1] = True, gap[1:]
+    after[offsets[1:][offsets[1:] > 0] - 1] = True
+    starts, ends = np.flatnonzero(before & ~gap), np.flatnonzero(after & ~gap) + 1
+    # a word and the gap after it are neighbours in the buffer: keep every second of the elements between the bounds
+    bounds = np.empty(2 * len(starts) + 1, np.int64)
+    bounds[0:-1:2], bounds[1::2] = starts, ends
+    bounds[-1] = ends[-1] if len(ends) else 0
+    both = pa.LargeStringArray.from_buffers(2 * len(starts), pa.py_buffer(bounds), pa.py_buffer(data.tobytes()))
+    words = both.take(pa.array(np.arange(0, 2 * len(starts), 2)))
+    at = np.searchsorted(starts, offsets)
+    return words, np.diff(at)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts together have about ``most`` bytes; every row is in one, a longer text alone."""
     if not len(texts):

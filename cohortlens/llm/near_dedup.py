@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import per_text, text_bytes, written
+from .common import per_text, text_words, written
 
 ROWS, BANDS = 6, 48
 CELLS = 1 << 20
@@ -51,31 +51,9 @@ def rank_windows(k: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.concatenate((pi, pi[:k - 1])), k)
 
 
-def text_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(words of all texts in order, number of words of each text); A-Z lower-cased, split at ASCII white space."""
-    offsets, data = text_bytes(texts)
-    gap = (data == 32) | ((data >= 9) & (data <= 13))
-    low = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
-    before = np.empty(len(data), bool)
-    before[:1], before[1:] = True, gap[:-1]
-    before[offsets[:-1][offsets[:-1] < len(data)]] = True
-    after = np.empty(len(data), bool)
-    after[-1:], after[:-1] = True, gap[1:]
-    after[offsets[1:][offsets[1:] > 0] - 1] = True
-    starts, ends = np.flatnonzero(before & ~gap), np.flatnonzero(after & ~gap) + 1
-    # a word and the gap after it are neighbours in the buffer: keep every second of the elements between the bounds
-    bounds = np.empty(2 * len(starts) + 1, np.int64)
-    bounds[0:-1:2], bounds[1::2] = starts, ends
-    bounds[-1] = ends[-1] if len(ends) else 0
-    both = pa.LargeStringArray.from_buffers(2 * len(starts), pa.py_buffer(bounds), pa.py_buffer(low.tobytes()))
-    words = both.take(pa.array(np.arange(0, 2 * len(starts), 2)))
-    at = np.searchsorted(starts, offsets)
-    return words, np.diff(at)
-
-
 def distinct_shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, 64-bit hash) of the distinct shingles of each text, by text; distinctness is exact."""
-    words, per = text_words(texts)
+    words, per = text_words(texts, lower=True)
     coded = words.dictionary_encode()
     ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in coded.dictionary), np.uint64, len(coded.dictionary))
