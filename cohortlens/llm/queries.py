@@ -56,3 +56,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
