@@ -63,3 +63,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents")).drop("expressions", "spans")
