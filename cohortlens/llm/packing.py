@@ -282,7 +282,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, id: str, text: str, en
                 first = (ends - size)[owner] + start
                 raw = memoryview(ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(raw[4 * i:4 * (i + n)]) for i, n in zip(first.tolist(), length.tolist())]
-                cols = [batch.column(0).slice(a, b - a).take(pa.array(owner)), *(pa.array(x, pa.int64()) for x in (piece, start, length, crc))]
+                cols = [batch.column(0).slice(a, b - a).take(pa.array(owner)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 if with_ids:
                     cols.append(pa.LargeListArray.from_arrays(pa.array(np.append(first, len(ids))), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "piece", "start", "length", "ids_crc32", "ids"][:len(cols)])
@@ -303,7 +303,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, id: str = "doc_id", t
     """
     spark = docs.sparkSession
     pieces = cut_pieces(docs, path, capacity, id, text, end, with_ids)
-    pieces = written(pieces.withColumn("piece", F.col("piece").cast("int")), "pieces")
+    pieces = written(pieces, "pieces")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(parts)))
     counts = written(keyed.groupBy("length", "bucket").count(), "counts")
