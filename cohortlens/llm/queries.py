@@ -76,7 +76,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 with p as (select page_id, coalesce(html, '') as html from pages),
 h as (select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, sha1(html) as x from p),
 d as (select page_id, payload_bytes,
-        list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(
+        list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(
           (cast('0x' || substr(x, cast(5 * (i // 4) + 1 as int), 5) as bigint) // (32 ** (3 - i % 4))::bigint) % 32 as int), 1)), 'string_agg', '') as payload_digest
       from h),
 f as (select *, min(page_id) over (partition by payload_digest, payload_bytes) as first from d)
