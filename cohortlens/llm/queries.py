@@ -87,3 +87,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
     return archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+@query("op5_top_k", """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, d.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) as bigint) as score
+      from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 100 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_join import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
