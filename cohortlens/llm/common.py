@@ -72,6 +72,11 @@ def text_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarr
     return words, np.diff(at)
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, ... of all stretches one after the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts together have about ``most`` bytes; every row is in one, a longer text alone."""
     if not len(texts):
@@ -85,13 +90,14 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         start = end
 
 
-def per_text(fn: Callable[[pa.Array], dict[str, pa.Array]], text: str, keep: list[str], added: list[tuple[str, pa.DataType]]):
+def per_text(fn: Callable[[pa.Array], dict[str, pa.Array]], text: str, keep: list[str], added: list[tuple[str, pa.DataType]],
+             most: int = SLICE_BYTES):
     """Function for mapInArrow: for each batch the columns ``keep`` and what ``fn`` makes of slices of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_column(batch, text)
-            for a, b in slices(texts):
+            for a, b in slices(texts, most):
                 made = fn(texts.slice(a, b - a))
                 part = batch.slice(a, b - a)
                 cols = [part.column(part.schema.get_field_index(k)) for k in keep]

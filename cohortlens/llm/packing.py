@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import slices, text_column, text_words, written
+from .common import ragged, slices, text_column, text_words, written
 
 # --- the instance on the driver: lengths and counts -------------------------------------------------
 
@@ -203,11 +203,6 @@ def tokenizers_of(path: str):
     return whole, bare, ends
 
 
-def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The indices start, start + 1, ... of all stretches one after the other."""
-    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-
-
 def _encoded(whole, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     found = [e.ids for e in whole.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
     size = np.fromiter(map(len, found), np.int64, len(found))

@@ -101,3 +101,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+@query("op3_sentencepiece")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
