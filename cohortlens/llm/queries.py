@@ -108,3 +108,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op8_lm_scores")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import scores
+
+    return scores(table(spark, sf_dir, "documents"), order=5)
