@@ -168,20 +168,21 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1500,
-             close: float = 0.02, labelled: DataFrame | None = None, all_columns: bool = False) -> DataFrame:
+             close: float = 0.02, labelled: DataFrame | None = None, all_columns: bool = False,
+             prefix: str = "") -> DataFrame:
     """Per row: id (or all columns), held_out, lang_pred, score (0 to 1), ambiguous. Fits first, which runs jobs.
 
     Learns from rows of ``labelled`` (default docs) with a text, a language and crc32(id as text) mod 4 other than 2, at
     most per_language of each language; the prediction reads the text only. A null text, one without a letter, or any
     text if nothing could be learned is ``und`` with score 0 and not ambiguous. Ambiguous: the second codeword's share
-    comes within ``close``. Repeated rows are judged each. A null id is not held out and not learned from. With
-    all_columns, columns named like a result are replaced.
+    comes within ``close``. Repeated rows are judged each. A null id is not held out and not learned from. ``prefix``
+    stands before the results' names; with all_columns, columns that still have such a name are replaced.
     """
     fold = lambda df: F.crc32(df[id].cast("string").cast("binary")) % 4
     source = docs if labelled is None else labelled
     model = fit(source.select(source[id].alias("id"), source[text].cast("string").alias("text"), source[lang].cast("string").alias("lang"),
                               fold(source).alias("fold")), per_language)
-    names = ["held_out", "lang_pred", "score", "ambiguous"]
+    names = [prefix + x for x in ("held_out", "lang_pred", "score", "ambiguous")]
     keep = [c for c in docs.columns if c.lower() not in names] if all_columns else [id]
     at = free_name(docs, "text_read")
 
@@ -201,6 +202,6 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
                 cols += [pa.array(lang_pred, pa.string()), pa.array(score), pa.array(lead < close)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*(c for c in batch.schema.names if c != at), *names[1:]])
 
-    read = docs.select(*keep, F.coalesce(fold(docs) == 2, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias(at))
+    read = docs.select(*keep, F.coalesce(fold(docs) == 2, F.lit(False)).alias(names[0]), docs[text].cast("string").alias(at))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != at)
-    return read.mapInArrow(predict, kinds + ", lang_pred string, score double, ambiguous boolean")
+    return read.mapInArrow(predict, kinds + f", `{names[1]}` string, `{names[2]}` double, `{names[3]}` boolean")
