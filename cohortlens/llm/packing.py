@@ -180,7 +180,7 @@ def plan(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
 LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
 SIGNS = ".,;:!?%$&#*"
 #: Bytes of text whose words are told apart at once.
-WORDS_OF = 16 << 20
+WORDS_OF = 6 << 20
 
 
 @lru_cache(2)
@@ -267,6 +267,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, id: str, text: str, en
         for batch in batches:
             texts = text_column(batch, "text")
             for a, b in slices(texts, WORDS_OF):
+                pa.default_memory_pool().release_unused()
                 ids, ends = token_ids(texts.slice(a, b - a), path, end)
                 size = np.diff(np.concatenate(([0], ends)))
                 cuts = -(-size // capacity)
@@ -306,7 +307,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, id: str = "doc_id", t
     table = plan({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}, capacity)
     before = counts.select("length", "bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("shift"))
     inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece")) - 1
-    ranked = keyed.withColumn("inside", inside).join(before, ["length", "bucket"]).withColumn("rank", F.col("inside") + F.col("shift"))
+    ranked = keyed.withColumn("inside", inside).join(before.hint("merge"), ["length", "bucket"])  # it grows with the buckets: no broadcast
+    ranked = ranked.withColumn("rank", F.col("inside") + F.col("shift"))
     names = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def place(batches):
