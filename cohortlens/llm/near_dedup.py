@@ -10,8 +10,10 @@ answer is each document's connected component.
 * Equal sets are met first, by size and a 128-bit digest; only one document of each goes on.
 * A pair at or above the threshold misses all bands with probability (1 - 0.8**ROWS)**BANDS < 5e-7.
 * Pairs of a bucket are not listed. Its smallest document is checked against each of the others; links join components,
-  and in later rounds a bucket is looked at only where it still holds several components. Members of its largest
-  component need no check among themselves, so the rest is met with it: no link between different components is lost.
+  and later a bucket is looked at only where it still holds several components. There its least edited document is
+  checked likewise, and what is then still open goes through an exact prefix join of full sets: pairs are met on rare
+  early shingles only, and only across components, so copies with many edits of their own cost nothing and no link
+  between different components is lost.
 * Checks compare full sets made from the texts of the two documents. Components come from alternating rounds of hooking
   to the smallest neighbour and pointer jumping, each written to the shared folder.
 """
@@ -23,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import per_text, text_words, written
 
@@ -186,17 +188,33 @@ def _new_labels(label: DataFrame, links: DataFrame) -> DataFrame:
     return written(label.join(found, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "components")
 
 
-def _shared_counts(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, u): how many shingles of each named text another named text has too, an upper bound of any intersection."""
+def _shared_shingles(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, h, df): the shingles of the named texts that at least two of them have, with how many have them."""
 
     def hashes(batches):
         for batch in batches:
             owner, values = distinct_shingles(batch.column(1).cast(pa.large_string()).fill_null(""), n)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(values.view(np.int64))], names=["id", "h"])
 
-    rows = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(hashes, "id bigint, h bigint")
-    often = rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    return rows.join(often, "h").groupBy("id").agg(F.count("*").alias("u"))
+    rows = texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(hashes, "id bigint, h bigint").distinct()
+    often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    return rows.join(often, "h").select("id", "h", "df")
+
+
+def _prefix_pairs(shared: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): pairs of documents of different components that may reach the threshold. docs: (id, n, u, comp).
+
+    Shingles are ordered from rare to frequent (those of one document only come first). Two linked sets have their first
+    common shingle early in both, and after it at least as many shingles as their intersection needs: pairs are met on
+    such shingles only, and where both places leave room. Sets that differ by their own rare shingles never meet.
+    """
+    t = threshold
+    place = (F.col("n") - F.col("u") - 1 + F.row_number().over(Window.partitionBy("id").orderBy("df", "h"))).alias("at")
+    early = shared.join(docs, "id").select("id", "h", "n", "comp", place).where(f"at <= n - ceil({t} * n / 100)")
+    x, y = early.alias("x"), early.alias("y")
+    short = f"(x.n < y.n or x.n = y.n and x.id < y.id) and x.at <= x.n - ceil({2 * t} * x.n / {100 + t}) and 100 * x.n >= {t} * y.n"
+    room = f"{100 + t} * least(x.n - x.at, y.n - y.at) >= {t} * (x.n + y.n)"
+    return x.join(y, "h").where("x.comp <> y.comp").where(short).where(room).selectExpr("least(x.id, y.id) a", "greatest(x.id, y.id) b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, threshold: int = 80) -> DataFrame:
@@ -239,21 +257,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
 
     left = open_buckets(label)
     if not left.isEmpty():
-        shared = written(_shared_counts(texts, left.select("id").distinct(), n), "shared")
+        shared = written(_shared_shingles(texts, left.select("id").distinct(), n), "shared")
+        counts = shared.groupBy("id").agg(F.count("*").alias("u"))
         # every shared shingle of a pair is counted in both documents, so min(u) bounds the intersection
-        viable = lambda df: df.join(shared, "id").where(f"100 * u >= {threshold} * n")
+        viable = lambda df: df.join(counts, "id").where(f"100 * u >= {threshold} * n")
         possible = f"100 * least(x.u, y.u) >= {threshold} * (x.n + y.n - least(x.u, y.u))"
-        good = viable(left)
+        good = written(viable(left), "viable")
         centre = good.groupBy("k").agg(F.max_by(F.struct("id", "n", "u", "comp"), F.struct(F.col("u") / F.col("n"), -F.col("id"))).alias("c")).select("k", "c.*")
         again = good.alias("x").join(centre.alias("y"), "k").where("x.comp <> y.comp").where(possible).selectExpr("y.id a", "x.id b").distinct()
         label = _new_labels(label, verified(again, texts, n, threshold))
-        rest = viable(open_buckets(label))
-        counts = rest.groupBy("k", "comp").agg(F.count("*").alias("m"))
-        main = counts.groupBy("k").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-        rest = written(rest.join(main.select("k", "main"), "k"), "rest")
-        pairs = rest.where("comp <> main").alias("x").join(rest.alias("y"), "k").where(
-            "x.comp <> y.comp and (y.comp = y.main or x.id < y.id)").where(possible)
-        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        rest = viable(open_buckets(label)).select("id", "n", "u", "comp").distinct()
+        pairs = written(_prefix_pairs(shared, rest, threshold), "pairs")
         if not pairs.isEmpty():
             label = _new_labels(label, verified(pairs, texts, n, threshold))
 
