@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a task holds decoded at once (a single longer text is held alone).
 SLICE_BYTES = 6 << 20
@@ -107,6 +107,11 @@ def per_text(fn: Callable[[pa.Array], dict[str, pa.Array]], text: str, keep: lis
     return run
 
 
+def columns_of(df: DataFrame) -> list:
+    """All columns of ``df`` whatever is in their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` (in any case) has it."""
     taken = {c.lower() for c in df.columns}

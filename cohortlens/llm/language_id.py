@@ -202,6 +202,6 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
                 cols += [pa.array(lang_pred, pa.string()), pa.array(score), pa.array(lead < close)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*(c for c in batch.schema.names if c != at), *names[1:]])
 
-    read = docs.select(*keep, F.coalesce(fold(docs) == 2, F.lit(False)).alias(names[0]), docs[text].cast("string").alias(at))
+    read = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(fold(docs) == 2, F.lit(False)).alias(names[0]), docs[text].cast("string").alias(at))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != at)
     return read.mapInArrow(predict, kinds + f", `{names[1]}` string, `{names[2]}` double, `{names[3]}` boolean")

@@ -39,7 +39,7 @@ def quantised(vectors: DataFrame, id: str, vector: str, scale: int) -> DataFrame
 
 def matrix(col: pa.Array, dim: int) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+    return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), dim)
 
 
 def products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -114,7 +114,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id
     by_dim: dict[int, np.ndarray] = {}
     for row in chosen:
         by_dim.setdefault(row["dim"], []).append(row["v"])
-    by_dim = {d: np.unique(np.array(v, float).reshape(-1, d), axis=0) for d, v in by_dim.items()}
+    by_dim = {d: np.unique(np.array(v, float).reshape(len(v), d), axis=0) for d, v in by_dim.items() if d}
 
     def assign(batches):
         for batch in batches:
