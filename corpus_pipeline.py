@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm.common import free_name, shared_folder
+from cohortlens.llm.common import columns_of, free_name, shared_folder
 from cohortlens.llm.language_id import UNDETERMINED, identify
 from cohortlens.llm.near_dedup import near_duplicates
 from cohortlens.llm.packing import pack
@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     mark = free_name(docs, "_language_")
     told = identify(docs, all_columns=True, prefix=mark)
-    return told.where((F.col(mark + "lang_pred") != UNDETERMINED) & ~F.col(mark + "ambiguous")).select(*docs.columns)
+    return told.where((F.col(mark + "lang_pred") != UNDETERMINED) & ~F.col(mark + "ambiguous")).select(*columns_of(docs))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mark = free_name(docs, "text_hash")
     marked = docs.withColumn(mark, F.xxhash64("text"))
     kept = judge(marked, labels, keep=[mark]).where("kept").select(F.col("doc_id").alias("i"), F.col(mark).alias("h")).distinct()
-    return marked.join(kept, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col(mark) == F.col("h")), "left_semi").select(*docs.columns)
+    return marked.join(kept, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col(mark) == F.col("h")), "left_semi").select(*columns_of(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
