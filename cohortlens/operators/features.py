@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import CountVectorizer, OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.draws import draw_bits, draw_index, draw_uniform
@@ -100,12 +100,16 @@ def _bin_name(edges: Column, value: Column) -> Column:
 
 def discretise(df: DataFrame, train: DataFrame, cols: list[str], bins: int = 10, max_levels: int = 31) -> DataFrame:
     """Numeric columns to codes: quantile bins where training has more than ``max_levels`` values, the
-    value itself otherwise. Bins are left-closed between distinct quantile edges, the last closed.
+    value itself as text otherwise (fractions in full). Bins are left-closed between distinct quantile
+    edges, the last closed.
 
-    One small job counts levels (approximate far above the limit would do, the exact count is used).
+    One small job counts levels: one row per column.
     """
-    counts = train.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
-    cut = [c for c in cols if counts[c] > max_levels]
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])
+    levels = train.select(F.inline(cells)).filter(F.col("v").isNotNull()).distinct()
+    counts = {r[0]: r[1] for r in levels.groupBy("name").count().collect()}
+    cut = [c for c in cols if counts.get(c, 0) > max_levels]
+    whole = {c for c in cols if df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")}
     out = df
     picks = {}
     for c in cut:  # schema-sized loop
@@ -113,7 +117,7 @@ def discretise(df: DataFrame, train: DataFrame, cols: list[str], bins: int = 10,
         edges = quantile_columns(train, [], c, names).select(F.array_distinct(F.array(*names))).scalar()
         out = out.withColumn(f"_q_{c}", edges)
         picks[c] = _bin_name(F.col(f"_q_{c}"), F.col(c))
-    return out.select(*[(picks[c] if c in picks else F.col(c).cast("bigint").cast("string")).alias(c)
+    return out.select(*[(picks[c] if c in picks else F.col(c).cast("bigint" if c in whole else "double").cast("string")).alias(c)
                         if c in cols else F.col(c) for c in df.columns])
 
 
@@ -123,10 +127,6 @@ def tokens(df: DataFrame, ids: list[str], col: str) -> DataFrame:
     return df.select(*ids, F.explode(F.array_distinct(F.split(clean, r"\|"))).alias("token"))
 
 
-def token_vectors(train: DataFrame, col: str, out: str):
-    """Fitted binary bag-of-tokens pipeline over an array column."""
-    return CountVectorizer(inputCol=col, outputCol=out, binary=True).fit(train)
-
 
 def usable_periods(df: DataFrame, period: str, y: str) -> DataFrame:
     """Periods in which no label is missing (-1 or NULL)."""
@@ -192,7 +192,3 @@ def valid_holdout(df: DataFrame, labels: list[str], frac: float, id_col: str, se
     passing = ok.filter(reduce(lambda a, b: a & b, [F.col(c) == 1 for c in labels])).agg(F.min("_seed")).scalar()
     d = df.withColumn("seed", passing).filter(F.col("seed").isNotNull())
     return d.withColumn(out, (draw_uniform(F.col("seed"), "h", F.col(id_col)) < frac).cast("int"))
-
-
-def indicator_sum(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts)

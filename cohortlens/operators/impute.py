@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -55,7 +54,7 @@ def impute_binary(df: DataFrame, col: str, cats: list[str], nums: list[str], id_
     scored = cut_lineage(naive_bayes_stack(train, df.select(id_col, col, *cats, *nums), cats, nums, col, "_p"))
     held = scored.join(test.select(id_col), id_col, "left_semi").select(id_col, F.col(col).alias("y"), F.col("_p").alias("score"), F.lit(1).alias("k"))
     cut = threshold_balance(held, ["k"]).select("thresh").scalar()
-    filled = df.join(scored.select(id_col, "_p"), id_col).select(
+    filled = df.join(scored.select(id_col, "_p"), id_col, "left").select(
         *[F.coalesce(F.col(c), (F.col("_p") >= cut).cast("int")).alias(c) if c == col else F.col(c) for c in df.columns])
     return filled, bootstrap_ci(held, ["k"], "auc", [id_col], reps, seed).drop("k")
 
@@ -68,7 +67,7 @@ def impute_numeric(df: DataFrame, col: str, cats: list[str], nums: list[str], id
     scored = cut_lineage(univariate_scores(df.select(id_col, col, *cats, *nums), table, cats, nums, "_p"))
     test = known.filter("is_test = 1").select(id_col)
     held = scored.join(test, id_col, "left_semi").select(id_col, F.col(col).alias("y"), F.col("_p").alias("score"), F.lit(1).alias("k"))
-    filled = df.join(scored.select(id_col, "_p"), id_col).select(
+    filled = df.join(scored.select(id_col, "_p"), id_col, "left").select(
         *[F.coalesce(F.col(c), F.col("_p")).alias(c) if c == col else F.col(c) for c in df.columns])
     return filled, bootstrap_ci(held, ["k"], "r2", [id_col], reps, seed).drop("k")
 
@@ -107,23 +106,20 @@ def impute_multiclass(df: DataFrame, col: str, classes: list[str], cats: list[st
         margins.append(F.struct(F.col(f"_m{i}").alias("m"), F.lit(k).alias("k")))
     top = F.greatest(*margins) if len(margins) > 1 else margins[0]
     pick = F.when(top["m"] > 0, top["k"]).otherwise(F.lit(classes[0]))
-    return df.join(out.select(id_col, pick.alias("_pick")), id_col).select(
+    return df.join(out.select(id_col, pick.alias("_pick")), id_col, "left").select(
         *[F.coalesce(F.col(c), F.col("_pick")).alias(c) if c == col else F.col(c) for c in df.columns])
 
 
 def regression_impute(train: DataFrame, target: DataFrame, features: list[str], col: str, fold_col: str, k: int,
                       lambdas: list[float], binary: bool = False) -> DataFrame:
     """Fill ``col`` of the target table by a cross-validated lasso; a 0/1 column is cut at the quantile of
-    the training scores that keeps the training prevalence."""
+    the training scores that keeps the training prevalence. Every row of the target stays; one with a NULL
+    feature keeps its NULL."""
     model, _, _ = lasso_path(train, features, col, fold_col, k, lambdas, "linear")
-    fitted = model.transform(target).select(*target.columns, F.col("prediction").alias("_p"))
+    fitted = model.transform(target).select(*target.columns, F.when(~F.isnan("prediction"), F.col("prediction")).alias("_p"))
     if not binary:
         return fitted.select(*[F.coalesce(F.col(c), F.col("_p")).alias(c) if c == col else F.col(c) for c in target.columns])
     prevalence = float(train.agg(F.avg(F.col(col).cast("double"))).first()[0])
-    own = model.transform(train).select(F.col("prediction").alias("_p"))
+    own = model.transform(train).filter(~F.isnan("prediction")).select(F.col("prediction").alias("_p"))
     cut = quantile_columns(own, [], "_p", {"q": 1 - prevalence}).select("q").scalar()
     return fitted.select(*[F.coalesce(F.col(c), (F.col("_p") >= cut).cast("int")).alias(c) if c == col else F.col(c) for c in target.columns])
-
-
-def probability(model, df: DataFrame, out: str) -> DataFrame:
-    return model.transform(df).select(*df.columns, vector_to_array("probability")[1].alias(out))

@@ -63,9 +63,10 @@ def join_replicates(a: DataFrame, b: DataFrame, keys: list[str], rep: str = "rep
 
 def with_group_agg(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
     """Group aggregates on every row. A join back, not a window: a window would hold a whole group in
-    one task, while the join can be split (adaptive skew join) or broadcast by size."""
+    one task, while the join can be split (adaptive skew join) or broadcast by size. Rows with a NULL
+    key keep their columns and have NULL aggregates."""
     summary = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
-    return df.join(summary, on=keys)
+    return df.join(summary, on=keys, how="left")
 
 
 def sample_pairs(df: DataFrame, keys: list[str], n: int, seed: int, id_col: str, y: str = "y") -> DataFrame:

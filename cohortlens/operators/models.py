@@ -35,35 +35,43 @@ ITERATIONS = 7
 # --- one model on all rows (L1-L3, L19) -----------------------------------------------------------
 
 def _assembled(features: list[str], stage) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), stage])
+    """Rows are never dropped when scoring; fits take the rows without a NULL feature (``_known``)."""
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), stage])
+
+
+def _known(df: DataFrame, features: list[str], y: str) -> DataFrame:
+    """Rows with a 0/1 label and all features."""
+    return df.filter(F.col(y).isin(0, 1)).dropna(subset=features)
 
 
 def fit_logistic(df: DataFrame, features: list[str], y: str = "y", c: float = 1.0, n: int | None = None) -> PipelineModel:
     """L2 logistic regression; regParam = 1 / (c * rows), unstandardised. The intercept is not penalised."""
-    rows = n or df.filter(F.col(y).isin(0, 1)).count()
+    known = _known(df, features, y)
+    rows = n or known.count()
     est = LogisticRegression(labelCol=y, regParam=1.0 / (c * max(rows, 1)), elasticNetParam=0.0, standardization=False, maxIter=50)
-    return _assembled(features, est).fit(df.filter(F.col(y).isin(0, 1)))
+    return _assembled(features, est).fit(known)
 
 
 def fit_forest(df: DataFrame, features: list[str], y: str = "y", depth: int = 5, trees: int = 20, seed: int = 1) -> PipelineModel:
     est = RandomForestClassifier(labelCol=y, maxDepth=depth, numTrees=trees, seed=seed)
-    return _assembled(features, est).fit(df.filter(F.col(y).isin(0, 1)))
+    return _assembled(features, est).fit(_known(df, features, y))
 
 
 def fit_boosted(df: DataFrame, features: list[str], y: str = "y", depth: int = 3, rounds: int = 10,
                 columns: str = "all", seed: int = 1) -> PipelineModel:
     """Gradient-boosted trees; ``columns`` is the share of columns tried per node."""
     est = GBTClassifier(labelCol=y, maxDepth=depth, maxIter=rounds, featureSubsetStrategy=columns, seed=seed)
-    return _assembled(features, est).fit(df.filter(F.col(y).isin(0, 1)))
+    return _assembled(features, est).fit(_known(df, features, y))
 
 
 FITS = {"logit": fit_logistic, "rf": fit_forest, "xgb": fit_boosted}
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "preds") -> DataFrame:
-    """Probability of the event."""
-    scored = model.transform(df).withColumn(out, vector_to_array("probability")[1])
-    return scored.select(*df.columns, out)
+    """Probability of the event for every row; NULL where a feature is NULL."""
+    scored = model.transform(df)
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in model.stages[0].getInputCols()])
+    return scored.select(*df.columns, F.when(~missing, vector_to_array("probability")[1]).alias(out))
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -116,7 +124,7 @@ def grid_search(df: DataFrame, features: list[str], fold_col: str, grid: list[fl
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().addGrid(est.regParam, grid).build(),
                         evaluator=BinaryClassificationEvaluator(labelCol=y, numBins=0), numFolds=k,
                         foldCol=fold_col, parallelism=parallel)
-    fitted = cv.fit(df.withColumn(fold_col, F.col(fold_col).cast("int")))
+    fitted = cv.fit(_known(df, features, y).withColumn(fold_col, F.col(fold_col).cast("int")))
     return fitted.bestModel, list(zip(grid, fitted.avgMetrics))
 
 
@@ -265,7 +273,7 @@ def bernoulli_scores(df: DataFrame, table: DataFrame, tot: dict[int, float], cat
 
 
 def gaussian_scores(df: DataFrame, train: DataFrame, nums: list[str], y: str = "y", out: str = "p_gauss") -> DataFrame:
-    """Gaussian naive Bayes from class means and variances (one aggregation)."""
+    """Gaussian naive Bayes from class means and variances (one aggregation). A NULL feature adds nothing to either class."""
     known = train.filter(F.col(y).isin(0, 1))
     stats = {int(r[y]): r for r in known.groupBy(y).agg(F.count(F.lit(1)).alias("n"), *[
         f(c).alias(f"{k}_{c}") for c in nums for k, f in (("m", F.avg), ("v", F.var_pop))]).collect()}
@@ -274,7 +282,7 @@ def gaussian_scores(df: DataFrame, train: DataFrame, nums: list[str], y: str = "
     for c in nums:
         for k, sign in ((1, 1.0), (0, -1.0)):
             m, v = float(stats[k][f"m_{c}"]), float(stats[k][f"v_{c}"]) + 1e-9 * spread
-            eta = eta + sign * (-0.5 * float(np.log(v)) - (F.col(c) - m) ** 2 / (2 * v))
+            eta = eta + F.coalesce(sign * (-0.5 * float(np.log(v)) - (F.col(c) - m) ** 2 / (2 * v)), F.lit(0.0))
     return df.withColumn(out, 1.0 / (1.0 + F.exp(-eta)))
 
 
@@ -332,7 +340,7 @@ def univariate_fit(train: DataFrame, cats: list[str], nums: list[str], y: str, a
 
 
 def univariate_scores(df: DataFrame, table: DataFrame, cats: list[str], nums: list[str], out: str = "eta") -> DataFrame:
-    """Weighted average of the univariate predictions over a row's non-zero features."""
+    """Weighted average of the univariate predictions over a row's non-zero features; a NULL feature counts as zero."""
     table = cut_lineage(table.filter("weight > 0").select("name", "b0", "b1", "weight"))
     d = df.withColumn("_b0", table.agg(div(F.sum(F.col("b0") * F.col("weight")), F.sum("weight"))).scalar())
     num, den = F.lit(0.0), F.lit(0.0)
@@ -346,7 +354,7 @@ def univariate_scores(df: DataFrame, table: DataFrame, cats: list[str], nums: li
         d = d.join(part.select(F.col("name").alias(f"_n_{c}"), F.col("b1").alias(f"_b_{c}"), F.col("weight").alias(f"_w_{c}")),
                    key == F.col(f"_n_{c}"), "left")
         w = F.when(x != 0, F.coalesce(F.col(f"_w_{c}"), F.lit(0.0))).otherwise(0.0)
-        num = num + w * (x * F.coalesce(F.col(f"_b_{c}"), F.lit(0.0)) + F.col("_b0"))
+        num = num + w * (F.coalesce(x, F.lit(0.0)) * F.coalesce(F.col(f"_b_{c}"), F.lit(0.0)) + F.col("_b0"))
         den = den + w
     return d.withColumn(out, div(num, den)).select(*df.columns, out)
 
@@ -460,8 +468,9 @@ def lasso_path(df: DataFrame, features: list[str], y: str, fold_col: str, k: int
                kind: str = "linear") -> tuple[PipelineModel, float, list[tuple[float, float, float]]]:
     """Lasso over a penalty grid with given folds; the largest penalty within one SE of the best is refitted.
 
-    Returns (model, chosen penalty, [(penalty, mean error, se)]).
+    Returns (model, chosen penalty, [(penalty, mean error, se)]). Rows with a NULL feature or target are not fitted.
     """
+    df = df.dropna(subset=[*features, y])
     def make(lam):
         est = (LinearRegression(labelCol=y, elasticNetParam=1.0, regParam=lam, maxIter=50) if kind == "linear"
                else LogisticRegression(labelCol=y, elasticNetParam=1.0, regParam=lam, maxIter=50))
@@ -498,7 +507,8 @@ def multi_output_logit(df: DataFrame, features: list[str], labels: list[str], id
 
 def sqrt_lasso_logit(df: DataFrame, features: list[str], y: str, lambdas: list[float], target: float) -> tuple[list[str], PipelineModel]:
     """First penalty of a decreasing path with n * lambda / residual norm below the target, then an
-    unpenalised logistic fit on its support."""
+    unpenalised logistic fit on its support. Rows with a NULL feature or target are not fitted."""
+    df = df.dropna(subset=[*features, y])
     n = df.count()
     support = features
     for lam in sorted(lambdas, reverse=True):
@@ -529,7 +539,7 @@ def concordance_pairs(df: DataFrame, scope: str, g: str, id_col: str, n: int, se
         d = d.filter(F.col("_g1") != F.col("_g0"))
     flip = F.when(F.col("i") % 2 == 0, -1.0).otherwise(1.0)
     return d.select(*[(flip * (F.col(f"_1_{c}") - F.col(f"_0_{c}"))).alias(c) for c in features],
-                    (flip > 0).cast("double").alias("y"))
+                    (flip > 0).cast("double").alias("y")).dropna(subset=features)
 
 
 def fit_concordance(train: DataFrame, valid: DataFrame, scope: str, g: str, id_col: str, features: list[str],

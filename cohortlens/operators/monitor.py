@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dist import norm_cdf
@@ -41,7 +39,9 @@ def daily_counts(df: DataFrame, keys: list[str], date: str, y: str = "y", yhat:
 def monitor_daily(daily: DataFrame, keys: list[str], date: str, target: float) -> DataFrame:
     """Running sensitivity and precision from daily counts, tested against the trial target.
 
-    Days before the first event, and days whose test statistic is not finite, are left out.
+    Days before the first event are left out. A sensitivity of 0 has no standard error: its statistic is
+    minus infinity and its p-value 1. Without keys, days of sensitivity 1 (no test) go too; by keys those
+    stay, with NULL test columns, and only days without a sensitivity or precision go.
     """
     run = scan(daily, keys, [date], {"n_rt": ("sum", "n"), "_y": ("sum", "y"), "_tp": ("sum", "tp"), "_fp": ("sum", "fp")})
     out = run.filter(F.col("_y") > 0).select(*keys, date, "n_rt", F.col("_y").alias("y"), F.col("_tp").alias("tp"),
@@ -49,8 +49,11 @@ def monitor_daily(daily: DataFrame, keys: list[str], date: str, target: float) -
     out = out.withColumn("sens", div(F.col("tp"), F.col("y"))).withColumn("prec", div(F.col("tp"), F.col("tp") + F.col("fp")))
     out = (out.withColumn("se_sens", F.sqrt(F.col("sens") * (1 - F.col("sens")) / F.col("y")))
            .withColumn("se_prec", F.sqrt(div(F.col("prec") * (1 - F.col("prec")), F.col("tp") + F.col("fp"))))
-           .withColumn("zscore", div(F.col("sens") - target, F.col("se_sens"))))
-    return out.filter(F.col("zscore").isNotNull()).withColumn("pval", 1 - norm_cdf(F.col("zscore")))
+           .withColumn("zscore", F.when((F.col("se_sens") == 0) & (F.col("sens") < target), F.lit(float("-inf")))
+                       .otherwise(div(F.col("sens") - target, F.col("se_sens")))))
+    known = F.col("sens").isNotNull() & F.col("prec").isNotNull() if keys else F.col("zscore").isNotNull()
+    pval = F.when(F.col("zscore") == float("-inf"), F.lit(1.0)).otherwise(1 - norm_cdf(F.col("zscore")))
+    return out.filter(known).withColumn("pval", pval)
 
 
 def monitor(df: DataFrame, keys: list[str], date: str, target: float, y: str = "y", yhat: str = "yhat") -> DataFrame:
@@ -129,7 +132,3 @@ def sum_risks(df: DataFrame, keys: list[str], label: str, labels: list[str], pha
     part = df.filter(F.col(label).isin(*labels)).groupBy(*keys)
     return part.agg(F.sum(phat).alias("phat"), F.least(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)), F.lit(1)).alias("y"))
 
-
-def any_of(cols: list[Column]) -> Column:
-    """1 when any condition holds."""
-    return reduce(lambda x, z: x | z, cols).cast("int")

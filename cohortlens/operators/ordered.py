@@ -198,11 +198,12 @@ def lag_value(df: DataFrame, keys: list[str], order: list[str], col: str, out: s
 
 
 def rolling(df: DataFrame, keys: list[str], order: list[str], outputs: dict[str, tuple[Column, int, int]], *,
-            full_only: bool = True, block_rows: int = 100_000, keep_block: bool = False) -> DataFrame:
+            full_only: bool = True, block_rows: int = 100_000, keep_block: bool = False, of: str | None = None) -> DataFrame:
     """Row-frame statistics: {output: (aggregate, rows before, rows after)}.
 
     Rows are numbered, cut into blocks, and the rows near an edge are copied into the neighbouring
-    block, so a frame never needs more than one block. ``full_only`` gives NULL on incomplete frames;
+    block, so a frame never needs more than one block. ``full_only`` gives NULL on incomplete frames, where
+    rows count, or with ``of`` the values of that column;
     ``keep_block`` leaves the columns _pos and _block for a following scan.
     """
     before = max(b for _, b, _ in outputs.values())
@@ -219,7 +220,7 @@ def rolling(df: DataFrame, keys: list[str], order: list[str], outputs: dict[str,
         frame = by_pos.rowsBetween(-b, a)
         value = expr.over(frame)
         if full_only:
-            value = F.when(F.count(F.lit(1)).over(frame) == b + a + 1, value)
+            value = F.when(F.count(F.col(of) if of else F.lit(1)).over(frame) == b + a + 1, value)
         cols.append(value.alias(name))
     out = copies.select("*", *cols).filter(F.col("_block") == F.col("_home")).drop("_home")
     return out if keep_block else out.drop("_pos", "_block")

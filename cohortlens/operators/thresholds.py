@@ -137,9 +137,10 @@ def bins_by_edges(df: DataFrame, edges: DataFrame, keys: list[str], s: str, edge
                   out: str = "bin") -> DataFrame:
     """Index i of the right-closed bin (edge i-1, edge i] of each row; NULL at or below the first edge.
 
-    Repeated edges: a value belongs to the first bin it fits, so the later copies stay empty.
+    Repeated edges: a value belongs to the first bin it fits, so the later copies stay empty. Rows with a
+    NULL key or without edges stay, their bin is NULL.
     """
-    data = df.join(edges, on=keys)
+    data = df.join(edges, on=keys, how="left")
     place = F.size(F.filter(F.array(*[F.col(c) for c in edge_cols]), lambda e: e < F.col(s)))
     return data.withColumn(out, F.when(place > 0, place)).drop(*edge_cols)
 

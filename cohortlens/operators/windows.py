@@ -29,13 +29,13 @@ def _centred(col: str, k: int) -> dict:
 
 
 def rolling_stats(df: DataFrame, keys: list[str], order: list[str], col: str, k: int) -> DataFrame:
-    """Centred mean over k rows and sample sd over 2k rows, full windows only."""
-    return rolling(df, keys, order, _centred(col, k))
+    """Centred mean over k rows and sample sd over 2k rows; NULL unless the frame is full of values."""
+    return rolling(df, keys, order, _centred(col, k), of=col)
 
 
 def rolling_filled(df: DataFrame, keys: list[str], order: list[str], col: str, k: int) -> DataFrame:
     """rolling_stats with incomplete windows filled from the nearest complete one."""
-    stats = rolling(df, keys, order, _centred(col, k), keep_block=True)
+    stats = rolling(df, keys, order, _centred(col, k), keep_block=True, of=col)
     return fill_edges(stats, keys, ["_pos"], ["mu", "se"], block="_block").drop("_pos", "_block")
 
 
@@ -80,26 +80,26 @@ def quantile_bins(df: DataFrame, g: str, value: str, q: int = 5, out: str = "bin
 
 
 def grid_bins(df: DataFrame, keys: list[str], col: str, probs: list[float], out: str = "bin") -> DataFrame:
-    """Upper edge of the right-closed quantile bin of each row; the minimum itself gets NULL."""
+    """Upper edge of the right-closed quantile bin of each row; the minimum itself and rows with a NULL key get NULL."""
     names = [f"_e{i}" for i in range(len(probs))]
     edges = quantile_columns(df, keys, col, dict(zip(names, probs)))
     upper = F.filter(F.array(*[F.col(n) for n in names[1:]]), lambda e: e >= F.col(col))
     value = F.when(F.col(col) > F.col(names[0]), F.array_min(upper))
-    return df.join(edges, keys).withColumn(out, value).drop(*names)
+    return df.join(edges, keys, "left").withColumn(out, value).drop(*names)
 
 
 def impute_group_mean(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """NULL to the mean of the row's group."""
+    """NULL to the mean of the row's group; rows with a NULL key stay as they are."""
     means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
-    return df.join(means, keys).select(
+    return df.join(means, keys, "left").select(
         *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def share_above(df: DataFrame, keys: list[str], col: str, out: str = "share_above") -> DataFrame:
-    """Share of rows strictly above each row, from counts of distinct values."""
-    hist = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
+    """Share of rows strictly above each row, from counts of distinct values; NULL for a NULL value or key."""
+    hist = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
     ranked = scan(hist, keys, [col], {"_a": ("sum", "_n")}, reverse=True, exclusive=True, totals={"_t": "_n"})
-    return df.join(ranked.select(*keys, col, div(F.col("_a"), F.col("_t")).alias(out)), [*keys, col])
+    return df.join(ranked.select(*keys, col, div(F.col("_a"), F.col("_t")).alias(out)), [*keys, col], "left")
 
 
 def last_run_start(df: DataFrame, keys: list[str], order: list[str], cond: Column) -> DataFrame:

@@ -51,8 +51,8 @@ def _mon_sql(key: str = "") -> str:
 cu as (select {k}date, sum(n) over ({part}) as n_rt, sum(y) over ({part}) as y, sum(tp) over ({part}) as tp, sum(fp) over ({part}) as fp from dd),
 m0 as (select *, tp / y::double as sens, tp / nullif(tp + fp, 0)::double as prec from cu where y > 0),
 m1 as (select *, sqrt(sens * (1 - sens) / y) as se_sens, sqrt(prec * (1 - prec) / nullif(tp + fp, 0)) as se_prec from m0),
-m2 as (select *, (sens - 0.55) / nullif(se_sens, 0) as zscore from m1),
-mon as (select *, 1 - {sql_norm_cdf('zscore')} as pval from m2 where zscore is not null)"""
+m2 as (select *, case when se_sens = 0 and sens < 0.55 then '-infinity'::double else (sens - 0.55) / nullif(se_sens, 0) end as zscore from m1),
+mon as (select *, case when zscore = '-infinity'::double then 1 else 1 - {sql_norm_cdf("case when zscore = '-infinity'::double then 0 else zscore end")} end as pval from m2 where {"prec is not null" if key else "zscore is not null"})"""
 
 
 MON_COLS = """cast(date as varchar) as date, cast(n_rt as bigint) as n_rt, cast(y as bigint) as y, cast(tp as bigint) as tp, cast(fp as bigint) as fp, round(sens, 6) as sens, round(prec, 6) as prec,
