@@ -23,10 +23,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ragged, slices, text_bytes, text_column, written
+from .common import slices, text_bytes, text_column, written
 
 #: Bytes of text in a chunk (a longer text is a chunk by itself).
 CHUNK_BYTES = 12 << 20
+#: Places of a chunk whose grams are held at once.
+BLOCK = 1 << 20
 #: Orders up to this fit, with their length, into 64 bits.
 MOST_ORDER = 7
 
@@ -77,11 +79,27 @@ def counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(weights, first) if len(first) else weights
 
 
+def blocks(offsets: np.ndarray, data: np.ndarray, order: int):
+    """(first place, last place + 1, grams of ``order`` bytes that end there, which of them lie in one text)."""
+    padded = np.concatenate((np.zeros(order - 1, np.uint8), data))
+    whole = np.ones(len(data), bool)
+    for j in range(order - 1):  # the first bytes of a text have too few before them
+        at = offsets[:-1] + j
+        whole[at[at < offsets[1:]]] = False
+    for a in range(0, len(data), BLOCK):
+        b = min(a + BLOCK, len(data))
+        key = np.full(b - a, order, np.int64)
+        for j in range(order):
+            key <<= 8
+            key |= padded[a + j:b + j]
+        key <<= 8 * (MOST_ORDER - order)
+        yield a, b, key, whole[a:b]
+
+
 def grams(offsets: np.ndarray, data: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct grams of orders 1 to ``order``, counts) of all texts."""
-    size = np.maximum(np.diff(offsets) - order + 1, 0)
-    keys = keys_at(data, ragged(offsets[:-1] + order - 1, size), order)
-    keys, counts = np.unique(keys, return_counts=True)
+    parts = [np.unique(key[whole], return_counts=True) for _, _, key, whole in blocks(offsets, data, order)]
+    keys, counts = counted(*(np.concatenate(x) for x in zip(*parts))) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     all_keys, all_counts = [keys], [counts]
     for k in range(order, 1, -1):
         # a shorter gram is the beginning of a longer one, except at the end of a text
@@ -92,6 +110,24 @@ def grams(offsets: np.ndarray, data: np.ndarray, order: int) -> tuple[np.ndarray
     return np.concatenate(all_keys[::-1]), np.concatenate(all_counts[::-1])
 
 
+def text_sums(offsets: np.ndarray, data: np.ndarray, order: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sum of the values of each text's places; a place with less before it has the value of its shorter gram."""
+    size = np.diff(offsets)
+    total = np.zeros(len(size))
+    for k in range(1, order):
+        rows = np.flatnonzero(size >= k)
+        total[rows] += values[np.searchsorted(keys, keys_at(data, offsets[:-1][rows] + k - 1, k))]
+    longest = np.searchsorted(keys >> 56, order)
+    for a, b, key, whole in blocks(offsets, data, order):
+        got = np.zeros(b - a)
+        got[whole] = look_up(keys[longest:], values[longest:], key[whole])
+        i, j = np.searchsorted(offsets, a, side="right") - 1, np.searchsorted(offsets, b)
+        bounds = np.clip(offsets[i:j + 1], a, b) - a
+        some = np.flatnonzero(np.diff(bounds))
+        total[i + some] += np.add.reduceat(got, bounds[some])
+    return total
+
+
 def gram_scores(keys: np.ndarray, totals: np.ndarray, all_bytes: int, alpha: float, leave_one_out: bool) -> np.ndarray:
     """Log score of the last byte of each gram after the bytes before it; keys ascend, shorter grams first."""
     own = 1 if leave_one_out else 0
@@ -190,16 +226,7 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
             at = np.argsort(keys)
             keys = keys[at]
             values = gram_scores(keys, totals[at], all_bytes, alpha, leave_one_out)
-            size = np.diff(offsets)
-            total = np.zeros(len(size))
-            for k in range(1, order + 1):  # the first bytes of a text have less before them
-                rows = np.flatnonzero(size >= k)
-                if k < order:
-                    total[rows] += values[np.searchsorted(keys, keys_at(data, offsets[:-1][rows] + k - 1, k))]
-                elif len(rows):
-                    n = size[rows] - order + 1
-                    got = look_up(keys, values, keys_at(data, ragged(offsets[:-1][rows] + order - 1, n), order))
-                    total[rows] += np.add.reduceat(got, np.cumsum(n) - n)
+            total, size = text_sums(offsets, data, order, keys, values), np.diff(offsets)
             out.append(pa.table({"id": ids, "n_scored": pa.array(size), "log_score": pa.array(total)}))
         return pa.concat_tables(out) if out else pa.table({"id": pa.array([], pa.int64()), "n_scored": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
 
