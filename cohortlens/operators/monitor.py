@@ -46,12 +46,12 @@ def monitor_daily(daily: DataFrame, keys: list[str], date: str, target: float) -
     run = scan(daily, keys, [date], {"n_rt": ("sum", "n"), "_y": ("sum", "y"), "_tp": ("sum", "tp"), "_fp": ("sum", "fp")})
     out = run.filter(F.col("_y") > 0).select(*keys, date, "n_rt", F.col("_y").alias("y"), F.col("_tp").alias("tp"),
                                              F.col("_fp").alias("fp"))
+    flat = (F.col("tp") == 0) | (F.col("tp") == F.col("y"))  # no standard error
     out = out.withColumn("sens", div(F.col("tp"), F.col("y"))).withColumn("prec", div(F.col("tp"), F.col("tp") + F.col("fp")))
     out = (out.withColumn("se_sens", F.sqrt(F.col("sens") * (1 - F.col("sens")) / F.col("y")))
            .withColumn("se_prec", F.sqrt(div(F.col("prec") * (1 - F.col("prec")), F.col("tp") + F.col("fp"))))
-           .withColumn("zscore", F.when((F.col("se_sens") == 0) & (F.col("sens") < target), F.lit(float("-inf")))
-                       .otherwise(div(F.col("sens") - target, F.col("se_sens")))))
-    known = F.col("sens").isNotNull() & F.col("prec").isNotNull() if keys else F.col("zscore").isNotNull()
+           .withColumn("zscore", F.when(~flat, (F.col("sens") - target) / F.col("se_sens")).when(F.col("sens") < target, F.lit(float("-inf")))))
+    known = F.col("prec").isNotNull() if keys else ~flat | (F.col("tp") < target * F.col("y"))
     pval = F.when(F.col("zscore") == float("-inf"), F.lit(1.0)).otherwise(1 - norm_cdf(F.col("zscore")))
     return out.filter(known).withColumn("pval", pval)
 
