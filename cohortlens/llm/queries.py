@@ -37,7 +37,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), keep=["doc_id"])
 
 
-@query("op9_near_dedup")
+@query("op9_near_dedup", """
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+l as (select doc_id, list_distinct(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as s from w),
+g as (select doc_id, unnest(s) as s, len(s) as n from l),
+p as (select a.doc_id as a, b.doc_id as b from g a join g b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id having 100 * count(*) >= 80 * (max(a.n) + max(b.n) - count(*))),
+e as (select a, b from p union select b, a from p),
+reach(id, r) as (select doc_id, doc_id from l union select reach.id, e.b from reach join e on reach.r = e.a),
+c as (select id, min(r) as component_id from reach group by id)
+select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from l join c on doc_id = id""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -58,11 +66,42 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-@query("op7_quality_rules")
+def _quality_sql() -> str:
+    from .quality_rules import RULES
+
+    grid = ", ".join(f"('{r}', '{num}', '{den}', '{side}', {c})" for r, (num, den, side, cuts) in RULES.items() for c in cuts)
+    value = lambda which: f"case {which} when 'n_symbols' then n_symbols when 'n_dup_lines' then n_dup_lines when 'n_repeat_words' then n_repeat_words when 'word_chars' then word_chars when 'n_lines' then n_lines else n_words end"
+    rejects = f"case when side = 'above' then {value('num')} * 1000 > cutoff * {value('den')} else {value('num')} * 1000 < cutoff * {value('den')} end"
+    return f"""
+with t as (select row_number() over () as r, doc_id, lang, coalesce(text, '') as text from documents),
+w as (select *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from t),
+win as (select r, i, count(*) over (partition by r, g) as n from (select r, unnest(range(1, len(w) - 1)) as i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) as g from w)),
+rep as (select r, count(distinct i + j) as n from win cross join range(3) as q(j) where n > 1 group by r),
+m as (select w.r, doc_id, lang, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+        cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(l) as bigint) as n_lines,
+        cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, cast(coalesce(rep.n, 0) as bigint) as n_repeat_words from w left join rep using (r)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
+lab as (select doc_id, max(quality) > 0 as good from labels where quality is not null and doc_id is not null group by doc_id),
+held as (select b.*, good from b join lab using (doc_id) where not base_failed),
+rules as (select * from (values {grid}) as v(rule, num, den, side, cutoff)),
+tests as (select {sum(len(x[3]) for x in RULES.values())} * greatest(1, count(*)) as n from (select distinct lang from held)),
+tried as (select lang, rule, side, cutoff, count(*) filter (good and bad) as k, count(*) filter (not good and bad) as kb, count(*) filter (good) as n, count(*) filter (not good) as m
+          from (select held.lang, good, rule, side, cutoff, {rejects} as bad from held cross join rules) group by all),
+tail as (select *, coalesce(kb / nullif(m, 0)::double, 0) - 20 * k / greatest(n, 1)::double as gap,
+           list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln(0.02 / {len(RULES)}) + (n - j) * ln(1 - 0.02 / {len(RULES)})))) as p
+         from tried where n > 0 and k < n * 0.02 / {len(RULES)}),
+best as (select lang, rule, cutoff, row_number() over (partition by lang, rule order by round(gap, 9) desc, case when side = 'above' then -cutoff else cutoff end) as place
+         from tail cross join tests where p <= 0.05 / tests.n and gap > 0 and k + kb > 0),
+out as (select distinct b.r from b join best on b.lang is not distinct from best.lang and place = 1 join rules using (rule, cutoff) where {rejects})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, not base_failed and out.r is null as kept from b left join out using (r)"""
+
+
+@query("op7_quality_rules", _quality_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rejected_by")
 
 
 @query("op2_license_scan")
