@@ -26,10 +26,10 @@ HEADLINE = ["auc_by_period", "auc_by_group", "auc_decompose", "auc_by_annotation
             "fdr", "cluster_bootstrap", "sequential_monitor", "nearest_match", "duplicate_rows", "tokens"]
 
 
-def bootstrap_200(t):
-    """J7 with 200 replicates over all orders."""
+def bootstrap(t, reps, scheme):
+    """J7 over all orders: Poisson multiplicities in one pass, or exact stratified draws."""
     cs = cases(t).select("caseid", F.col("st").alias("outcome"), "g", (F.col("yr") >= 1999).cast("bigint").alias("y"), "score")
-    return I.decompose_bootstrap(cs, ["outcome"], "g", ["score", "caseid"], 200, 4)
+    return I.decompose_bootstrap(cs, ["outcome"], "g", ["score", "caseid"], reps, 4, scheme=scheme)
 
 
 def sub_models_100(t):
@@ -52,7 +52,9 @@ def main() -> None:
     registry = load()
     jobs = {name: (lambda q=registry[name]: q.run(spark, folder)) for name in HEADLINE}
     read = lambda table: spark.read.parquet(f"{folder}/{table}.parquet")
-    jobs["decompose_bootstrap_200"] = lambda: bootstrap_200(read)
+    jobs["decompose_bootstrap_200"] = lambda: bootstrap(read, 200, "poisson")
+    jobs["decompose_bootstrap_1000"] = lambda: bootstrap(read, 1000, "poisson")
+    jobs["decompose_bootstrap_exact_200"] = lambda: bootstrap(read, 200, "exact")
     jobs["sub_models_100_groups"] = lambda: sub_models_100(read)
     registry["auc_by_period"].run(spark, folder).write.format("noop").mode("overwrite").save()  # warm-up
     times = {}

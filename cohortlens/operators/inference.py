@@ -15,6 +15,7 @@ from pyspark.sql.types import LongType
 
 from ..functions.dist import beta_ppf, chi2_sf, norm_cdf, norm_ppf, normal_quantile, reg_beta
 from ..session import cut_lineage
+from .bulk import decompose_replicates
 from .ordered import quantile_columns, scan
 from .ranking import auc, auc_decompose, auc_from_histogram, decompose_histogram, div, score_histogram
 from .resample import resample
@@ -105,8 +106,17 @@ def cluster_bootstrap(groups: DataFrame, keys: list[str], g: str, reps: int, see
 
 
 def decompose_bootstrap(df: DataFrame, keys: list[str], g: str, order: list[str], reps: int, seed: int,
-                        alpha: float = 0.05, y: str = "y", s: str = "score") -> DataFrame:
-    """Bootstrap of the decomposition, stratified by keys and class: keys, tt, auc, lb, ub."""
+                        alpha: float = 0.05, y: str = "y", s: str = "score", scheme: str = "exact") -> DataFrame:
+    """Bootstrap of the decomposition: keys, tt, auc, lb, ub.
+
+    scheme "exact" draws as many rows as there are, stratified by keys and class. "poisson" gives each row
+    an independent Poisson(1) multiplicity instead, all replicates in one pass without a join of draws: for
+    large strata, where the varying size does not matter. ``order`` must name a row there.
+    """
+    if scheme == "poisson":
+        boot = cut_lineage(decompose_replicates(df, keys, g, order, reps, seed, y, s))
+        q = quantile_columns(boot, [*keys, "tt"], "auc", {"lb": alpha / 2, "ub": 1 - alpha / 2})
+        return auc_decompose(df, keys, g, y, s).select(*keys, "tt", "auc").join(q, [*keys, "tt"])
     weighted = resample(df, [*keys, y], order, reps, seed)
     hist = score_histogram(weighted, [*keys, "rep", g], y, s, "weight")
     boot = cut_lineage(decompose_histogram(hist, [*keys, "rep"], g, s, df.select(s)))
