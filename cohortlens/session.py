@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -19,14 +20,27 @@ def build_session(app: str = "cohortlens", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def own_folder(master: str) -> str:
+    """A temporary folder of this machine, for a master that runs all tasks in this process; others are refused,
+    as their executors would write to disks of their own."""
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"master {master}: set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="cohortlens-")
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir, or own_folder where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        defined = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = defined.get() if defined.isDefined() else own_folder(spark.sparkContext.master)
+    return base
+
+
 def _checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only where none is set (tests), a temporary one."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.mkdtemp(prefix="cohortlens-"), "checkpoints")
-    spark.sparkContext.setCheckpointDir(folder)
+    """Use the folder the cluster names; only where none is set (local tests), a temporary one."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(os.path.join(shared_base(spark), "checkpoints"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

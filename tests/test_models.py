@@ -186,6 +186,22 @@ def test_stream_equals_batch(spark, tmp_path, rows):
     assert rows(got.select(*cols)) == rows(batch.filter(F.col("date") <= F.lit(last)).select(*cols))
 
 
+def test_stream_goes_on_from_its_folder(spark, tmp_path, rows):
+    df, folder, state = monitored(spark), str(tmp_path / "in"), str(tmp_path / "state")
+    early = df.filter(F.to_date("ts") < F.lit("2024-01-10"))
+    early.coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(df.schema).parquet(folder)
+    first = MS.monitor_stream(stream, 0.4, folder=state)
+    n = first.count()
+    df.exceptAll(early).coalesce(1).write.mode("append").parquet(folder)
+    second = MS.monitor_stream(spark.readStream.schema(df.schema).parquet(folder), 0.4, folder=state)
+    batch = Mo.monitor(df.withColumn("date", F.to_date("ts")), [], "date", 0.4)
+    cols = ["date", "n_rt", "y", "tp", "fp", "sens", "pval"]
+    last = second.agg(F.max("date")).first()[0]
+    assert 0 < n < second.count()
+    assert rows(second.select(*cols)) == rows(batch.filter(F.col("date") <= F.lit(last)).select(*cols))
+
+
 def test_power_between_grid_points(spark):
     grid = spark.createDataFrame([(0.2, 100.0), (0.4, 300.0)], "power double, n double")
     m = spark.createDataFrame([(50,), (100,), (200,), (300,), (900,)], "n_rt long")
