@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import shared_base
+
 #: Bytes of text that a task holds decoded at once (a single longer text is held alone).
 SLICE_BYTES = 6 << 20
 
@@ -19,11 +20,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
     Only where that is unset (local tests) a temporary folder of this machine is taken.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="llm-")
+    base = shared_base(spark)
+    if "://" not in base and not base.startswith("file:"):
+        base = "file://" + base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
