@@ -77,15 +77,18 @@ def rarest_levels(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def binarise_minority(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Rarest level 1, others 0, missing -1. The rarest levels (one per column) reach the rows as one
-    scalar subquery each, so the plan stays lazy."""
-    rare = rarest_levels(df, cols)
+    """Rarest level 1, others 0, missing -1. All rarest levels (one per column) reach the rows as one scalar
+    map, so the levels are counted in one pass and the plan stays lazy."""
+    rare = rarest_levels(df, cols).agg(F.map_from_entries(F.collect_list(F.struct("name", "level")))).scalar()
+    name = "_rare"
+    while name in df.columns:
+        name = "_" + name
 
     def fix(c: str) -> Column:
-        level = rare.filter(F.col("name") == c).select("level").scalar()
+        level = F.try_element_at(F.col(name), F.lit(c))
         return F.when(F.col(c).isNull(), -1).when(F.col(c).cast("string") == level, 1).otherwise(0).alias(c)
 
-    return df.select(*[fix(c) if c in cols else F.col(c) for c in df.columns])
+    return df.withColumn(name, rare).select(*[fix(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def composite(df: DataFrame, groups: dict[str, list[str]], flag_missing: bool = False) -> DataFrame:

@@ -16,18 +16,21 @@ from .thresholds import pr_grid, threshold_balance
 
 def impute_mode(df: DataFrame, cols: list[str], below: int = 10) -> DataFrame:
     """Columns with a few missing values (under ``below``) take their mode; others stay. Lazy: counts and
-    modes arrive as scalar subqueries."""
-    modes = mode_of(df, cols)
+    modes, one of each per column, arrive as two scalar subqueries."""
+    modes = mode_of(df, cols).agg(F.map_from_entries(F.collect_list(F.struct("name", "mode")))).scalar()
+    missing = df.agg(F.create_map(*[x for c in cols for x in (F.lit(c), F.sum(F.col(c).isNull().cast("bigint")))])).scalar()
+    own = "_fill"
+    while own in df.columns:
+        own = "_" + own
     out = []
     for c in df.columns:
         if c not in cols:
             out.append(F.col(c))
             continue
-        n = df.agg(F.sum(F.col(c).isNull().cast("bigint"))).scalar()
-        mode = modes.filter(F.col("name") == c).select("mode").scalar()
-        kind = df.schema[c].dataType
-        out.append(F.when(F.col(c).isNull() & (n < below), mode.cast(kind)).otherwise(F.col(c)).alias(c))
-    return df.select(*out)
+        few = F.col(f"{own}.n")[c] < below
+        mode = F.try_element_at(F.col(f"{own}.m"), F.lit(c)).cast(df.schema[c].dataType)
+        out.append(F.when(F.col(c).isNull() & few, mode).otherwise(F.col(c)).alias(c))
+    return df.withColumn(own, F.struct(modes.alias("m"), missing.alias("n"))).select(*out)
 
 
 def classify_missing(df: DataFrame, period: str, cols: list[str]) -> DataFrame:

@@ -129,14 +129,12 @@ def _(t):
     return rounded(S.materialise(root, "by_group", t("orders"), must_not_run).withColumn("reused", F.lit(1)))
 
 
-@query("read_results", "A11", """select case when o_orderstatus = 'F' then 'logit' else 'xgb' end as model, lower(substr(o_orderpriority, 3)) as outcome, count(*) as n, round(sum(o_totalprice), 1) as total from orders
-where o_orderpriority not like '4%' and o_orderstatus <> 'P' group by all""")
+@query("read_results", "A11", """select case when o_orderstatus = 'F' then 'logit' else 'xgb' end as model, lower(substr(o_orderpriority, 3)) as outcome, count(*) as n, round(sum(o_totalprice), 1) as total from orders group by all""")
 def _(t):
-    o = t("orders").filter("o_orderpriority not like '4%' and o_orderstatus <> 'P'")
-    o = o.select(F.when(F.col("o_orderstatus") == "F", "logit").otherwise("xgb").alias("model"), F.lower(F.substring("o_orderpriority", 3, 20)).alias("outcome"), "o_totalprice")
+    o = t("orders").select(F.when(F.col("o_orderstatus") == "F", "logit").otherwise("xgb").alias("model"), F.lower(F.substring("o_orderpriority", 3, 20)).alias("outcome"), "o_totalprice")
     path = work_folder(o.sparkSession, "scores")
     o.write.partitionBy("model", "outcome").options(header=True).csv(path)
-    d = S.read_results(o.sparkSession, path, r"model=([a-z]+)/outcome=([a-z]+)", ["model", "outcome"], "o_totalprice double")
+    d = S.read_results(o.sparkSession, path, r"model=([^/]+)/outcome=([^/]+)", ["model", "outcome"], "o_totalprice double")
     return rounded(d.groupBy("model", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 1)
 
 

@@ -137,10 +137,14 @@ def materialise(root: str, name: str, source: DataFrame, builder: Callable[[Data
 
 
 def read_results(spark: SparkSession, path: str, pattern: str, keys: list[str], schema: str) -> DataFrame:
-    """Result files whose keys stand in their path: one column per group of the pattern."""
+    """Result files whose keys stand in their path: one column per group of the pattern.
+
+    Paths are escaped twice, as folder names and as addresses; keys come back as they were written.
+    """
     df = spark.read.options(recursiveFileLookup=True, header=True).schema(schema).csv(path)
     where = F.col("_metadata.file_path")
-    return df.select("*", *[F.regexp_extract(where, pattern, i + 1).alias(k) for i, k in enumerate(keys)]).filter(
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    return df.select("*", *[plain(plain(F.regexp_extract(where, pattern, i + 1))).alias(k) for i, k in enumerate(keys)]).filter(
         F.col(keys[0]) != "")
 
 
