@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import levenshtein_ratio
 from .joins import nearest
 from .sets import duplicates
 
@@ -24,6 +25,34 @@ def suspects(matches: DataFrame, share: float = 0.95, dist: float = 2.0) -> Data
     return matches.filter((F.col("prop") > share) & (F.col("err") < dist))
 
 
+def similar_pairs(df: DataFrame, col: str, ratio: float) -> DataFrame:
+    """All pairs a < b of distinct values with levenshtein_ratio >= ratio (in (0, 1)): a, b, ratio.
+
+    Exact, without listing all pairs: k edits leave one of k + 1 pieces of the longer text as it was, at most k places
+    away. So each text lists its own k + 1 pieces as the longer one, and, for every length that its partner may have, the
+    stretches that could be such a piece; pairs meet on (length, piece number, stretch) only. NULL meets nothing.
+    """
+    words = df.select(F.col(col).alias("a")).filter(F.col(col).isNotNull()).distinct().withColumn("n", F.length("a"))
+    at_least = ratio - 1e-9
+    k = F.floor((1 - at_least) * F.col("m")).cast("int")  # edits that a longer length of m allows
+    start = F.floor(F.col("i") * F.col("m") / (F.col("k") + 1)).cast("int")
+    width = F.floor((F.col("i") + 1) * F.col("m") / (F.col("k") + 1)).cast("int") - start
+
+    def pieces(d: DataFrame) -> DataFrame:
+        return (d.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+                .withColumn("p", start).withColumn("w", width))
+
+    own = pieces(words.filter("n > 0").withColumn("m", F.col("n"))).select(
+        F.col("a").alias("b"), "m", "i", F.substring("a", F.col("p") + 1, F.col("w")).alias("s"))
+    lengths = F.sequence(F.col("n"), F.floor(F.col("n") / at_least).cast("int"))
+    near = F.sequence(F.greatest(F.lit(0), F.col("p") - F.col("k")), F.least(F.col("p") + F.col("k"), F.col("n") - F.col("w")))
+    other = pieces(words.filter("n > 0").withColumn("m", F.explode(lengths))).filter(
+        F.greatest(F.lit(0), F.col("p") - F.col("k")) <= F.least(F.col("p") + F.col("k"), F.col("n") - F.col("w")))
+    other = other.withColumn("q", F.explode(near)).select("a", "m", "i", F.substring("a", F.col("q") + 1, F.col("w")).alias("s"))
+    met = other.join(own, ["m", "i", "s"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.withColumn("ratio", levenshtein_ratio(F.col("a"), F.col("b"))).filter(F.col("ratio") >= at_least)
+
+
 def side_by_side(found: DataFrame, queries: DataFrame, reference: DataFrame, qid: str, rid: str,
                  cols: list[str]) -> DataFrame:
     """Both sides of each suspect pair, one row per column: qid, rid, column_name, query, reference."""

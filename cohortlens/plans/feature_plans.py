@@ -133,13 +133,11 @@ def _(t):
     return rounded(K.valid_holdout(a, ["rare", "f"], 0.1, "caseid", list(range(1, 9))))
 
 
-@query("name_similarity", "H1", """with n as (select distinct p_name as a from part) select x.a as a, y.a as b, round(1 - levenshtein(x.a, y.a)::double / greatest(length(x.a), length(y.a)), 6) as ratio
-from n x join n y on left(x.a, 2) = left(y.a, 2) and x.a < y.a""")
+@query("name_similarity", "H1", """with n as (select distinct p_name as a from part), p as (select x.a as a, y.a as b, 1 - levenshtein(x.a, y.a)::double / greatest(length(x.a), length(y.a)) as ratio
+from n x join n y on x.a < y.a) select a, b, round(ratio, 6) as ratio from p where ratio >= 0.6 - 1e-9""")
 def _(t):
-    from ..functions.text import levenshtein_ratio
-    n = t("part").select(F.col("p_name").alias("a"), F.substring("p_name", 1, 2).alias("k")).distinct()
-    pairs = n.join(n.withColumnRenamed("a", "b"), "k").filter("a < b")
-    return rounded(pairs.select("a", "b", levenshtein_ratio(F.col("a"), F.col("b")).alias("ratio")))
+    from ..operators.match import similar_pairs
+    return rounded(similar_pairs(t("part"), "p_name", 0.6))
 
 
 @query("normal_distribution", "H2", f"""with z as (select c_custkey, (c_acctbal - 4500) / 2000 as x from customer) select c_custkey, round({sql_norm_cdf('x')}, 6) as p from z""")

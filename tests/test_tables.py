@@ -123,3 +123,29 @@ def test_contract_checks(spark):
     df = spark.createDataFrame([(1, "a"), (1, "x"), (None, "a")], "id long, c string")
     got = {r["rule"]: r["violations"] for r in S.check(df, ["id"], ["id"], {"c": ["a"]}, ["id"]).collect()}
     assert got == {"not_null:id": 1, "domain:c": 1, "unique:id": 1, "known_columns": 1}
+
+
+def test_similar_pairs(spark):
+    import random
+
+    from cohortlens.operators.match import similar_pairs
+
+    rng = random.Random(3)
+    names = {"".join(rng.choice("abc ") for _ in range(rng.randint(0, 9))) for _ in range(150)} | {"xabcdefgh", "abcdefgh", "yabcdefgh", "abcdefghz"}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row, i, x, b):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        return new
+
+    df = spark.createDataFrame([(n,) for n in sorted(names)] + [(None,)], "s string")
+    for ratio in (0.5, 0.8):
+        want = {(a, b) for a in names for b in names if a < b and a and 1 - distance(a, b) / max(len(a), len(b)) >= ratio - 1e-9}
+        assert {(r.a, r.b) for r in similar_pairs(df, "s", ratio).collect()} == want
