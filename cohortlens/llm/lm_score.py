@@ -46,6 +46,17 @@ def folded(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return kept[offsets], low[keep]
 
 
+def folded_slices(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """folded() of all texts, some at a time: what it holds meanwhile is many times its result."""
+    offsets, parts = [np.zeros(1, np.int64)], []
+    for a, b in slices(texts, BLOCK):
+        off, data = folded(*text_bytes(texts.slice(a, b - a)))
+        offsets.append(off[1:] + offsets[-1][-1])
+        parts.append(data)
+    pa.default_memory_pool().release_unused()
+    return np.concatenate(offsets), np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
 def keys_at(data: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
     """Packed grams of ``order`` bytes that end at the given places (inclusive)."""
     key = np.full(len(ends), order, np.int64)
@@ -174,7 +185,7 @@ def _pack(ids: list, offsets: np.ndarray, data: np.ndarray) -> bytes:
     with pa.ipc.new_stream(sink, batch.schema) as w:
         w.write_batch(batch)
     head = sink.getvalue().to_pybytes()
-    return zstandard.ZstdCompressor(level=3).compress(len(head).to_bytes(8, "big") + head + data.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(b"".join((len(head).to_bytes(8, "big"), head, data)))
 
 
 def _unpack(blob: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -198,7 +209,7 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
         for batch in batches:
             texts = text_column(batch, "text")
             for a, b in slices(texts, CHUNK_BYTES):
-                offsets, data = folded(*text_bytes(texts.slice(a, b - a)))
+                offsets, data = folded_slices(texts.slice(a, b - a))
                 blob = _pack(batch.column(0).slice(a, b - a).to_pylist(), offsets, data)
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([uuid.uuid4().int >> 65], pa.int64()), "bytes": pa.array([len(data)]), "blob": pa.array([blob], pa.binary())})
 
