@@ -71,8 +71,9 @@ def distinct_shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
             continue
         c, v = code[at], value[at] + np.uint64(length)
         for j in range(1, length):
-            pair = c * np.int64(len(hashes)) + ids[at + j]
-            c = pair if len(hashes) ** 2 < 1 << 62 and j == 1 else np.unique(np.stack((c, ids[at + j]), 1), axis=0, return_inverse=True)[1].ravel()
+            if j > 1:  # numbered anew, so that the code stays below 2**62
+                c = np.unique(c, return_inverse=True)[1]
+            c = c * np.int64(len(hashes)) + ids[at + j]
             v = mix(v * np.uint64(0x9E3779B97F4A7C15) + value[at + j])
         docs.append(owner[at])
         codes.append(c)
