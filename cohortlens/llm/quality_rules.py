@@ -7,13 +7,19 @@ binomial tail stays below ``delta`` divided by the number of all cutoffs tried i
 probability 1 - delta no stratum loses more than ``alpha`` of its good documents. Of a rule's admissible cutoffs the one
 that gains most is taken: the rejected share of bad documents less ``cost`` times that of good ones. A rule without an
 admissible cutoff that gains rejects nothing.
+
+``nested`` spends the guarantee on one family of cutoffs for each stratum instead: bad documents and a fifth of the good
+ones choose each rule's best cutoff and the order of the rules; the family adds the rules in that order, each from its
+laxest cutoff to its best one, so that every member rejects what the one before it does. The other good documents test
+the members in turn at the full ``alpha`` and ``delta`` divided by the strata only (fixed-sequence testing), so some 280
+good labels are enough for a handful of strata. The member that gains most among those that pass is taken.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import free_name, written
 
@@ -21,6 +27,8 @@ from .common import free_name, written
 GAP = "\\x20\\x09-\\x0D"
 #: Low bits of a packed window that hold its place in the text.
 PLACE = 27
+#: One good document in so many chooses the nested family; the others test it.
+DESIGN = 5
 
 #: name: (numerator, denominator, cutoffs in thousandths; "below" rejects under the cutoff).
 RULES = {
@@ -92,6 +100,11 @@ def _rejects(den: str, num: str, side: str, cutoff: Column) -> Column:
     return left > right if side == "above" else left < right
 
 
+def _sides(rule: tuple) -> tuple[str, str, str]:
+    num, den, side, _ = rule
+    return den, num, side
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, id: str, stratum: str, quality: str = "quality", alpha: float = 0.02, delta: float = 0.05,
             cost: float = 20.0, rules: dict = RULES) -> DataFrame:
     """(stratum, rule, cutoff): the chosen cutoffs in thousandths, one row for each stratum and rule that has one.
@@ -122,8 +135,56 @@ def cutoffs(measured: DataFrame, labels: DataFrame, id: str, stratum: str, quali
     return good.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(F.round(gap, 9), lax)).alias("cutoff"))
 
 
+def nested_cutoffs(measured: DataFrame, labels: DataFrame, id: str, stratum: str, quality: str = "quality", alpha: float = 0.02, delta: float = 0.05,
+                   cost: float = 20.0, rules: dict = RULES) -> DataFrame:
+    """(stratum, rule, cutoff) as cutoffs() gives, from one nested family for each stratum.
+
+    All labelled rows count; rows of one id are all in the part that chooses or all in the part that tests.
+    """
+    lab = labels.where(F.col(quality).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg((F.max(quality) > 0).alias("good"))
+    held = measured.where("not base_failed").join(lab, measured[id] == lab["_id"])
+    use = F.when(~F.col("good"), "bad").when(F.pmod(F.xxhash64("_id"), F.lit(DESIGN)) == 0, "design").otherwise("test")
+    # steps run from the laxest cutoff (0); a row's step in a rule is the first that rejects it, null if none does
+    steps = {r: sorted(x[3], reverse=x[2] == "above") for r, x in rules.items()}
+    first = lambda r: F.array_position(F.transform(F.array(*[F.lit(g).cast("bigint") for g in steps[r]]), lambda g: _rejects(*_sides(rules[r]), g)), True)
+    at = [F.nullif(first(r), F.lit(0)).cast("int").alias(f"_at_{r}") for r in rules]
+    rows = written(held.select(F.col(stratum).alias("stratum"), use.alias("use"), *at).groupBy("stratum", "use", *[f"_at_{r}" for r in rules]).agg(F.count(F.lit(1)).alias("rows")), "holdout")
+    size = lambda u, c="rows": F.sum(F.when(F.col("use") == u, F.col(c)).otherwise(F.lit(0)))
+    total = written(rows.groupBy("stratum").agg(size("bad").alias("m"), size("design").alias("nd"), size("test").alias("n")), "strata")
+    same = F.col("stratum").eqNullSafe(F.col("s"))
+    sizes = total.withColumnRenamed("stratum", "s")
+
+    cells = F.array(*[F.struct(F.lit(i).alias("rule"), F.col(f"_at_{r}").alias("step"), F.lit(len(steps[r])).alias("last")) for i, r in enumerate(rules)])
+    hit = rows.select("stratum", "use", "rows", F.inline(cells)).where("step is not null").groupBy("stratum", "rule", "last", "step").agg(size("bad").alias("b"), size("design").alias("d"))
+    hit = hit.select("stratum", "rule", "b", "d", F.explode(F.sequence("step", "last")).alias("step")).groupBy("stratum", "rule", "step").agg(F.sum("b").alias("b"), F.sum("d").alias("d"))
+    gap = F.coalesce(F.col("b") / F.nullif(F.col("m"), F.lit(0)), F.lit(0.0)) - cost * F.col("d") / F.greatest(F.col("nd"), F.lit(1))
+    best = hit.join(sizes, same).withColumn("gap", F.round(gap, 9)).where("gap > 0").groupBy("stratum", "rule").agg(F.max(F.struct("gap", -F.col("step"))).alias("x"))
+    best = best.select("stratum", F.struct((-F.col("x.gap")).alias("g"), "rule", (-F.col("x.col2")).alias("best")).alias("x"))
+    order = written(best.groupBy(F.col("stratum").alias("s")).agg(F.array_sort(F.collect_list("x")).alias("order")), "family")
+
+    # a member of the family is (place of the rule it has reached) * wide + step
+    wide = max(len(g) for g in steps.values()) + 1
+    step_of = F.array(*[F.col(f"_at_{r}") for r in rules])
+    reached = F.array_min(F.transform("order", lambda x, i: F.when(F.get(step_of, x["rule"]) <= x["best"], i * wide + F.get(step_of, x["rule"]))))
+    counts = rows.join(order, same).select("stratum", "use", "rows", reached.alias("member")).where("member is not null").groupBy("stratum", "member").agg(size("bad").alias("b"), size("test").alias("k"))
+    # a member between two of those at which rows fall rejects what the one before rejects; a stratum has at most one row for each cutoff
+    sums = Window.partitionBy("stratum").orderBy("member")
+    tried = counts.select("stratum", "member", F.sum("b").over(sums).alias("kb"), F.sum("k").over(sums).alias("k")).join(sizes, same)
+    # one row of one number
+    strata = max(1, total.count())
+    gain = F.coalesce(F.col("kb") / F.nullif(F.col("m"), F.lit(0)), F.lit(0.0)) - cost * F.col("k") / F.greatest(F.col("n"), F.lit(1))
+    passed = tried.where("n > 0").where(binomial_tail(F.col("k"), F.col("n"), alpha) <= delta / strata).where(gain > 0)
+    taken = passed.groupBy("stratum").agg(F.max_by("member", F.struct(F.round(gain, 9), -F.col("member"))).alias("member")).join(order, same)
+    place, step = F.floor(F.col("member") / wide).cast("int"), F.pmod(F.col("member"), F.lit(wide)).cast("int")
+    chain = F.transform(F.slice("order", F.lit(1), place + 1), lambda x, i: F.struct(x["rule"].alias("rule"), F.when(i == place, step).otherwise(x["best"]).alias("step")))
+    names = F.array(*[F.lit(r) for r in rules])
+    grids = F.array(*[F.array(*[F.lit(g).cast("bigint") for g in steps[r]]) for r in rules])
+    return taken.select("stratum", F.inline(chain)).select("stratum", F.get(names, F.col("rule")).alias("rule"), F.get(F.get(grids, F.col("rule")), F.col("step") - 1).alias("cutoff"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", stratum: str = "lang", quality: str = "quality",
-          alpha: float = 0.02, delta: float = 0.05, cost: float = 20.0, keep: list[str] | None = None, rules: dict = RULES) -> DataFrame:
+          alpha: float = 0.02, delta: float = 0.05, cost: float = 20.0, keep: list[str] | None = None, rules: dict = RULES,
+          nested: bool = False) -> DataFrame:
     """Per row: id, (keep,) n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, kept, rejected_by.
 
     Runs jobs: counts of all texts are written once to the shared folder; the cutoffs come from all labelled rows. A null
@@ -134,7 +195,7 @@ def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     measured = metrics(docs.withColumn(own, docs[stratum].cast("string")), text, [*layer, own])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = written(measured.withColumn("base_failed", failed), "measured")
-    chosen = cutoffs(measured, labels, id, own, quality, alpha, delta, cost, rules)
+    chosen = (nested_cutoffs if nested else cutoffs)(measured, labels, id, own, quality, alpha, delta, cost, rules)
     wide = chosen.groupBy(F.col("stratum").alias("_s")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_c_{r}") for r in rules])
     out = measured.join(wide, F.col(own).eqNullSafe(F.col("_s")), "left")
     by = F.array_compact(F.array(*[F.when(_rejects(den, num, side, F.col(f"_c_{r}")), F.lit(r)) for r, (num, den, side, _) in rules.items()]))

@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     mark = free_name(docs, "text_hash")
     marked = docs.withColumn(mark, F.xxhash64("text"))
-    kept = judge(marked, labels, keep=[mark]).where("kept").select(F.col("doc_id").alias("i"), F.col(mark).alias("h")).distinct()
+    kept = judge(marked, labels, keep=[mark], nested=True).where("kept").select(F.col("doc_id").alias("i"), F.col(mark).alias("h")).distinct()
     return marked.join(kept, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col(mark) == F.col("h")), "left_semi").select(*columns_of(docs))
 
 
