@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm.common import columns_of, free_name, shared_folder
+from cohortlens.llm.common import columns_of, free_name, shared_folder, written
 from cohortlens.llm.language_id import UNDETERMINED, identify
 from cohortlens.llm.near_dedup import near_duplicates
 from cohortlens.llm.packing import pack
 from cohortlens.llm.queries import tokenizer
 from cohortlens.llm.quality_rules import judge
+from cohortlens.operators.ordered import number_rows
 from cohortlens.session import ship_package
 
 
@@ -38,16 +39,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8), that with the smallest id.
 
-    Of rows that repeat an id one stays; rows without an id all stay.
+    A document is an id with a text: of rows that repeat both one stays, and rows of one id with other texts are judged
+    each. Rows without an id all stay.
     """
     ship_package(spark)
-    found = near_duplicates(docs, n=5, threshold=80).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"))
-    keys = found.withColumnsRenamed({"doc_id": "i"})
-    out = docs.join(keys.where("times = 1"), docs["doc_id"] == F.col("i"), "left_semi").union(docs.where("doc_id is null"))
-    several = keys.where("times > 1")
-    if several.isEmpty():
+    key, mark = free_name(docs, "doc_key"), free_name(docs, "text_hash")
+    hashed = docs.where("doc_id is not null").withColumn(mark, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    told = hashed.groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"))
+    if told.where("lo < hi").isEmpty():
+        marked = docs.where("doc_id is not null").withColumn(key, F.col("doc_id"))
+    else:  # numbers that order as ids do, and texts of one id by their hashes
+        keys = number_rows(hashed.select(F.col("doc_id").alias("i"), F.col(mark).alias("h")).distinct(), [], ["i", "h"], key)
+        keys = written(keys, "keys")
+        marked = hashed.join(keys, (F.col("doc_id") == F.col("i")) & (F.col(mark) == F.col("h"))).drop("i", "h")
+    found = near_duplicates(marked, id=key, n=5, threshold=80).where("kept").groupBy(key).agg(F.count("*").alias("times")).withColumnRenamed(key, "k")
+    stay = lambda which: marked.join(found.where(which), F.col(key) == F.col("k"), "left_semi")
+    out = stay("times = 1").select(*columns_of(docs)).union(docs.where("doc_id is null"))
+    if found.where("times > 1").isEmpty():
         return out
-    return out.union(docs.join(several, docs["doc_id"] == F.col("i"), "left_semi").dropDuplicates(["doc_id"]))
+    return out.union(stay("times > 1").dropDuplicates([key]).select(*columns_of(docs)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
