@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import features as K, impute as Im, inference as I, models as M, monitor as Mo, ranking as R, windows as W
 from ..streaming.monitor_stream import work_folder
@@ -56,11 +58,16 @@ def _(t):
     return _auc_of(M.score(M.fit_boosted(train, X, depth=3, rounds=5), test), "xgb")
 
 
+def _folds_of(d):
+    """The folds that expanding_folds made, a few."""
+    return [r[0] for r in d.select("fold").distinct().orderBy("fold").collect()]
+
+
 @query("fit_folds", "L4")
 def _(t):
     d = model_table(t)
     folds = K.expanding_folds(d, "yr", "y").withColumn("urgent", (F.col("g") == "1-URGENT").cast("bigint"))
-    tests, _ = M.fit_folds(folds, [1999, 2000, 2001], ["y"], X)
+    tests, _ = M.fit_folds(folds, _folds_of(folds), ["y"], X)
     return rounded(R.auc(tests, ["outcome", "fold", "model", "method"], "y", "preds").drop("num"), 4)
 
 
@@ -74,18 +81,17 @@ def _(t):
 @query("fit_by_risk_bin", "L6")
 def _(t):
     d = K.expanding_folds(model_table(t), "yr", "y")
-    rate = d.filter("role = 'train' and fold = 2001").groupBy("c_nationkey").agg(
+    rate = d.filter("role = 'train'").groupBy("fold", "c_nationkey").agg(
         (F.avg(F.col("y").cast("double")) + F.max("c_nationkey") * 1e-9).alias("rate"))
-    bins = W.quantile_bins(rate, "c_nationkey", "rate", 5).select("c_nationkey", "bin")
-    part = d.filter("fold = 2001").join(bins, "c_nationkey")
-    s = M.fit_by_group(part, ["bin"], X)
+    bins = reduce(DataFrame.unionByName, [W.quantile_bins(rate.filter(F.col("fold") == k), "c_nationkey", "rate", 5).select("fold", "c_nationkey", "bin") for k in _folds_of(d)])
+    s = M.fit_by_group(d.join(bins, ["fold", "c_nationkey"]), ["bin"], X)
     return rounded(R.auc(s, ["fold", "bin"], "y", "preds").drop("num", "den"), 4)
 
 
 @query("fit_by_annotation", "L6")
 def _(t):
     n = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "r_name")
-    d = K.expanding_folds(model_table(t).join(n, "c_nationkey"), "yr", "y").filter("fold >= 2000")
+    d = K.expanding_folds(model_table(t).join(n, "c_nationkey"), "yr", "y")
     s = M.fit_by_group(d, ["r_name"], X)
     return rounded(R.auc(s, ["fold", "r_name"], "y", "preds").drop("num", "den"), 4)
 
@@ -290,7 +296,7 @@ def _(t):
 
 @query("impute_gate", "L23")
 def _(t):
-    d = model_table(t).filter("yr >= 1999").withColumn("rare", ((F.col("x1") > 4.9) & (F.col("caseid") % 2 == 0)).cast("bigint"))
+    d = model_table(t).withColumn("rare", ((F.col("x1") > 4.9) & (F.col("caseid") % 2 == 0)).cast("bigint"))
     return rounded(Im.gate_by_year(d, ["y", "rare"], "yr", ["g", "seg"], X), 4)
 
 
