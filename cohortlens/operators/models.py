@@ -30,6 +30,8 @@ from .joins import sample_pairs
 from .ranking import auc, div
 
 ITERATIONS = 7
+#: Features beyond which a discriminant is no longer written out as an expression.
+WIDE = 16
 
 
 # --- one model on all rows (L1-L3, L19) -----------------------------------------------------------
@@ -418,7 +420,8 @@ def discriminant(train: DataFrame, df: DataFrame, features: list[str], label: st
                  out: str = "pred") -> DataFrame:
     """LDA or QDA from class moments; adds the most probable class and its log density.
 
-    Class moments come from one aggregation per class on the cluster; solving p by p is local.
+    Class moments come from one aggregation per class on the cluster; solving p by p is local. More than WIDE features
+    are scored in Arrow batches, fewer as column arithmetic.
     """
     classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
     p = len(features)
@@ -448,6 +451,25 @@ def discriminant(train: DataFrame, df: DataFrame, features: list[str], label: st
         stats[k] = (n, mu, s / max(n - 1, 1))
         pooled, total = pooled + s, total + n
     pooled = pooled / max(total - len(classes), 1)
+    if p > WIDE:
+        factors = {}
+        for k in classes:
+            n, mu, cov = stats[k]
+            low = np.linalg.cholesky((pooled if kind == "lda" else cov) + shrink * np.eye(p))
+            factors[k] = float(np.log(n / total) - np.log(np.diag(low)).sum()), mu, np.linalg.inv(low)
+
+        @F.pandas_udf(f"logp double, k {kind_sql}")
+        def densest(xs: pd.Series) -> pd.DataFrame:
+            logp, cls = np.full(len(xs), np.nan), np.full(len(xs), None, object)
+            known = [i for i, x in enumerate(xs) if x is not None and not pd.isna(x).any()]
+            if known:
+                x = np.array([np.asarray(xs.iloc[i], float) for i in known])
+                each = np.stack([c - 0.5 * (((x - mu) @ inv.T) ** 2).sum(axis=1) for c, mu, inv in factors.values()])
+                logp[known], cls[known] = each.max(axis=0), np.array(list(factors), object)[each.argmax(axis=0)]
+            return pd.DataFrame({"logp": pd.Series(logp).where(np.isfinite(logp), None), "k": pd.Series(cls)})
+
+        best = densest(F.array(*[F.col(c).cast("double") for c in features]))
+        return df.withColumn("_best", best).withColumn(out, F.col("_best.k")).withColumn(f"{out}_logp", F.col("_best.logp")).drop("_best")
     best = None
     for k in classes:
         n, mu, cov = stats[k]

@@ -166,8 +166,8 @@ def _(t):
 
 
 def _discriminant(t, kind):
-    e = t("embeddings").select("vec_id", F.col("label").cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    out = M.discriminant(e, e, [f"e{i}" for i in range(8)], "label", kind)
+    e = t("embeddings").select("vec_id", F.col("label").cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    out = M.discriminant(e, e, [f"e{i}" for i in range(64)], "label", kind)
     return rounded(out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("pred") == F.col("label")).cast("bigint")).alias("hits")))
 
 

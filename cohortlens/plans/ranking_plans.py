@@ -62,6 +62,17 @@ def _(t):
     return rounded(R.auc_pairwise(e, "label", {i: f"x{i}" for i in range(4)}))
 
 
+@query("auc_pairwise_all", "I4", """with l as (select label, i - 1 as c, cast(embedding[i] as double) as s from embeddings cross join range(1, 11) as r(i) where label between 0 and 9)
+select cast(a.y0 as bigint) as y0, cast(a.y1 as bigint) as y1, round(a.num / a.den, 6) as auc, a.den from (
+  select n.label as y0, p.label as y1,
+    sum(case when p.s > n.s then 1.0::double when p.s = n.s then 0.5::double else 0.0::double end) as num, cast(count(*) as double) as den
+  from l p join l n on p.c = p.label and n.c = p.label and n.label < p.label
+  group by n.label, p.label) a""")
+def _(t):
+    e = t("embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(10)])
+    return rounded(R.auc_pairwise(e, "label", {i: f"x{i}" for i in range(10)}))
+
+
 @query("auc_by_group", "I5", f"""with {SCORED_SQL}, {sql_auc('scored', 'yr, g')}
 select yr, g, n1, n0, round(num + cast(n1 as double) * (n1 + 1) / 2, 6) as r_s, round(den, 6) as n0n1, round(auc, 6) as auc
 from auc_t where n1 > 0""")
