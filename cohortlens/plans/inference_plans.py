@@ -266,6 +266,28 @@ def _(t):
     return rounded(I.spearman_ci(pair_table(t), ["pair"], "v1", "v2", "id", 40, 10, 21), lb=5, ub=5)
 
 
+ALL_PAIRS_SQL = f"""{SCORED_SQL}, {sql_auc('scored', 'yr, g')},
+pairs as (select a.g as id, 'a' || a.yr || ':a' || b.yr as pair, a.auc as v1, b.auc as v2 from auc_t a join auc_t b on a.g = b.g and a.yr < b.yr where a.auc is not null and b.auc is not null),
+pr as (select id, pair, rank() over (partition by pair order by v1) + (count(*) over (partition by pair, v1) - 1) / 2.0::double as ra,
+  rank() over (partition by pair order by v2) + (count(*) over (partition by pair, v2) - 1) / 2.0::double as rb from pairs)"""
+
+
+def all_pairs_table(t):
+    """(id, pair, v1, v2): the group's AUROCs in each two years."""
+    a = R.auc(scored(t), ["yr", "g"]).filter("auc is not null").select("yr", "g", "auc")
+    x, y = a.alias("x"), a.alias("y")
+    return x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.yr") < F.col("y.yr"))).select(
+        F.col("x.g").alias("id"), F.concat(F.lit("a"), F.col("x.yr").cast("string"), F.lit(":a"), F.col("y.yr").cast("string")).alias("pair"),
+        F.col("x.auc").alias("v1"), F.col("y.auc").alias("v2"))
+
+
+@query("spearman_ci_all", "J16", f"""with {ALL_PAIRS_SQL}, base as (select pair, corr(ra, rb) as stat from pr group by pair), {sql_resample('pr', 'pair', 'id', 40, 21, 'rs', 10)},
+bt as (select pair, rep, sub, (sum(weight) * sum(weight * ra * rb) - sum(weight * ra) * sum(weight * rb)) / (sqrt(sum(weight) * sum(weight * ra * ra) - pow(sum(weight * ra), 2)) * sqrt(sum(weight) * sum(weight * rb * rb) - pow(sum(weight * rb), 2))) as stat from rs group by all),
+{_bounds_sql('pair', 'base')} {_bounds_out('pair', 'base', 'rho')}""")
+def _(t):
+    return rounded(I.spearman_ci(all_pairs_table(t), ["pair"], "v1", "v2", "id", 40, 10, 21), lb=5, ub=5)
+
+
 QLB_SQL = f"""{SCORED_SQL}, rt as (select g, max(score) as v, count(*) as n from scored where y = 1 group by g),
 pos as (select g as id, case when g % 3 = 0 then 'nb' else 'preds' end as mdl, avg(score) as phat from scored where y = 1 group by g)"""
 

@@ -31,7 +31,7 @@ def test_gate_judges_all_years(spark, years, monkeypatch):
     assert sorted(seen) == years
 
 
-@pytest.mark.parametrize("name,pairs", [("auc_pairwise_all", 45)])
+@pytest.mark.parametrize("name,pairs", [("auc_pairwise_all", 45), ("spearman_ci_all", 21)])
 def test_all_pairs(spark, name, pairs):
     con = duckdb.connect()
     for t in ("embeddings", "lineitem"):
