@@ -154,3 +154,36 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import scores
 
     return scores(table(spark, sf_dir, "documents"), order=5)
+
+
+@query("op12_merkle_manifest", """
+with recursive d as (select doc_id, coalesce('1' || source, '0') as k, cast(source as varchar) as source, cast(lang as varchar) as lang, n_chars, text,
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+  list_reduce([cast(ascii(c) as bigint) for c in string_split(cast(doc_id as varchar), '')], lambda crc, c:
+    list_reduce(range(8), lambda x, j: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, c)), 4294967295::bigint) as crc from documents),
+f as (select doc_id, k, crc, coalesce(octet_length(encode(cast(doc_id as varchar))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+  || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(cast(n_chars as varchar))) || ':' || n_chars, '-') as head,
+  coalesce(octet_length(encode(text)) || ':' || text, '-') as body, coalesce(octet_length(encode(low)) || ':' || low, '-') as low from d),
+l as (select doc_id, k, sha256(head || body) as leaf, case when xor(crc, 4294967295) % 5 = 0 then sha256(head || low) else sha256(head || body) end as used from f),
+r as (select *, row_number() over (order by k) as rid, row_number() over (partition by k order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by k) as n from l),
+nodes as (select k, 0 as lvl, i, n, leaf as h from r
+  union all select k, lvl + 1, i // 16, max((n + 15) // 16), sha256(string_agg(h, '' order by i)) from nodes where n > 1 group by k, lvl, i // 16),
+s as (select k, h as subroot, row_number() over (order by k) - 1 as i, count(*) over () as n from nodes where n = 1),
+tops as (select 0 as lvl, i, n, subroot as h from s
+  union all select lvl + 1, i // 16, max((n + 15) // 16), sha256(string_agg(h, '' order by i)) from tops where n > 1 group by lvl, i // 16),
+runs as (select k, lvl, i // 16 as p, list(h order by i) as hs from nodes where n > 1 group by all
+  union all select null, lvl, i // 16, list(h order by i) from tops where n > 1 group by all),
+low as (select rid, k, 0 as lvl, i, n, '' as proof, used as h from r
+  union all select rid, low.k, low.lvl + 1, i // 16, (n + 15) // 16,
+    proof || array_to_string(hs[1:i % 16], '') || array_to_string(hs[i % 16 + 2:], ''), sha256(array_to_string(hs[1:i % 16], '') || h || array_to_string(hs[i % 16 + 2:], ''))
+  from low join runs on runs.k = low.k and runs.lvl = low.lvl and p = i // 16 where n > 1),
+high as (select rid, subroot, 0 as lvl, s.i, s.n, proof, low.h from low join s using (k) where low.n = 1
+  union all select rid, subroot, high.lvl + 1, i // 16, (n + 15) // 16,
+    proof || array_to_string(hs[1:i % 16], '') || array_to_string(hs[i % 16 + 2:], ''), sha256(array_to_string(hs[1:i % 16], '') || h || array_to_string(hs[i % 16 + 2:], ''))
+  from high join runs on runs.k is null and runs.lvl = high.lvl and p = i // 16 where n > 1),
+root as (select h as root from tops where n = 1)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, high.h as folded_root, high.h = root as verified from r join high using (rid) cross join root where high.n = 1""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest, verified
+
+    return verified(manifest(table(spark, sf_dir, "documents")))
