@@ -187,3 +187,18 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import manifest, verified
 
     return verified(manifest(table(spark, sf_dir, "documents")))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op13_neighbours")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import neighbours
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours(vectors, vectors.where("vec_id % 20 = 0"), k=20)
