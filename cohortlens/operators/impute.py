@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut_lineage
 from .features import holdout
 from .inference import bootstrap_ci
-from .models import lasso_path, naive_bayes_stack, univariate_fit, univariate_scores
+from .models import naive_bayes_stack, univariate_fit, univariate_scores
 from .ordered import quantile_columns
+from .paths import lasso_cv
 from .profile import missing_profile, mode_of
 from .ranking import auc, div
 from .thresholds import pr_grid, threshold_balance
@@ -113,16 +114,41 @@ def impute_multiclass(df: DataFrame, col: str, classes: list[str], cats: list[st
         *[F.coalesce(F.col(c), F.col("_pick")).alias(c) if c == col else F.col(c) for c in df.columns])
 
 
-def regression_impute(train: DataFrame, target: DataFrame, features: list[str], col: str, fold_col: str, k: int,
-                      lambdas: list[float], binary: bool = False) -> DataFrame:
+def regression_impute(train: DataFrame, target: DataFrame, features: list[str], col: str, fold_col: str, lambdas: list[float] | None = None,
+                      binary: bool = False) -> DataFrame:
     """Fill ``col`` of the target table by a cross-validated lasso; a 0/1 column is cut at the quantile of
     the training scores that keeps the training prevalence. Every row of the target stays; one with a NULL
     feature keeps its NULL."""
-    model, _, _ = lasso_path(train, features, col, fold_col, k, lambdas, "linear")
-    fitted = model.transform(target).select(*target.columns, F.when(~F.isnan("prediction"), F.col("prediction")).alias("_p"))
+    path = lasso_cv(train, features, col, fold_col, lambdas=lambdas)
+    fitted = path.predict(target, "_p")
     if not binary:
         return fitted.select(*[F.coalesce(F.col(c), F.col("_p")).alias(c) if c == col else F.col(c) for c in target.columns])
     prevalence = float(train.agg(F.avg(F.col(col).cast("double"))).first()[0])
-    own = model.transform(train).filter(~F.isnan("prediction")).select(F.col("prediction").alias("_p"))
+    own = path.predict(train, "_p").filter(F.col("_p").isNotNull()).select("_p")
     cut = quantile_columns(own, [], "_p", {"q": 1 - prevalence}).select("q").scalar()
     return fitted.select(*[F.coalesce(F.col(c), (F.col("_p") >= cut).cast("int")).alias(c) if c == col else F.col(c) for c in target.columns])
+
+
+def lasso_impute(train: DataFrame, target: DataFrame, nums: list[str], cats: list[str], col: str, fold_col: str, id_col: str, binary: bool = False,
+                 held: float = 0.1, seed: int = 1234) -> tuple[DataFrame, DataFrame]:
+    """Fill ``col`` of the target table by a cross-validated lasso on numbers and one-hot levels.
+
+    A tenth of the training rows (by id) is held out of the fit and gives the quality: (col, metric, value), R-squared of
+    a number, AUROC of a 0/1 column. A 0/1 column is cut at the quantile of the training scores that keeps the training
+    prevalence. Every row of the target stays; a NULL or unseen level counts as none; beside a NULL number the NULL stays.
+    """
+    known = holdout(train.filter(F.col(col).isNotNull()), held, id_col, seed, "_held")
+    fitted, test = known.filter("_held = 0"), known.filter("_held = 1")
+    path = lasso_cv(fitted, nums, col, fold_col, cats)
+    scored = path.predict(target, "_p")
+    checked = path.predict(test, "_p").filter(F.col("_p").isNotNull()).select(F.col(col).cast("double").alias("y"), "_p")
+    if binary:
+        value = auc(checked.withColumn("y", F.col("y").cast("bigint")), [], "y", "_p").select(F.col("auc").alias("value"))
+        prevalence = float(fitted.agg(F.avg(F.col(col).cast("double"))).first()[0])
+        cut = quantile_columns(path.predict(fitted, "_p").filter(F.col("_p").isNotNull()), [], "_p", {"q": 1 - prevalence}).select("q").scalar()
+        fill = (F.col("_p") >= cut).cast(target.schema[col].dataType)
+    else:
+        value = checked.agg((1 - div(F.sum((F.col("y") - F.col("_p")) ** 2), F.count("y") * F.var_pop("y"))).alias("value"))
+        fill = F.col("_p").cast(target.schema[col].dataType)
+    quality = value.select(F.lit(col).alias("col"), F.lit("auc" if binary else "r2").alias("metric"), "value")
+    return scored.select(*[F.coalesce(F.col(c), fill).alias(c) if c == col else F.col(c) for c in target.columns]), quality

@@ -18,7 +18,6 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -27,6 +26,7 @@ from ..session import cut_lineage
 from .features import permute
 from .inference import fdr
 from .joins import sample_pairs
+from .paths import sqrt_lasso_stop
 from .ranking import auc, div
 
 ITERATIONS = 7
@@ -486,23 +486,21 @@ def discriminant(train: DataFrame, df: DataFrame, features: list[str], label: st
     return df.withColumn("_best", best).withColumn(out, F.col("_best.k")).withColumn(f"{out}_logp", F.col("_best.logp")).drop("_best")
 
 
-def lasso_path(df: DataFrame, features: list[str], y: str, fold_col: str, k: int, lambdas: list[float],
-               kind: str = "linear") -> tuple[PipelineModel, float, list[tuple[float, float, float]]]:
-    """Lasso over a penalty grid with given folds; the largest penalty within one SE of the best is refitted.
+def lasso_path(df: DataFrame, features: list[str], y: str, fold_col: str, k: int, lambdas: list[float]) -> tuple[PipelineModel, float, list[tuple[float, float, float]]]:
+    """Logistic lasso over a penalty grid with given folds; the largest penalty within one SE of the best is refitted.
+    Linear targets take ``paths.lasso_cv``, which needs one pass for all penalties and folds.
 
     Returns (model, chosen penalty, [(penalty, mean error, se)]). Rows with a NULL feature or target are not fitted.
     """
     df = df.dropna(subset=[*features, y])
+
     def make(lam):
-        est = (LinearRegression(labelCol=y, elasticNetParam=1.0, regParam=lam, maxIter=50) if kind == "linear"
-               else LogisticRegression(labelCol=y, elasticNetParam=1.0, regParam=lam, maxIter=50))
-        return _assembled(features, est)
+        return _assembled(features, LogisticRegression(labelCol=y, elasticNetParam=1.0, regParam=lam, maxIter=50))
 
     def error(job):
         lam, fold = job
         m = make(lam).fit(df.filter(F.col(fold_col) != fold)).transform(df.filter(F.col(fold_col) == fold))
-        pred = F.col("prediction") if kind == "linear" else vector_to_array("probability")[1]
-        return m.agg(F.avg((F.col(y) - pred) ** 2)).first()[0]
+        return m.agg(F.avg((F.col(y) - vector_to_array("probability")[1]) ** 2)).first()[0]
 
     jobs = [(lam, f) for lam in lambdas for f in range(k)]
     with ThreadPoolExecutor(4) as pool:
@@ -527,19 +525,13 @@ def multi_output_logit(df: DataFrame, features: list[str], labels: list[str], id
     return score_grouped(long, coef, ["label"], ["eta"])
 
 
-def sqrt_lasso_logit(df: DataFrame, features: list[str], y: str, lambdas: list[float], target: float) -> tuple[list[str], PipelineModel]:
-    """First penalty of a decreasing path with n * lambda / residual norm below the target, then an
-    unpenalised logistic fit on its support. Rows with a NULL feature or target are not fitted."""
-    df = df.dropna(subset=[*features, y])
-    n = df.count()
-    support = features
-    for lam in sorted(lambdas, reverse=True):
-        m = _assembled(features, LinearRegression(labelCol=y, elasticNetParam=1.0, regParam=lam, standardization=True, maxIter=100)).fit(df)
-        norm = m.transform(df).agg(F.sqrt(F.sum((F.col(y) - F.col("prediction")) ** 2))).first()[0]
-        support = [c for c, b in zip(features, m.stages[-1].coefficients.toArray()) if abs(b) > 1e-10]
-        if n * lam / norm < target and support:
-            break
-    return support, _assembled(support or features, LogisticRegression(labelCol=y, regParam=0.0, maxIter=100)).fit(df)
+def sqrt_lasso_logit(df: DataFrame, features: list[str], y: str, lambdas: list[float] | None, target: float) -> tuple[list[str], PipelineModel, str]:
+    """First penalty of a decreasing path with n * lambda / residual norm below the target, then an unpenalised logistic fit
+    on its support: (support, model, rule). rule is 'target', or 'end' where no penalty met it and the last support is
+    taken; an empty support then leaves all features. Rows with a NULL feature or target are not fitted."""
+    stop = sqrt_lasso_stop(df, features, y, target, lambdas=lambdas)
+    model = _assembled(stop.names or features, LogisticRegression(labelCol=y, regParam=0.0, maxIter=100)).fit(df.dropna(subset=[*features, y]))
+    return stop.names, model, stop.rule
 
 
 # --- concordance regression and importance (L15, L18) ------------------------------------------------------

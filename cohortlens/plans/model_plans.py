@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import features as K, impute as Im, inference as I, models as M, monitor as Mo, ranking as R, windows as W
+from ..operators import features as K, impute as Im, inference as I, models as M, monitor as Mo, paths as P, ranking as R, windows as W
 from ..streaming.monitor_stream import work_folder
 from .clean_plans import DIRTY_SQL, dirty
 from .inference_plans import sql_norm_cdf
@@ -185,9 +185,9 @@ def _(t):
 def _(t):
     train, test = split(t)
     d = K.kfold(train.withColumn("y", F.col("y").cast("double")), 3, ["g"], "caseid", 5)
-    model, chosen, _ = M.lasso_path(d, X, "y", "fold", 3, [0.2, 0.05, 0.01])
-    s = model.transform(test)
-    return _auc_of(s.select("g", "y", F.col("prediction").alias("preds")), "lasso").withColumn("lambda", F.lit(chosen))
+    path = P.lasso_cv(d, X, "y", "fold", lambdas=[0.2, 0.05, 0.01])
+    s = path.predict(test, "preds")
+    return _auc_of(s.select("g", "y", "preds"), "lasso").withColumn("lambda", F.lit(float(path.lambdas[path.chosen])))
 
 
 @query("logit_inference", "L14")
@@ -230,8 +230,8 @@ def _(t):
 @query("sqrt_lasso_logit", "L17")
 def _(t):
     train, test = split(t)
-    support, model = M.sqrt_lasso_logit(train, X, "y", [0.3, 0.1, 0.03, 0.01], 3.0)
-    return _auc_of(M.score(model, test), "sqrt_lasso").withColumn("support", F.lit(",".join(support)))
+    support, model, rule = M.sqrt_lasso_logit(train, X, "y", [0.3, 0.1, 0.03, 0.01], 3.0)
+    return _auc_of(M.score(model, test), "sqrt_lasso").withColumn("support", F.lit(",".join(support))).withColumn("rule", F.lit(rule))
 
 
 @query("importance_null", "L18,J20")
@@ -319,7 +319,7 @@ def _(t):
 def _(t):
     d = K.kfold(model_table(t).withColumn("v", (F.col("x1") * 2 + F.col("x2") + F.col("x3")).cast("double")), 3, [], "caseid", 5)
     target = d.filter("yr >= 2000").withColumn("truth", F.col("v")).withColumn("v", F.when(F.col("caseid") % 4 != 0, F.col("v")))
-    out = Im.regression_impute(d.filter("yr < 2000"), target, X, "v", "fold", 3, [0.1, 0.01])
+    out = Im.regression_impute(d.filter("yr < 2000"), target, X, "v", "fold", [0.1, 0.01])
     return rounded(out.agg(F.count("v").alias("n"), F.corr("v", "truth").alias("rho")), 4)
 
 
@@ -327,7 +327,7 @@ def _(t):
 def _(t):
     d = K.kfold(model_table(t).withColumn("v", F.col("y").cast("int")), 3, [], "caseid", 5)
     target = d.filter("yr >= 2000").withColumn("v", F.lit(None).cast("int"))
-    out = Im.regression_impute(d.filter("yr < 2000"), target, X, "v", "fold", 3, [0.1, 0.01], binary=True)
+    out = Im.regression_impute(d.filter("yr < 2000"), target, X, "v", "fold", [0.1, 0.01], binary=True)
     return rounded(out.groupBy("v", "y").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -94,5 +94,5 @@ def test_imputation_keeps_all_rows(cohort):
     assert unchanged(cohort, filled, "v") and filled.filter("v is null and x is not null").count() == 0
     filled = P.impute_multiclass(cohort, "cat", ["lo", "mid", "hi"], ["c"], ["x", "z"], "id")
     assert unchanged(cohort, filled, "cat") and filled.filter("cat is null").count() == 0
-    filled = P.regression_impute(cohort.filter("v is not null"), cohort, ["x", "z"], "v", "fold", 3, [0.1, 0.01])
+    filled = P.regression_impute(cohort.filter("v is not null"), cohort, ["x", "z"], "v", "fold", [0.1, 0.01])
     assert unchanged(cohort, filled, "v") and all((r["v"] is None) == (r["x"] is None or r["z"] is None) for r in filled.filter("id % 4 = 1").collect())
