@@ -3,8 +3,8 @@
 Both tokenizers cut space + text into tokens; where tokens of both end, a group ends; an A and a B token whose bytes overlap
 are linked. Between two neighbouring token ends of either kind lies exactly one link, so links are read off the merged ends.
 
-1. Texts are cut before spaces that follow a character which is no white space: no token of either kind reaches across, so a
-   stretch is coded by the libraries once for each part of a task's texts, whatever the number of its copies.
+1. Texts are cut before spaces and line ends that follow a character which is no white space: no token of either kind
+   reaches across, so a stretch is coded by the libraries once and kept, as long as it comes again, for a worker's later texts.
 2. Documents of a task are numbered in blocks. For every linked id pair a block has one posting: a compressed bitmap of its
    documents and multiplicity planes (plane k: documents where bit k of the link count less one is set). Parts of a long
    document are merged into the one bit it has. Blocks are disjoint, so the corpus-wide OR of a pair's bitmaps is their
@@ -21,6 +21,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,11 @@ from .common import ragged, slices, text_bytes, text_column, written
 from .token_counts import _byte_of_symbol
 
 #: Bytes of text coded at once; a longer text is coded in parts of about this size.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
+#: Coded stretches that a worker keeps; then those met once or not since the last time are dropped.
+KEPT = 250_000
 #: A block ends at so many documents (positions are 16 bits) or so many (document, pair) entries.
-BLOCK_DOCS, BLOCK_ENTRIES = 1 << 16, 1_500_000
+BLOCK_DOCS, BLOCK_ENTRIES = 1 << 16, 1_200_000
 #: Rows numbered together; fewer than a block's documents.
 BATCH_ROWS = 8192
 #: Last two bytes of white space characters beyond ASCII (and of some that were white space once); no cut follows them.
@@ -71,6 +74,9 @@ class Pair:
                 raise ValueError(f"{path_b}: its normaliser changes texts")
         self.table_a, self.table_b = self._table(bytes_a), self._table(bytes_b)
         self.lone = self.b.piece_to_id("▁")
+        #: whether no piece of B holds a line end beside something else, so that texts may be cut there
+        self.lines = not any(b"\n" in p and p != b"\n" for p in bytes_b.values())
+        self.store = Store(self)
 
     @staticmethod
     def _table(found: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,11 +86,11 @@ class Pair:
         return np.cumsum(size) - size, size, np.frombuffer(b"".join(rows), np.uint8)
 
     def ids(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """A's and B's ids of stretches that begin with a space."""
+        """A's and B's ids of stretches that begin with a space or a line end."""
         a = [x.ids for x in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
-        # the library adds the first space itself, but not to an empty text
-        b = [x or [self.lone] for x in self.b.encode([x[1:] for x in stretches], num_threads=1)]
-        return a, b
+        # the library adds a first space itself, though not to an empty text; before a line end it is a piece of its own
+        b = self.b.encode([x[1:] if x[0] == " " else x for x in stretches], num_threads=1)
+        return a, [(y or [self.lone]) if x[0] == " " else y[1:] for x, y in zip(stretches, b)]
 
 
 @lru_cache(2)
@@ -92,15 +98,16 @@ def pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def safe_cuts(data: np.ndarray) -> np.ndarray:
-    """Places of spaces that follow a character which is no white space: tokens of both kinds begin there."""
-    at = np.flatnonzero(data[1:] == 32) + 1
+def safe_cuts(data: np.ndarray, lines: bool) -> np.ndarray:
+    """Places of spaces (lines: and line ends) that follow a character which is no white space: tokens of both kinds begin there."""
+    here = data[1:] == 32
+    at = np.flatnonzero(here | (data[1:] == 10) if lines else here) + 1
     last = data[at - 1]
     two = data[np.maximum(at - 2, 0)].astype(np.uint16) << 8 | last
     return at[((last > 32) & (last < 127)) | ((last >= 128) & ~np.isin(two, SPACES))]
 
 
-def parts_of(texts: pa.Array, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+def parts_of(texts: pa.Array, most: int, lines: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
     """(texts' numbers, bytes, where each begins, last part of them?): space + text for all texts that are not empty, some
     at a time, a long one in parts that are cut at safe places."""
     for a, b in slices(texts, most):
@@ -117,7 +124,7 @@ def parts_of(texts: pa.Array, most: int) -> Iterator[tuple[np.ndarray, np.ndarra
         while start < len(data):
             end, reach = len(data), most
             while start + reach < len(data):
-                cuts = safe_cuts(data[start:start + reach])
+                cuts = safe_cuts(data[start:start + reach], lines)
                 if len(cuts):
                     end = start + int(cuts[-1])
                     break
@@ -126,40 +133,86 @@ def parts_of(texts: pa.Array, most: int) -> Iterator[tuple[np.ndarray, np.ndarra
             start = end
 
 
-class Coded:
-    """The stretches of a part: distinct ones coded, with groups and links."""
-
-    def __init__(self, both: Pair, data: np.ndarray, starts: np.ndarray):
-        begin = np.union1d(safe_cuts(data), starts)
-        made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data.tobytes())]).dictionary_encode()
-        self.seq = made.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.text_of = np.searchsorted(starts, begin, side="right") - 1
-        stretches = made.dictionary.cast(pa.large_string()).to_pylist()
-        off, raw = text_bytes(made.dictionary)
-        ids_a, ids_b = both.ids(stretches)
-        n = len(stretches)
-        self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, n) for x in (ids_a, ids_b))
-        a, b = (np.fromiter((i for x in y for i in x), np.int64) for y in (ids_a, ids_b))
-        self.ok = self._joined(both.table_a, a, self.size_a, off, raw) & self._joined(both.table_b, b, self.size_b, off, raw)
+def merged_sets(*parts: np.ndarray) -> np.ndarray:
+    """The distinct values of ascending arrays, ascending."""
+    all_ = np.sort(np.concatenate(parts), kind="stable")
+    return all_[np.append(True, all_[1:] != all_[:-1])] if len(all_) else all_
+
+
+class Store:
+    """Coded stretches: sizes, groups and links of each."""
+
+    def __init__(self, both: "Pair"):
+        self.both = both
+        self._keep(np.zeros(0, np.int64), None)
+
+    def _keep(self, at: np.ndarray, old: "Store | None") -> None:
+        """Only the stretches at these places stay."""
+        if old is None:
+            self.place: dict[bytes, int] = {}
+            self.size_a, self.size_b, self.groups, self.links, self.used = (np.zeros(0, np.int64) for _ in range(5))
+            self.ok, self.said = np.zeros(0, bool), np.zeros(0, object)
+            self.link_a, self.link_b, self.first = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+            return
+        keys = np.fromiter(self.place, object, len(self.place))[at]
+        flat = ragged(self.first[at], self.links[at])
+        self.link_a, self.link_b = self.link_a[flat], self.link_b[flat]
+        for name in ("size_a", "size_b", "groups", "links", "ok", "said"):
+            setattr(self, name, getattr(self, name)[at])
+        self.first = np.cumsum(self.links) - self.links
+        self.used = np.zeros(len(at), np.int64)
+        self.place = dict(zip(keys.tolist(), range(len(at))))
+
+    def places(self, stretches: list[bytes], times: np.ndarray) -> np.ndarray:
+        """Place of each of these distinct stretches; new ones are coded. Places hold until the next call."""
+        if len(self.place) > KEPT:
+            self._keep(np.flatnonzero(self.used > 1), self)
+        if len(self.place) > KEPT:  # all of them come again and again
+            self._keep(np.zeros(0, np.int64), None)
+        get = self.place.get
+        at = np.fromiter((get(x, -1) for x in stretches), np.int64, len(stretches))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            known = len(self.place)
+            fresh = [stretches[i] for i in new.tolist()]
+            self._add(fresh)
+            at[new] = np.arange(known, known + len(new))
+            self.place.update(zip(fresh, range(known, known + len(new))))
+        self.used[at] += times
+        return at
+
+    def _add(self, stretches: list[bytes]) -> None:
+        both, n = self.both, len(stretches)
+        ids_a, ids_b = both.ids([x.decode() for x in stretches])
+        size_a, size_b = (np.fromiter(map(len, x), np.int64, n) for x in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(m.sum())) for x, m in ((ids_a, size_a), (ids_b, size_b)))
+        width = np.fromiter(map(len, stretches), np.int64, n)
+        off, raw = np.concatenate(([0], np.cumsum(width))), np.frombuffer(b"".join(stretches), np.uint8)
+        ok = self._joined(both.table_a, a, size_a, off, raw) & self._joined(both.table_b, b, size_b, off, raw)
         # ends of tokens, for stretches whose bytes come back; the others' texts have no tokens
-        keep_a, keep_b = np.repeat(self.ok, self.size_a), np.repeat(self.ok, self.size_b)
-        self.size_a, self.size_b = self.size_a * self.ok, self.size_b * self.ok
+        keep_a, keep_b = np.repeat(ok, size_a), np.repeat(ok, size_b)
+        size_a, size_b = size_a * ok, size_b * ok
         a, b = a[keep_a], b[keep_b]
         end_a, end_b = np.cumsum(both.table_a[1][a]), np.cumsum(both.table_b[1][b])
-        ends = np.union1d(end_a, end_b)
-        stretch_end = np.cumsum(np.diff(off) * self.ok)
-        self.link_a, self.link_b = a[np.searchsorted(end_a, ends)], b[np.searchsorted(end_b, ends)]
-        self.links = np.bincount(np.searchsorted(stretch_end, ends), minlength=n)
-        common, at_a, at_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
-        owner = np.searchsorted(stretch_end, common)
-        self.groups = np.bincount(owner, minlength=n)
+        ends = merged_sets(end_a, end_b)
+        stretch_end = np.cumsum(width * ok)
+        links = np.bincount(np.searchsorted(stretch_end, ends), minlength=n)
+        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        common = (end_a[at_a] == ends) & (end_b[at_b] == ends)
+        groups = np.bincount(np.searchsorted(stretch_end, ends[common]), minlength=n)
+        to_a, to_b = at_a[common] + 1, at_b[common] + 1
         text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
         said, i, j = [], 0, 0
-        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-            said.append(f"{','.join(text_a[i:x])}|{','.join(text_b[j:y])}")
+        for x, y in zip(to_a.tolist(), to_b.tolist()):
+            said.append(f"{text_a[i] if x - i == 1 else ','.join(text_a[i:x])}|{text_b[j] if y - j == 1 else ','.join(text_b[j:y])}")
             i, j = x, y
-        to = np.cumsum(self.groups)
-        self.said = np.array([";".join(said[x:y]) for x, y in zip((to - self.groups).tolist(), to.tolist())], object)
+        to = np.cumsum(groups)
+        joined = np.empty(n, object)
+        joined[:] = [said[x] if y - x == 1 else ";".join(said[x:y]) for x, y in zip((to - groups).tolist(), to.tolist())]
+        self.first = np.concatenate((self.first, len(self.link_a) + np.cumsum(links) - links))
+        for name, more in (("size_a", size_a), ("size_b", size_b), ("groups", groups), ("links", links), ("used", np.zeros(n, np.int64)), ("ok", ok), ("said", joined),
+                           ("link_a", a[at_a].astype(np.int32)), ("link_b", b[at_b].astype(np.int32))):
+            setattr(self, name, np.concatenate((getattr(self, name), more)))
 
     @staticmethod
     def _joined(table: tuple, ids: np.ndarray, sizes: np.ndarray, off: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -175,6 +228,20 @@ class Coded:
         return ok
 
 
+class Coded:
+    """The stretches of a part in order (seq: places in the worker's store) with the texts they are of."""
+
+    def __init__(self, both: Pair, data: np.ndarray, starts: np.ndarray):
+        begin = merged_sets(safe_cuts(data, both.lines), starts)
+        made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data.tobytes())]).dictionary_encode()
+        local = made.indices.to_numpy(zero_copy_only=False)
+        self.seq = both.store.places(made.dictionary.to_pylist(), np.bincount(local, minlength=len(made.dictionary)))[local]
+        self.text_of = np.searchsorted(starts, begin, side="right") - 1
+        for name in ("size_a", "size_b", "groups", "links", "ok", "said"):
+            setattr(self, name, getattr(both.store, name))
+        self.store = both.store
+
+
 class Block:
     """Entries (pair, document, links) of some documents, and their bitmaps."""
 
@@ -292,7 +359,7 @@ def _align(path_a: str, path_b: str):
                 block = Block(task << 32 | made)
 
             running = None  # hash, whether anything was said, entries of a text that comes in parts
-            for rows, data, starts, last in parts_of(texts, PART_BYTES):
+            for rows, data, starts, last in parts_of(texts, PART_BYTES, both.lines):
                 fresh = running is None
                 # documents of a part stand in one block: close it before, if they would not fit
                 if fresh and (block.docs + int(rows[-1]) + 1 - given > BLOCK_DOCS or block.entries >= BLOCK_ENTRIES):
@@ -316,14 +383,18 @@ def _align(path_a: str, path_b: str):
                     running[0].update((b";" if not fresh else b"") + ";".join(said.tolist()).encode())
                     running[1] |= bool(bad.any())
                 # (stretch, text) -> links of each pair in each text
-                per, times = np.unique(coded.text_of * len(coded.ok) + coded.seq, return_counts=True)
+                per = np.sort(coded.text_of * len(coded.ok) + coded.seq)
+                new = np.flatnonzero(np.append(True, per[1:] != per[:-1]))
+                per, times = per[new], np.diff(np.append(new, len(per)))
                 per, times = per[~bad[per // len(coded.ok)]], times[~bad[per // len(coded.ok)]]
                 text, stretch = per // len(coded.ok), per % len(coded.ok)
-                local, inverse = np.unique(coded.link_a << 32 | coded.link_b, return_inverse=True)
-                first = np.cumsum(coded.links) - coded.links
-                key = np.repeat(text, coded.links[stretch]) * len(local) + inverse[ragged(first[stretch], coded.links[stretch])]
+                each = coded.links[stretch]
+                flat = ragged(coded.store.first[stretch], each)
+                pairs = coded.store.link_a[flat].astype(np.int64) << 32 | coded.store.link_b[flat]
+                local, inverse = np.unique(pairs, return_inverse=True)
+                key = np.repeat(text, each) * len(local) + inverse
                 order = np.argsort(key, kind="stable")
-                key, weight = key[order], np.repeat(times, coded.links[stretch])[order]
+                key, weight = key[order], np.repeat(times, each)[order]
                 entry = None
                 if len(key):
                     new = np.flatnonzero(np.append(True, np.diff(key) != 0))
