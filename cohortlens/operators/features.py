@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer
+from pyspark.ml.param.shared import HasInputCols
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.draws import draw_bits, draw_index, draw_uniform
@@ -24,31 +26,27 @@ def column_kinds(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")
 
 
-class ModeDropEncoder:
-    """One-hot without the most frequent level; levels unseen in training count as the most frequent."""
+class ModeDropEncoder(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """One-hot without the most frequent level (columns <col>_vec); levels unseen in training count as the most frequent.
 
-    def __init__(self, cols: list[str]):
-        self.cols = cols
+    A pipeline stage; what fit() returns is made of stages that Spark reads and writes.
+    """
+
+    def __init__(self, cols: list[str] | None = None):
+        super().__init__()
+        if cols is not None:
+            self._set(inputCols=list(cols))
 
-    def fit(self, train: DataFrame) -> "ModeDropEncoder":
-        self.indexer = StringIndexer(inputCols=self.cols, outputCols=[f"_i_{c}" for c in self.cols],
-                                     stringOrderType="frequencyAsc", handleInvalid="keep").fit(train)
+    def _fit(self, train: DataFrame) -> PipelineModel:
+        cols = self.getInputCols()
+        indexer = StringIndexer(inputCols=cols, outputCols=[f"_i_{c}" for c in cols], stringOrderType="frequencyAsc", handleInvalid="keep").fit(train)
         # the last level is the most frequent; unseen values come after it and are folded onto it
-        self.sizes = [len(levels) for levels in self.indexer.labelsArray]
-        seen = self._indexed(train)
-        self.encoder = OneHotEncoder(inputCols=[f"_i_{c}" for c in self.cols],
-                                     outputCols=[f"{c}_vec" for c in self.cols], dropLast=True).fit(seen)
-        return self
-
-    def _indexed(self, df: DataFrame) -> DataFrame:
-        out = self.indexer.transform(df)
-        for c, k in zip(self.cols, self.sizes):  # schema-sized loop
-            meta = {"ml_attr": {"type": "nominal", "num_vals": k}}
-            out = out.withColumn(f"_i_{c}", F.least(F.col(f"_i_{c}"), F.lit(float(k - 1))).alias(f"_i_{c}", metadata=meta))
-        return out
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.encoder.transform(self._indexed(df)).drop(*[f"_i_{c}" for c in self.cols])
+        folds = ", ".join(f"least(`_i_{c}`, {float(max(len(levels), 1) - 1)}D) AS `_m_{c}`" for c, levels in zip(cols, indexer.labelsArray))
+        folded = SQLTransformer(statement=f"SELECT *, {folds} FROM __THIS__")
+        seen = folded.transform(indexer.transform(train))
+        encoder = OneHotEncoder(inputCols=[f"_m_{c}" for c in cols], outputCols=[f"{c}_vec" for c in cols], dropLast=True).fit(seen)
+        dropped = ", ".join(f"`_i_{c}`, `_m_{c}`" for c in cols)
+        return PipelineModel([indexer, folded, encoder, SQLTransformer(statement=f"SELECT * EXCEPT ({dropped}) FROM __THIS__")])
 
 
 def one_hot_pipeline(cols: list[str]) -> Pipeline:

@@ -153,3 +153,23 @@ def sql_decompose(src: str, keys: str, g: str, name: str = "dec", s: str = "scor
 def sql_bits(*parts: str) -> str:
     """SQL twin of functions.draws.draw_bits."""
     return f"cast(concat('0x', substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13)) as bigint)"
+
+
+def sql_logit(name: str, src: str, keys: str, p: int, ridge: str = "0.0", steps: int = 600, momentum: float = 0.8) -> str:
+    """CTEs ending in ``name``(keys, b): logistic regression by keys on ``src``(keys, y, x), x a list of p doubles with x[1] = 1.
+
+    Accelerated gradient steps of the length that the bound 1/4 on the curvature allows; the intercept is not penalised.
+    ``ridge`` is the penalty on all rows together (half of it times the squared coefficients), an expression of n.
+    """
+    span = range(1, p + 1)
+    zeros = "[" + ", ".join(["0.0::double"] * p) + "]"
+    grad = ", ".join(f"sum(x[{j}] * (1 / (1 + exp(-list_dot_product(b, x))) - y))" + ("" if j == 1 else f" + max(r) * max(b[{j}])") for j in span)
+    move = ", ".join(f"b[{j}] - gradient[{j}] / (n * curve)" for j in span)
+    push = ", ".join(f"nv[{j}] + {momentum} * (nv[{j}] - v[{j}])" for j in span)
+    return f"""{name}_n as materialized (select {keys}, cast(count(*) as double) as n, ({' + '.join(f'avg(x[{j}] * x[{j}])' for j in span)}) / 4 + cast({ridge.replace('n', 'count(*)')} as double) / count(*) as curve,
+    cast({ridge.replace('n', 'count(*)')} as double) as r from {src} group by {keys}),
+{name}_o as (select {keys}, 0 as t, {zeros} as b, {zeros} as v from {name}_n
+  union all select {keys}, t + 1, [{push}], nv from (select {keys}, t, v, [{move}] as nv from (
+    select {keys}, max(t) as t, any_value(b) as b, any_value(v) as v, max(n) as n, max(curve) as curve, [{grad}] as gradient
+    from {name}_o join {name}_n using ({keys}) join {src} using ({keys}) where t < {steps} group by {keys}))),
+{name} as (select {keys}, v as b from {name}_o where t = {steps})"""
