@@ -21,11 +21,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.draws import draw_bits
 from .common import free_name, written
 
 #: White space that parts words.
 GAP = "\\x20\\x09-\\x0D"
-#: Low bits of a packed window that hold its place in the text.
+#: Low bits of a packed window that hold its place in the text; a text of more words has all its windows compared as words.
 PLACE = 27
 #: One good document in so many chooses the nested family; the others test it.
 DESIGN = 5
@@ -63,8 +64,10 @@ def metrics(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     same = lambda a, b: (word(a) == word(b)) & (word(a + 1) == word(b + 1)) & (word(a + 2) == word(b + 2))
     # words are compared in full: neighbours of one hash that differ send the text the longer way
     clash = F.exists(F.transform("_d", lambda k, j: (tag(k) == tag(F.get("_d", j - 1))) & ~same(place(k), place(F.get("_d", j - 1)))), lambda x: x)
-    made = made.withColumn("_clash", F.coalesce(clash, F.lit(False)))
-    strings = F.array_sort(F.transform("_d", lambda k: F.struct(word(place(k)).alias("a"), word(place(k) + 1).alias("b"), word(place(k) + 2).alias("c"), place(k).alias("p"))))
+    long_ = F.size("_w") > (1 << PLACE)
+    made = made.withColumn("_clash", long_ | F.coalesce(clash, F.lit(False)))
+    at = F.when(long_, F.sequence(F.lit(0), F.size("_w") - 3)).otherwise(F.transform("_d", place))
+    strings = F.array_sort(F.transform(at, lambda p: F.struct(word(p).alias("a"), word(p + 1).alias("b"), word(p + 2).alias("c"), p.alias("p"))))
     made = made.withColumn("_s", F.when(F.col("_clash"), strings))
     alike = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
     exact = F.transform(F.filter("_s", lambda x, j: F.coalesce(alike(x, F.get("_s", j - 1)), F.lit(False)) | F.coalesce(alike(x, F.get("_s", j + 1)), F.lit(False))), lambda x: x["p"])
@@ -143,7 +146,7 @@ def nested_cutoffs(measured: DataFrame, labels: DataFrame, id: str, stratum: str
     """
     lab = labels.where(F.col(quality).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg((F.max(quality) > 0).alias("good"))
     held = measured.where("not base_failed").join(lab, measured[id] == lab["_id"])
-    use = F.when(~F.col("good"), "bad").when(F.pmod(F.xxhash64("_id"), F.lit(DESIGN)) == 0, "design").otherwise("test")
+    use = F.when(~F.col("good"), "bad").when(draw_bits(F.col("_id")) % DESIGN == 0, "design").otherwise("test")
     # steps run from the laxest cutoff (0); a row's step in a rule is the first that rejects it, null if none does
     steps = {r: sorted(x[3], reverse=x[2] == "above") for r, x in rules.items()}
     first = lambda r: F.array_position(F.transform(F.array(*[F.lit(g).cast("bigint") for g in steps[r]]), lambda g: _rejects(*_sides(rules[r]), g)), True)

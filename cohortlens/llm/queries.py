@@ -67,11 +67,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quality_sql() -> str:
-    from .quality_rules import RULES
-
-    grid = ", ".join(f"('{r}', '{num}', '{den}', '{side}', {c})" for r, (num, den, side, cuts) in RULES.items() for c in cuts)
-    value = lambda which: f"case {which} when 'n_symbols' then n_symbols when 'n_dup_lines' then n_dup_lines when 'n_repeat_words' then n_repeat_words when 'word_chars' then word_chars when 'n_lines' then n_lines else n_words end"
-    rejects = f"case when side = 'above' then {value('num')} * 1000 > cutoff * {value('den')} else {value('num')} * 1000 < cutoff * {value('den')} end"
+    from .quality_rules import DESIGN, RULES
+
+    # steps of a rule run from its laxest cutoff
+    steps = {r: sorted(cuts, reverse=side == "above") for r, (_, _, side, cuts) in RULES.items()}
+    wide = max(map(len, steps.values())) + 1
+    first = ", ".join(f"nullif(coalesce(list_position(list_transform([{', '.join(map(str, steps[r]))}], lambda c: {num} * 1000 {'>' if side == 'above' else '<'} c * {den}), true), 0), 0)"
+                      for r, (num, den, side, _) in RULES.items())
+    tail = "list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln(0.02) + (n - j) * ln(1 - 0.02))))"
+    member = f"list_min(list_transform(list_zip(o, range(0, len(o))), lambda x: case when steps[x[1].rule] <= x[1].best then x[2] * {wide} + steps[x[1].rule] end))"
     return f"""
 with t as (select row_number() over () as r, doc_id, lang, coalesce(text, '') as text from documents),
 w as (select *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
@@ -81,27 +85,29 @@ rep as (select r, count(distinct i + j) as n from win cross join range(3) as q(j
 m as (select w.r, doc_id, lang, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
         cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(l) as bigint) as n_lines,
         cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, cast(coalesce(rep.n, 0) as bigint) as n_repeat_words from w left join rep using (r)),
-b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, [{first}] as steps from m),
 lab as (select doc_id, max(quality) > 0 as good from labels where quality is not null and doc_id is not null group by doc_id),
-held as (select b.*, good from b join lab using (doc_id) where not base_failed),
-rules as (select * from (values {grid}) as v(rule, num, den, side, cutoff)),
-tests as (select {sum(len(x[3]) for x in RULES.values())} * greatest(1, count(*)) as n from (select distinct lang from held)),
-tried as (select lang, rule, side, cutoff, count(*) filter (good and bad) as k, count(*) filter (not good and bad) as kb, count(*) filter (good) as n, count(*) filter (not good) as m
-          from (select held.lang, good, rule, side, cutoff, {rejects} as bad from held cross join rules) group by all),
-tail as (select *, coalesce(kb / nullif(m, 0)::double, 0) - 20 * k / greatest(n, 1)::double as gap,
-           list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln(0.02 / {len(RULES)}) + (n - j) * ln(1 - 0.02 / {len(RULES)})))) as p
-         from tried where n > 0 and k < n * 0.02 / {len(RULES)}),
-best as (select lang, rule, cutoff, row_number() over (partition by lang, rule order by round(gap, 9) desc, case when side = 'above' then -cutoff else cutoff end) as place
-         from tail cross join tests where p <= 0.05 / tests.n and gap > 0 and k + kb > 0),
-out as (select distinct b.r from b join best on b.lang is not distinct from best.lang and place = 1 join rules using (rule, cutoff) where {rejects})
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, not base_failed and out.r is null as kept from b left join out using (r)"""
+held as (select lang, steps, case when not good then 'bad' when cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 13) as bigint) % {DESIGN} = 0 then 'design' else 'test' end as part
+         from b join lab using (doc_id) where not base_failed),
+size as (select lang, count(*) filter (part = 'bad') as m, count(*) filter (part = 'design') as nd, count(*) filter (part = 'test') as n from held group by lang),
+step as (select unnest([{', '.join(f'[{i}, {s}]' for i, r in enumerate(RULES, 1) for s in range(1, len(steps[r]) + 1))}]) as rs),
+hit as (select lang, rs[1] as rule, rs[2] as s, count(*) filter (part = 'bad') as b, count(*) filter (part = 'design') as d from held join step on steps[rs[1]] <= rs[2] group by all),
+best as (select hit.lang, rule, s as best, round(coalesce(b / nullif(m, 0)::double, 0) - 20 * d / greatest(nd, 1)::double, 9) as gap from hit join size on hit.lang is not distinct from size.lang
+         where gap > 0 qualify row_number() over (partition by hit.lang, rule order by gap desc, s) = 1),
+fam as (select lang, list({{'rule': rule, 'best': best}} order by gap desc, rule) as o from best group by lang),
+cnt as (select held.lang, {member} as mem, count(*) filter (part = 'bad') as b, count(*) filter (part = 'test') as k from held join fam on held.lang is not distinct from fam.lang group by all having mem is not null),
+tried as (select cnt.lang, mem, m, n, cast(sum(b) over w as bigint) as kb, cast(sum(k) over w as bigint) as k from cnt join size on cnt.lang is not distinct from size.lang window w as (partition by cnt.lang order by mem)),
+taken as (select lang, mem as most, coalesce(kb / nullif(m, 0)::double, 0) - 20 * k / greatest(n, 1)::double as gain from tried
+          where n > 0 and k < n * 0.02 and {tail} <= 0.05 / (select greatest(1, count(*)) from size) and gain > 0 qualify row_number() over (partition by lang order by round(gain, 9) desc, mem) = 1),
+gone as (select b.r from b join fam on b.lang is not distinct from fam.lang join taken on b.lang is not distinct from taken.lang where {member} <= most)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, not base_failed and gone.r is null as kept from b left join gone using (r)"""
 
 
 @query("op7_quality_rules", _quality_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rejected_by")
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), nested=True).drop("rejected_by")
 
 
 @query("op2_license_scan")

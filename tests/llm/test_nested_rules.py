@@ -40,3 +40,12 @@ def test_guarantee_is_tested_on_the_others(spark, tables):
     good = {r.doc_id for r in mixed.where("quality = 1").collect()}
     assert sum(not r.kept for r in got if r.doc_id in good) <= 0.02 * len(good)
     assert all(r.kept for r in qr.judge(docs, lab.limit(0), nested=True).collect())
+
+
+def test_more_words_than_places(spark, monkeypatch):
+    """Texts with more words than a packed window can number are counted word by word."""
+    texts = ["a b c d a b c e", "x " * 40, "one two three four five six seven eight nine ten", "a b c " * 3 + "d e f g h i", None, "a b"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted(map(tuple, qr.metrics(docs, "text", ["doc_id"]).collect()))
+    monkeypatch.setattr(qr, "PLACE", 3)
+    assert sorted(map(tuple, qr.metrics(docs, "text", ["doc_id"]).collect())) == want
