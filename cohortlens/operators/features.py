@@ -11,6 +11,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.draws import draw_bits, draw_index, draw_uniform
+from .draws import spread_draws
 from .ordered import number_rows, quantile_columns
 from .ranking import div
 from .resample import numbered
@@ -166,7 +167,7 @@ def sample_n(df: DataFrame, keys: list[str], n: int, id_col: str, seed: int) ->
     """Exactly ``n`` draws with replacement per keys: all columns, weight (times drawn)."""
     rows = numbered(df, keys, [id_col])
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sz"))
-    draws = (sizes.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    draws = (spread_draws(sizes, keys, n, "_i")
              .select(*keys, (draw_index(F.col("_sz"), seed, "n", *[F.col(c) for c in keys], F.col("_i")) + 1).alias("_idx"))
              .groupBy(*keys, "_idx").agg(F.count(F.lit(1)).alias("weight")))
     return rows.join(draws, [*keys, "_idx"]).drop("_idx", "_n")

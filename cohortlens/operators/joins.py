@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import draw_index
+from .draws import spread_draws
 from .ordered import number_rows, scan
 
 
@@ -70,12 +71,11 @@ def with_group_agg(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> D
 
 
 def sample_pairs(df: DataFrame, keys: list[str], n: int, seed: int, id_col: str, y: str = "y") -> DataFrame:
-    """``n`` drawn (positive, negative) pairs per keys: keys, i, id1, id0."""
+    """``n`` drawn (positive, negative) pairs per keys: keys, i, id1, id0. A key's draws are spread over tasks."""
     rows = number_rows(df.filter(F.col(y).isin(0, 1)).select(*keys, y, id_col), [*keys, y], [id_col], "_pos")
     size = df.groupBy(*keys).agg(F.sum((F.col(y) == 1).cast("bigint")).alias("n1"),
                                  F.sum((F.col(y) == 0).cast("bigint")).alias("n0"))
-    draws = (size.filter((F.col("n1") > 0) & (F.col("n0") > 0))
-             .withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    draws = (spread_draws(size.filter((F.col("n1") > 0) & (F.col("n0") > 0)), keys, n)
              .withColumn("_p1", draw_index(F.col("n1"), seed, 1, *[F.col(k) for k in keys], F.col("i")) + 1)
              .withColumn("_p0", draw_index(F.col("n0"), seed, 0, *[F.col(k) for k in keys], F.col("i")) + 1))
     pos = rows.filter(F.col(y) == 1).select(*keys, F.col("_pos").alias("_p1"), F.col(id_col).alias("id1"))

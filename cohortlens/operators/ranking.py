@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import draw_index
+from .draws import spread_draws
 from .ordered import number_rows, scan
 
 
@@ -122,8 +123,7 @@ def sampled_pair_auc(df: DataFrame, keys: list[str], n: int, seed: int, id_col:
     rows = number_rows(base.select(*k, y, s, id_col), [*k, y], [s, id_col], "_pos")
     size = base.groupBy(*k).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("n1"),
                                 F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("n0"))
-    draws = (size.filter((F.col("n1") > 0) & (F.col("n0") > 0))
-             .withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    draws = (spread_draws(size.filter((F.col("n1") > 0) & (F.col("n0") > 0)), k, n, "_i")
              .withColumn("_p1", draw_index(F.col("n1"), seed, 1, *[F.col(c) for c in k], F.col("_i")) + 1)
              .withColumn("_p0", draw_index(F.col("n0"), seed, 0, *[F.col(c) for c in k], F.col("_i")) + 1))
     pos = rows.filter(F.col(y) == 1).select(*k, F.col("_pos").alias("_p1"), F.col(s).alias("_s1"))
@@ -143,10 +143,9 @@ def auc_decompose_sampled(df: DataFrame, g: str, n: int, seed: int, id_col: str,
                           F.sum(pairs).alias("den_w"), F.lit(1).alias("_all"))
     base = df.filter(F.col(y).isin(0, 1) & F.col(s).isNotNull()).withColumn("_all", F.lit(1))
     rows = number_rows(base.select("_all", y, s, id_col), ["_all", y], [s, id_col], "_pos")
-    size = base.groupBy("_all").agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("n1"),
-                                    F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("n0"))
-    draws = (by_group.select(g, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_i"), F.lit(1).alias("_all"))
-             .join(size, "_all")
+    size = base.agg(F.struct(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("n1"),
+                             F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("n0")).alias("_s")).scalar()
+    draws = (spread_draws(by_group.select(g), [g], n, "_i").withColumn("_s", size).select(g, "_i", F.lit(1).alias("_all"), "_s.*")
              .withColumn("_p1", draw_index(F.col("n1"), seed, "t1", F.col(g), F.col("_i")) + 1)
              .withColumn("_p0", draw_index(F.col("n0"), seed, "t0", F.col(g), F.col("_i")) + 1))
     pos = rows.filter(F.col(y) == 1).select(F.col("_pos").alias("_p1"), F.col(s).alias("_s1"))
