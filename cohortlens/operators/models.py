@@ -19,7 +19,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.dist import norm_cdf
 from ..session import cut_lineage
@@ -416,14 +416,47 @@ def ridge_path(train: DataFrame, valid: DataFrame, features: list[str], y: str,
     return best, history
 
 
-def discriminant(train: DataFrame, df: DataFrame, features: list[str], label: str, kind: str = "lda", shrink: float = 1e-6,
-                 out: str = "pred") -> DataFrame:
-    """LDA or QDA from class moments; adds the most probable class and its log density.
+def sparse_precision(cov: np.ndarray, penalty: float, tol: float = 1e-7, rounds: int = 500, sweeps: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """(covariance, precision) that maximise log det P - tr(cov P) - penalty * sum of |P_ij| off the diagonal.
 
-    Class moments come from one aggregation per class on the cluster; solving p by p is local. More than WIDE features
-    are scored in Arrow batches, fewer as column arithmetic.
+    Block coordinate descent: in turn each column of the covariance is refitted by a lasso of its variable on the others,
+    solved by coordinate descent from the column's last solution.
     """
-    classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]
+    p = len(cov)
+    w = 0.95 * cov
+    w[np.diag_indices(p)] = np.diag(cov)
+    b = np.zeros((p, p))  # column j: coefficients of variable j on the others, b[j, j] = 0
+    scale = max(float(np.abs(cov).mean()), 1e-300)
+    for _ in range(rounds):
+        before = w.copy()
+        for j in range(p):
+            beta, rest = b[:, j], np.delete(np.arange(p), j)
+            grad = cov[:, j] - w @ beta  # of the smooth part, at every variable
+            for _ in range(sweeps):
+                most = 0.0
+                for i in rest:
+                    z = grad[i] + w[i, i] * beta[i]
+                    new = np.sign(z) * max(abs(z) - penalty, 0.0) / w[i, i]
+                    step = new - beta[i]
+                    if step:
+                        beta[i] = new
+                        grad -= w[:, i] * step
+                        most = max(most, abs(step) * w[i, i])
+                if most < tol * scale:
+                    break
+            column = (w @ beta)[rest]
+            w[rest, j] = w[j, rest] = column
+        if np.abs(w - before).max() < tol * scale:
+            break
+    prec = np.zeros((p, p))
+    for j in range(p):
+        prec[j, j] = 1 / (w[j, j] - w[:, j] @ b[:, j])
+        prec[:, j] -= b[:, j] * prec[j, j]
+    return w, (prec + prec.T) / 2
+
+
+def class_moments(train: DataFrame, features: list[str], label: str) -> dict:
+    """{class: (rows, means, covariance)} of the rows without a NULL, from one pass; a class without such rows is left out."""
     p = len(features)
     cols = [F.col(c).cast("double").alias(c) for c in features]
 
@@ -437,26 +470,57 @@ def discriminant(train: DataFrame, df: DataFrame, features: list[str], label: st
         for k, m in sums.items():
             yield pd.DataFrame({"k": k, "i": np.arange(m.size), "v": m.ravel()})
 
-    kind_sql = train.schema[label].dataType.simpleString()
-    rows = (train.select(label, *cols).mapInPandas(partial, f"k {kind_sql}, i long, v double")
-            .groupBy("k", "i").agg(F.sum("v").alias("v")).collect())
-    mats = {k: np.zeros((p + 1) ** 2) for k in classes}
+    kind = train.schema[label].dataType.simpleString()
+    rows = train.select(label, *cols).mapInPandas(partial, f"k {kind}, i long, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
+    mats: dict = {}
     for r in rows:
-        mats[r["k"]][r["i"]] = r["v"]
-    stats, pooled, total = {}, np.zeros((p, p)), 0.0
-    for k in classes:
+        mats.setdefault(r["k"], np.zeros((p + 1) ** 2))[r["i"]] = r["v"]
+    out = {}
+    for k in sorted(mats):
         m = mats[k].reshape(p + 1, p + 1)
         n, mu = m[0, 0], m[0, 1:] / m[0, 0]
-        s = m[1:, 1:] - n * np.outer(mu, mu)
-        stats[k] = (n, mu, s / max(n - 1, 1))
-        pooled, total = pooled + s, total + n
-    pooled = pooled / max(total - len(classes), 1)
+        out[k] = n, mu, (m[1:, 1:] - n * np.outer(mu, mu)) / max(n - 1, 1)
+    return out
+
+
+def sparse_precisions(spark: SparkSession, covs: dict, penalty: float) -> dict:
+    """{class: sparse precision}; the classes are solved side by side, one task each."""
+    keys = list(covs)
+
+    def solve(batches):
+        for pdf in batches:
+            for i, cov in zip(pdf["i"], pdf["v"]):
+                p = int(len(cov) ** 0.5)
+                yield pd.DataFrame({"i": [i], "v": [sparse_precision(np.asarray(cov, float).reshape(p, p), penalty)[1].ravel().tolist()]})
+
+    sent = spark.createDataFrame([(i, covs[k].ravel().tolist()) for i, k in enumerate(keys)], "i int, v array<double>").repartition(len(keys), "i")
+    return {keys[r["i"]]: np.asarray(r["v"]).reshape(covs[keys[r["i"]]].shape) for r in sent.mapInPandas(solve, "i int, v array<double>").collect()}
+
+
+def discriminant(train: DataFrame, df: DataFrame, features: list[str], label: str, kind: str = "lda", shrink: float = 1e-6,
+                 out: str = "pred", penalty: float | None = None) -> DataFrame:
+    """LDA or QDA from class moments; adds the most probable class and its log density.
+
+    Class moments come from one pass on the cluster; solving p by p is local. More than WIDE features
+    are scored in Arrow batches, fewer as column arithmetic. ``penalty`` (QDA): each class takes a sparse precision matrix
+    by the graphical lasso instead of the inverse covariance. Classes without a complete row are never predicted; without
+    any class, and beside a NULL feature, both columns are NULL.
+    """
+    stats = class_moments(train, features, label)
+    p, kind_sql = len(features), train.schema[label].dataType.simpleString()
+    if not stats:
+        return df.withColumn(out, F.lit(None).cast(kind_sql)).withColumn(f"{out}_logp", F.lit(None).cast("double"))
+    total = sum(n for n, _, _ in stats.values())
+    pooled = sum(cov * max(n - 1, 1) for n, _, cov in stats.values()) / max(total - len(stats), 1)
+    sigma = {k: (pooled if kind == "lda" else cov) + shrink * np.eye(p) for k, (_, _, cov) in stats.items()}
+    if penalty is not None and kind == "qda":
+        root = {k: np.linalg.cholesky(m) for k, m in sparse_precisions(train.sparkSession, sigma, penalty).items()}
+    else:
+        root = {k: np.linalg.cholesky(np.linalg.inv(m)) for k, m in sigma.items()}
+    # the density of a class: const - |root' (x - mu)|^2 / 2
+    const = {k: float(np.log(stats[k][0] / total) + np.log(np.diag(root[k])).sum()) for k in stats}
     if p > WIDE:
-        factors = {}
-        for k in classes:
-            n, mu, cov = stats[k]
-            low = np.linalg.cholesky((pooled if kind == "lda" else cov) + shrink * np.eye(p))
-            factors[k] = float(np.log(n / total) - np.log(np.diag(low)).sum()), mu, np.linalg.inv(low)
+        factors = {k: (const[k], stats[k][1], root[k]) for k in stats}
 
         @F.pandas_udf(f"logp double, k {kind_sql}")
         def densest(xs: pd.Series) -> pd.DataFrame:
@@ -464,24 +528,21 @@ def discriminant(train: DataFrame, df: DataFrame, features: list[str], label: st
             known = [i for i, x in enumerate(xs) if x is not None and not pd.isna(x).any()]
             if known:
                 x = np.array([np.asarray(xs.iloc[i], float) for i in known])
-                each = np.stack([c - 0.5 * (((x - mu) @ inv.T) ** 2).sum(axis=1) for c, mu, inv in factors.values()])
+                each = np.stack([c - 0.5 * (((x - mu) @ low) ** 2).sum(axis=1) for c, mu, low in factors.values()])
                 logp[known], cls[known] = each.max(axis=0), np.array(list(factors), object)[each.argmax(axis=0)]
             return pd.DataFrame({"logp": pd.Series(logp).where(np.isfinite(logp), None), "k": pd.Series(cls)})
 
         best = densest(F.array(*[F.col(c).cast("double") for c in features]))
         return df.withColumn("_best", best).withColumn(out, F.col("_best.k")).withColumn(f"{out}_logp", F.col("_best.logp")).drop("_best")
     best = None
-    for k in classes:
-        n, mu, cov = stats[k]
-        sigma = (pooled if kind == "lda" else cov) + shrink * np.eye(p)
-        prec = np.linalg.inv(sigma)
-        const = float(np.log(n / total) - 0.5 * np.linalg.slogdet(sigma)[1])
-        chol = np.linalg.cholesky(prec)
+    for k in stats:
+        mu, low = stats[k][1], root[k]
         quad = F.lit(0.0)
-        for j in range(p):  # |L'(x - mu)|^2, written out as column arithmetic
-            part = reduce(lambda a, b: a + b, [float(chol[i, j]) * (F.col(features[i]) - float(mu[i])) for i in range(j, p)])
+        for j in range(p):  # |root' (x - mu)|^2, written out as column arithmetic
+            part = reduce(lambda a, b: a + b, [float(low[i, j]) * (F.col(features[i]) - float(mu[i])) for i in range(j, p)])
             quad = quad + part * part
-        cell = F.struct((F.lit(const) - 0.5 * quad).alias("logp"), F.lit(k).alias("k"))
+        logp = F.lit(const[k]) - 0.5 * quad
+        cell = F.when(logp.isNotNull(), F.struct(logp.alias("logp"), F.lit(k).alias("k")))
         best = cell if best is None else F.greatest(best, cell)
     return df.withColumn("_best", best).withColumn(out, F.col("_best.k")).withColumn(f"{out}_logp", F.col("_best.logp")).drop("_best")
 

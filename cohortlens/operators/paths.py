@@ -304,3 +304,30 @@ def sqrt_lasso_stop(df: DataFrame, nums: list[str], y: str, target: float, cats:
     at = met[0] if met else len(grid) - 1
     support = np.flatnonzero(coefs[at, 1:]).tolist() if len(grid) else []
     return Stopped(design, support, grid[:at + 1], stat[:at + 1], "target" if met else "end")
+
+
+def ridge_tune(df: DataFrame, nums: list[str], y: str, part: str, cats: list[str] = (), count: int = 100, least: float = 0.01) -> tuple[Design, np.ndarray, list[tuple[float, float]]]:
+    """Ridge from accumulated moments (L11): (design, coefficients, [(penalty, validation R-squared)]).
+
+    ``part`` is 0 on training and 1 on validation rows; one pass sums both. Each column's penalty is scaled by its variance,
+    the intercept has none. From no penalty upwards, ``count`` equal steps of the logarithm from ``least`` to ten times the
+    largest |X'y| / n, until R-squared falls; the last better one is taken.
+    """
+    design = design_of(df.filter(F.col(f"`{part}`") == 0), nums, cats)
+    parts = fold_moments(df, design, y, part)
+    if 0 not in parts or 1 not in parts:
+        raise ValueError("no complete rows in a part")
+    m, v = parts[0], parts[1]
+    mean = m.xx[0] / m.n
+    scale = np.diag(m.xx) / m.n - mean * mean
+    spread = v.yy - v.xy[0] ** 2 / v.n
+    history, best = [], None
+    for lam in [0.0, *np.exp(np.linspace(np.log(least), np.log(np.abs(m.xy / m.n).max() / 0.1), count))]:
+        lhs = m.xx / m.n + lam * np.diag(scale)
+        beta = np.linalg.lstsq(lhs, m.xy / m.n, rcond=None)[0] if np.linalg.matrix_rank(lhs) < len(lhs) else np.linalg.solve(lhs, m.xy / m.n)
+        r2 = float(1 - v.error(beta) / spread) if spread > 0 else float("nan")
+        history.append((float(lam), r2))
+        if len(history) > 1 and r2 < history[-2][1]:
+            break
+        best = beta
+    return design, best, history

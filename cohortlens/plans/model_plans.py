@@ -165,9 +165,9 @@ def _(t):
     return _auc_of(s, "ridge", "eta").withColumn("steps", F.lit(len(history)))
 
 
-def _discriminant(t, kind):
+def _discriminant(t, kind, penalty=None):
     e = t("embeddings").select("vec_id", F.col("label").cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
-    out = M.discriminant(e, e, [f"e{i}" for i in range(64)], "label", kind)
+    out = M.discriminant(e, e, [f"e{i}" for i in range(64)], "label", kind, penalty=penalty)
     return rounded(out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("pred") == F.col("label")).cast("bigint")).alias("hits")))
 
 
@@ -181,6 +181,40 @@ def _(t):
     return _discriminant(t, "qda")
 
 
+@query("discriminant_qda_sparse", "L12")
+def _(t):
+    """Precision matrices by the graphical lasso, on all 64 components."""
+    return _discriminant(t, "qda", 0.001)
+
+
+def _pair_sql(kind: str) -> str:
+    """Discriminant on two features in closed form."""
+    cov = {"lda": "pooled", "qda": "own"}[kind]
+    return f"""with {MODEL_SQL}, tr as (select * from mt where yr < 2000),
+m as (select g, count(*)::double as n, avg(x1) as m1, avg(x2) as m2, covar_samp(x1, x1) as a, covar_samp(x1, x2) as b, covar_samp(x2, x2) as c from tr group by g),
+t as (select sum(n) as total, sum(a * (n - 1)) / (sum(n) - count(*)) as pa, sum(b * (n - 1)) / (sum(n) - count(*)) as pb, sum(c * (n - 1)) / (sum(n) - count(*)) as pc from m),
+s as (select g as cls, n, total, m1, m2, {'pa' if cov == 'pooled' else 'a'} + 1e-6 as a, {'pb' if cov == 'pooled' else 'b'} as b, {'pc' if cov == 'pooled' else 'c'} + 1e-6 as c from m, t),
+d as (select caseid, mt.g, cls, ln(n / total) - 0.5 * ln(a * c - b * b) - 0.5 * (c * (x1 - m1) * (x1 - m1) - 2 * b * (x1 - m1) * (x2 - m2) + a * (x2 - m2) * (x2 - m2)) / (a * c - b * b) as logp from mt, s where yr >= 2000),
+p as (select *, row_number() over (partition by caseid order by logp desc, cls desc) as k from d)
+select g, count(*) as n, cast(sum((g = cls)::int) as bigint) as hits, round(avg(logp), 5) as logp from p where k = 1 group by g"""
+
+
+def _pair(t, kind):
+    train, test = split(t)
+    out = M.discriminant(train, test, ["x1", "x2"], "g", kind)
+    return rounded(out.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("pred") == F.col("g")).cast("bigint")).alias("hits"), F.avg("pred_logp").alias("logp")), 5)
+
+
+@query("discriminant_lda_pair", "L12", _pair_sql("lda"))
+def _(t):
+    return _pair(t, "lda")
+
+
+@query("discriminant_qda_pair", "L12", _pair_sql("qda"))
+def _(t):
+    return _pair(t, "qda")
+
+
 @query("lasso_path", "L13")
 def _(t):
     train, test = split(t)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import impute as Im, paths as P, ranking as R
@@ -96,6 +97,32 @@ def _(t):
     return rounded(rows.sparkSession.createDataFrame(out, "k bigint, lambda double, statistic double, rule string, support string"), 6, statistic=4)
 
 
+RIDGE_SQL = f"""with {MODEL_SQL}, d as (select case when yr < 1999 then 0 else 1 end as part, x1 as a, x2 as b, y::double as y from mt where yr <= 2000),
+s as (select count(*)::double as n, avg(a) as ma, avg(b) as mb, avg(y) as my, var_pop(a) as va, var_pop(b) as vb, covar_pop(a, b) as ab, covar_pop(a, y) as ay, covar_pop(b, y) as cy,
+  greatest(abs(avg(y)), abs(avg(a * y)), abs(avg(b * y))) / 0.1 as top from d where part = 0),
+g as (select 0 as k, 0.0::double as lam union all select k + 1, exp(ln(0.01) + k * (ln(top) - ln(0.01)) / 99) from s, range(100) as r(k)),
+w as (select k, lam, ((vb * (1 + lam)) * ay - ab * cy) / ((va * (1 + lam)) * (vb * (1 + lam)) - ab * ab) as wa, ((va * (1 + lam)) * cy - ab * ay) / ((va * (1 + lam)) * (vb * (1 + lam)) - ab * ab) as wb, ma, mb, my from g, s),
+r as (select k, any_value(lam) as lam, any_value(wa) as wa, any_value(wb) as wb, 1 - sum(power(y - my - wa * (a - ma) - wb * (b - mb), 2)) / (count(*) * var_pop(y)) as r2 from d, w where part = 1 group by k),
+h as (select *, coalesce(r2 < lag(r2) over (order by k), false) as fell from r),
+e as (select coalesce(min(k) filter (fell), 100) as stop, count(*) filter (fell) as falls from h)
+select cast(k as bigint) as k, round(lam, 6) as lambda, round(r2, 6) as r2, cast((k = stop - (falls > 0)::int)::int as bigint) as taken, round(wa, 5) as w_x1, round(wb, 5) as w_x2 from h, e where k <= stop"""
+
+
+@query("ridge_tune", "L11", RIDGE_SQL)
+def _(t):
+    """The penalties tried on later years, and the one taken."""
+    d = model_table(t).filter("yr <= 2000").withColumn("part", (F.col("yr") >= 1999).cast("int"))
+    _, beta, history = P.ridge_tune(d, ["x1", "x2"], "y", "part")
+    fell = len(history) > 1 and history[-1][1] < history[-2][1]
+    parts = P.fold_moments(d, P.Design(("x1", "x2")), "y", "part")[0]
+    scale = np.diag(parts.xx) / parts.n - (parts.xx[0] / parts.n) ** 2
+    out = []
+    for k, (lam, r2) in enumerate(history):
+        w = np.linalg.solve(parts.xx / parts.n + lam * np.diag(scale), parts.xy / parts.n)
+        out.append((k, lam, r2, int(k == len(history) - 1 - fell), float(w[1]), float(w[2])))
+    return rounded(d.sparkSession.createDataFrame(out, "k bigint, lambda double, r2 double, taken bigint, w_x1 double, w_x2 double"), 6, w_x1=5, w_x2=5)
+
+
 @query("lasso_path_mixed", "L13")
 def _(t):
     """A path over numbers and one-hot levels, scored on later years."""
