@@ -3,8 +3,6 @@ broadcast of the planner, so nothing is forced into every executor's memory."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import draw_index
@@ -83,63 +81,6 @@ def sample_pairs(df: DataFrame, keys: list[str], n: int, seed: int, id_col: str,
     return draws.join(pos, [*keys, "_p1"]).join(neg, [*keys, "_p0"]).select(*keys, "i", "id1", "id0")
 
 
-def nearest(queries: DataFrame, reference: DataFrame, num_cols: list[str], cat_cols: list[str],
-            qid: str, rid: str, levels: tuple[int, int, int] = (-2, 26, 2), grid_dims: int = 2) -> DataFrame:
-    """Exact nearest reference row by summed absolute difference, without comparing all pairs.
-
-    1. Reference rows with equal numeric vectors are one point. For cells of side 2^l at several
-       levels l one representative point per cell is kept; the representatives in a query's own cells
-       give an upper bound on its distance.
-    2. The true nearest point lies within that bound in every coordinate, hence in the cells around
-       the query at the level whose side covers the bound. Only those are compared.
-    The top level is one cell, so every query gets a bound. Returns qid, rid, err, prop (share of
-    equal ``cat_cols``); ties: smallest rid.
-    """
-    lo, hi, step = levels
-    top = hi + step
-    dims = num_cols[:grid_dims]
-    steps = list(range(lo, hi + 1, step)) + [top]
-    ref = (reference.groupBy(*num_cols).agg(F.min(rid).alias("_rid"))
-           .select("_rid", F.array(*[F.col(c).cast("double") for c in num_cols]).alias("_rv")))
-    qry = queries.select(F.col(qid).alias("_qid"), F.array(*[F.col(c).cast("double") for c in num_cols]).alias("_qv"))
-
-    def cells(vec: Column, level: Column) -> list[Column]:
-        return [F.when(level == top, F.lit(0).cast("bigint"))
-                .otherwise(F.floor(vec[i] / F.pow(F.lit(2.0), level))).alias(f"_c{i}") for i in range(len(dims))]
-
-    cell_cols = [f"_c{i}" for i in range(len(dims))]
-    all_levels = F.explode(F.array(*[F.lit(s) for s in steps])).alias("_l")
-    rep = (ref.select("_rid", "_rv", all_levels).select("_rid", "_rv", "_l", *cells(F.col("_rv"), F.col("_l")))
-           .groupBy("_l", *cell_cols).agg(F.min_by("_rv", "_rid").alias("_rv")))
-
-    def l1(a: str, b: str) -> Column:
-        return reduce(lambda x, y: x + y, [F.abs(F.col(a)[i] - F.col(b)[i]) for i in range(len(num_cols))])
-
-    at = qry.select("_qid", "_qv", all_levels).select("_qid", "_qv", "_l", *cells(F.col("_qv"), F.col("_l")))
-    bound = (at.join(rep, on=["_l", *cell_cols]).groupBy("_qid")
-             .agg(F.min(l1("_qv", "_rv")).alias("_u"), F.first("_qv").alias("_qv")))
-    fit = F.lit(top)
-    for s in reversed(steps[:-1]):
-        fit = F.when(F.col("_u") <= 2.0**s, F.lit(s)).otherwise(fit)
-    around = bound.select("_qid", "_qv", fit.alias("_l"))
-    for i in range(len(dims)):
-        near = F.floor(F.col("_qv")[i] / F.pow(F.lit(2.0), F.col("_l")))
-        span = F.when(F.col("_l") == top, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(near - 1, near + 1))
-        around = around.withColumn(f"_c{i}", F.explode(span))
-    points = ref.select("_rid", "_rv", all_levels).select("_rid", "_rv", "_l", *cells(F.col("_rv"), F.col("_l")))
-    best = (around.join(points, on=["_l", *cell_cols]).groupBy("_qid")
-            .agg(F.min(F.struct(F.round(l1("_qv", "_rv"), 9).alias("err"), F.col("_rid").alias("rid"))).alias("_b")))
-    hits = best.select(F.col("_qid").alias(qid), F.col("_b.rid").alias(rid), F.col("_b.err").alias("err"))
-    if not cat_cols:
-        return hits
-    q = queries.select(qid, *[F.col(c).alias(f"_q_{c}") for c in cat_cols])
-    r = reference.select(rid, *[F.col(c).alias(f"_r_{c}") for c in cat_cols])
-    same = reduce(lambda x, y: x + y,
-                  [F.coalesce((F.col(f"_q_{c}") == F.col(f"_r_{c}")).cast("int"), F.lit(0)) for c in cat_cols])
-    return (hits.join(q, qid).join(r, rid)
-            .select(qid, rid, "err", (same / F.lit(float(len(cat_cols)))).alias("prop")))
-
-
 def running_count(df: DataFrame, date: str, out: str = "n") -> DataFrame:
     """For each date the number of rows dated on or before it."""
     daily = df.groupBy(date).agg(F.count(F.lit(1)).alias("_n"))

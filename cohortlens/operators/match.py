@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import levenshtein_ratio
-from .joins import nearest
+from .nearest import nearest
 from .sets import duplicates
 
 

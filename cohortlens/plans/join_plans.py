@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins as J
+from ..operators import joins as J, nearest as N
 from .registry import CASES_SQL, cases, query, rounded, sql_bits
 
 
@@ -123,7 +123,26 @@ def near_tables(t):
 @query("nearest_row", "C13", f"""with {NEAREST_SQL} select qid, rid, round(err, 6) as err from near""")
 def _(t):
     q, r = near_tables(t)
-    return rounded(J.nearest(q, r, ["x", "z", "w"], [], "qid", "rid"))
+    return rounded(N.nearest(q, r, ["x", "z", "w"], [], "qid", "rid"))
+
+
+DIMS = ["a", "b", "c", "d", "e", "f"]
+DENSE_SQL = """q as (select s_suppkey as qid, case when s_suppkey % 9 = 0 then null else s_acctbal / 10000 end as a, s_nationkey / 25.0 as b, (s_suppkey % 7) / 7.0 as c, (s_suppkey % 11) / 11.0 as d, (s_suppkey % 3) / 3.0 as e, 0.5::double as f from supplier),
+r as (select o_orderkey as rid, o_totalprice / 500000 as a, case when o_orderkey % 13 = 0 then null else (o_custkey % 25) / 25.0 end as b, (o_custkey % 7) / 7.0 as c, (o_orderkey % 11) / 11.0 as d, (o_orderkey % 3) / 3.0 as e, case when o_orderkey % 17 = 0 then null else (o_orderkey % 101) / 101.0 end as f from orders),
+g as (select * from r where a is not null and b is not null and f is not null),
+pr as (select qid, rid, round(abs(q.a - g.a) + abs(q.b - g.b) + abs(q.c - g.c) + abs(q.d - g.d) + abs(q.e - g.e) + abs(q.f - g.f), 9) as err from q join g on q.a is not null),
+near as (select * from pr qualify row_number() over (partition by qid order by err, rid) = 1)"""
+
+
+@query("nearest_dense", "C13,N2", f"""with {DENSE_SQL} select q.qid, coalesce(rid, -1) as rid, round(err, 6) as err from q left join near using (qid)""")
+def _(t):
+    """Six columns, all rows within one unit of each other, NULLs on both sides."""
+    q = t("supplier").select(F.col("s_suppkey").alias("qid"), F.when(F.col("s_suppkey") % 9 != 0, F.col("s_acctbal") / 10000).alias("a"), (F.col("s_nationkey") / 25.0).alias("b"),
+                             ((F.col("s_suppkey") % 7) / 7.0).alias("c"), ((F.col("s_suppkey") % 11) / 11.0).alias("d"), ((F.col("s_suppkey") % 3) / 3.0).alias("e"), F.lit(0.5).alias("f"))
+    r = t("orders").select(F.col("o_orderkey").alias("rid"), (F.col("o_totalprice") / 500000).alias("a"), F.when(F.col("o_orderkey") % 13 != 0, (F.col("o_custkey") % 25) / 25.0).alias("b"),
+                           ((F.col("o_custkey") % 7) / 7.0).alias("c"), ((F.col("o_orderkey") % 11) / 11.0).alias("d"), ((F.col("o_orderkey") % 3) / 3.0).alias("e"),
+                           F.when(F.col("o_orderkey") % 17 != 0, (F.col("o_orderkey") % 101) / 101.0).alias("f"))
+    return rounded(N.nearest(q, r, DIMS, [], "qid", "rid").fillna(-1, ["rid"]))
 
 
 @query("as_of_count", "C14", """select cast(d as varchar) as d, cast(sum(n) over (order by d) as bigint) as n from (select cast(ts as date) as d, count(*) as n from events group by all)""")

@@ -37,7 +37,7 @@ def test_range_join_case(spark):
 def test_nearest_case(spark):
     q = spark.createDataFrame([(0, 1.0, 2.0)], "q long, a double, b double")
     r = spark.createDataFrame([(1, 1.0, 2.5), (2, 3.0, 2.0), (3, 0.0, 0.0)], "r long, a double, b double")
-    got = J.nearest(q, r, ["a", "b"], [], "q", "r").first()
+    got = N.nearest(q, r, ["a", "b"], [], "q", "r").first()
     assert (got["r"], got["err"]) == (1, 0.5)
 
 
@@ -50,7 +50,7 @@ def test_nearest_equals_brute_force(spark, scale, offset):
     qry = [(i, rnd.random() * 2 * scale + offset, rnd.random() * scale, rnd.random() * scale) for i in range(40)] + [(99, *ref[0][1:])]
     rs = spark.createDataFrame(ref, "r long, a double, b double, c double")
     qs = spark.createDataFrame(qry, "q long, a double, b double, c double")
-    got = {r["q"]: r["err"] for r in J.nearest(qs, rs, ["a", "b", "c"], [], "q", "r").collect()}
+    got = {r["q"]: r["err"] for r in N.nearest(qs, rs, ["a", "b", "c"], [], "q", "r").collect()}
     assert len(got) == len(qry)
     for q, *v in qry:
         want = min(sum(abs(x - y) for x, y in zip(v, r[1:])) for r in ref)
