@@ -34,18 +34,44 @@ def anti(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b.select(*keys), on=keys, how="left_anti")
 
 
-def range_join(a: DataFrame, code: str, ranges: DataFrame, lo: str, hi: str, width: int = 1000) -> DataFrame:
-    """Left outer join of codes to the ranges [lo, hi] that hold them.
-
-    Both sides meet on code div width, so it is an equi join: a range is listed once per bin it
-    touches. Choose ``width`` near the typical range length.
+def dyadic(lo: Column, hi: Column) -> Column:
+    """Array of (level, place): the fewest intervals [place * 2^level, (place + 1) * 2^level) that make up the integers lo .. hi,
+    two for each level at most; empty where lo > hi or a bound is NULL."""
+    state = "struct<l: bigint, r: bigint, out: array<struct<level: int, place: bigint>>>"
+    start = F.struct(lo.cast("bigint").alias("l"), hi.cast("bigint").alias("r"), F.array().cast("array<struct<level: int, place: bigint>>").alias("out")).cast(state)
+
+    def climb(a: Column, k: Column) -> Column:
+        l, r = a["l"], a["r"]
+        cell = lambda place: F.struct(k.cast("int").alias("level"), place.alias("place"))
+        odd, even = l.bitwiseAND(F.lit(1)) == 1, r.bitwiseAND(F.lit(1)) == 0
+        last = F.struct(F.lit(1).cast("bigint").alias("l"), F.lit(0).cast("bigint").alias("r"), F.concat(a["out"], F.array(cell(l))).alias("out"))
+        more = F.concat(a["out"], F.filter(F.array(F.when(odd, cell(l)), F.when(even, cell(r))), lambda x: x.isNotNull()))
+        inner_l, inner_r = F.when(odd, l + 1).otherwise(l), F.when(even, r - 1).otherwise(r)
+        ended = inner_l > inner_r  # stop as an empty interval, whatever halving would make of it
+        step = F.struct(F.when(ended, F.lit(1)).otherwise(F.shiftright(inner_l, 1)).cast("bigint").alias("l"),
+                        F.when(ended, F.lit(0)).otherwise(F.shiftright(inner_r, 1)).cast("bigint").alias("r"), more.alias("out"))
+        return F.when(l > r, a).when(l == r, last).otherwise(step).cast(state)
+
+    whole = F.aggregate(F.sequence(F.lit(0), F.lit(63)), start, climb, lambda a: a["out"])
+    return F.when(lo.isNotNull() & hi.isNotNull(), whole)
+
+
+def range_join(a: DataFrame, code: str, ranges: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Left outer join of codes to the ranges [lo, hi] that hold them: an equi join whatever the widths.
+
+    A range is listed by its dyadic intervals, at most two for each level; a distinct code looks up the one interval that
+    holds it on each level that occurs among the ranges. Numbers with fractions meet on their floors and are compared then.
+    Rows with a NULL code, or one in no range, stay with NULLs; ranges with a NULL bound or lo > hi hold nothing.
     """
-    bins = ranges.withColumn("_bin", F.explode(F.sequence(
-        F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
-    left = a.withColumn("_bin", F.floor(F.col(code) / width))
-    cond = (left["_bin"] == bins["_bin"]) & left[code].between(bins[lo], bins[hi])
-    return left.join(bins, cond, "left").select(*[left[c] for c in a.columns],
-                                                *[bins[c] for c in ranges.columns])
+    own = F.struct(*[F.col(f"`{c}`") for c in ranges.columns]).alias("_range")
+    cells = ranges.select(own, F.inline(dyadic(F.floor(F.col(f"`{lo}`")), F.floor(F.col(f"`{hi}`")))))
+    levels = cells.agg(F.array_sort(F.collect_set("level"))).scalar()
+    codes = a.select(F.col(f"`{code}`").alias("_code")).filter(F.col("_code").isNotNull()).distinct()
+    probes = codes.withColumn("level", F.explode(levels)).withColumn("_cell", F.floor("_code")).withColumn("place", F.expr("shiftright(_cell, level)"))
+    hits = probes.join(cells, ["level", "place"]).filter(F.col("_code").between(F.col("_range")[lo], F.col("_range")[hi])).select("_code", "_range")
+    kept = F.struct(*[F.col(f"`{c}`") for c in a.columns]).alias("_row")
+    out = a.select(kept, F.col(f"`{code}`").alias("_at")).join(hits, F.col("_at") == F.col("_code"), "left")
+    return out.select(*[F.col("_row")[c].alias(c) for c in a.columns], *[F.col("_range")[c].alias(c) for c in ranges.columns])
 
 
 def join_by_position(a: DataFrame, b: DataFrame, keys: list[str], order_a: list[str], order_b: list[str]) -> DataFrame:

@@ -52,10 +52,24 @@ select p_partkey, cast(code_start as double) as code_start, cast(code_end as dou
 def _(t):
     size = F.col("p_size").cast("bigint") * 40
     ranges = t("part").groupBy(size.alias("code_start"), (size + 25).alias("code_end")).agg(F.min("p_brand").alias("categories"))
-    out = J.range_join(t("part").select("p_partkey"), "p_partkey", ranges, "code_start", "code_end", 100)
+    out = J.range_join(t("part").select("p_partkey"), "p_partkey", ranges, "code_start", "code_end")
     return out.select("p_partkey", *[F.col(c).cast("double").alias(c) for c in ("code_start", "code_end")], "categories")
 
 
+@query("range_join_widths", "C6", """with c as (select p_partkey, cast(p_partkey as bigint) * 99991 - 50000000 as code from part),
+r as (select s_suppkey, cast(s_suppkey as bigint) * 1000003 - 50000000 as lo, cast(s_suppkey as bigint) * 1000003 - 50000000 + cast(pow(10, s_suppkey % 10) as bigint) - 1 as hi from supplier),
+h as (select * from c left join r on code between lo and hi)
+select p_partkey, cast(count(s_suppkey) as bigint) as n, cast(coalesce(sum(s_suppkey), 0) as bigint) as suppliers, cast(coalesce(min(hi - lo + 1), 0) as bigint) as narrowest from h group by p_partkey""")
+def _(t):
+    """Ranges from one code to a billion codes wide, codes on both sides of zero."""
+    codes = t("part").select("p_partkey", (F.col("p_partkey").cast("bigint") * 99991 - 50000000).alias("code"))
+    lo = F.col("s_suppkey").cast("bigint") * 1000003 - 50000000
+    ranges = t("supplier").select("s_suppkey", lo.alias("lo"), (lo + F.pow(F.lit(10.0), F.col("s_suppkey") % 10).cast("bigint") - 1).alias("hi"))
+    out = J.range_join(codes, "code", ranges, "lo", "hi")
+    return rounded(out.groupBy("p_partkey").agg(F.count("s_suppkey").alias("n"), F.coalesce(F.sum("s_suppkey"), F.lit(0)).alias("suppliers"),
+                                                F.coalesce(F.min(F.col("hi") - F.col("lo") + 1), F.lit(0)).alias("narrowest")))
+
+
 @query("semi_join", "C7", """select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')""")
 def _(t):
     seg = t("customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))

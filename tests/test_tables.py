@@ -29,9 +29,40 @@ def test_split_version(spark):
 def test_range_join_case(spark):
     codes = spark.createDataFrame([(10010,), (10030,), (19499,)], "code int")
     ranges = spark.createDataFrame([(10000, 10022, "general"), (10040, 19499, "integumentary")], "lo int, hi int, cat string")
-    for width in (7, 1000, 100_000):
-        got = {r["code"]: r["cat"] for r in J.range_join(codes, "code", ranges, "lo", "hi", width).collect()}
-        assert got == {10010: "general", 10030: None, 19499: "integumentary"}
+    got = {r["code"]: r["cat"] for r in J.range_join(codes, "code", ranges, "lo", "hi").collect()}
+    assert got == {10010: "general", 10030: None, 19499: "integumentary"}
+
+
+def test_dyadic_intervals(spark):
+    """They are disjoint, make up the range, and are two for each level at most, to the ends of a bigint."""
+    import random
+    rnd = random.Random(3)
+    ranges = [(a, a + w) for w in (0, 1, 2, 7, 1000, 10**9) for a in (0, 1, -5, 12345, -10**12)] + [(-2**63, 2**63 - 1), (2**63 - 1, 2**63 - 1), (-2**63, -2**63), (5, 4), (2**63 - 2, 2**63 - 1)]
+    ranges += [(a, a + rnd.randrange(1 << 40)) for a in (rnd.randrange(-1 << 50, 1 << 50) for _ in range(30))]
+    df = spark.createDataFrame(ranges, "lo long, hi long")
+    for r in df.select("lo", "hi", J.dyadic(F.col("lo"), F.col("hi")).alias("d")).collect():
+        spans = sorted((c.place << c.level, ((c.place + 1) << c.level) - 1) for c in r.d)
+        assert len(spans) <= 2 * 64 and max([0, *[sum(c.level == k for c in r.d) for k in range(64)]]) <= 2
+        if r.lo > r.hi:
+            assert not spans
+        else:
+            assert spans[0][0] == r.lo and spans[-1][1] == r.hi and all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_range_join_odd_rows(spark):
+    """NULL codes and bounds, empty and overlapping ranges, repeated codes, fractions, clashing names."""
+    rows = [(1, 2.5), (2, None), (3, -0.5), (4, 2.5), (5, 7.0), (6, 1e6)]
+    a = spark.createDataFrame(rows, "id long, code double").withColumn("level", F.lit("x"))
+    held = [(2.4, 2.6, "narrow"), (2.6, 2.9, "beside"), (-1.0, 3.0, "wide"), (None, 5.0, "no lo"), (9.0, 1.0, "empty"), (7.0, 7.0, "point"), (-1e9, 1e9, "all")]
+    r = spark.createDataFrame(held, "lo double, hi double, level string")
+    got = sorted([tuple(x) for x in J.range_join(a, "code", r, "lo", "hi").collect()], key=str)
+    want = []
+    for i, c in rows:
+        hits = [(lo, hi, n) for lo, hi, n in held if c is not None and lo is not None and lo <= c <= hi]
+        want += [(i, c, "x", *h) for h in hits] or [(i, c, "x", None, None, None)]
+    assert got == sorted(want, key=str)
+    assert J.range_join(a.limit(0), "code", r, "lo", "hi").count() == 0
+    assert J.range_join(a, "code", r.limit(0), "lo", "hi").filter("lo is null").count() == 6
 
 
 def test_nearest_case(spark):
