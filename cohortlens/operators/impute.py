@@ -47,11 +47,21 @@ def lookup_impute(df: DataFrame, ref: DataFrame, g: str, col: str) -> DataFrame:
     return df.join(means, g, "left").select(*[F.coalesce(F.col(col), F.col("_m")).alias(col) if c == col else F.col(c) for c in df.columns])
 
 
+def _quality(held: DataFrame, of: DataFrame, metric: str, id_col: str, reps: int, seed: int, period: str | None) -> DataFrame:
+    """Metric with bootstrap bounds on held-out rows (id, y, score, k); with ``period`` one row for each of them and one for 'all'."""
+    if not period:
+        return bootstrap_ci(held, ["k"], metric, [id_col], reps, seed).drop("k")
+    each = held.drop("k").join(of.select(id_col, F.col(period).cast("string").alias("k")), id_col).filter("k is not null")
+    both = cut_lineage(each.unionByName(held.withColumn("k", F.lit("all"))))
+    # a period whose held-out rows are of one class has a row of NULLs
+    return both.select("k").distinct().join(bootstrap_ci(both, ["k"], metric, [id_col], reps, seed), "k", "left").withColumnRenamed("k", period)
+
+
 def impute_binary(df: DataFrame, col: str, cats: list[str], nums: list[str], id_col: str, seed: int = 1234,
-                  reps: int = 20) -> tuple[DataFrame, DataFrame]:
+                  reps: int = 20, period: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Model-impute a partly missing 0/1 column: fit on 90%, cut at the prevalence-balancing threshold.
 
-    Returns (table with the column filled, AUROC on the held-out 10% with bootstrap bounds).
+    Returns (table with the column filled, AUROC on the held-out 10% with bootstrap bounds; with ``period`` for each and all).
     """
     known = holdout(df.filter(F.col(col).isin(0, 1)), 0.1, id_col, seed)
     train, test = known.filter("is_test = 0").drop("is_test"), known.filter("is_test = 1").drop("is_test")
@@ -60,12 +70,12 @@ def impute_binary(df: DataFrame, col: str, cats: list[str], nums: list[str], id_
     cut = threshold_balance(held, ["k"]).select("thresh").scalar()
     filled = df.join(scored.select(id_col, "_p"), id_col, "left").select(
         *[F.coalesce(F.col(c), (F.col("_p") >= cut).cast("int")).alias(c) if c == col else F.col(c) for c in df.columns])
-    return filled, bootstrap_ci(held, ["k"], "auc", [id_col], reps, seed).drop("k")
+    return filled, _quality(held, df, "auc", id_col, reps, seed, period)
 
 
 def impute_numeric(df: DataFrame, col: str, cats: list[str], nums: list[str], id_col: str, seed: int = 1234,
-                   reps: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Model-impute a partly missing numeric column by averaged univariate regressions, with R-squared."""
+                   reps: int = 20, period: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Model-impute a partly missing numeric column by averaged univariate regressions, with R-squared (for each ``period`` and all)."""
     known = holdout(df.filter(F.col(col).isNotNull()), 0.1, id_col, seed)
     table = univariate_fit(known.filter("is_test = 0"), cats, nums, col)
     scored = cut_lineage(univariate_scores(df.select(id_col, col, *cats, *nums), table, cats, nums, "_p"))
@@ -73,7 +83,7 @@ def impute_numeric(df: DataFrame, col: str, cats: list[str], nums: list[str], id
     held = scored.join(test, id_col, "left_semi").select(id_col, F.col(col).alias("y"), F.col("_p").alias("score"), F.lit(1).alias("k"))
     filled = df.join(scored.select(id_col, "_p"), id_col, "left").select(
         *[F.coalesce(F.col(c), F.col("_p")).alias(c) if c == col else F.col(c) for c in df.columns])
-    return filled, bootstrap_ci(held, ["k"], "r2", [id_col], reps, seed).drop("k")
+    return filled, _quality(held, df, "r2", id_col, reps, seed, period)
 
 
 def gate_by_year(df: DataFrame, cols: list[str], period: str, cats: list[str], nums: list[str],
