@@ -52,8 +52,8 @@ def main() -> None:
     registry = load()
     jobs = {name: (lambda q=registry[name]: q.run(spark, folder)) for name in HEADLINE}
     read = lambda table: spark.read.parquet(f"{folder}/{table}.parquet")
-    jobs["decompose_bootstrap_200"] = lambda: bootstrap(read, 200, "poisson")
-    jobs["decompose_bootstrap_1000"] = lambda: bootstrap(read, 1000, "poisson")
+    jobs["decompose_bootstrap_poisson_200"] = lambda: bootstrap(read, 200, "poisson")
+    jobs["decompose_bootstrap_poisson_1000"] = lambda: bootstrap(read, 1000, "poisson")
     jobs["decompose_bootstrap_exact_200"] = lambda: bootstrap(read, 200, "exact")
     jobs["sub_models_100_groups"] = lambda: sub_models_100(read)
     registry["auc_by_period"].run(spark, folder).write.format("noop").mode("overwrite").save()  # warm-up

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.draws import draw_bits
 from ..session import cut_lineage
 from .ordered import default_buckets
 from .ranking import div
@@ -118,14 +119,17 @@ def _pairs_by_replicate(df: DataFrame, keys: list[str], group: list[str], reps:
     df: keys, group, y, s, h.
     """
     df = df.withColumn("edges", edges)
-    code = F.size(F.filter("edges", lambda e: e <= F.col("s")))
+    # even: between two edges; odd: on an edge, in as many parts as there are edges of that value
+    same = F.size(F.filter("edges", lambda e: e == F.col("s")))
+    code = F.size(F.filter("edges", lambda e: e < F.col("s"))) * 2 + (same > 0).cast("int")
     if group:
         size = df.groupBy(*keys, *group).agg((F.count(F.lit(1)) < LARGE_GROUP).alias("whole"))
         df = df.join(size, [*keys, *group])
     else:
         df = df.withColumn("whole", F.lit(False))
     df = df.withColumn("bucket", F.when(F.col("whole"), F.lit(-1)).otherwise(code))
-    name = F.to_json(F.struct(*keys, *group, F.col("bucket")))
+    df = df.withColumn("part", F.when(~F.col("whole") & (same > 1), F.pmod(F.xxhash64("h"), same)).otherwise(F.lit(0)).cast("int"))
+    name = F.to_json(F.struct(*keys, *group, F.col("bucket"), F.col("part")))
     rows = df.select(name.alias("segment"), "whole", *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "y", "s", "h")
     tall = rows.repartition(parts, "segment").sortWithinPartitions("segment", "s")
     kinds = ", ".join([*(f"k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)), "segment string, p array<double>, n array<double>, u array<double>"])
@@ -133,15 +137,20 @@ def _pairs_by_replicate(df: DataFrame, keys: list[str], group: list[str], reps:
     own = [f"k{i}" for i in range(len(keys))]
 
     def together(table: pa.Table) -> pa.Table:
-        """One group's buckets in score order; finished sums of a task pass as they are."""
-        got = sorted(zip(table["bucket"].to_pylist(), table["p"].to_pylist(), table["n"].to_pylist(), table["u"].to_pylist()), key=lambda r: r[0])
-        p, n, u = (np.array([r[i] for r in got], float) for i in (1, 2, 3))
+        """One group's buckets in score order, the parts of a tie as one."""
+        bucket = table["bucket"].to_numpy()
+        p, n, u = (np.array(table[c].to_pylist(), float) for c in ("p", "n", "u"))
+        order = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
+        p, n, u = (np.add.reduceat(x[order], first, axis=0) for x in (p, n, u))
+        tie = bucket[order][first] % 2 == 1
+        u[tie] = p[tie] * n[tie] / 2
         before = np.cumsum(n, axis=0) - n
         return pa.table([*(table[k].slice(0, 1) for k in own), pa.array([list((u + p * before).sum(axis=0))], pa.list_(pa.float64())), pa.array([list(p.sum(axis=0) * n.sum(axis=0))], pa.list_(pa.float64()))], names=[*own, "num", "den"])
 
     whole = made.filter(F.col("segment").isNull()).select(*own, F.col("p").alias("num"), F.col("n").alias("den"))
     split = made.filter(F.col("segment").isNotNull()).select(
-        "*", F.get_json_object("segment", "$.bucket").cast("int").alias("bucket"), F.regexp_replace("segment", r',?"bucket":-?\d+\}$', "}").alias("g_"))
+        "*", F.get_json_object("segment", "$.bucket").cast("int").alias("bucket"), F.regexp_replace("segment", r',?"bucket":-?\d+,"part":\d+\}$', "}").alias("g_"))
     back = ", ".join([*(f"k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)), "num array<double>, den array<double>"])
     both = whole.unionByName(split.groupBy("g_").applyInArrow(together, back))
     each = both.select(*own, F.posexplode(F.arrays_zip("num", "den")).alias("rep", "c")).select(*own, (F.col("rep") + 1).alias("rep"), "c.num", "c.den")
@@ -152,10 +161,10 @@ def decompose_replicates(df: DataFrame, keys: list[str], g: str, ids: list[str],
     """keys, rep, tt (total, within, between), auc of Poisson bootstrap replicates. Rows without a 0/1 label or with a NULL
     key, group or score are left out; ``ids`` must name a row."""
     base = df.filter(F.col(y).isin(0, 1) & F.col(s).isNotNull()).dropna(subset=[*keys, g])
-    base = cut_lineage(base.select(*keys, g, F.col(y).cast("double").alias("y"), F.col(s).cast("double").alias("s"), F.xxhash64(*ids, F.lit(seed)).alias("h")))
+    base = cut_lineage(base.select(*keys, g, F.col(y).cast("double").alias("y"), F.col(s).cast("double").alias("s"), draw_bits(seed, "b", *[F.col(c) for c in ids]).alias("h")))
     parts = max(default_buckets(base), base.sparkSession.sparkContext.defaultParallelism)
     cut = [i / parts for i in range(1, parts)] or [0.5]
-    edges = base.select(F.array_sort(F.array_distinct(F.percentile_approx("s", cut, 1000)))).scalar()
+    edges = base.select(F.array_sort(F.percentile_approx("s", cut, 1000))).scalar()
     total = _pairs_by_replicate(base, keys, [], reps, edges, parts)
     within = _pairs_by_replicate(base, keys, [g], reps, edges, parts).withColumnsRenamed({"num": "num_w", "den": "den_w"})
     both = total.join(within, [*keys, "rep"])

@@ -17,7 +17,7 @@ from ..functions.dist import beta_ppf, chi2_sf, norm_cdf, norm_ppf, normal_quant
 from ..session import cut_lineage
 from .bulk import decompose_replicates
 from .ordered import quantile_columns, scan
-from .ranking import auc, auc_decompose, auc_from_histogram, decompose_histogram, div, score_histogram
+from .ranking import auc, auc_by_group, auc_decompose, auc_from_histogram, decompose_histogram, div, score_histogram
 from .resample import resample
 from .windows import midrank
 
@@ -105,6 +105,16 @@ def cluster_bootstrap(groups: DataFrame, keys: list[str], g: str, reps: int, see
     return pooled(groups, keys, F.lit(1.0)).join(q, keys)
 
 
+def cluster_bootstrap_total(df: DataFrame, keys: list[str], g: str, reps: int, seed: int, alpha: float = 0.05, y: str = "y", s: str = "score") -> DataFrame:
+    """keys, tt, auc, lb, ub: the within row by resampled groups, and the total row with a normal interval of the same rows."""
+    groups = auc_by_group(df, keys, g, y, s).select(*keys, g, "auc", "n0n1")
+    within = cluster_bootstrap(groups, keys, g, reps, seed, alpha).withColumn("tt", F.lit("within"))
+    total = auc(df, keys, y, s).withColumn("_se", auc_se(F.col("auc"), F.col("n1"), F.col("n0")))
+    total = normal_ci(total, "auc", "_se", alpha).withColumn("tt", F.lit("total"))
+    names = [*keys, "tt", "auc", "lb", "ub"]
+    return total.select(*names).unionByName(within.select(*names))
+
+
 def decompose_bootstrap(df: DataFrame, keys: list[str], g: str, order: list[str], reps: int, seed: int,
                         alpha: float = 0.05, y: str = "y", s: str = "score", scheme: str = "exact") -> DataFrame:
     """Bootstrap of the decomposition: keys, tt, auc, lb, ub.

@@ -29,7 +29,8 @@ from .joins import sample_pairs
 from .paths import sqrt_lasso_stop
 from .ranking import auc, div
 
-ITERATIONS = 7
+#: Newton steps at most, and the largest change of a coefficient at which they end.
+ITERATIONS, TOLERANCE = 25, 1e-9
 #: Features beyond which a discriminant is no longer written out as an expression.
 WIDE = 16
 
@@ -196,7 +197,8 @@ def fit_grouped_logit(df: DataFrame, keys: list[str], features: list[str], y: st
                       iterations: int = ITERATIONS) -> DataFrame:
     """keys, n1, n0, beta (intercept first), se. Groups with one class get no row.
 
-    One aggregation job per Newton step for all groups together. The pruned design is checkpointed once
+    One aggregation job per Newton step for all groups together, until no coefficient moves by TOLERANCE or ``iterations``
+    are done. The pruned design is checkpointed once
     (every step reads it), the coefficient table (one small row per group) after each step.
     """
     df = cut_lineage(df.filter(F.col(y).isin(0, 1)).select(*keys, *features, y))
@@ -209,8 +211,11 @@ def fit_grouped_logit(df: DataFrame, keys: list[str], features: list[str], y: st
     for _ in range(iterations):
         rows = df.join(coef.select(*keys, "beta"), keys).withColumn("_mu", mu)
         mom = _moments(rows, keys, features, F.col("_mu") * (1 - F.col("_mu")), F.col(y) - F.col("_mu"))
-        coef = cut_lineage(coef.join(mom, keys).select(
-            *keys, "n1", "n0", _newton_step("beta", "_upper", "_grad", F.lit(ridge)).alias("beta")))
+        stepped = coef.join(mom, keys).select(*keys, "n1", "n0", F.col("beta").alias("_old"), _newton_step("beta", "_upper", "_grad", F.lit(ridge)).alias("beta"))
+        stepped = cut_lineage(stepped.withColumn("_move", F.array_max(F.zip_with("beta", "_old", lambda a, b: F.abs(a - b)))).drop("_old"))
+        coef = stepped.drop("_move")
+        if (stepped.agg(F.max("_move")).first()[0] or 0.0) < TOLERANCE:
+            break
     rows = df.join(coef.select(*keys, "beta"), keys).withColumn("_mu", mu)
     mom = _moments(rows, keys, features, F.col("_mu") * (1 - F.col("_mu")), F.col(y) - F.col("_mu"))
     return coef.join(mom, keys).select(*keys, "n1", "n0", "beta", _standard_errors("_upper", F.lit(p)).alias("se"))
@@ -235,7 +240,7 @@ def fit_by_group(df: DataFrame, g: list[str], features: list[str], y: str = "y",
 
 def logit_inference(df: DataFrame, keys: list[str], features: list[str], y: str = "y") -> DataFrame:
     """Coefficients with Wald p-values per keys (unpenalised): keys, feature, coef, se, z, pval."""
-    fit = fit_grouped_logit(df, keys, features, y, ridge=0.0, iterations=9)
+    fit = fit_grouped_logit(df, keys, features, y, ridge=0.0)
     cells = F.explode(F.arrays_zip(F.array(*[F.lit(f) for f in ["intercept", *features]]).alias("feature"),
                                    F.col("beta"), F.col("se"))).alias("_c")
     out = fit.select(*keys, cells).select(*keys, F.col("_c.feature").alias("feature"), F.col("_c.beta").alias("coef"), F.col("_c.se").alias("se"))

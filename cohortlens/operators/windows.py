@@ -65,7 +65,7 @@ def top1(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def quantile_bins(df: DataFrame, g: str, value: str, q: int = 5, out: str = "bin") -> DataFrame:
-    """Equal-share bins 0..q-1 of a group value: linear edges, right-closed, lowest included.
+    """Equal-share bins 0..q-1 of a group value: linear edges, right-closed, lowest included; a NULL value has a NULL bin.
 
     Raises when edges repeat, as equal-share cutting has no answer then.
     """
@@ -74,9 +74,9 @@ def quantile_bins(df: DataFrame, g: str, value: str, q: int = 5, out: str = "bin
     arr = edges.select(F.when(
         F.size(F.array_distinct(F.array(*names))) < q + 1, F.raise_error(F.lit("duplicate bin edges")))
         .otherwise(F.array(*names)).cast("array<double>")).scalar()
-    placed = df.filter(F.col(value).isNotNull()).withColumn("_edges", arr)
     inner = F.slice(F.col("_edges"), 2, q - 1)
-    return placed.withColumn(out, F.size(F.filter(inner, lambda e: e < F.col(value)))).drop("_edges")
+    place = F.size(F.filter(inner, lambda e: e < F.col(value)))
+    return df.withColumn("_edges", arr).withColumn(out, F.when(F.col(value).isNotNull(), place)).drop("_edges")
 
 
 def grid_bins(df: DataFrame, keys: list[str], col: str, probs: list[float], out: str = "bin") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..operators import inference as I, ranking as R, resample as S
+from ..operators.resample import POISSON_STEPS
 from .registry import (CASES_SQL, SCORED_SQL, cases, query, rounded, scored, sql_auc, sql_bits, sql_decompose)
 
 Z975 = NormalDist().inv_cdf(0.975)
@@ -128,6 +129,16 @@ def _(t):
     return rounded(I.cluster_bootstrap(groups, ["yr"], "g", 100, 3))
 
 
+@query("cluster_bootstrap_total", "J6", f"""with {SCORED_SQL}, {sql_auc('scored', 'yr, g')}, gr as (select yr, g, auc, den as n0n1 from auc_t where n1 > 0),
+{sql_resample('gr', 'yr', 'g', 100, 3)},
+bt as (select yr, rep, sum(auc * n0n1 * weight) / sum(n0n1 * weight) as auc from rs group by all),
+q as (select yr, {_q('auc', 0.025)} as lb, {_q('auc', 0.975)} as ub from bt group by yr), {sql_auc('scored', 'yr', 'tot')}
+select yr, 'within' as tt, round(sum(auc * n0n1) / sum(n0n1), 6) as auc, round(max(lb), 6) as lb, round(max(ub), 6) as ub from gr join q using (yr) group by yr
+union all select yr, 'total', round(auc, 6), round(auc - {Z975} * {HANLEY}, 6), round(auc + {Z975} * {HANLEY}, 6) from tot""")
+def _(t):
+    return rounded(I.cluster_bootstrap_total(scored(t), ["yr"], "g", 100, 3))
+
+
 @query("decompose_bootstrap", "J7", f"""with {CASES_SQL}, cs as (select caseid, st as outcome, g, cast(case when yr >= 1999 then 1 else 0 end as bigint) as y, score from cases),
 {sql_decompose('cs', 'outcome', 'g', 'base')}, {sql_resample('cs', 'outcome, y', 'score, caseid', 15, 4)}, {sql_decompose('rs', 'outcome, rep', 'g', 'bt', w='weight')},
 q as (select outcome, tt, {_q('auc', 0.025)} as lb, {_q('auc', 0.975)} as ub from bt group by all)
@@ -137,6 +148,29 @@ def _(t):
     return rounded(I.decompose_bootstrap(cs, ["outcome"], "g", ["score", "caseid"], 15, 4))
 
 
+def sql_poisson(seed: int, ids: str, reps: int) -> str:
+    """Weights of bulk.poisson_weights as columns of ``x``: a row hash, mixed with the replicate's number, against Poisson(1) steps."""
+    word = lambda v: f"cast('{v}' as uhugeint)"
+    size = word(2 ** 64)
+    steps = " + ".join(f"(h3 >= {word(int(min(p, 1 - 2.0 ** -53) * 2.0 ** 64))})::int" for p in POISSON_STEPS)
+    return f"""h0 as (select *, cast({sql_bits(str(seed), "'b'", ids)} as uhugeint) as h from cs),
+h1 as (select h0.*, rep, (h + cast(rep as uhugeint) * {word(0x9E3779B97F4A7C15)}) % {size} as x from h0, range(1, {reps + 1}) as r(rep)),
+h2 as (select * replace ((xor(x, x // {word(2 ** 30)}) * {word(0xBF58476D1CE4E5B9)}) % {size} as x) from h1),
+h4 as (select * replace ((xor(x, x // {word(2 ** 27)}) * {word(0x94D049BB133111EB)}) % {size} as x) from h2),
+h5 as (select *, xor(x, x // {word(2 ** 31)}) as h3 from h4),
+rs as (select * exclude (h, x, h3), {steps} as weight from h5)"""
+
+
+@query("decompose_bootstrap_poisson", "J7", f"""with {CASES_SQL}, cs as (select caseid, st as outcome, g, cast(case when yr >= 1999 then 1 else 0 end as bigint) as y, round(score, -3) as score from cases),
+{sql_decompose('cs', 'outcome', 'g', 'base')}, {sql_poisson(4, 'caseid', 40)}, {sql_decompose('rs', 'outcome, rep', 'g', 'bt', w='weight')},
+q as (select outcome, tt, {_q('auc', 0.025)} as lb, {_q('auc', 0.975)} as ub from bt group by all)
+select outcome, tt, round(auc, 6) as auc, round(lb, 6) as lb, round(ub, 6) as ub from base join q using (outcome, tt)""")
+def _(t):
+    """All replicates in one pass over rows with many ties."""
+    cs = cases(t).select("caseid", F.col("st").alias("outcome"), "g", (F.col("yr") >= 1999).cast("bigint").alias("y"), F.round("score", -3).alias("score"))
+    return rounded(I.decompose_bootstrap(cs, ["outcome"], "g", ["caseid"], 40, 4, scheme="poisson"))
+
+
 @query("compare_bootstrap", "J8", f"""with {CASES_SQL}, cs as (select caseid, g, yr, y, score as a, score + caseid % 1000 * 400 as b from cases), {sql_resample('cs', 'g', 'caseid', 25, 8)},
 {sql_auc('rs', 'g, rep', 'ta', 'a', 'weight')}, {sql_auc('rs', 'g, rep', 'tb', 'b', 'weight')},
 d as (select g, ta.auc - 0.5 as agg, tb.auc - 0.5 as sub, tb.auc - ta.auc as diff from ta join tb using (g, rep) where ta.auc is not null and tb.auc is not null),
@@ -232,21 +266,6 @@ def _(t):
     return rounded(a.withColumn("rho_t", 2 * F.sin(F.col("rho") * 3.141592653589793 / 6)))
 
 
-PAIR_SQL = f"""{SCORED_SQL}, {sql_auc('scored', 'yr, g')}, gt as (select g, max(case when yr = 1996 then auc end) as a96, max(case when yr = 1997 then auc end) as a97,
-  max(case when yr = 1998 then auc end) as a98 from auc_t group by g),
-pairs as (select g as id, 'a96:a97' as pair, a96 as v1, a97 as v2 from gt union all select g, 'a96:a98', a96, a98 from gt union all select g, 'a97:a98', a97, a98 from gt),
-pr as (select id, pair, rank() over (partition by pair order by v1) + (count(*) over (partition by pair, v1) - 1) / 2.0::double as ra,
-  rank() over (partition by pair order by v2) + (count(*) over (partition by pair, v2) - 1) / 2.0::double as rb from pairs where v1 is not null and v2 is not null)"""
-
-
-def pair_table(t):
-    a = R.auc(scored(t), ["yr", "g"]).groupBy("g").pivot("yr", [1996, 1997, 1998]).agg(F.max("auc"))
-    cells = F.array(*[F.struct(F.lit(f"a{p % 100}:a{q % 100}").alias("pair"), F.col(str(p)).alias("v1"), F.col(str(q)).alias("v2"))
-                      for p, q in ((1996, 1997), (1996, 1998), (1997, 1998))])
-    return a.select(F.col("g").alias("id"), F.explode(cells).alias("_c")).select("id", "_c.*").filter(
-        "v1 is not null and v2 is not null")
-
-
 def _bounds_sql(key: str, base: str) -> str:
     return f"""o as (select {key}, rep, stat as b from bt where sub = 0), i as (select {key}, rep, stddev_samp(stat) as se from bt where sub > 0 group by all),
 tq as (select {key}, {_q('(b - stat) / nullif(se, 0)', 0.025)} as tl, {_q('(b - stat) / nullif(se, 0)', 0.975)} as th from o join i using ({key}, rep) join {base} using ({key}) group by {key}),
@@ -259,13 +278,6 @@ def _bounds_out(key: str, base: str, stat: str) -> str:
         for tt, lb, ub in (("student", "stat - sb * th", "stat - sb * tl"), ("normal", f"stat - sb * {Z975}", f"stat + sb * {Z975}"), ("quant", "bl", "bh")))
 
 
-@query("spearman_ci", "J16", f"""with {PAIR_SQL}, base as (select pair, corr(ra, rb) as stat from pr group by pair), {sql_resample('pr', 'pair', 'id', 40, 21, 'rs', 10)},
-bt as (select pair, rep, sub, (sum(weight) * sum(weight * ra * rb) - sum(weight * ra) * sum(weight * rb)) / (sqrt(sum(weight) * sum(weight * ra * ra) - pow(sum(weight * ra), 2)) * sqrt(sum(weight) * sum(weight * rb * rb) - pow(sum(weight * rb), 2))) as stat from rs group by all),
-{_bounds_sql('pair', 'base')} {_bounds_out('pair', 'base', 'rho')}""")
-def _(t):
-    return rounded(I.spearman_ci(pair_table(t), ["pair"], "v1", "v2", "id", 40, 10, 21), lb=5, ub=5)
-
-
 ALL_PAIRS_SQL = f"""{SCORED_SQL}, {sql_auc('scored', 'yr, g')},
 pairs as (select a.g as id, 'a' || a.yr || ':a' || b.yr as pair, a.auc as v1, b.auc as v2 from auc_t a join auc_t b on a.g = b.g and a.yr < b.yr where a.auc is not null and b.auc is not null),
 pr as (select id, pair, rank() over (partition by pair order by v1) + (count(*) over (partition by pair, v1) - 1) / 2.0::double as ra,
@@ -281,10 +293,15 @@ def all_pairs_table(t):
         F.col("x.auc").alias("v1"), F.col("y.auc").alias("v2"))
 
 
-@query("spearman_ci_all", "J16", f"""with {ALL_PAIRS_SQL}, base as (select pair, corr(ra, rb) as stat from pr group by pair), {sql_resample('pr', 'pair', 'id', 40, 21, 'rs', 10)},
+SPEARMAN_SQL = f"""with {ALL_PAIRS_SQL}, base as (select pair, corr(ra, rb) as stat from pr group by pair), {sql_resample('pr', 'pair', 'id', 40, 21, 'rs', 10)},
 bt as (select pair, rep, sub, (sum(weight) * sum(weight * ra * rb) - sum(weight * ra) * sum(weight * rb)) / (sqrt(sum(weight) * sum(weight * ra * ra) - pow(sum(weight * ra), 2)) * sqrt(sum(weight) * sum(weight * rb * rb) - pow(sum(weight * rb), 2))) as stat from rs group by all),
-{_bounds_sql('pair', 'base')} {_bounds_out('pair', 'base', 'rho')}""")
+{_bounds_sql('pair', 'base')} {_bounds_out('pair', 'base', 'rho')}"""
+
+
+@query("spearman_ci", "J16", SPEARMAN_SQL)
+@query("spearman_ci_all", "J16", SPEARMAN_SQL)
 def _(t):
+    """Every two years."""
     return rounded(I.spearman_ci(all_pairs_table(t), ["pair"], "v1", "v2", "id", 40, 10, 21), lb=5, ub=5)
 
 

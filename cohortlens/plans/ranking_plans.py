@@ -48,27 +48,18 @@ def _(t):
     return rounded(R.auc_ordinal(a, ["yr"], "lv", "s", [1, 2, 3, 4, 5]))
 
 
-@query("auc_pairwise", "I4", """with e as (select label, cast(embedding[1] as double) as x0, cast(embedding[2] as double) as x1,
-   cast(embedding[3] as double) as x2, cast(embedding[4] as double) as x3 from embeddings where label < 4),
-l as (select label, 0 as c, x0 as s from e union all select label, 1, x1 from e
-      union all select label, 2, x2 from e union all select label, 3, x3 from e)
+PAIRWISE_SQL = """with l as (select label, i - 1 as c, cast(embedding[i] as double) as s from embeddings cross join range(1, 11) as r(i) where label between 0 and 9)
 select cast(a.y0 as bigint) as y0, cast(a.y1 as bigint) as y1, round(a.num / a.den, 6) as auc, a.den from (
   select n.label as y0, p.label as y1,
     sum(case when p.s > n.s then 1.0::double when p.s = n.s then 0.5::double else 0.0::double end) as num, cast(count(*) as double) as den
   from l p join l n on p.c = p.label and n.c = p.label and n.label < p.label
-  group by n.label, p.label) a""")
-def _(t):
-    e = t("embeddings").filter("label < 4").select("label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)])
-    return rounded(R.auc_pairwise(e, "label", {i: f"x{i}" for i in range(4)}))
+  group by n.label, p.label) a"""
 
 
-@query("auc_pairwise_all", "I4", """with l as (select label, i - 1 as c, cast(embedding[i] as double) as s from embeddings cross join range(1, 11) as r(i) where label between 0 and 9)
-select cast(a.y0 as bigint) as y0, cast(a.y1 as bigint) as y1, round(a.num / a.den, 6) as auc, a.den from (
-  select n.label as y0, p.label as y1,
-    sum(case when p.s > n.s then 1.0::double when p.s = n.s then 0.5::double else 0.0::double end) as num, cast(count(*) as double) as den
-  from l p join l n on p.c = p.label and n.c = p.label and n.label < p.label
-  group by n.label, p.label) a""")
+@query("auc_pairwise", "I4", PAIRWISE_SQL)
+@query("auc_pairwise_all", "I4", PAIRWISE_SQL)
 def _(t):
+    """All ten labels, each scored by its own component."""
     e = t("embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(10)])
     return rounded(R.auc_pairwise(e, "label", {i: f"x{i}" for i in range(10)}))
 

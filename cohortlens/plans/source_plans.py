@@ -122,11 +122,11 @@ def _(t):
     def build(src):
         return cases(lambda _: src).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events"))
 
-    def must_not_run(src):
-        raise AssertionError("the stored result was not reused")
-
-    S.materialise(root, "by_group", t("orders"), build)
-    return rounded(S.materialise(root, "by_group", t("orders"), must_not_run).withColumn("reused", F.lit(1)))
+    first = S.materialise(root, "by_group", t("orders"), build)
+    again = S.materialise(root, "by_group", t("orders"), build)
+    other = S.materialise(root, "by_group", t("orders"), lambda src: build(src.filter("o_orderkey > 5")))
+    reused = sorted(first.inputFiles()) == sorted(again.inputFiles()) and not set(first.inputFiles()) & set(other.inputFiles())
+    return rounded(again.withColumn("reused", F.lit(int(reused))))
 
 
 @query("read_results", "A11", """select case when o_orderstatus = 'F' then 'logit' else 'xgb' end as model, lower(substr(o_orderpriority, 3)) as outcome, count(*) as n, round(sum(o_totalprice), 1) as total from orders group by all""")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -126,13 +128,32 @@ def fingerprint(df: DataFrame, *extra: str) -> str:
     return f"{row['h'] & 0xFFFFFFFFFFFFFFFF:016x}-{row['n']}-{tail & 0xFFFFFFFFFFFFFFFF:016x}"
 
 
+def plan_key(df: DataFrame) -> str:
+    """Digest of what a frame computes: its analysed plan, with the ids of columns made alike."""
+    plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+    plain = re.sub(r"#\d+L?|plan_id=\d+|@[0-9a-f]{4,}", "#", plan)
+    return hashlib.sha256(plain.encode()).hexdigest()[:32]
+
+
 def materialise(root: str, name: str, source: DataFrame, builder: Callable[[DataFrame], DataFrame], *params: str) -> DataFrame:
-    """Reuse the stored result of builder(source), or compute and store it; keyed by what it read."""
-    spark = source.sparkSession
-    path = f"{root}/{name}/{fingerprint(source, name, *params)}"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-        builder(source).write.mode("overwrite").parquet(path)
+    """Reuse the stored result of builder(source), or compute and store it.
+
+    The address is made of the plan that the builder gives, the listing of the files it reads, name and parameters, so a
+    changed filter, builder or file computes anew and an equal plan reuses. What a Python function inside the plan does is not
+    part of the plan: name its version in ``params``. A source without files is refused, as nothing tells two of them
+    apart. Results are written beside their address and moved there when whole, so a half-written one is never read.
+    """
+    spark, built = source.sparkSession, builder(source)
+    if not built.inputFiles():
+        raise ValueError(f"{name}: reads no files")
+    path = f"{root}/{name}/{plan_key(built)}-{fingerprint(built, name, *params)}"
+    java = spark._jvm.org.apache.hadoop.fs.Path
+    fs = java(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(java(f"{path}/_SUCCESS")):
+        made = f"{path}-{uuid.uuid4().hex}"
+        built.write.parquet(made)
+        if not fs.rename(java(made), java(path)) and not fs.exists(java(f"{path}/_SUCCESS")):
+            return spark.read.parquet(made)  # the store does not move folders: this run's own copy
     return spark.read.parquet(path)
 
 

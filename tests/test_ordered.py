@@ -113,6 +113,12 @@ def test_quintile_edges(spark):
     assert [got[str(i)] for i in range(1, 11)] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
 
 
+def test_quantile_bins_keep_null_values(spark):
+    df = spark.createDataFrame([(i, float(i) if i % 4 else None) for i in range(1, 21)], "g int, r double")
+    got = {r["g"]: r["bin"] for r in Wn.quantile_bins(df, "g", "r", 5).collect()}
+    assert len(got) == 20 and {g for g, b in got.items() if b is None} == {4, 8, 12, 16, 20} and {b for b in got.values() if b is not None} == set(range(5))
+
+
 def test_quantile_bins_reject_duplicate_edges(spark):
     df = spark.createDataFrame([(str(i), 1.0) for i in range(5)], "g string, r double")
     with pytest.raises(Exception, match="duplicate bin edges"):

@@ -150,6 +150,20 @@ def test_materialise_follows_its_input(spark, tmp_path):
     assert count() == 12
 
 
+def test_materialise_follows_its_plan(spark, tmp_path):
+    """An equal plan reuses; another filter, builder or parameter computes anew; a source without files is refused."""
+    src, root = str(tmp_path / "src"), str(tmp_path / "root")
+    spark.range(20).write.parquet(src)
+    made = lambda build, *params, read=lambda: spark.read.parquet(src): sorted(S.materialise(root, "n", read(), build, *params).inputFiles())
+    plain = made(lambda d: d.filter("id > 3"))
+    assert made(lambda d: d.filter("id > 3")) == plain
+    others = [made(lambda d: d.filter("id > 4")), made(lambda d: d.filter("id > 3").limit(5)), made(lambda d: d.filter("id > 3"), "v2"),
+              made(lambda d: d.filter("id > 3"), read=lambda: spark.read.parquet(src).withColumn("x", F.lit(1)))]
+    assert len({tuple(x) for x in [plain, *others]}) == 5
+    with pytest.raises(ValueError, match="no files"):
+        S.materialise(root, "n", spark.range(3), lambda d: d)
+
+
 def test_contract_checks(spark):
     df = spark.createDataFrame([(1, "a"), (1, "x"), (None, "a")], "id long, c string")
     got = {r["rule"]: r["violations"] for r in S.check(df, ["id"], ["id"], {"c": ["a"]}, ["id"]).collect()}
