@@ -16,11 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import free_name, slices, text_bytes, text_column, written
 
 BUCKETS = 1 << 16
+#: Bytes of text whose trigrams are held at once; each takes some 40 bytes.
+SLICE = 1 << 20
 UNDETERMINED = "und"
 
 
@@ -116,7 +118,7 @@ def fit(docs: DataFrame, per_language: int = 1500) -> Model | None:
     def count(table: pa.Table) -> pa.Table:
         total = np.zeros(BUCKETS + 1, np.int64)
         texts = text_column(table.combine_chunks().to_batches()[0], "text")
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE):
             total += np.bincount(trigrams(texts.slice(a, b - a))[0], minlength=BUCKETS + 1)
         return pa.table({"lang": table["lang"].slice(0, 1), "counts": pa.array([total[:BUCKETS].astype(np.uint32).tobytes()], pa.binary())})
 
@@ -136,7 +138,7 @@ def fit(docs: DataFrame, per_language: int = 1500) -> Model | None:
     def score(batches):
         for batch in batches:
             texts = text_column(batch, "text")
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 bits = raw.bits(texts.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(list(bits), pa.list_(pa.float64()))], names=["lang", "bits"])
 
@@ -184,12 +186,14 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
                               fold(source).alias("fold")), per_language)
     names = [prefix + x for x in ("held_out", "lang_pred", "score", "ambiguous")]
     keep = [c for c in docs.columns if c.lower() not in names] if all_columns else [id]
-    at = free_name(docs, "text_read")
+    # a text column that is kept is sent to the workers once
+    one = text in keep and isinstance(docs.schema[text].dataType, T.StringType)
+    at = text if one else free_name(docs, "text_read")
 
     def predict(batches):
         for batch in batches:
             texts = text_column(batch, at)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 part = texts.slice(a, b - a)
                 letters = pc.match_substring_regex(part, r"\p{L}").to_numpy(zero_copy_only=False)
                 if model is None:
@@ -198,10 +202,10 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
                     best, score, lead = model.decode(model.bits(part))
                     lang_pred = np.array(model.languages, object)[best]
                     lang_pred[~letters], score[~letters], lead[~letters] = UNDETERMINED, 0.0, 1.0
-                cols = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns) if batch.schema.names[i] != at]
+                cols = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns) if one or batch.schema.names[i] != at]
                 cols += [pa.array(lang_pred, pa.string()), pa.array(score), pa.array(lead < close)]
-                yield pa.RecordBatch.from_arrays(cols, names=[*(c for c in batch.schema.names if c != at), *names[1:]])
+                yield pa.RecordBatch.from_arrays(cols, names=[*(c for c in batch.schema.names if one or c != at), *names[1:]])
 
-    read = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(fold(docs) == 2, F.lit(False)).alias(names[0]), docs[text].cast("string").alias(at))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != at)
+    read = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(fold(docs) == 2, F.lit(False)).alias(names[0]), *([] if one else [docs[text].cast("string").alias(at)]))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if one or f.name != at)
     return read.mapInArrow(predict, kinds + f", `{names[1]}` string, `{names[2]}` double, `{names[3]}` boolean")
