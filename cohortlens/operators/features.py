@@ -58,13 +58,49 @@ def one_hot_pipeline(cols: list[str]) -> Pipeline:
     return Pipeline(stages=[idx, hot])
 
 
-def training_levels(train: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Sorted levels per column (one job; the levels of a categorical column are read by the driver)."""
-    rows = (train.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "name", "level")
-            .filter(F.col("level").isNotNull()).distinct().groupBy("name")
-            .agg(F.array_sort(F.collect_list("level")).alias("levels")).collect())
-    found = {r["name"]: r["levels"] for r in rows}
-    return {c: found.get(c, []) for c in cols}
+#: Levels of a column that may be read by the driver, as columns are named by them.
+MOST_LEVELS = 10_000
+
+
+def training_levels(train: DataFrame, cols: list[str], most: int = MOST_LEVELS) -> dict[str, list[str]]:
+    """Sorted levels per column. They are counted first: a column with more than ``most`` is refused, not read; such columns
+    take ``level_dictionary`` and ``sparse_code``."""
+    found = (train.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "name", "level")
+             .filter(F.col("level").isNotNull()).distinct())
+    wide = {r["name"]: r["count"] for r in found.groupBy("name").count().collect() if r["count"] > most}
+    if wide:
+        raise ValueError(f"more than {most} levels: {wide}")
+    rows = found.orderBy("name", "level").collect()
+    return {c: [r["level"] for r in rows if r["name"] == c] for c in cols}
+
+
+def level_dictionary(train: DataFrame, cols: list[str], keep: int | None = None, drop_mode: bool = False) -> DataFrame:
+    """name, level, n, pos: the levels of all columns numbered from 0 in the order of (name, level), however many there are.
+
+    ``keep`` keeps the most frequent levels of each column (of equally frequent ones the first); ``drop_mode`` leaves out the
+    most frequent one. Ids are ranks from a bucketed scan: nothing is read by the driver and no column is one task's work.
+    """
+    counts = (train.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "name", "level")
+              .filter(F.col("level").isNotNull()).groupBy("name", "level").agg(F.count(F.lit(1)).alias("n")))
+    if keep is not None or drop_mode:
+        ranked = number_rows(counts.withColumn("_less", -F.col("n")), ["name"], ["_less", "level"], "_rk").drop("_less")
+        least, most = (2 if drop_mode else 1), (keep or 2**62)
+        counts = ranked.filter(F.col("_rk").between(least, most)).drop("_rk")
+    return number_rows(counts.withColumn("_all", F.lit(0)), ["_all"], ["name", "level"], "pos").select("name", "level", "n", (F.col("pos") - 1).alias("pos"))
+
+
+def sparse_code(df: DataFrame, id_col: str, cols: list[str], dictionary: DataFrame) -> DataFrame:
+    """id_col, positions: the sorted positions of each row's levels in the dictionary, one row for each id; NULL and unknown
+    levels have none. The design is as wide as the dictionary is long; only its ones are stored.
+
+    All columns meet the dictionary in one join on (name, level), whose frequent levels the planner may split or broadcast.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("level")) for c in cols])
+    lit_up = df.select(F.col(id_col).alias("_id"), F.inline(cells)).filter("level is not null").join(dictionary.select("name", "level", "pos"), ["name", "level"])
+    own = lit_up.groupBy("_id").agg(F.array_sort(F.collect_set("pos")).alias("positions"))  # at most one for each column
+    ids = df.select(F.col(id_col)).distinct()
+    out = ids.join(own, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    return out.select(id_col, F.coalesce("positions", F.array().cast("array<bigint>")).alias("positions"))
 
 
 def dummy_code(df: DataFrame, levels: dict[str, list[str]], drop_first: bool = False) -> DataFrame:

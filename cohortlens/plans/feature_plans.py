@@ -58,6 +58,39 @@ def _(t):
     return rounded(_hot_counts(K.one_hot_pipeline(["p_type", "p_brand"]).fit(train).transform(test), ["p_type", "p_brand"]))
 
 
+LEVEL_SQL = """lo as (select cast(o_custkey as varchar) as o, cast(cast(o_orderdate as date) as varchar) as p, o_orderpriority as m, o_orderkey as id, o_orderkey % 4 as k from orders),
+tr as (select * from lo where k > 0), un as (select 'o' as name, o as level from tr union all select 'p', p from tr union all select 'm', m from tr),
+dc as (select name, level, count(*) as n, row_number() over (order by name, level) - 1 as pos from un where level is not null group by name, level)"""
+
+
+def many_levels(t):
+    """Customer, day and priority of orders as levels, each with an id of its own."""
+    d = t("orders").select(F.col("o_custkey").cast("string").alias("o"), F.col("o_orderdate").cast("date").cast("string").alias("p"), F.col("o_orderpriority").alias("m"),
+                           F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 4).alias("k"))
+    return d.filter("k > 0"), d
+
+
+@query("level_dictionary", "K2,K4", f"""with {LEVEL_SQL} select name, level, n, pos from dc""")
+def _(t):
+    return rounded(K.level_dictionary(many_levels(t)[0], ["o", "p", "m"]))
+
+
+@query("level_dictionary_frequent", "K2,K3", f"""with {LEVEL_SQL}, f as (select *, row_number() over (partition by name order by n desc, level) as rk from dc)
+select name, level, n, row_number() over (order by name, level) - 1 as pos from f where rk between 2 and 50""")
+def _(t):
+    """The 50 most frequent levels of each column without the most frequent one."""
+    return rounded(K.level_dictionary(many_levels(t)[0], ["o", "p", "m"], 50, drop_mode=True))
+
+
+@query("sparse_code", "K3,K4", f"""with {LEVEL_SQL}, c as (select id, pos from (select id, 'o' as name, o as level from lo union all select id, 'p', p from lo union all select id, 'm', m from lo) join dc using (name, level))
+select lo.id, count(pos) as ones, cast(coalesce(sum(pos), 0) as bigint) as places, coalesce(string_agg(pos::varchar, ',' order by pos), '') as positions from lo left join c using (id) group by lo.id""")
+def _(t):
+    """One-hot columns of all levels, stored as the positions of the ones; some rows have customers that training lacks."""
+    train, d = many_levels(t)
+    out = K.sparse_code(d, "id", ["o", "p", "m"], K.level_dictionary(train, ["o", "p", "m"]))
+    return rounded(out.select("id", F.size("positions").alias("ones"), F.aggregate("positions", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("places"), F.array_join("positions", ",").alias("positions")))
+
+
 @query("dummy_code", "K4", """select o_orderkey, cast((o_orderstatus = 'O')::int as bigint) as o_orderstatus_O, cast((o_orderstatus = 'P')::int as bigint) as o_orderstatus_P from orders""")
 def _(t):
     o = t("orders").select("o_orderkey", "o_orderstatus")
