@@ -129,7 +129,7 @@ def clip_sum(df: DataFrame, cols: list[str], out: str, hi: int = 1) -> DataFrame
 
 
 def split_version(df: DataFrame, col: str, family: str = "outcome", version: str = "version") -> DataFrame:
-    """'agg_ssi2' -> ('ssi', 2); without a number the version is 1."""
+    """'agg_wound2' -> ('wound', 2); without a number the version is 1."""
     bare = F.regexp_replace(F.col(col), "^agg_", "")
     digits = F.regexp_replace(bare, "[^0-9]", "")
     return df.select("*", F.regexp_replace(bare, "[0-9]", "").alias(family),

@@ -67,7 +67,7 @@ def fit_boosted(df: DataFrame, features: list[str], y: str = "y", depth: int = 3
     return _assembled(features, est).fit(_known(df, features, y))
 
 
-FITS = {"logit": fit_logistic, "rf": fit_forest, "xgb": fit_boosted}
+FITS = {"logit": fit_logistic, "rf": fit_forest, "gbt": fit_boosted}
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "preds") -> DataFrame:

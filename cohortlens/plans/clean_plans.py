@@ -37,10 +37,10 @@ def dirty(t):
 
 LABELS_SQL = """lab as (
   select l_orderkey, cast(year(l_shipdate) as bigint) as yr, l_suppkey as g,
-    cast(case when l_returnflag = 'R' then 1 else 0 end as bigint) as supinfec,
-    cast(case when l_linenumber = 7 then -1 when l_discount > 0.05 then 1 else 0 end as bigint) as wndinfd,
-    cast(case when l_linestatus = 'F' and l_tax > 0.06 then 1 else 0 end as bigint) as civhg1,
-    cast(case when l_quantity > 48 then 1 else 0 end as bigint) as civhg2,
+    cast(case when l_returnflag = 'R' then 1 else 0 end as bigint) as shallow,
+    cast(case when l_linenumber = 7 then -1 when l_discount > 0.05 then 1 else 0 end as bigint) as deep,
+    cast(case when l_linestatus = 'F' and l_tax > 0.06 then 1 else 0 end as bigint) as cavity1,
+    cast(case when l_quantity > 48 then 1 else 0 end as bigint) as cavity2,
     cast(l_linenumber - 4 as bigint) as ncnt
   from lineitem)"""
 
@@ -48,10 +48,10 @@ LABELS_SQL = """lab as (
 def labels_of(t):
     return t("lineitem").select(
         "l_orderkey", F.year("l_shipdate").cast("bigint").alias("yr"), F.col("l_suppkey").alias("g"),
-        (F.col("l_returnflag") == "R").cast("bigint").alias("supinfec"),
-        F.when(F.col("l_linenumber") == 7, -1).when(F.col("l_discount") > 0.05, 1).otherwise(0).cast("bigint").alias("wndinfd"),
-        ((F.col("l_linestatus") == "F") & (F.col("l_tax") > 0.06)).cast("bigint").alias("civhg1"),
-        (F.col("l_quantity") > 48).cast("bigint").alias("civhg2"),
+        (F.col("l_returnflag") == "R").cast("bigint").alias("shallow"),
+        F.when(F.col("l_linenumber") == 7, -1).when(F.col("l_discount") > 0.05, 1).otherwise(0).cast("bigint").alias("deep"),
+        ((F.col("l_linestatus") == "F") & (F.col("l_tax") > 0.06)).cast("bigint").alias("cavity1"),
+        (F.col("l_quantity") > 48).cast("bigint").alias("cavity2"),
         (F.col("l_linenumber") - 4).cast("bigint").alias("ncnt"))
 
 
@@ -110,25 +110,25 @@ def _(t):
 
 
 @query("composite_labels", "B7", f"""with {LABELS_SQL}
-select g, yr, cast(sum(case when supinfec = 1 or wndinfd = 1 then 1 else 0 end) as bigint) as agg_ssi1,
-  cast(sum(case when supinfec = 1 or civhg1 = 1 or civhg2 = 1 then 1 else 0 end) as bigint) as agg_ssi2,
-  cast(sum(case when wndinfd = -1 then 1 else 0 end) as bigint) as agg_ssi1_any_missing from lab group by g, yr""")
+select g, yr, cast(sum(case when shallow = 1 or deep = 1 then 1 else 0 end) as bigint) as agg_wound1,
+  cast(sum(case when shallow = 1 or cavity1 = 1 or cavity2 = 1 then 1 else 0 end) as bigint) as agg_wound2,
+  cast(sum(case when deep = -1 then 1 else 0 end) as bigint) as agg_wound1_any_missing from lab group by g, yr""")
 def _(t):
-    d = C.composite(labels_of(t), {"agg_ssi1": ["supinfec", "wndinfd"], "agg_ssi2": ["supinfec", "civhg1", "civhg2"]}, True)
-    return d.groupBy("g", "yr").agg(*[F.sum(c).alias(c) for c in ("agg_ssi1", "agg_ssi2", "agg_ssi1_any_missing")])
+    d = C.composite(labels_of(t), {"agg_wound1": ["shallow", "deep"], "agg_wound2": ["shallow", "cavity1", "cavity2"]}, True)
+    return d.groupBy("g", "yr").agg(*[F.sum(c).alias(c) for c in ("agg_wound1", "agg_wound2", "agg_wound1_any_missing")])
 
 
 @query("any_positive", "B8", f"""with {LABELS_SQL}
-select yr, cast(sum(case when civhg1 + civhg2 > 0 then 1 else 0 end) as bigint) as civhg from lab group by yr""")
+select yr, cast(sum(case when cavity1 + cavity2 > 0 then 1 else 0 end) as bigint) as cavity from lab group by yr""")
 def _(t):
-    return C.any_positive(labels_of(t), "civhg", "civhg").groupBy("yr").agg(F.sum("civhg").alias("civhg"))
+    return C.any_positive(labels_of(t), "cavity", "cavity").groupBy("yr").agg(F.sum("cavity").alias("cavity"))
 
 
 @query("count_to_any", "B9", f"""with {LABELS_SQL}
 select yr, cast(sum(case when ncnt > 0 then 1 else 0 end) as bigint) as any_cnt,
-  cast(sum(least(supinfec + civhg1 + civhg2, 1)) as bigint) as clipped from lab group by yr""")
+  cast(sum(least(shallow + cavity1 + cavity2, 1)) as bigint) as clipped from lab group by yr""")
 def _(t):
-    d = C.clip_sum(C.to_any(labels_of(t), ["ncnt"]), ["supinfec", "civhg1", "civhg2"], "clipped")
+    d = C.clip_sum(C.to_any(labels_of(t), ["ncnt"]), ["shallow", "cavity1", "cavity2"], "clipped")
     return d.groupBy("yr").agg(F.sum("ncnt").cast("bigint").alias("any_cnt"), F.sum("clipped").alias("clipped"))
 
 

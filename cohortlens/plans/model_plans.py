@@ -55,7 +55,7 @@ def _(t):
 @query("fit_boosted", "L3")
 def _(t):
     train, test = split(t)
-    return _auc_of(M.score(M.fit_boosted(train, X, depth=3, rounds=5), test), "xgb")
+    return _auc_of(M.score(M.fit_boosted(train, X, depth=3, rounds=5), test), "gbt")
 
 
 def _folds_of(d):

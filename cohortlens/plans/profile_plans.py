@@ -100,17 +100,17 @@ def _(t):
     return rounded(O.exact_quantiles(scored(t), ["g"], "score", [0.0, 0.025, 0.25, 0.5, 0.9, 0.975, 1.0]), 4)
 
 
-@query("event_rate", "D13", f"""with {LABELS_SQL} select g, round(avg(cast(wndinfd as double)), 6) as rate, count(*) as n from lab where wndinfd in (0, 1) group by g""")
+@query("event_rate", "D13", f"""with {LABELS_SQL} select g, round(avg(cast(deep as double)), 6) as rate, count(*) as n from lab where deep in (0, 1) group by g""")
 def _(t):
-    return rounded(P.event_rate(labels_of(t), ["g"], "wndinfd"))
+    return rounded(P.event_rate(labels_of(t), ["g"], "deep"))
 
 
 @query("event_counts", "D14", f"""with {LABELS_SQL}
-select g, yr, 'supinfec' as label, cast(sum((supinfec = 1)::int) as bigint) as events from lab group by all
-union all select g, yr, 'wndinfd', cast(sum((wndinfd = 1)::int) as bigint) from lab group by all
-union all select g, yr, 'civhg1', cast(sum((civhg1 = 1)::int) as bigint) from lab group by all""")
+select g, yr, 'shallow' as label, cast(sum((shallow = 1)::int) as bigint) as events from lab group by all
+union all select g, yr, 'deep', cast(sum((deep = 1)::int) as bigint) from lab group by all
+union all select g, yr, 'cavity1', cast(sum((cavity1 = 1)::int) as bigint) from lab group by all""")
 def _(t):
-    return P.event_counts(labels_of(t), ["g", "yr"], ["supinfec", "wndinfd", "civhg1"])
+    return P.event_counts(labels_of(t), ["g", "yr"], ["shallow", "deep", "cavity1"])
 
 
 @query("frequent_groups", "D15", """select l_suppkey, count(*) as n from lineitem group by 1 having count(*) > 590""")
@@ -118,16 +118,16 @@ def _(t):
     return P.frequent(t("lineitem"), "l_suppkey", 590)
 
 
-@query("share_with_event", "D16", f"""with {LABELS_SQL}, p as (select yr, g, max((civhg1 = 1 and civhg2 = 1)::int) as a from lab group by all)
+@query("share_with_event", "D16", f"""with {LABELS_SQL}, p as (select yr, g, max((cavity1 = 1 and cavity2 = 1)::int) as a from lab group by all)
 select yr, round(avg(cast(a as double)), 6) as share, count(*) as groups from p group by yr""")
 def _(t):
-    d = labels_of(t).withColumn("y", F.col("civhg1") * F.col("civhg2"))
+    d = labels_of(t).withColumn("y", F.col("cavity1") * F.col("cavity2"))
     return rounded(P.share_with_event(d, ["yr"], "g"))
 
 
-@query("label_patterns", "D17", f"""with {LABELS_SQL} select supinfec, wndinfd, civhg1, civhg2, count(*) as n, round(cast(count(*) as double) / sum(count(*)) over (), 6) as share from lab group by all""")
+@query("label_patterns", "D17", f"""with {LABELS_SQL} select shallow, deep, cavity1, cavity2, count(*) as n, round(cast(count(*) as double) / sum(count(*)) over (), 6) as share from lab group by all""")
 def _(t):
-    return rounded(P.label_patterns(labels_of(t), ["supinfec", "wndinfd", "civhg1", "civhg2"]))
+    return rounded(P.label_patterns(labels_of(t), ["shallow", "deep", "cavity1", "cavity2"]))
 
 
 @query("uniqueness", "D18", """with j as (select p_brand, p_name, count(*) as n_ab from part group by all)

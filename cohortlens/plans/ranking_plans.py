@@ -78,13 +78,13 @@ def _(t):
 
 
 @query("decompose_all", "I7", f"""with {MULTI_SQL},
-{sql_decompose('multi', 'model, outcome, version, method, test_year', 'cpt', 'dy', 'preds')},
-{sql_decompose('multi', 'model, outcome, version, method', 'cpt', 'da', 'preds')}
+{sql_decompose('multi', 'model, outcome, version, method, test_year', 'grp', 'dy', 'preds')},
+{sql_decompose('multi', 'model, outcome, version, method', 'grp', 'da', 'preds')}
 select model, outcome, cast(version as bigint) as version, method, cast(test_year as varchar) as test_year, tt, round(auc, 6) as auc, den, n1, n0 from dy
 union all
 select model, outcome, cast(version as bigint), method, 'all', tt, round(auc, 6), den, n1, n0 from da""")
 def _(t):
-    return rounded(R.decompose_all(multi(t), ["model", "outcome", "version", "method"], "test_year", "cpt", "y", "preds"))
+    return rounded(R.decompose_all(multi(t), ["model", "outcome", "version", "method"], "test_year", "grp", "y", "preds"))
 
 
 @query("auc_decompose_sampled", "I8", f"""with {CASES_SQL},
@@ -269,7 +269,7 @@ def _(t):
     return rounded(a.join(b, "yr").withColumn("gain", R.gain_share(F.col("auc_all"), F.col("auc_group"))), gain=4)
 
 
-@query("select_best", "I21", f"""with {MULTI_SQL}, {sql_decompose('multi', 'model, outcome, version, method', 'cpt', 'dec', 'preds')},
+@query("select_best", "I21", f"""with {MULTI_SQL}, {sql_decompose('multi', 'model, outcome, version, method', 'grp', 'dec', 'preds')},
 w as (select * from dec where tt = 'within' and method = 'agg'),
 bo as (select outcome, version, method from (select outcome, version, method, avg(auc) as m from w group by all)
   qualify row_number() over (partition by outcome order by -round(m, 12), version, method) = 1),
@@ -277,7 +277,7 @@ bm as (select w.outcome, w.version, w.method, w.model, sum(auc * den) / sum(den)
 select outcome, cast(version as bigint) as version, method, model, round(auc, 6) as auc from bm
 qualify row_number() over (partition by outcome, version, method order by -round(auc, 12), model) = 1""")
 def _(t):
-    d = R.auc_decompose(multi(t), ["model", "outcome", "version", "method"], "cpt", "y", "preds")
+    d = R.auc_decompose(multi(t), ["model", "outcome", "version", "method"], "grp", "y", "preds")
     return rounded(R.select_best(d.filter("tt = 'within' and method = 'agg'")))
 
 
@@ -314,11 +314,11 @@ def _(t):
 
 @query("compare_models", "I25", f"""with {MULTI_SQL}, {sql_auc('multi', 'outcome, version, method, model', s='preds')}
 select outcome, cast(version as bigint) as version, m.mdl, round(case m.mdl when 'agg_logit' then max(case when method = 'agg' and model = 'logit' then auc end)
-   when 'agg_xgb' then max(case when method = 'agg' and model = 'xgb' then auc end)
+   when 'agg_gbt' then max(case when method = 'agg' and model = 'gbt' then auc end)
    else max(case when method = 'sub' and model = 'logit' then auc end) end, 6) as auc
-from auc_t cross join (values ('agg_logit'), ('agg_xgb'), ('sub_logit')) as m(mdl) group by outcome, version, m.mdl""")
+from auc_t cross join (values ('agg_logit'), ('agg_gbt'), ('sub_logit')) as m(mdl) group by outcome, version, m.mdl""")
 def _(t):
     a = R.auc(multi(t), ["outcome", "version", "method", "model"], "y", "preds")
     a = a.withColumn("mdl", F.concat_ws("_", "method", "model"))
-    wide = a.groupBy("outcome", "version").pivot("mdl", ["agg_logit", "agg_xgb", "sub_logit"]).agg(F.max("auc"))
-    return rounded(wide.unpivot(["outcome", "version"], ["agg_logit", "agg_xgb", "sub_logit"], "mdl", "auc"))
+    wide = a.groupBy("outcome", "version").pivot("mdl", ["agg_logit", "agg_gbt", "sub_logit"]).agg(F.max("auc"))
+    return rounded(wide.unpivot(["outcome", "version"], ["agg_logit", "agg_gbt", "sub_logit"], "mdl", "auc"))

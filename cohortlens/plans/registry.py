@@ -83,30 +83,30 @@ def cases(t) -> DataFrame:
 
 # outcome x version x method x model scores, one row per case and model
 MULTI_SQL = """multi as (
-  select cast(year(l_shipdate) as bigint) as test_year, l_suppkey as cpt, o.outcome, o.version, m.method, m.model,
-         cast(case when o.outcome = 'ssi' and o.version = 1 then (case when l_returnflag = 'R' then 1 else 0 end)
-              when o.outcome = 'ssi' then (case when l_discount > 0.05 then 1 else 0 end)
+  select cast(year(l_shipdate) as bigint) as test_year, l_suppkey as grp, o.outcome, o.version, m.method, m.model,
+         cast(case when o.outcome = 'wound' and o.version = 1 then (case when l_returnflag = 'R' then 1 else 0 end)
+              when o.outcome = 'wound' then (case when l_discount > 0.05 then 1 else 0 end)
               else (case when l_linestatus = 'F' then 1 else 0 end) end as bigint) as y,
          case when m.model = 'logit' then round(l_extendedprice * (1 - l_discount), -2)
               else l_quantity + l_tax end as preds
   from lineitem
-  cross join (values ('ssi', 1), ('ssi', 2), ('aki', 1)) as o(outcome, version)
-  cross join (values ('agg', 'logit'), ('agg', 'xgb'), ('sub', 'logit')) as m(method, model))"""
+  cross join (values ('wound', 1), ('wound', 2), ('renal', 1)) as o(outcome, version)
+  cross join (values ('agg', 'logit'), ('agg', 'gbt'), ('sub', 'logit')) as m(method, model))"""
 
 
 def multi(t) -> DataFrame:
     """Scores of several models and label versions for the same cases."""
     outcomes = F.explode(F.array(*[F.struct(F.lit(o).alias("outcome"), F.lit(v).alias("version"))
-                                   for o, v in (("ssi", 1), ("ssi", 2), ("aki", 1))])).alias("o")
+                                   for o, v in (("wound", 1), ("wound", 2), ("renal", 1))])).alias("o")
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(k).alias("model"))
-                                 for m, k in (("agg", "logit"), ("agg", "xgb"), ("sub", "logit"))])).alias("m")
+                                 for m, k in (("agg", "logit"), ("agg", "gbt"), ("sub", "logit"))])).alias("m")
     base = t("lineitem").select("*", outcomes).select("*", models)
-    y = (F.when((F.col("o.outcome") == "ssi") & (F.col("o.version") == 1), F.col("l_returnflag") == "R")
-         .when(F.col("o.outcome") == "ssi", F.col("l_discount") > 0.05)
+    y = (F.when((F.col("o.outcome") == "wound") & (F.col("o.version") == 1), F.col("l_returnflag") == "R")
+         .when(F.col("o.outcome") == "wound", F.col("l_discount") > 0.05)
          .otherwise(F.col("l_linestatus") == "F"))
     preds = F.when(F.col("m.model") == "logit", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), -2)
                    ).otherwise(F.col("l_quantity") + F.col("l_tax"))
-    return base.select(F.year("l_shipdate").cast("bigint").alias("test_year"), F.col("l_suppkey").alias("cpt"),
+    return base.select(F.year("l_shipdate").cast("bigint").alias("test_year"), F.col("l_suppkey").alias("grp"),
                        F.col("o.outcome"), F.col("o.version").cast("bigint").alias("version"),
                        F.col("m.method"), F.col("m.model"), y.cast("bigint").alias("y"), preds.alias("preds"))
 

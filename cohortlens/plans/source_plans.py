@@ -129,9 +129,9 @@ def _(t):
     return rounded(again.withColumn("reused", F.lit(int(reused))))
 
 
-@query("read_results", "A11", """select case when o_orderstatus = 'F' then 'logit' else 'xgb' end as model, lower(substr(o_orderpriority, 3)) as outcome, count(*) as n, round(sum(o_totalprice), 1) as total from orders group by all""")
+@query("read_results", "A11", """select case when o_orderstatus = 'F' then 'logit' else 'gbt' end as model, lower(substr(o_orderpriority, 3)) as outcome, count(*) as n, round(sum(o_totalprice), 1) as total from orders group by all""")
 def _(t):
-    o = t("orders").select(F.when(F.col("o_orderstatus") == "F", "logit").otherwise("xgb").alias("model"), F.lower(F.substring("o_orderpriority", 3, 20)).alias("outcome"), "o_totalprice")
+    o = t("orders").select(F.when(F.col("o_orderstatus") == "F", "logit").otherwise("gbt").alias("model"), F.lower(F.substring("o_orderpriority", 3, 20)).alias("outcome"), "o_totalprice")
     path = work_folder(o.sparkSession, "scores")
     o.write.partitionBy("model", "outcome").options(header=True).csv(path)
     d = S.read_results(o.sparkSession, path, r"model=([^/]+)/outcome=([^/]+)", ["model", "outcome"], "o_totalprice double")

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import zipfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +21,9 @@ def build_session(app: str = "cohortlens", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+@lru_cache(1)
 def own_folder(master: str) -> str:
-    """A temporary folder of this machine, for a master that runs all tasks in this process; others are refused,
+    """The temporary folder of this process, for a master that runs all tasks in it; others are refused,
     as their executors would write to disks of their own."""
     if not re.match(r"local(\[|$)", master):
         raise ValueError(f"master {master}: set spark.checkpoint.dir to a folder that the driver and all executors share")

@@ -57,7 +57,7 @@ def test_inference_matches_fisher(planted):
     assert got["x1"]["pval"] < 1e-6 and got["x3"]["pval"] > 0.01
 
 
-@pytest.mark.parametrize("kind,params", [("logit", {}), ("rf", {"depth": 4, "trees": 10}), ("xgb", {"depth": 2, "rounds": 4})])
+@pytest.mark.parametrize("kind,params", [("logit", {}), ("rf", {"depth": 4, "trees": 10}), ("gbt", {"depth": 2, "rounds": 4})])
 def test_pooled_fits_beat_chance(planted, kind, params):
     train, test = planted.filter("yr < 2015"), planted.filter("yr >= 2015")
     a = R.auc(M.score(M.FITS[kind](train, X, **params), test), [], "y", "preds").first()["auc"]
