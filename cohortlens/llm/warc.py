@@ -18,10 +18,11 @@ import json
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import file_system_path, shared_folder, written
 
@@ -198,20 +199,59 @@ def lookup(index: CaptureIndex, urls: DataFrame, url: str = "url") -> DataFrame:
     return asked.mapInArrow(search, "asked string, " + MANIFEST)
 
 
-def captures(spark: SparkSession, index: CaptureIndex) -> DataFrame:
-    """Manifest rows of the whole index, read block by block."""
-    def blocks(batches):
-        fs, path = file_system_path(index.folder)
+class IndexFile:
+    """One index file, asked for keys in ascending order: its directory is read once, and each block that holds a key once."""
+
+    def __init__(self, fs, path: str):
+        self.source = fs.open_input_file(path)
+        self.directory = _directory(self.source)
+        self.firsts, self.lasts = [b[0] for b in self.directory], [b[1] for b in self.directory]
+        self.held, self.lines, self.keys, self.blocks_read = -1, [], [], 0
+
+    def captures(self, key: str) -> Iterator[list]:
+        """Manifest rows of a key: the directory is bisected for blocks, a block for lines."""
+        for i in range(bisect_left(self.lasts, key), bisect_right(self.firsts, key)):
+            if i != self.held:
+                _, _, at, length = self.directory[i]
+                self.held, self.lines = i, _block(self.source, at, length)
+                self.keys = [x[0] for x in self.lines]
+                self.blocks_read += 1
+            yield from self.lines[bisect_left(self.keys, key):bisect_right(self.keys, key)]
+
+
+def captures_of(index: CaptureIndex, keys: DataFrame, key: str = "key") -> DataFrame:
+    """Manifest rows of all captures of the distinct keys: the top directory is bisected for index files, whose keys are sorted,
+    so that a task reads the directory and the blocks it needs once. A key with many captures lies in many files."""
+    firsts, lasts = [t[0] for t in index.top], [t[1] for t in index.top]
+    names = [c.split()[0] for c in MANIFEST.split(", ")]
+
+    def files(batches):
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                with fs.open_input_file(f"{path}/{name}") as source:
-                    for _, _, at, length in _directory(source):
-                        cols = list(zip(*_block(source, at, length)))
-                        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in MANIFEST.split(", ")])
+            asked = batch.column(0).to_pylist()
+            got = [(no, k) for k in asked for no in range(bisect_left(lasts, k), bisect_right(firsts, k))]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int32()), pa.array([k for _, k in got], pa.string())], names=["no", "k"])
 
-    files = spark.createDataFrame([(t[2],) for t in index.top], "name string")
-    return files.repartition(max(1, len(index.top)), "name").mapInArrow(blocks, MANIFEST)
+    def rows(batches):
+        fs, path = file_system_path(index.folder)
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        now, file = None, None
+        for batch in batches:
+            found = []
+            for no, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if no != now:
+                    now, file = no, IndexFile(fs, f"{path}/{index.top[no][2]}")
+                for row in file.captures(k):
+                    found.append(row)
+                    if len(found) == 8192:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=names)
+                        found = []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=names)
+
+    distinct = keys.select(F.col(key).alias("k")).filter(F.col("k").isNotNull()).distinct()
+    # bisection compares as Python does: by code points, the order in which the index was written
+    sent = distinct.mapInArrow(files, "no int, k string").repartitionByRange(max(1, len(index.top)), "no").sortWithinPartitions("no", "k")
+    return sent.mapInArrow(rows, MANIFEST)
 
 
 def read_records(entries: DataFrame, folder: str, payload: bool = False) -> DataFrame:
@@ -252,14 +292,15 @@ def read_records(entries: DataFrame, folder: str, payload: bool = False) -> Data
 
 
 def archive_round_trip(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, folder: str | None = None) -> DataFrame:
-    """Writes the archives and their index and reads every record back through it. Runs jobs.
+    """Writes the archives and their index and reads every record back: the pages' keys are resolved through the bisected
+    index, the records of their captures by range reads. Runs jobs.
 
     Per row of ``pages``: id, payload_bytes, payload_digest, record_type, refers_to, url. Null pages have empty payloads,
-    a null URL is read back as ''; rows that repeat an id have a record each, responses all if the id is the smallest. An
-    empty table has no archive and gives no rows. Columns beyond the three are ignored.
+    a null URL is read back as ''; rows that repeat an id have a record each, responses all if the id is the smallest. Pages
+    of any length are archived whole. An empty table has no archive and gives no rows. Columns beyond the three are ignored.
     """
-    spark = pages.sparkSession
-    folder = folder or shared_folder(spark, "warc")
+    folder = folder or shared_folder(pages.sparkSession, "warc")
     manifest = write_archives(pages, folder, id, url, html, least)
     index = build_index(manifest, folder)
-    return read_records(captures(spark, index), folder).withColumnRenamed("id", id)
+    asked = pages.select(url_key(pages[url]).alias("key"))
+    return read_records(captures_of(index, asked), folder).withColumnRenamed("id", id)

@@ -317,3 +317,26 @@ def test_lookup(spark, tmp_path):
     import gzip
     raw = b"".join(gzip.open(f).read() for f in tmp_path.glob("warc/*.warc.gz"))
     assert raw.count(b"WARC-Record-ID") == len(PAGES)
+
+
+def test_only_needed_blocks_are_read(spark, tmp_path, monkeypatch):
+    """Keys are found by bisection; blocks without one are skipped, and each other block is read once."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 10)
+    rows = [(i, f"http://host{i % 40:02d}.org/{i // 40:03d}", "x") for i in range(1000)] + [(2000 + i, "http://hot.org/", "y") for i in range(500)] + [(5000, None, "z")]
+    folder = f"file://{tmp_path}/warc"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    index = warc.build_index(warc.write_archives(pages, folder), folder)
+    fs, path = warc.file_system_path(folder)
+    files = [warc.IndexFile(fs, f"{path}/{name}") for _, _, name in index.top]
+    whole = sum(len(f.directory) for f in files)
+    keys = sorted(r.k for r in spark.createDataFrame([r for r in rows if r[0] % 25 == 0 and r[0] < 100], pages.schema).select(warc.url_key(F.col("url")).alias("k")).collect())
+    got = [row[1] for f in files for k in keys for row in f.captures(k)]
+    assert sorted(got) == [0, 25, 50, 75] and 0 < sum(f.blocks_read for f in files) <= 2 * len(keys) < whole / 4
+    every = [warc.IndexFile(fs, f"{path}/{name}") for _, _, name in index.top]
+    all_keys = sorted({r.k for r in pages.select(warc.url_key(F.col("url")).alias("k")).collect()})
+    assert sorted(row[1] for f in every for k in all_keys for row in f.captures(k)) == sorted(r[0] for r in rows)
+    assert sum(f.blocks_read for f in every) == whole
+    asked = pages.where("page_id < 3 or page_id >= 2000").select(warc.url_key(F.col("url")).alias("key"))
+    found = warc.captures_of(index, asked.union(asked).union(spark.createDataFrame([("none,such)/",), (None,)], "key string")))
+    assert sorted(r.id for r in found.collect()) == [0, 1, 2, *range(2000, 2500), 5000]
+    assert sorted(r.page_id for r in warc.archive_round_trip(pages).collect()) == sorted(r[0] for r in rows)
