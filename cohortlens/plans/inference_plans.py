@@ -230,8 +230,17 @@ def _(t):
     return rounded(I.mann_whitney(c, ["g"], "y", (1, 0), "x"))
 
 
-@query("prop_ci_exact", "J12")
+TERM = "exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({p}) + (n - j) * ln(1 - {p}))"
+
+
+@query("prop_ci_exact", "J12", f"""with recursive {SCORED_SQL}, a as (select g, cast(sum(y) as bigint) as x, count(*) as n from scored group by g),
+b as (select g, x, n, 0 as t, 0.0::double as l0, 1.0::double as l1, 0.0::double as u0, 1.0::double as u1 from a
+  union all select g, x, n, t + 1, case when up > 0.025 then l0 else ml end, case when up > 0.025 then ml else l1 end, case when low > 0.025 then mu else u0 end, case when low > 0.025 then u1 else mu end
+  from (select *, list_sum(list_transform(range(x, n + 1), lambda j: {TERM.format(p='ml')})) as up, list_sum(list_transform(range(0, x + 1), lambda j: {TERM.format(p='mu')})) as low
+        from (select *, (l0 + l1) / 2 as ml, (u0 + u1) / 2 as mu from b where t < 40)))
+select g, x, n, round(x / n::double, 6) as prop, round(case when x = 0 then 0 else (l0 + l1) / 2 end, 6) as lb, round(case when x = n then 1 else (u0 + u1) / 2 end, 6) as ub from b where t = 40""")
 def _(t):
+    """Bounds by bisection of the binomial tails in the SQL."""
     a = scored(t).groupBy("g").agg(F.sum("y").alias("x"), F.count(F.lit(1)).alias("n"))
     return rounded(I.prop_ci(a, "x", "n", "beta"))
 

@@ -10,7 +10,7 @@ from ..operators import features as K, impute as Im, inference as I, models as M
 from ..streaming.monitor_stream import work_folder
 from .clean_plans import DIRTY_SQL, dirty
 from .inference_plans import sql_norm_cdf
-from .registry import MULTI_SQL, SCORED_SQL, multi, query, rounded, scored, sql_auc
+from .registry import MULTI_SQL, SCORED_SQL, multi, query, rounded, scored, sql_auc, sql_logit
 
 X = ["x1", "x2", "x3"]
 
@@ -105,6 +105,24 @@ def _(t):
     return _auc_of(M.score(model, test), "logit").withColumn("reg", F.lit(best[0]))
 
 
+GRID = [0.001, 0.1, 10.0]
+
+
+@query("grid_search_table", "L7", f"""with recursive {MODEL_SQL}, d as (select *, caseid % 3 as f from mt where yr < 2000),
+tr as (select h, d.* from d, (select unnest([0, 1, 2]) as h) where f <> h),
+mo as (select h, {', '.join(f'avg({x}) as m_{x}, stddev_samp({x}) as s_{x}' for x in X)} from tr group by h),
+dx as materialized (select h, reg, y, [1.0, {', '.join(f'({x} - m_{x}) / s_{x}' for x in X)}]::double[] as x from tr join mo using (h), (select unnest({GRID}) as reg)),
+{sql_logit('lo', 'dx', 'h, reg', 4, 'reg * n', 200, 0.5)},
+sc as (select h, reg, y, list_dot_product(b, [1.0, {', '.join(f'({x} - m_{x}) / s_{x}' for x in X)}]::double[]) as preds from d join mo on d.f = mo.h join lo using (h)), {sql_auc('sc', 'h, reg', s='preds')}
+select reg, round(avg(auc), 4) as auc, cast((row_number() over (order by avg(auc) desc) = 1)::int as bigint) as best from auc_t group by reg""")
+def _(t):
+    """Mean AUROC over three folds of each penalty."""
+    train = model_table(t).filter("yr < 2000").withColumn("fold", F.col("caseid") % 3)
+    _, metrics = M.grid_search(train, X, "fold", GRID, 3)
+    top = max(m for _, m in metrics)
+    return rounded(train.sparkSession.createDataFrame([(r, float(m), int(m == top)) for r, m in metrics], "reg double, auc double, best bigint").withColumn("auc", F.round("auc", 4)))
+
+
 @query("best_params", "L8", f"""with {MULTI_SQL}, {sql_auc('multi', 'outcome, version, test_year, method, model', s='preds')}
 select outcome, cast(version as bigint) as version, test_year, method, model, round(auc, 6) as auc from auc_t
 qualify row_number() over (partition by outcome, version, test_year order by -round(auc, 12), method, model) = 1""")
@@ -232,6 +250,21 @@ def _(t):
     return rounded(M.logit_inference(both, ["bin"], X), 4)
 
 
+@query("logit_inference_pair", "L14", f"""with recursive {MODEL_SQL}, st as (select avg(x1) as m, stddev_samp(x1) as s from mt),
+dx as materialized (select bin, y, [1.0, (x1 - m) / s]::double[] as x from (select 'all' as bin, * from mt union all select g, * from mt), st),
+{sql_logit('lo', 'dx', 'bin', 2, '0.0', 300, 0.5)},
+w as (select bin, any_value(b) as b, sum(p * (1 - p)) as h11, sum(p * (1 - p) * x[2]) as h12, sum(p * (1 - p) * x[2] * x[2]) as h22
+  from (select *, 1 / (1 + exp(-list_dot_product(b, x))) as p from dx join lo using (bin)) group by bin),
+c as (select bin, 'intercept' as feature, b[1] as coef, sqrt(h22 / (h11 * h22 - h12 * h12)) as se from w union all select bin, 'x1', b[2], sqrt(h11 / (h11 * h22 - h12 * h12)) from w)
+select bin, feature, round(coef, 5) as coef, round(se, 5) as se, round(coef / se, 4) as z, round(2 * (1 - {sql_norm_cdf('abs(coef / se)')}), 5) as pval from c""")
+def _(t):
+    """Coefficients and Wald p-values of one scaled feature, pooled and by bin."""
+    d = model_table(t)
+    d = K.standardise(d, d, ["x1"])
+    both = d.withColumn("bin", F.lit("all")).unionByName(d.withColumn("bin", F.col("g")))
+    return rounded(M.logit_inference(both, ["bin"], ["x1"]), 5, z=4)
+
+
 def _concordance(t, scope):
     d = model_table(t)
     w, hist = M.fit_concordance(d.filter("yr < 2000"), d.filter("yr = 2000"), scope, "g", "caseid", X, [1.0, 0.001], 2000)
@@ -261,6 +294,23 @@ def _(t):
     return rounded(R.auc(s, ["label"], "y", "preds").join(s.groupBy("label").agg(F.avg("preds").alias("mean_p"), F.avg("y").alias("mean_y")), "label").drop("num", "den"), 4)
 
 
+@query("multi_output_pair", "L16", f"""with recursive {MODEL_SQL}, d as (select *, cast((x1 + x3 > 4)::int as bigint) as y2 from mt),
+l as (select 'y' as label, caseid, x1, x2, y from d union all select 'y2', caseid, x1, x2, y2 from d),
+m as (select label, avg(x1) as m1, avg(x2) as m2, avg(y) as my, var_pop(x1) * count(*) + 1 as a, covar_pop(x1, x2) * count(*) as b, var_pop(x2) * count(*) + 1 as c, covar_pop(x1, y) * count(*) as u, covar_pop(x2, y) * count(*) as v from l group by label),
+e as (select label, y, my + (x1 - m1) * (c * u - b * v) / (a * c - b * b) + (x2 - m2) * (a * v - b * u) / (a * c - b * b) as eta from l join m using (label)),
+z as (select label, avg(eta) as me, stddev_pop(eta) as se from e group by label),
+dx as materialized (select label, y, [1.0, (eta - me) / se]::double[] as x from e join z using (label)),
+{sql_logit('lo', 'dx', 'label', 2, '0.0', 400, 0.6)},
+sc as (select label, y, 1 / (1 + exp(-list_dot_product(b, x))) as preds from dx join lo using (label)), {sql_auc('sc', 'label', s='preds')}
+select label, n1, n0, round(auc, 4) as auc, round(mean_p, 4) as mean_p, round(spread, 4) as spread from auc_t join (select label, avg(preds) as mean_p, stddev_pop(preds) as spread from sc group by label) using (label)""")
+def _(t):
+    """Two labels on shared moments of two features, each with its calibration."""
+    d = model_table(t).withColumn("y2", (F.col("x1") + F.col("x3") > 4).cast("bigint"))
+    s = M.multi_output_logit(d, ["x1", "x2"], ["y", "y2"], ["caseid"])
+    p = s.groupBy("label").agg(F.avg("preds").alias("mean_p"), F.stddev_pop("preds").alias("spread"))
+    return rounded(R.auc(s, ["label"], "y", "preds").select("label", "n1", "n0", "auc").join(p, "label"), 4)
+
+
 @query("sqrt_lasso_logit", "L17")
 def _(t):
     train, test = split(t)
