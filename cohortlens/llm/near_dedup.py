@@ -33,6 +33,8 @@ ROWS, BANDS = 6, 48
 CELLS = 1 << 20
 #: Shingles whose rank windows are held at once.
 BLOCK = 4096
+#: Bytes of text whose shingles are held at once; each takes some 30 bytes.
+SLICE = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -223,11 +225,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
 
     component_id is the smallest id reachable by links, kept says that it is the row's own. A null or empty text, or one
     of white space, has no shingles, links with nothing and is kept. Rows that repeat an id stand for one document, linked
-    if any of them is; each is returned. A row with a null id links with nothing, its component is null, it is kept.
+    if any of them is; each is returned. A row with a null id links with nothing, its component is null, it is kept. Texts of
+    any length count whole; an empty table gives no rows; other columns are not read, so their names may clash.
     """
     base = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     made = [("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))]
-    sets = written(base.mapInArrow(per_text(lambda t: describe(t, n), "text", ["id"], made),
+    sets = written(base.mapInArrow(per_text(lambda t: describe(t, n), "text", ["id"], made, SLICE),
                                    "id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>"), "sets")
     known = sets.where("id is not null and n > 0")
     reps = written(known.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "representatives")
