@@ -177,7 +177,7 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
     Learns from rows of ``labelled`` (default docs) with a text, a language and crc32(id as text) mod 4 other than 2, at
     most per_language of each language; the prediction reads the text only. A null text, one without a letter, or any
     text if nothing could be learned is ``und`` with score 0 and not ambiguous. Ambiguous: the second codeword's share
-    comes within ``close``. Repeated rows are judged each. A null id is not held out and not learned from. ``prefix``
+    comes within ``close``. Repeated rows are judged each, texts of any length whole; an empty table gives no rows. A null id is not held out and not learned from. ``prefix``
     stands before the results' names; with all_columns, columns that still have such a name are replaced.
     """
     fold = lambda df: F.crc32(df[id].cast("string").cast("binary")) % 4

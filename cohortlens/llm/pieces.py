@@ -46,6 +46,10 @@ class Vocabulary:
         self.byte_id = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.uint32)
         if any(SPACE in p.lstrip(SPACE) for p in self.id_of):
             raise ValueError("a piece reaches across a space")
+        for probe in ("ﬁ  Å x ", " a", "½\t\n\u3000"):
+            got = b"".join(bytes([int(q[3:5], 16)]) if model.is_byte(i) else q.encode() for i in model.encode(probe) for q in [model.id_to_piece(i)])
+            if got.decode() != SPACE + probe.replace(" ", SPACE):
+                raise ValueError("the model's normaliser changes texts, or adds no space before them")
         chars = sorted({c for p in self.id_of for c in p})
         self.code = np.zeros(0x110000, np.uint16)  # 0: no piece has it
         self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
@@ -261,7 +265,8 @@ def decode_ids(ids: np.ndarray, sizes: np.ndarray, path: str) -> pa.Array:
 
 
 def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, ids (array<int>). A null or empty text has no ids; every row is encoded. One scan, no shuffle.
+    """Per row: id, ids (array<int>). A null or empty text has no ids; every row is encoded, repeated ones too, texts of any
+    length whole; an empty table gives no rows; other columns are not read, so their names may clash. One scan, no shuffle.
 
     path: a sentencepiece BPE model file readable on the executors.
     """
@@ -278,7 +283,8 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
 
 
 def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """Per row: id, text of a list of ids; a null list gives a null text, an empty one ''."""
+    """Per row: id, text of a list of ids; a null list gives a null text, an empty one ''; lists of any length; an empty table
+    gives no rows; other columns are not read."""
     def fn(batches):
         for batch in batches:
             lists = batch.column(1)
@@ -295,7 +301,8 @@ def round_trip(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text
     """Per row: id, n_pieces, ids_crc32 (of unsigned little-endian 32-bit ids), restored (decoding gives the text back).
 
     Encodes and decodes each slice in one pass, so ids need not leave the task. A null or empty text has no pieces and is
-    restored as ''. A literal U+2581 reads like a space and comes back as one.
+    restored as ''. A literal U+2581 reads like a space and comes back as one. Repeated rows are encoded each, texts of any
+    length whole; an empty table gives no rows; other columns are not read, so their names may clash.
     """
     def fn(texts: pa.Array) -> dict[str, pa.Array]:
         ids, size = encode_texts(texts, path)

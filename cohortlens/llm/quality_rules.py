@@ -192,7 +192,8 @@ def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
     Runs jobs: counts of all texts are written once to the shared folder; the cutoffs come from all labelled rows. A null
     or empty text has counts of 0 and fails the base rule. A null stratum is a stratum; a null id is judged like others
-    but has no label. Repeated rows are judged each and, labelled, count each. Without labels no rule rejects.
+    but has no label. Repeated rows are judged each and, labelled, count each. Without labels no rule rejects. Texts of any
+    length count whole; an empty table gives no rows; of other columns only ``keep`` is read, so their names may clash.
     """
     own, layer = free_name(docs, "stratum_of_row"), [id, *(keep or [])]
     measured = metrics(docs.withColumn(own, docs[stratum].cast("string")), text, [*layer, own])

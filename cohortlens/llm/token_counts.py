@@ -296,7 +296,8 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: list[str]
     """Columns ``keep`` (default: all but the text), n_bytes, n_tokens, over_limit (n_tokens > limit) for every row.
 
     path: a byte-level BPE file in the tokenizers library's format, readable on the executors. A null or empty text has
-    0 bytes and 0 tokens. Rows are never dropped, repeated rows are counted each; columns named like a result are left out.
+    0 bytes and 0 tokens. Rows are never dropped, repeated rows are counted each, texts of any length whole; columns named
+    like a result are left out; an empty table gives no rows.
     One scan, no shuffle; a task holds one slice of texts and the compiled states.
     """
     made = [("n_bytes", pa.int64()), ("n_tokens", pa.int64())]

@@ -105,7 +105,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id
 
     Both tables have id and vector. All candidates if there are fewer than k; equal scores go to the smaller id. Null ids
     and vectors that are null or hold null or non-finite components take no part; vectors meet only those of their own
-    length. Repeated candidate rows each count, repeated query rows answer once. ``pivots`` bounds the sample of pivots.
+    length. Repeated candidate rows each count, repeated query rows answer once. Empty tables give no rows; other columns
+    are not read. ``pivots`` bounds the sample of pivots.
     """
     data = written(quantised(vectors, id, vector, scale), "vectors")
     asked = quantised(queries, id, vector, scale).dropDuplicates(["id"])

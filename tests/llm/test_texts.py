@@ -159,3 +159,14 @@ def test_packed_ids_are_the_librarys(texts):
     ids, ends = packing.token_ids(column(texts), WORD, 0)
     want = [e.ids + [0] for e in library.encode_batch(texts, add_special_tokens=False)]
     assert ids.tolist() == [i for w in want for i in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
+def test_other_kinds_are_refused(tmp_path):
+    """A tokenizer that keeps white space is not packed; a model that normalises is not matched."""
+    import pytest
+    import sentencepiece as sp
+
+    with pytest.raises(ValueError, match="white space"):
+        packing.tokenizers_of(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.tokenizers_of(WORD)[0] is not None
+    assert pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model")).size == sp.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).get_piece_size()
