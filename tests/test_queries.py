@@ -29,7 +29,7 @@ def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     # the training-data queries are there exactly if their subpackage is
     dealt = {m[0] for n in entry.queries() if (m := re.match(r"op\d+_|pipeline", n))}
-    assert dealt == ({"pipeline", *(f"op{i}_" for i in range(1, 11))} if importlib.util.find_spec("cohortlens.llm") else set())
+    assert dealt == ({"pipeline", *(f"op{i}_" for i in range(1, 14))} if importlib.util.find_spec("cohortlens.llm") else set())
 
 
 def test_a_cluster_without_a_shared_folder_is_refused():
