@@ -80,4 +80,4 @@ def test_oracle(spark, name):
 def test_every_dealt_operator_is_registered():
     from cohortlens.llm import queries
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
