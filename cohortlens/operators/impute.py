@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_spread
 from .features import holdout
 from .inference import bootstrap_ci
 from .models import naive_bayes_stack, univariate_fit, univariate_scores
@@ -89,8 +89,10 @@ def impute_numeric(df: DataFrame, col: str, cats: list[str], nums: list[str], id
 def gate_by_year(df: DataFrame, cols: list[str], period: str, cats: list[str], nums: list[str],
                  min_precision: float = 0.1, min_recall: float = 0.2) -> DataFrame:
     """Train on earlier periods, test on the next; a column passes when its mean precision and recall over
-    the threshold grid and all test periods are high enough: name, auc, precision, recall, impute."""
+    the threshold grid and all test periods are high enough: name, auc, precision, recall, impute. What made df runs once:
+    all fits read a written copy of the columns they need."""
     parts = []
+    df = cut_spread(df.select(*dict.fromkeys([period, *cols, *cats, *nums])))
     for col in cols:  # a handful of columns
         known = df.filter(F.col(col).isin(0, 1))
         years = [r[0] for r in known.select(period).distinct().orderBy(period).collect()]
