@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_spread
 from .features import expanding_folds
 from .paths import Design, design_of
 from .ranking import auc
@@ -74,7 +74,7 @@ def fit_grouped(df: DataFrame, keys: list[str], design: Design, y: str = "y", ri
     rows = rows.filter(F.col("_y").isin(0.0, 1.0) & F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v)))
     for k in order:
         rows = rows.filter(F.col(f"`{k}`").isNotNull())
-    rows = cut_lineage(rows.withColumn("_n", F.monotonically_increasing_id()))
+    rows = cut_spread(rows).withColumn("_n", F.monotonically_increasing_id())
     # moments of the numbers, around each group's mean: two passes over few columns
     nums = range(len(design.nums))
     size = rows.groupBy(*order).agg(F.sum("_y").cast("bigint").alias("n1"), F.sum(1 - F.col("_y")).cast("bigint").alias("n0"),
