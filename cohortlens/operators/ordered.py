@@ -110,6 +110,27 @@ def with_buckets(df: DataFrame, order: list[str], buckets: int | None = None,
     return df, names
 
 
+CELLS = 16  # hash cells of keys per bucket
+
+
+def crowded_keys(source: DataFrame, keys: list[str], buckets: int | None = None) -> Column:
+    """True where the keys may hold more than 1/buckets of ``source``'s rows, for any frame that has the keys.
+
+    Rows are counted in a fixed number of hash cells of the keys, as a scalar subquery. All keys of a cell above that
+    share count as crowded, so no larger group is missed; that others share its cell costs work, not the result.
+    """
+    buckets = buckets or default_buckets(source)
+    cells = CELLS * buckets
+    # 0.0 and -0.0 are one key
+    floats = {k for k in keys if isinstance(source.schema[k].dataType, T.FractionalType)}
+    cell = F.pmod(F.xxhash64(*[F.col(k) + F.lit(0) if k in floats else F.col(k) for k in keys]), F.lit(cells)).cast("int")
+    every = source.sparkSession.range(0, cells, 1, 1).select(F.col("id").cast("int").alias("_cell"), F.lit(0).alias("_n"))
+    counts = (source.select(cell.alias("_cell"), F.lit(1).alias("_n")).unionAll(every)
+              .groupBy("_cell").agg(F.sum("_n").alias("_n"))
+              .agg(F.array_sort(F.collect_list(F.struct("_cell", "_n"))).alias("_c"), F.sum("_n").alias("_t")))
+    return F.get(counts.select(F.transform("_c", lambda c: c["_n"] * buckets > F.col("_t"))).scalar(), cell)
+
+
 _EMPTY = {"sum": 0, "count": 0}
 
 

@@ -2,18 +2,19 @@
 
 Conventions: y is 0/1 (other labels, and NULL scores, are left out), ties between a positive and a
 negative count one half, a metric without both classes is NULL. All metrics work on the histogram
-(keys, score) -> positives, negatives, so what moves over the network is distinct scores.
+(keys, score) -> positives, negatives, so what moves over the network is distinct scores. Groups that fit into a
+task are the exception: their rows are moved once and ranked as they are, as few of them share a score.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.draws import draw_index
 from .draws import spread_draws
-from .ordered import number_rows, scan
+from .ordered import crowded_keys, number_rows, scan, with_buckets
 
 
 def div(a: Column, b: Column) -> Column:
@@ -21,32 +22,116 @@ def div(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
 
+def labelled(df: DataFrame, keys: list[str], y: str = "y", s: str = "score", weight: str | None = None) -> DataFrame:
+    """The scored rows: keys, s, p (weight of a positive, else 0), n (of a negative)."""
+    w = F.col(weight) if weight else F.lit(1).cast("bigint")
+    return df.filter(F.col(y).isin(0, 1) & F.col(s).isNotNull()).select(
+        *keys, s, F.when(F.col(y) == 1, w).otherwise(0).alias("p"), F.when(F.col(y) == 0, w).otherwise(0).alias("n"))
+
+
+def merged(rows: DataFrame, keys: list[str], s: str) -> DataFrame:
+    """(keys, s) -> p positives, n negatives, of rows or of a finer histogram."""
+    return rows.groupBy(*keys, s).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+
+
 def score_histogram(df: DataFrame, keys: list[str], y: str = "y", s: str = "score",
                     weight: str | None = None) -> DataFrame:
     """(keys, s) -> p positives, n negatives."""
-    w = F.col(weight) if weight else F.lit(1).cast("bigint")
-    return (df.filter(F.col(y).isin(0, 1) & F.col(s).isNotNull())
-            .groupBy(*keys, s)
-            .agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("p"),
-                 F.sum(F.when(F.col(y) == 0, w).otherwise(0)).alias("n")))
+    return merged(labelled(df, keys, y, s, weight), keys, s)
 
 
-def auc_from_histogram(hist: DataFrame, keys: list[str], s: str = "score",
-                       sketch_from: DataFrame | None = None) -> DataFrame:
-    """keys -> n1, n0, num (pairs won), den (pairs), auc.
+ALL = "all"
+
+
+def with_all(df: DataFrame, period: str, own: list[str], overall: list[str]) -> DataFrame:
+    """Each row twice: at its period as text, with the columns ``own``, and at period 'all' with ``overall`` under the
+    names of ``own``. ``_all`` tells the two apart; a row without a period is at 'all' only."""
+    rest = [c for c in df.columns if c not in {period, *own, *overall}]
+    at = F.array(*[F.struct(F.lit(i).alias("_all"), when.alias(period), *[F.col(c).alias(o) for c, o in zip(cols, own)])
+                   for i, (when, cols) in enumerate(((F.col(period).cast("string"), own), (F.lit(ALL), overall)))])
+    return df.select(*rest, F.explode(at).alias("_when")).select(*rest, "_when.*").filter(F.col(period).isNotNull())
+
 
-    Both branches of the scan read the same columns of the histogram, so its shuffle happens once;
-    ``sketch_from`` (the scored rows) spares a third one for the bucket edges.
+def _won_inside(data: DataFrame, part: list[str], s: str, period: str | None = None) -> DataFrame:
+    """part -> p, n, num: pairs won inside the part. ``data`` are rows or a histogram: ranges of equal scores are one step.
+
+    With a period: by period and over all of them (``with_all``), from one shuffle by the part.
+    """
+    # sorts compare one number before the keys, which are mostly text
+    data = data.select(F.xxhash64(*part).alias("_at"), *part, *([period] if period else []), s, "p", "n")
+    grains = [["_at", *part]] if period is None else [["_at", *part], ["_at", *part, period]]
+    for i, by in enumerate(grains):
+        upto = W.partitionBy(*by).orderBy(s).rangeBetween(W.unboundedPreceding, W.currentRow)
+        data = data.select("*", F.sum("n").over(upto).cast("double").alias(f"_n{i}"),
+                           F.sum("p").over(upto).cast("double").alias(f"_p{i}"))
+    # up: pairs won or tied, down: lost or tied
+    sums = data.groupBy(*grains[-1]).agg(
+        F.sum("p").alias("p"), F.sum("n").alias("n"),
+        *[x for i in range(len(grains)) for x in (F.sum(F.col("p") * F.col(f"_n{i}")).alias(f"_up{i}"),
+                                                  F.sum(F.col("n") * F.col(f"_p{i}")).alias(f"_down{i}"))])
+    if period:
+        part = [*part, "_all", period]
+        sums = (with_all(sums, period, ["_up1", "_down1"], ["_up0", "_down0"]).groupBy("_at", *part)
+                .agg(*[F.sum(c).alias(o) for c, o in (("p", "p"), ("n", "n"), ("_up1", "_up0"), ("_down1", "_down0"))]))
+    pairs = F.col("p").cast("double") * F.col("n").cast("double")
+    return sums.select(*part, "p", "n", ((F.col("_up0") - F.col("_down0") + pairs) / 2).alias("num"))
+
+
+def _over_buckets(parts: DataFrame, keys: list[str], bcols: list[str]) -> DataFrame:
+    """keys -> p, n, num: a bucket's positives also win against the negatives of the buckets below.
+
+    Buckets meet as sums; no row is joined to what the buckets before it hold.
     """
-    ranked = scan(hist, keys, [s], {"_cn": ("sum", "n")}, exclusive=True, totals={"_n1": "p", "_n0": "n"},
-                  sketch_from=sketch_from)
-    won = F.col("p").cast("double") * (F.col("_cn").cast("double") + F.col("n").cast("double") / 2)
-    return (ranked.groupBy(*keys)
-            .agg(F.max("_n1").alias("n1"), F.max("_n0").alias("n0"), F.sum(won).alias("num"))
+    below = F.sum("n").over(W.partitionBy(*keys).orderBy(*bcols).rowsBetween(W.unboundedPreceding, -1))
+    won = F.col("num") + F.col("p").cast("double") * F.coalesce(below, F.lit(0)).cast("double")
+    return (parts.select(*keys, "p", "n", won.alias("num")).groupBy(*keys)
+            .agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum("num").alias("num")))
+
+
+def _rated(won: DataFrame, keys: list[str]) -> DataFrame:
+    """keys -> n1, n0, num, den, auc."""
+    return (won.select(*keys, F.col("p").alias("n1"), F.col("n").alias("n0"), "num")
             .withColumn("den", F.col("n1").cast("double") * F.col("n0").cast("double"))
             .withColumn("auc", div(F.col("num"), F.col("den"))))
 
 
+def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows without a NULL key."""
+    for k in keys:
+        df = df.filter(F.col(k).isNotNull())
+    return df
+
+
+def auc_from_histogram(hist: DataFrame, keys: list[str], s: str = "score",
+                       sketch_from: DataFrame | None = None) -> DataFrame:
+    """keys -> n1, n0, num (pairs won), den (pairs), auc, for few keys that hold many scores.
+
+    Every key is cut into buckets of scores. Their edges come from ``sketch_from``, or from the histogram: read with
+    all its columns, so that its shuffle runs once for both.
+    """
+    hist = _keyed(hist, keys)
+    data, bcols = with_buckets(hist, [s], sketch_from=hist.filter(F.col("p") + F.col("n") > 0) if sketch_from is None else sketch_from)
+    return _rated(_over_buckets(_won_inside(data, [*keys, *bcols], s), keys, bcols), keys)
+
+
+def auc_of_groups(rows: DataFrame, keys: list[str], s: str = "score", period: str | None = None) -> DataFrame:
+    """As auc_from_histogram, from ``labelled`` rows of many groups of any size.
+
+    Only groups that hold more than a bucket's share of the rows are counted by score and cut into buckets; there
+    are few of them. The others are moved once, whole, and ranked as they lie. With a period: also over all
+    periods (``with_all``), from the same shuffle.
+    """
+    rows = _keyed(rows, keys)
+    crowded = crowded_keys(rows, keys)
+    some = rows.filter(crowded)
+    grain = [*keys, period] if period else keys
+    out = [*keys, "_all", period] if period else keys
+    data, bcols = with_buckets(merged(some, grain, s), [s], sketch_from=some.select(s))
+    cut = _over_buckets(_won_inside(data, [*keys, *bcols], s, period), out, bcols)
+    whole = _won_inside(rows.filter(~crowded), keys, s, period)
+    return _rated(whole.unionByName(cut), out)
+
+
 def auc(df: DataFrame, keys: list[str], y: str = "y", s: str = "score",
         weight: str | None = None) -> DataFrame:
     """AUROC by keys."""
@@ -58,27 +143,15 @@ def auc_by_group(df: DataFrame, keys: list[str], g: str, y: str = "y", s: str =
 
     Groups without a positive are left out; groups without a negative stay with 0 pairs.
     """
-    t = auc(df, [*keys, g], y, s).filter(F.col("n1") > 0)
+    t = auc_of_groups(labelled(df, [*keys, g], y, s), [*keys, g], s).filter(F.col("n1") > 0)
     n1 = F.col("n1").cast("double")
     return t.select(*keys, g, "n1", "n0", (F.col("num") + n1 * (n1 + 1) / 2).alias("r_s"),
                     F.col("den").alias("n0n1"), "auc")
 
 
-def decompose_histogram(hist: DataFrame, keys: list[str], g: str, s: str = "score",
-                        sketch_from: DataFrame | None = None, at_grain: bool = True) -> DataFrame:
-    """Decomposition from a histogram by (keys, g, s), or finer when ``at_grain`` is off.
-
-    Its shuffle is shared: the within and the total branch, and both halves of their scans, read the same
-    columns of it.
-    """
-    fine = hist if at_grain else hist.groupBy(*keys, g, s).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    flat = hist.groupBy(*keys, s).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    if not keys:
-        fine, flat = fine.withColumn("_all", F.lit(1)), flat.withColumn("_all", F.lit(1))
-    k = keys or ["_all"]
-    within = (auc_from_histogram(fine, [*k, g], s, sketch_from).groupBy(*k)
-              .agg(F.sum("num").alias("num_w"), F.sum("den").alias("den_w")))
-    total = auc_from_histogram(flat, k, s, sketch_from)
+def _decomposed(total: DataFrame, groups: DataFrame, k: list[str], keys: list[str]) -> DataFrame:
+    """The three parts from the tables of AUROC by k and by group; ``keys`` are those to return."""
+    within = groups.groupBy(*k).agg(F.sum("num").alias("num_w"), F.sum("den").alias("den_w"))
     both = total.join(within, on=k)
     parts = F.array(
         F.struct(F.lit("total").alias("tt"), F.col("num").alias("num"), F.col("den").alias("den")),
@@ -91,23 +164,39 @@ def decompose_histogram(hist: DataFrame, keys: list[str], g: str, s: str = "scor
                     F.col("_part.den").alias("den"), "n1", "n0"))
 
 
+def decompose_histogram(hist: DataFrame, keys: list[str], g: str, s: str = "score",
+                        sketch_from: DataFrame | None = None) -> DataFrame:
+    """Decomposition from a histogram by (keys, g, s): for what is costly to compute again, as its shuffle is shared
+    by the within and the total branch."""
+    fine, flat = hist, merged(hist, keys, s)
+    if not keys:
+        fine, flat = fine.withColumn("_all", F.lit(1)), flat.withColumn("_all", F.lit(1))
+    k = keys or ["_all"]
+    return _decomposed(auc_from_histogram(flat, k, s, sketch_from), auc_from_histogram(fine, [*k, g], s, sketch_from), k, keys)
+
+
 def auc_decompose(df: DataFrame, keys: list[str], g: str, y: str = "y", s: str = "score",
                   weight: str | None = None) -> DataFrame:
     """AUROC split exactly into total, within-group and between-group parts.
 
     total * den_total = within * den_within + between * den_between; n1, n0 belong to the total.
     """
-    return decompose_histogram(score_histogram(df, [*keys, g], y, s, weight), keys, g, s, df.select(s))
+    rows = labelled(df, [*keys, g], y, s, weight)
+    if not keys:
+        rows = rows.withColumn("_all", F.lit(1))
+    k = keys or ["_all"]
+    total = auc_from_histogram(merged(_keyed(rows, k), k, s), k, s)
+    return _decomposed(total, auc_of_groups(rows, [*k, g], s), k, keys)
 
 
 def decompose_all(df: DataFrame, keys: list[str], period: str, g: str, y: str = "y",
                   s: str = "score") -> DataFrame:
-    """Decomposition by period and over all periods ('all'), from one histogram."""
-    hist = score_histogram(df, [*keys, period, g], y, s)
-    by_period = decompose_histogram(hist, [*keys, period], g, s, df.select(s))
-    overall = decompose_histogram(hist, keys, g, s, df.select(s), at_grain=False)
-    return (by_period.withColumn(period, F.col(period).cast("string"))
-            .unionByName(overall.withColumn(period, F.lit("all"))))
+    """Decomposition by period and over all periods ('all'); rows and their counts are moved once for both."""
+    rows = labelled(df, [*keys, period, g], y, s)
+    k = [*keys, "_all", period]
+    flat = merged(with_all(merged(rows, [*keys, period], s), period, [], []), k, s)
+    total = auc_from_histogram(flat, k, s)
+    return _decomposed(total, auc_of_groups(rows, [*keys, g], s, period), k, [*keys, period])
 
 
 def sampled_pair_auc(df: DataFrame, keys: list[str], n: int, seed: int, id_col: str, y: str = "y",
