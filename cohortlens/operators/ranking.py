@@ -8,7 +8,7 @@ task are the exception: their rows are moved once and ranked as they are, as few
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -29,9 +29,30 @@ def labelled(df: DataFrame, keys: list[str], y: str = "y", s: str = "score", wei
         *keys, s, F.when(F.col(y) == 1, w).otherwise(0).alias("p"), F.when(F.col(y) == 0, w).otherwise(0).alias("n"))
 
 
-def merged(rows: DataFrame, keys: list[str], s: str) -> DataFrame:
-    """(keys, s) -> p positives, n negatives, of rows or of a finer histogram."""
-    return rows.groupBy(*keys, s).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+def labelled_cells(df: DataFrame, g: str, cells: list[Cell], weight: str | None = None) -> tuple[DataFrame, list[str]]:
+    """The scored rows, one for each score column that cells name, not for each cell: _of (which score), g, _s, and p and n
+    with a suffix for each label column. Returns them and the suffixes. Scores are compared as doubles."""
+    w = F.col(weight) if weight else F.lit(1).cast("bigint")
+    labels, scores = (list(dict.fromkeys(c)) for c in list(zip(*cells))[1:])
+    one = [F.when(F.col(y) == v, w).otherwise(0).alias(f"{c}{i}")
+           for i, y in enumerate(labels) for c, v in (("p", 1), ("n", 0))]
+    of = F.array(*[F.struct(F.lit(i).alias("_of"), F.col(s).cast("double").alias("_s")) for i, s in enumerate(scores)])
+    rows = df.select(g, *one, F.explode(of).alias("_o")).select("_o._of", g, "_o._s", *[f"{c}{i}" for i in range(len(labels)) for c in "pn"])
+    return rows.filter(F.col("_s").isNotNull()), [str(i) for i in range(len(labels))]
+
+
+def of_cells(won: DataFrame, keys: list[str], cells: list[Cell]) -> DataFrame:
+    """keys -> p, n, num, den of each cell, from sums by _of with a suffix for each label; cells without a row are left out."""
+    labels, scores = (list(dict.fromkeys(c)) for c in list(zip(*cells))[1:])
+    each = F.array(*[F.struct(F.lit(scores.index(s)).alias("_cell_of"), *[F.lit(v).alias(k) for k, v in zip(keys, values)],
+                              *[F.col(f"{c}{labels.index(y)}").alias(c) for c in ("p", "n", "num", "den")]) for values, y, s in cells])
+    return (won.select("_of", F.explode(each).alias("_c")).filter(F.col("_c._cell_of") == F.col("_of")).select("_c.*").drop("_cell_of")
+            .filter(F.col("p") + F.col("n") > 0))
+
+
+def merged(rows: DataFrame, keys: list[str], s: str, labels: Sequence[str] = ("",)) -> DataFrame:
+    """(keys, s) -> p positives, n negatives (of each label), of rows or of a finer histogram."""
+    return rows.groupBy(*keys, s).agg(*[F.sum(c + x).alias(c + x) for x in labels for c in "pn"])
 
 
 def score_histogram(df: DataFrame, keys: list[str], y: str = "y", s: str = "score",
@@ -41,6 +62,7 @@ def score_histogram(df: DataFrame, keys: list[str], y: str = "y", s: str = "scor
 
 
 ALL = "all"
+Cell = tuple[tuple, str, str]  # values of the keys, label column, score column
 
 
 def with_all(df: DataFrame, period: str, own: list[str], overall: list[str]) -> DataFrame:
@@ -52,40 +74,47 @@ def with_all(df: DataFrame, period: str, own: list[str], overall: list[str]) ->
     return df.select(*rest, F.explode(at).alias("_when")).select(*rest, "_when.*").filter(F.col(period).isNotNull())
 
 
-def _won_inside(data: DataFrame, part: list[str], s: str, period: str | None = None) -> DataFrame:
+def _won_inside(data: DataFrame, part: list[str], s: str, period: str | None = None, labels: Sequence[str] = ("",)) -> DataFrame:
     """part -> p, n, num: pairs won inside the part. ``data`` are rows or a histogram: ranges of equal scores are one step.
 
-    With a period: by period and over all of them (``with_all``), from one shuffle by the part.
+    With a period: by period and over all of them (``with_all``), from one shuffle by the part. Several labels (suffixes
+    of p, n and num) are ranked in one order.
     """
     # sorts compare one number before the keys, which are mostly text
-    data = data.select(F.xxhash64(*part).alias("_at"), *part, *([period] if period else []), s, "p", "n")
+    data = data.select(F.xxhash64(*part).alias("_at"), *part, *([period] if period else []), s, *[c + x for x in labels for c in "pn"])
     grains = [["_at", *part]] if period is None else [["_at", *part], ["_at", *part, period]]
     for i, by in enumerate(grains):
         upto = W.partitionBy(*by).orderBy(s).rangeBetween(W.unboundedPreceding, W.currentRow)
-        data = data.select("*", F.sum("n").over(upto).cast("double").alias(f"_n{i}"),
-                           F.sum("p").over(upto).cast("double").alias(f"_p{i}"))
+        data = data.select("*", *[F.sum(c + x).over(upto).cast("double").alias(f"_{c}{i}{x}") for x in labels for c in "np"])
     # up: pairs won or tied, down: lost or tied
-    sums = data.groupBy(*grains[-1]).agg(
-        F.sum("p").alias("p"), F.sum("n").alias("n"),
-        *[x for i in range(len(grains)) for x in (F.sum(F.col("p") * F.col(f"_n{i}")).alias(f"_up{i}"),
-                                                  F.sum(F.col("n") * F.col(f"_p{i}")).alias(f"_down{i}"))])
+    sums = data.groupBy(*grains[-1]).agg(*[e for x in labels for e in (
+        F.sum(f"p{x}").alias(f"p{x}"), F.sum(f"n{x}").alias(f"n{x}"),
+        *[y for i in range(len(grains)) for y in (F.sum(F.col(f"p{x}") * F.col(f"_n{i}{x}")).alias(f"_up{i}{x}"),
+                                                  F.sum(F.col(f"n{x}") * F.col(f"_p{i}{x}")).alias(f"_down{i}{x}"))])])
     if period:
         part = [*part, "_all", period]
-        sums = (with_all(sums, period, ["_up1", "_down1"], ["_up0", "_down0"]).groupBy("_at", *part)
-                .agg(*[F.sum(c).alias(o) for c, o in (("p", "p"), ("n", "n"), ("_up1", "_up0"), ("_down1", "_down0"))]))
-    pairs = F.col("p").cast("double") * F.col("n").cast("double")
-    return sums.select(*part, "p", "n", ((F.col("_up0") - F.col("_down0") + pairs) / 2).alias("num"))
+        own, overall = ([f"_{c}{i}{x}" for x in labels for c in ("up", "down")] for i in (1, 0))
+        counts = [c + x for x in labels for c in "pn"]
+        sums = (with_all(sums, period, own, overall).groupBy("_at", *part)
+                .agg(*[F.sum(c).alias(o) for c, o in (*zip(counts, counts), *zip(own, overall))]))
+    return sums.select(*part, *[e for x in labels for e in (
+        f"p{x}", f"n{x}", ((F.col(f"_up0{x}") - F.col(f"_down0{x}") + _pairs(x)) / 2).alias(f"num{x}"))])
+
+
+def _pairs(label: str) -> Column:
+    return F.col(f"p{label}").cast("double") * F.col(f"n{label}").cast("double")
 
 
-def _over_buckets(parts: DataFrame, keys: list[str], bcols: list[str]) -> DataFrame:
+def _over_buckets(parts: DataFrame, keys: list[str], bcols: list[str], labels: Sequence[str] = ("",)) -> DataFrame:
     """keys -> p, n, num: a bucket's positives also win against the negatives of the buckets below.
 
     Buckets meet as sums; no row is joined to what the buckets before it hold.
     """
-    below = F.sum("n").over(W.partitionBy(*keys).orderBy(*bcols).rowsBetween(W.unboundedPreceding, -1))
-    won = F.col("num") + F.col("p").cast("double") * F.coalesce(below, F.lit(0)).cast("double")
-    return (parts.select(*keys, "p", "n", won.alias("num")).groupBy(*keys)
-            .agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum("num").alias("num")))
+    upto = W.partitionBy(*keys).orderBy(*bcols).rowsBetween(W.unboundedPreceding, -1)
+    won = [(F.col(f"num{x}") + F.col(f"p{x}").cast("double") * F.coalesce(F.sum(f"n{x}").over(upto), F.lit(0)).cast("double"))
+           .alias(f"num{x}") for x in labels]
+    return (parts.select(*keys, *[c + x for x in labels for c in "pn"], *won).groupBy(*keys)
+            .agg(*[F.sum(c + x).alias(c + x) for x in labels for c in ("p", "n", "num")]))
 
 
 def _rated(won: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,6 +131,27 @@ def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
+def _won_of_few(hist: DataFrame, keys: list[str], s: str, sketch_from: DataFrame | None = None,
+                labels: Sequence[str] = ("",)) -> DataFrame:
+    """keys -> p, n, num, for few keys that hold many scores: every key is cut into buckets of scores."""
+    hist = _keyed(hist, keys)
+    some = sum((F.col(c + x) for x in labels for c in "pn"), F.lit(0)) > 0
+    data, bcols = with_buckets(hist, [s], sketch_from=hist.filter(some) if sketch_from is None else sketch_from)
+    return _over_buckets(_won_inside(data, [*keys, *bcols], s, labels=labels), keys, bcols, labels)
+
+
+def _won_of_groups(rows: DataFrame, keys: list[str], s: str, period: str | None = None, labels: Sequence[str] = ("",)) -> DataFrame:
+    """keys -> p, n, num, for many groups of any size."""
+    rows = _keyed(rows, keys)
+    crowded = crowded_keys(rows, keys)
+    some = rows.filter(crowded)
+    grain = [*keys, period] if period else keys
+    out = [*keys, "_all", period] if period else keys
+    data, bcols = with_buckets(merged(some, grain, s, labels), [s], sketch_from=some.select(s))
+    cut = _over_buckets(_won_inside(data, [*keys, *bcols], s, period, labels), out, bcols, labels)
+    return _won_inside(rows.filter(~crowded), keys, s, period, labels).unionByName(cut)
+
+
 def auc_from_histogram(hist: DataFrame, keys: list[str], s: str = "score",
                        sketch_from: DataFrame | None = None) -> DataFrame:
     """keys -> n1, n0, num (pairs won), den (pairs), auc, for few keys that hold many scores.
@@ -109,9 +159,7 @@ def auc_from_histogram(hist: DataFrame, keys: list[str], s: str = "score",
     Every key is cut into buckets of scores. Their edges come from ``sketch_from``, or from the histogram: read with
     all its columns, so that its shuffle runs once for both.
     """
-    hist = _keyed(hist, keys)
-    data, bcols = with_buckets(hist, [s], sketch_from=hist.filter(F.col("p") + F.col("n") > 0) if sketch_from is None else sketch_from)
-    return _rated(_over_buckets(_won_inside(data, [*keys, *bcols], s), keys, bcols), keys)
+    return _rated(_won_of_few(hist, keys, s, sketch_from), keys)
 
 
 def auc_of_groups(rows: DataFrame, keys: list[str], s: str = "score", period: str | None = None) -> DataFrame:
@@ -121,15 +169,7 @@ def auc_of_groups(rows: DataFrame, keys: list[str], s: str = "score", period: st
     are few of them. The others are moved once, whole, and ranked as they lie. With a period: also over all
     periods (``with_all``), from the same shuffle.
     """
-    rows = _keyed(rows, keys)
-    crowded = crowded_keys(rows, keys)
-    some = rows.filter(crowded)
-    grain = [*keys, period] if period else keys
-    out = [*keys, "_all", period] if period else keys
-    data, bcols = with_buckets(merged(some, grain, s), [s], sketch_from=some.select(s))
-    cut = _over_buckets(_won_inside(data, [*keys, *bcols], s, period), out, bcols)
-    whole = _won_inside(rows.filter(~crowded), keys, s, period)
-    return _rated(whole.unionByName(cut), out)
+    return _rated(_won_of_groups(rows, keys, s, period), [*keys, "_all", period] if period else keys)
 
 
 def auc(df: DataFrame, keys: list[str], y: str = "y", s: str = "score",
@@ -175,12 +215,28 @@ def decompose_histogram(hist: DataFrame, keys: list[str], g: str, s: str = "scor
     return _decomposed(auc_from_histogram(flat, k, s, sketch_from), auc_from_histogram(fine, [*k, g], s, sketch_from), k, keys)
 
 
+def _decompose_cells(df: DataFrame, keys: list[str], g: str, cells: list[Cell], weight: str | None) -> DataFrame:
+    """``auc_decompose`` of every cell: a case is moved and sorted once for each score column, with all its labels."""
+    rows, labels = labelled_cells(df, g, cells, weight)
+
+    def sums(won: DataFrame) -> DataFrame:
+        return of_cells(won.groupBy("_of").agg(*[e for x in labels for e in (
+            *[F.sum(c + x).alias(c + x) for c in ("p", "n", "num")], F.sum(_pairs(x)).alias(f"den{x}"))]), keys, cells)
+
+    total = sums(_won_of_few(merged(rows, ["_of"], "_s", labels), ["_of"], "_s", labels=labels))
+    return _decomposed(total.withColumnsRenamed({"p": "n1", "n": "n0"}), sums(_won_of_groups(rows, ["_of", g], "_s", labels=labels)), keys, keys)
+
+
 def auc_decompose(df: DataFrame, keys: list[str], g: str, y: str = "y", s: str = "score",
-                  weight: str | None = None) -> DataFrame:
+                  weight: str | None = None, cells: list[Cell] | None = None) -> DataFrame:
     """AUROC split exactly into total, within-group and between-group parts.
 
-    total * den_total = within * den_within + between * den_between; n1, n0 belong to the total.
+    total * den_total = within * den_within + between * den_between; n1, n0 belong to the total. With ``cells``, a row of
+    ``df`` is a case with several labels and scores as columns, and each cell is a label and a score that meet at
+    its values of the keys; as if the case came once for each cell, but its scores are not copied.
     """
+    if cells:
+        return _decompose_cells(df, keys, g, cells, weight)
     rows = labelled(df, [*keys, g], y, s, weight)
     if not keys:
         rows = rows.withColumn("_all", F.lit(1))

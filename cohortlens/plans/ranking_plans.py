@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ranking as R, thresholds as T
-from .registry import (CASES_SQL, MULTI_SQL, SCORED_SQL, cases, multi, query, rounded, scored, sql_auc,
-                       sql_bits, sql_decompose)
+from .registry import (CASES_SQL, MULTI_CELLS, MULTI_KEYS, MULTI_SQL, SCORED_SQL, cases, multi, multi_wide, query, rounded,
+                       scored, sql_auc, sql_bits, sql_decompose)
 
 PP = [0.0, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.99, 1.0]
 
@@ -277,7 +277,7 @@ bm as (select w.outcome, w.version, w.method, w.model, sum(auc * den) / sum(den)
 select outcome, cast(version as bigint) as version, method, model, round(auc, 6) as auc from bm
 qualify row_number() over (partition by outcome, version, method order by -round(auc, 12), model) = 1""")
 def _(t):
-    d = R.auc_decompose(multi(t), ["model", "outcome", "version", "method"], "grp", "y", "preds")
+    d = R.auc_decompose(multi_wide(t), MULTI_KEYS, "grp", cells=MULTI_CELLS)
     return rounded(R.select_best(d.filter("tt = 'within' and method = 'agg'")))
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import ordered as O, ranking as R
+from cohortlens.plans import load, registry
 
 
 def won(rows):
@@ -80,3 +81,63 @@ def test_small_groups_are_moved_once(spark):
     rows = R.labelled(frame(spark, drawn(300, 5)), ["m", "yr", "g"])
     whole = plan(R._won_inside(rows, ["m", "g"], "score", "yr"))
     assert whole.count("Exchange") == 1
+
+
+def wide(spark, n, seed):
+    """Cases with two labels and two scores; a hot group and missing values everywhere. Score c belongs to no row of label b."""
+    rnd = random.Random(seed)
+    rows = [(g, y, rnd.choice([0, 1, None]) if y else None, s, rnd.choice([0.5, rnd.random(), None]), None, rnd.randrange(3))
+            for _, g, y, s in drawn(n, seed)]
+    return spark.createDataFrame(rows, "g string, ya long, yb long, sa double, sb double, sc double, w long")
+
+
+CELLS = [(("a", 1), "ya", "sa"), (("a", 2), "yb", "sa"), (("b", 1), "ya", "sb"), (("copy", 1), "ya", "sa"), (("none", 1), "yb", "sc")]
+
+
+def opened(df, keys, cells, g):
+    return df.select("*", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, values)], F.col(y).alias("y"), F.col(s).alias("score"))
+                                              for values, y, s in cells])).alias("_c")).select(g, *[c for c in ("w",) if c in df.columns], "_c.*")
+
+
+@pytest.mark.parametrize("n,seed,weight", [(60, 6, None), (900, 7, None), (300, 8, "w")])
+def test_cells_give_what_copied_rows_give(spark, n, seed, weight):
+    df, keys = wide(spark, n, seed), ["model", "version"]
+
+    def rows(out):
+        return {(r["model"], r["version"], r["tt"]): (r["auc"], r["den"], r["n1"], r["n0"]) for r in out.collect()}
+
+    got = rows(R.auc_decompose(df, keys, "g", weight=weight, cells=CELLS))
+    want = rows(R.auc_decompose(opened(df, keys, CELLS, "g"), keys, "g", weight=weight))
+    assert set(got) == set(want) and len(got) == 12
+    for k, v in want.items():
+        assert got[k][1:] == v[1:] and got[k][0] == pytest.approx(v[0])
+    assert R.auc_decompose(df.limit(0), keys, "g", cells=CELLS).count() == 0
+
+
+def lineitem(spark, n):
+    rnd = random.Random(9)
+    return spark.createDataFrame(
+        [(rnd.randrange(5), float(rnd.randrange(1, 50)), rnd.choice([1e3, 2e4 * rnd.random(), None]), rnd.randrange(11) / 100, rnd.randrange(9) / 100,
+          rnd.choice(["R", "A", None]), rnd.choice(["F", "O"]), f"199{rnd.randrange(5, 9)}-03-01") for _ in range(n)],
+        "l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, d string"
+    ).withColumn("l_shipdate", F.col("d").cast("timestamp"))
+
+
+def test_wide_cases_are_those_of_multi(spark):
+    def rows(df):
+        return sorted((tuple(r) for r in df.select("model", "outcome", "version", "method", "test_year", "grp", "y", "preds").collect()), key=str)
+
+    cases = registry.multi_wide(lambda _: lineitem(spark, 80))
+    cells = [F.struct(*[F.lit(v).alias(k) for k, v in zip(registry.MULTI_KEYS, values)], F.col(y).alias("y"), F.col(s).alias("preds"))
+             for values, y, s in registry.MULTI_CELLS]
+    assert rows(cases.select("test_year", "grp", F.explode(F.array(*cells)).alias("c")).select("test_year", "grp", "c.*")) == \
+        rows(registry.multi(lambda _: lineitem(spark, 80)))
+
+
+def test_select_best_moves_a_case_once_for_each_score(spark, tmp_path):
+    """Nine cells name two scores: cases are moved by score and group, never with the texts of a cell."""
+    lineitem(spark, 200).write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = load()["select_best"].run(spark, str(tmp_path))
+    moved = [x for x in plan(out).splitlines() if "Exchange hashpartitioning" in x]
+    assert not [x for x in moved if "grp#" in x and "model#" in x] and [x for x in moved if "grp#" in x and "_of#" in x]
+    assert out.count() == 2
