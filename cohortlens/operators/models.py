@@ -31,6 +31,8 @@ from .ranking import auc, div
 ITERATIONS, TOLERANCE = 25, 1e-9
 #: Features beyond which a discriminant is no longer written out as an expression.
 WIDE = 16
+#: Groups up to which a table of coefficients goes to every task.
+FEW_GROUPS = 10_000
 
 
 # --- one model on all rows (L1-L3, L19) -----------------------------------------------------------
@@ -203,13 +205,20 @@ def _moments(df: DataFrame, keys: list[str], features: list[str], weight: Column
                        F.array(*[f"_g{i}" for i in range(p)]).alias("_grad"))
 
 
+def _beside(df: DataFrame, coef: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows beside their group's coefficients (a written table). A counted small table goes to every task: a shuffle by the
+    keys would make one task of a group with half of the rows."""
+    few = coef.select(*keys).limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    return df.join(F.broadcast(coef) if few else coef, keys)
+
+
 def fit_grouped_logit(df: DataFrame, keys: list[str], features: list[str], y: str = "y", ridge: float = 1.0,
                       iterations: int = ITERATIONS) -> DataFrame:
     """keys, n1, n0, beta (intercept first), se. Groups with one class get no row.
 
     One aggregation job per Newton step for all groups together, until no coefficient moves by TOLERANCE or ``iterations``
     are done. The pruned design is checkpointed once
-    (every step reads it), the coefficient table (one small row per group) after each step.
+    (every step reads it), the coefficient table (one small row per group) after each step and at the end.
     """
     df = cut_spread(df.filter(F.col(y).isin(0, 1)).select(*keys, *features, y))
     size = df.groupBy(*keys).agg(F.sum((F.col(y) == 1).cast("bigint")).alias("n1"), F.sum((F.col(y) == 0).cast("bigint")).alias("n0"))
@@ -219,21 +228,21 @@ def fit_grouped_logit(df: DataFrame, keys: list[str], features: list[str], y: st
     p = len(features) + 1
     mu = 1.0 / (1.0 + F.exp(-linear_predictor(features)))
     for _ in range(iterations):
-        rows = df.join(coef.select(*keys, "beta"), keys).withColumn("_mu", mu)
+        rows = _beside(df, coef.select(*keys, "beta"), keys).withColumn("_mu", mu)
         mom = _moments(rows, keys, features, F.col("_mu") * (1 - F.col("_mu")), F.col(y) - F.col("_mu"))
         stepped = coef.join(mom, keys).select(*keys, "n1", "n0", F.col("beta").alias("_old"), _newton_step("beta", "_upper", "_grad", F.lit(ridge)).alias("beta"))
         stepped = cut_lineage(stepped.withColumn("_move", F.array_max(F.zip_with("beta", "_old", lambda a, b: F.abs(a - b)))).drop("_old"))
         coef = stepped.drop("_move")
         if (stepped.agg(F.max("_move")).first()[0] or 0.0) < TOLERANCE:
             break
-    rows = df.join(coef.select(*keys, "beta"), keys).withColumn("_mu", mu)
+    rows = _beside(df, coef.select(*keys, "beta"), keys).withColumn("_mu", mu)
     mom = _moments(rows, keys, features, F.col("_mu") * (1 - F.col("_mu")), F.col(y) - F.col("_mu"))
-    return coef.join(mom, keys).select(*keys, "n1", "n0", "beta", _standard_errors("_upper", F.lit(p)).alias("se"))
+    return cut_lineage(coef.join(mom, keys).select(*keys, "n1", "n0", "beta", _standard_errors("_upper", F.lit(p)).alias("se")))
 
 
 def score_grouped(df: DataFrame, coef: DataFrame, keys: list[str], features: list[str], out: str = "preds") -> DataFrame:
     """Scores of the rows whose group has a model."""
-    d = df.join(coef.select(*keys, "beta"), keys)
+    d = _beside(df, coef.select(*keys, "beta"), keys)
     return d.withColumn(out, 1.0 / (1.0 + F.exp(-linear_predictor(features)))).drop("beta")
 
 
@@ -590,13 +599,14 @@ def lasso_path(df: DataFrame, features: list[str], y: str, fold_col: str, k: int
 def multi_output_logit(df: DataFrame, features: list[str], labels: list[str], ids: list[str], ridge: float = 1.0) -> DataFrame:
     """Linear fit of all labels on shared moments, then a two-parameter logistic calibration per label.
 
-    Returns ids, label, y, eta, preds.
+    Returns ids, label, y, eta, preds. The needed columns are written once; moments, calibration and scores read them.
     """
+    df = cut_spread(df.select(*dict.fromkeys([*ids, *features, *labels])))
     xx, xy, _, _ = gram(df, features, labels)
     betas = _solve(xx + ridge * np.diag([0.0] + [1.0] * len(features)), xy)
     cells = F.array(*[F.struct(F.lit(lb).alias("label"), F.col(lb).cast("bigint").alias("y"), linear_score(features, betas[:, i]).alias("eta"))
                       for i, lb in enumerate(labels)])
-    long = cut_spread(df.select(*ids, F.explode(cells).alias("_c")).select(*ids, "_c.*"))
+    long = df.select(*ids, F.explode(cells).alias("_c")).select(*ids, "_c.*")
     coef = fit_grouped_logit(long, ["label"], ["eta"], "y", ridge=0.0)
     return score_grouped(long, coef, ["label"], ["eta"])
 

@@ -79,3 +79,20 @@ def test_calibration_rows_are_spread(spark, monkeypatch):
     d, _ = _counted(spark)
     M.multi_output_logit(d.coalesce(1), ["x"], ["y"], ["id"])
     assert parts == [4]
+
+
+def test_multi_output_reads_the_written_copy(spark):
+    d, made = _counted(spark)
+    assert M.multi_output_logit(d, ["x"], ["y"], ["id"]).count() == 400
+    assert made.value == 400
+
+
+def test_rows_of_a_label_are_not_moved_to_one_task(spark):
+    d, _ = _counted(spark)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if no size were known
+        plan = M.multi_output_logit(d, ["x"], ["y"], ["id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "Exchange hashpartitioning(label" not in plan and "SortMergeJoin" not in plan
