@@ -29,24 +29,24 @@ def labelled(df: DataFrame, keys: list[str], y: str = "y", s: str = "score", wei
         *keys, s, F.when(F.col(y) == 1, w).otherwise(0).alias("p"), F.when(F.col(y) == 0, w).otherwise(0).alias("n"))
 
 
-def labelled_cells(df: DataFrame, g: str, cells: list[Cell], weight: str | None = None) -> tuple[DataFrame, list[str]]:
-    """The scored rows, one for each score column that cells name, not for each cell: _of (which score), g, _s, and p and n
-    with a suffix for each label column. Returns them and the suffixes. Scores are compared as doubles."""
+def labelled_cells(df: DataFrame, own: list[str], cells: list[Cell], weight: str | None = None) -> tuple[DataFrame, list[str]]:
+    """The scored rows, one for each score column that cells name, not for each cell: _of (which score), ``own`` columns, _s,
+    and p and n with a suffix for each label column. Returns them and the suffixes. Scores are compared as doubles."""
     w = F.col(weight) if weight else F.lit(1).cast("bigint")
     labels, scores = (list(dict.fromkeys(c)) for c in list(zip(*cells))[1:])
     one = [F.when(F.col(y) == v, w).otherwise(0).alias(f"{c}{i}")
            for i, y in enumerate(labels) for c, v in (("p", 1), ("n", 0))]
     of = F.array(*[F.struct(F.lit(i).alias("_of"), F.col(s).cast("double").alias("_s")) for i, s in enumerate(scores)])
-    rows = df.select(g, *one, F.explode(of).alias("_o")).select("_o._of", g, "_o._s", *[f"{c}{i}" for i in range(len(labels)) for c in "pn"])
+    rows = df.select(*own, *one, F.explode(of).alias("_o")).select("_o._of", *own, "_o._s", *[f"{c}{i}" for i in range(len(labels)) for c in "pn"])
     return rows.filter(F.col("_s").isNotNull()), [str(i) for i in range(len(labels))]
 
 
-def of_cells(won: DataFrame, keys: list[str], cells: list[Cell]) -> DataFrame:
-    """keys -> p, n, num, den of each cell, from sums by _of with a suffix for each label; cells without a row are left out."""
+def of_cells(won: DataFrame, keys: list[str], cells: list[Cell], own: Sequence[str] = ()) -> DataFrame:
+    """keys, own -> p, n, num, den of each cell, from sums by _of and own with a suffix for each label; cells without a row are left out."""
     labels, scores = (list(dict.fromkeys(c)) for c in list(zip(*cells))[1:])
     each = F.array(*[F.struct(F.lit(scores.index(s)).alias("_cell_of"), *[F.lit(v).alias(k) for k, v in zip(keys, values)],
                               *[F.col(f"{c}{labels.index(y)}").alias(c) for c in ("p", "n", "num", "den")]) for values, y, s in cells])
-    return (won.select("_of", F.explode(each).alias("_c")).filter(F.col("_c._cell_of") == F.col("_of")).select("_c.*").drop("_cell_of")
+    return (won.select("_of", *own, F.explode(each).alias("_c")).filter(F.col("_c._cell_of") == F.col("_of")).select(*own, "_c.*").drop("_cell_of")
             .filter(F.col("p") + F.col("n") > 0))
 
 
@@ -215,16 +215,23 @@ def decompose_histogram(hist: DataFrame, keys: list[str], g: str, s: str = "scor
     return _decomposed(auc_from_histogram(flat, k, s, sketch_from), auc_from_histogram(fine, [*k, g], s, sketch_from), k, keys)
 
 
-def _decompose_cells(df: DataFrame, keys: list[str], g: str, cells: list[Cell], weight: str | None) -> DataFrame:
-    """``auc_decompose`` of every cell: a case is moved and sorted once for each score column, with all its labels."""
-    rows, labels = labelled_cells(df, g, cells, weight)
+def _decompose_cells(df: DataFrame, keys: list[str], g: str, cells: list[Cell], weight: str | None = None, period: str | None = None) -> DataFrame:
+    """``auc_decompose`` of every cell: a case is moved and sorted once for each score column, with all its labels. With a
+    period: ``decompose_all``."""
+    at = [period] if period else []
+    rows, labels = labelled_cells(df, [*at, g], cells, weight)
+    own = ["_all", *at] if period else []
 
     def sums(won: DataFrame) -> DataFrame:
-        return of_cells(won.groupBy("_of").agg(*[e for x in labels for e in (
-            *[F.sum(c + x).alias(c + x) for c in ("p", "n", "num")], F.sum(_pairs(x)).alias(f"den{x}"))]), keys, cells)
+        return of_cells(won.groupBy("_of", *own).agg(*[e for x in labels for e in (
+            *[F.sum(c + x).alias(c + x) for c in ("p", "n", "num")], F.sum(_pairs(x)).alias(f"den{x}"))]), keys, cells, own)
 
-    total = sums(_won_of_few(merged(rows, ["_of"], "_s", labels), ["_of"], "_s", labels=labels))
-    return _decomposed(total.withColumnsRenamed({"p": "n1", "n": "n0"}), sums(_won_of_groups(rows, ["_of", g], "_s", labels=labels)), keys, keys)
+    flat = merged(rows, ["_of", *at], "_s", labels)
+    if period:
+        flat = merged(with_all(flat, period, [], []), ["_of", *own], "_s", labels)
+    total = sums(_won_of_few(flat, ["_of", *own], "_s", labels=labels))
+    return _decomposed(total.withColumnsRenamed({"p": "n1", "n": "n0"}), sums(_won_of_groups(rows, ["_of", g], "_s", period, labels)),
+                       [*keys, *own], [*keys, *at])
 
 
 def auc_decompose(df: DataFrame, keys: list[str], g: str, y: str = "y", s: str = "score",
@@ -246,8 +253,11 @@ def auc_decompose(df: DataFrame, keys: list[str], g: str, y: str = "y", s: str =
 
 
 def decompose_all(df: DataFrame, keys: list[str], period: str, g: str, y: str = "y",
-                  s: str = "score") -> DataFrame:
-    """Decomposition by period and over all periods ('all'); rows and their counts are moved once for both."""
+                  s: str = "score", cells: list[Cell] | None = None) -> DataFrame:
+    """Decomposition by period and over all periods ('all'); rows and their counts are moved once for both. ``cells``: as
+    in ``auc_decompose``."""
+    if cells:
+        return _decompose_cells(df, keys, g, cells, period=period)
     rows = labelled(df, [*keys, period, g], y, s)
     k = [*keys, "_all", period]
     flat = merged(with_all(merged(rows, [*keys, period], s), period, [], []), k, s)

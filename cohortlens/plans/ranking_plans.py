@@ -84,7 +84,7 @@ select model, outcome, cast(version as bigint) as version, method, cast(test_yea
 union all
 select model, outcome, cast(version as bigint), method, 'all', tt, round(auc, 6), den, n1, n0 from da""")
 def _(t):
-    return rounded(R.decompose_all(multi(t), ["model", "outcome", "version", "method"], "test_year", "grp", "y", "preds"))
+    return rounded(R.decompose_all(multi_wide(t), MULTI_KEYS, "test_year", "grp", cells=MULTI_CELLS))
 
 
 @query("auc_decompose_sampled", "I8", f"""with {CASES_SQL},

@@ -114,6 +114,20 @@ def test_cells_give_what_copied_rows_give(spark, n, seed, weight):
     assert R.auc_decompose(df.limit(0), keys, "g", cells=CELLS).count() == 0
 
 
+def test_cells_give_what_copied_rows_give_by_period(spark):
+    df, keys = wide(spark, 600, 11).withColumn("yr", F.when(F.rand(5) < 0.9, F.floor(F.rand(3) * 3).cast("long"))).localCheckpoint(), ["model", "version"]
+
+    def rows(out):
+        return {(r["model"], r["version"], r["yr"], r["tt"]): (r["den"], r["n1"], r["n0"], r["auc"] and round(r["auc"], 9)) for r in out.collect()}
+
+    both = df.select("yr", "g", *{c for _, y, s in CELLS for c in (y, s)})
+    long = both.select("yr", F.posexplode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, values)], "g", F.col(y).alias("y"), F.col(s).cast("double").alias("score"))
+                                                    for values, y, s in CELLS])).alias("i", "_c")).select("yr", "_c.*")
+    got = rows(R.decompose_all(both, keys, "yr", "g", cells=CELLS))
+    assert got == rows(R.decompose_all(long, keys, "yr", "g")) and {k[2] for k in got} == {"0", "1", "2", "all"}
+    assert R.decompose_all(both.limit(0), keys, "yr", "g", cells=CELLS).count() == 0
+
+
 def lineitem(spark, n):
     rnd = random.Random(9)
     return spark.createDataFrame(
@@ -141,3 +155,11 @@ def test_select_best_moves_a_case_once_for_each_score(spark, tmp_path):
     moved = [x for x in plan(out).splitlines() if "Exchange hashpartitioning" in x]
     assert not [x for x in moved if "grp#" in x and "model#" in x] and [x for x in moved if "grp#" in x and "_of#" in x]
     assert out.count() == 2
+
+
+def test_decompose_all_moves_a_case_once_for_each_score(spark, tmp_path):
+    lineitem(spark, 200).write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = load()["decompose_all"].run(spark, str(tmp_path))
+    moved = [x for x in plan(out).splitlines() if "Exchange hashpartitioning" in x]
+    assert not [x for x in moved if "grp#" in x and "model#" in x] and [x for x in moved if "grp#" in x and "_of#" in x]
+    assert out.count() == 9 * 5 * 3
