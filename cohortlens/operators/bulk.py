@@ -1,7 +1,8 @@
-"""Bulk bootstrap of the ranking decomposition: all replicates in one pass over sorted rows.
+"""Bulk bootstrap of ranking metrics: all replicates in one pass over sorted rows.
 
-Every row has an independent Poisson(1) multiplicity in each replicate, a function of (seed, row id, replicate), so no draw
-is shuffled or joined. Rows go to (keys, group, score bucket), are sorted by score there and stream through Arrow batches;
+A row carries its multiplicity in each replicate and is never opened to replicates: either a hash, of which a task makes
+independent Poisson(1) draws (a function of (seed, row id, replicate), so no draw is shuffled or joined), or the counted
+draws of an exact resample, packed. Rows go to (keys, group, score bucket), are sorted by score there and stream through Arrow batches;
 for each stretch of equal scores the weights of all replicates are added up as one matrix. What leaves a task are sums by
 replicate. Groups of ordinary size are one stretch of one task; a large group is cut at score quantiles, as the total is,
 and its buckets are put together from their sums.
@@ -15,9 +16,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.draws import draw_bits
 from ..session import cut_lineage
-from .ordered import default_buckets
+from .ordered import _count_below, default_buckets
 from .ranking import div
-from .resample import POISSON_STEPS
+from .resample import POISSON_STEPS, with_weights
 
 #: Rows from which a group is cut into score buckets; rows whose weights are held at once.
 LARGE_GROUP, ROWS_AT_ONCE = 100_000, 4096
@@ -36,6 +37,22 @@ def poisson_weights(ids: np.ndarray, reps: int) -> np.ndarray:
     return out
 
 
+def pack_weights(w: np.ndarray) -> pa.Array:
+    """A row's weights as two bytes each."""
+    if w.size and w.max() > 65535:
+        raise ValueError("a row is drawn more than 65,535 times in a replicate")
+    packed = np.ascontiguousarray(w, "<u2")
+    ends = np.arange(0, packed.nbytes + 1, 2 * w.shape[1], dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(ends), pa.py_buffer(packed.tobytes())])
+
+
+def _weights_of(h: pa.Array, reps: int) -> np.ndarray:
+    """(rows, replicates) from hashes or packed weights."""
+    if pa.types.is_integer(h.type):
+        return poisson_weights(h.to_numpy(zero_copy_only=False), reps)
+    return np.frombuffer(b"".join(h.to_pylist()), "<u2").reshape(len(h), reps)
+
+
 def _streamed(reps: int, n_keys: int):
     """For mapInArrow over rows (segment, whole, key..., y, s, h) sorted by segment and s: per unfinished segment its
     (p, n, u) by replicate, and the finished segments' (u, p * n) summed by key."""
@@ -75,8 +92,9 @@ def _streamed(reps: int, n_keys: int):
             for start in range(0, len(batch), ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
                 segment = part.column(0).to_numpy(zero_copy_only=False)
-                y, s, h = (part.column(i).to_numpy(zero_copy_only=False) for i in range(2 + n_keys, 5 + n_keys))
-                w = poisson_weights(h, reps).astype(float)
+                y, s = (part.column(i).to_numpy(zero_copy_only=False) for i in (2 + n_keys, 3 + n_keys))
+                s = (np.where(np.isnan(s), np.nan, s) + 0.0).view(np.int64)  # equal scores are equal words, NaN among them
+                w = _weights_of(part.column(4 + n_keys), reps).astype(float)
                 first = np.flatnonzero(np.concatenate(([True], (segment[1:] != segment[:-1]) | (s[1:] != s[:-1]))))
                 p = np.add.reduceat(w * y[:, None], first, axis=0)
                 n = np.add.reduceat(w * (1 - y[:, None]), first, axis=0)
@@ -113,15 +131,17 @@ def _streamed(reps: int, n_keys: int):
     return run
 
 
-def _pairs_by_replicate(df: DataFrame, keys: list[str], group: list[str], reps: int, edges, parts: int) -> DataFrame:
+def pairs_by_replicate(df: DataFrame, keys: list[str], group: list[str], reps: int, edges, parts: int) -> DataFrame:
     """keys, rep, num, den: concordant and all pairs of positives and negatives of one group, summed over groups.
 
-    df: keys, group, y, s, h.
+    df: keys, group, y, s (doubles), h (hashes of Poisson draws, or packed weights).
     """
     df = df.withColumn("edges", edges)
     # even: between two edges; odd: on an edge, in as many parts as there are edges of that value
-    same = F.size(F.filter("edges", lambda e: e == F.col("s")))
-    code = F.size(F.filter("edges", lambda e: e < F.col("s"))) * 2 + (same > 0).cast("int")
+    df = df.withColumn("below", _count_below(F.col("edges"), F.col("s"), parts))
+    on = F.coalesce(F.get("edges", F.col("below")) == F.col("s"), F.lit(False))
+    same = F.when(on, F.size(F.filter("edges", lambda e: e == F.col("s")))).otherwise(F.lit(0))
+    code = F.col("below") * 2 + on.cast("int")
     if group:
         size = df.groupBy(*keys, *group).agg((F.count(F.lit(1)) < LARGE_GROUP).alias("whole"))
         df = df.join(size, [*keys, *group])
@@ -161,12 +181,50 @@ def decompose_replicates(df: DataFrame, keys: list[str], g: str, ids: list[str],
     """keys, rep, tt (total, within, between), auc of Poisson bootstrap replicates. Rows without a 0/1 label or with a NULL
     key, group or score are left out; ``ids`` must name a row."""
     base = df.filter(F.col(y).isin(0, 1) & F.col(s).isNotNull()).dropna(subset=[*keys, g])
-    base = cut_lineage(base.select(*keys, g, F.col(y).cast("double").alias("y"), F.col(s).cast("double").alias("s"), draw_bits(seed, "b", *[F.col(c) for c in ids]).alias("h")))
+    return _parts_by_replicate(base.select(*keys, g, F.col(y).cast("double").alias("y"), F.col(s).cast("double").alias("s"),
+                                           draw_bits(seed, "b", *[F.col(c) for c in ids]).alias("h")), keys, g, reps)
+
+
+def decompose_exact(df: DataFrame, keys: list[str], g: str, order: list[str], reps: int, seed: int, y: str = "y", s: str = "score") -> DataFrame:
+    """As ``decompose_replicates``, of replicates with exactly as many draws as rows in each class; rows without a group
+    count for the total."""
+    return _parts_by_replicate(_weighted(df.select(*dict.fromkeys([*keys, g, y, *order, s])), [*keys, y], order, reps, seed, [*keys, g], y, {"": s}), keys, g, reps)
+
+
+def auc_exact(df: DataFrame, keys: list[str], scores: dict[str, str], order: list[str], reps: int, seed: int, y: str = "y") -> DataFrame:
+    """keys, which, rep, auc of several scores on the same draws within keys (not by class); ``scores``: {which: column}."""
+    base = cut_lineage(_weighted(df.select(*dict.fromkeys([*keys, y, *order, *scores.values()])), keys, order, reps, seed, keys, y, scores))
+    edges, parts = _cut(base)
+    found = pairs_by_replicate(base, [*keys, "which"], [], reps, edges, parts)
+    return found.select(*keys, "which", "rep", div(F.col("num"), F.col("den")).alias("auc"))
+
+
+def _weighted(df: DataFrame, strata: list[str], order: list[str], reps: int, seed: int, own: list[str], y: str, scores: dict[str, str]) -> DataFrame:
+    """own, (which,) y, s, h of exact draws: the rows with a 0/1 label, once for each score they have."""
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in own), "_y double", *(f"_s{i} double" for i in range(len(scores))), "h binary"])
+    df = df.withColumns({"_y": F.col(y).cast("double"), **{f"_s{i}": F.col(s).cast("double") for i, s in enumerate(scores.values())}})
+    names = [*own, "_y", *(f"_s{i}" for i in range(len(scores)))]
+    rows = with_weights(df, strata, order, reps, seed, lambda t, w: t.select(names).append_column("h", pack_weights(w)), schema)
+    rows = rows.filter(F.col("_y").isin(0.0, 1.0))
+    if len(scores) == 1:
+        return rows.select(*own, F.col("_y").alias("y"), F.col("_s0").alias("s"), "h").filter(F.col("s").isNotNull())
+    each = F.array(*[F.struct(F.lit(k).alias("which"), F.col(f"_s{i}").alias("s")) for i, k in enumerate(scores)])
+    return rows.select(*own, F.col("_y").alias("y"), "h", F.inline(each)).filter(F.col("s").isNotNull())
+
+
+def _cut(base: DataFrame) -> tuple:
+    """Edges of the scores as a scalar subquery, and the number of tasks."""
     parts = max(default_buckets(base), base.sparkSession.sparkContext.defaultParallelism)
     cut = [i / parts for i in range(1, parts)] or [0.5]
-    edges = base.select(F.array_sort(F.percentile_approx("s", cut, 1000))).scalar()
-    total = _pairs_by_replicate(base, keys, [], reps, edges, parts)
-    within = _pairs_by_replicate(base, keys, [g], reps, edges, parts).withColumnsRenamed({"num": "num_w", "den": "den_w"})
+    return base.select(F.array_sort(F.percentile_approx("s", cut, 1000))).scalar(), parts
+
+
+def _parts_by_replicate(base: DataFrame, keys: list[str], g: str, reps: int) -> DataFrame:
+    """keys, rep, tt, auc from keys, g, y, s, h."""
+    base = cut_lineage(base)
+    edges, parts = _cut(base)
+    total = pairs_by_replicate(base.drop(g), keys, [], reps, edges, parts)
+    within = pairs_by_replicate(base.dropna(subset=[g]), keys, [g], reps, edges, parts).withColumnsRenamed({"num": "num_w", "den": "den_w"})
     both = total.join(within, [*keys, "rep"])
     tall = F.array(F.struct(F.lit("total").alias("tt"), F.col("num"), F.col("den")),
                    F.struct(F.lit("within").alias("tt"), F.col("num_w").alias("num"), F.col("den_w").alias("den")),

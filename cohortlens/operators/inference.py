@@ -10,15 +10,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
 from ..functions.dist import beta_ppf, chi2_sf, norm_cdf, norm_ppf, normal_quantile, reg_beta
 from ..session import cut_lineage
-from .bulk import decompose_replicates
+from .bulk import auc_exact, decompose_exact, decompose_replicates
 from .ordered import quantile_columns, scan
-from .ranking import auc, auc_by_group, auc_decompose, auc_from_histogram, decompose_histogram, div, score_histogram
-from .resample import resample
+from .ranking import auc, auc_by_group, auc_decompose, auc_from_histogram, div, score_histogram
+from .resample import resample, with_weights
 from .windows import midrank
 
 
@@ -127,9 +128,7 @@ def decompose_bootstrap(df: DataFrame, keys: list[str], g: str, order: list[str]
         boot = cut_lineage(decompose_replicates(df, keys, g, order, reps, seed, y, s))
         q = quantile_columns(boot, [*keys, "tt"], "auc", {"lb": alpha / 2, "ub": 1 - alpha / 2})
         return auc_decompose(df, keys, g, y, s).select(*keys, "tt", "auc").join(q, [*keys, "tt"])
-    weighted = resample(df, [*keys, y], order, reps, seed)
-    hist = score_histogram(weighted, [*keys, "rep", g], y, s, "weight")
-    boot = cut_lineage(decompose_histogram(hist, [*keys, "rep"], g, s, df.select(s)))
+    boot = cut_lineage(decompose_exact(df, keys, g, order, reps, seed, y, s))
     q = quantile_columns(boot, [*keys, "tt"], "auc", {"lb": alpha / 2, "ub": 1 - alpha / 2})
     return auc_decompose(df, keys, g, y, s).select(*keys, "tt", "auc").join(q, [*keys, "tt"])
 
@@ -142,11 +141,7 @@ def compare_bootstrap(df: DataFrame, keys: list[str], a: str, b: str, order: lis
     auc_b - 0.5 and p-values 1 - #(> 0) / (n + 1).
     """
     k = [*keys, "rep"]
-    scores = F.array(F.struct(F.lit("a").alias("which"), F.col(a).cast("double").alias("score")),
-                     F.struct(F.lit("b").alias("which"), F.col(b).cast("double").alias("score")))
-    long = resample(df, keys, order, reps, seed).select(*k, y, "weight", F.explode(scores).alias("_s"))
-    both_scores = df.select(F.col(a).cast("double").alias("score")).unionByName(df.select(F.col(b).cast("double").alias("score")))
-    aucs = _boot_auc(long.select(*k, y, "weight", "_s.*"), [*k, "which"], y, "score", both_scores)
+    aucs = auc_exact(df, keys, {"a": a, "b": b}, order, reps, seed, y)
     wide = aucs.groupBy(*k).agg(F.max(F.when(F.col("which") == "a", F.col("auc"))).alias("_a"),
                                 F.max(F.when(F.col("which") == "b", F.col("auc"))).alias("_b"))
     both = (wide.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
@@ -246,11 +241,24 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str, transform: bool = F
     return ranked.groupBy(*keys).agg((2 * F.sin(rho * 3.141592653589793 / 6) if transform else rho).alias("rho"))
 
 
-def _weighted_corr(a: str, b: str, w: str) -> Column:
-    w, x, y = F.col(w).cast("double"), F.col(a), F.col(b)
-    n, sx, sy = F.sum(w), F.sum(w * x), F.sum(w * y)
-    cov = n * F.sum(w * x * y) - sx * sy
-    return div(cov, F.sqrt(n * F.sum(w * x * x) - sx * sx) * F.sqrt(n * F.sum(w * y * y) - sy * sy))
+def _corr_replicates(df: DataFrame, keys: list[str], a: str, b: str, order: list[str], reps: int, seed: int, subreps: int) -> DataFrame:
+    """keys, rep, sub, stat: correlation in every replicate, from weighted sums of blocks of rows."""
+    lanes = reps * (subreps + 1)
+
+    def sums(rows: pa.Table, w: np.ndarray) -> pa.Table:
+        x, y = (rows[c].to_numpy() for c in (a, b))
+        terms = np.column_stack([np.ones(len(x)), x, y, x * x, y * y, x * y])
+        made = w.T.astype(float) @ terms
+        own = [pa.array([rows[k][0].as_py()] * lanes, rows.schema.field(k).type) for k in keys]
+        return pa.table([*own, pa.array(np.arange(lanes), pa.int32()), *made.T], names=[*keys, "_lane", "n", "x", "y", "xx", "yy", "xy"])
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    parts = with_weights(df.select(*keys, *order, F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b)), keys, order, reps, seed, sums,
+                         f"{kinds}, _lane int, n double, x double, y double, xx double, yy double, xy double", subreps)
+    n, x, y, xx, yy, xy = (F.sum(c) for c in ("n", "x", "y", "xx", "yy", "xy"))
+    stat = div(n * xy - x * y, F.sqrt(n * xx - x * x) * F.sqrt(n * yy - y * y))
+    rep, sub = (F.floor(F.col("_lane") / (subreps + 1)) + 1).cast("int"), F.col("_lane") % (subreps + 1)
+    return parts.groupBy(*keys, "_lane").agg(stat.alias("stat")).select(*keys, rep.alias("rep"), sub.alias("sub"), "stat")
 
 
 def student_bounds(boot: DataFrame, base: DataFrame, keys: list[str], alpha: float) -> DataFrame:
@@ -282,8 +290,7 @@ def spearman_ci(df: DataFrame, keys: list[str], a: str, b: str, id_col: str, rep
     both = cut_lineage(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()))
     ranked = cut_lineage(midrank(midrank(both, keys, a, "_ra"), keys, b, "_rb").select(*keys, id_col, "_ra", "_rb"))
     base = ranked.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("stat"))
-    boot = (resample(ranked, keys, [id_col], reps, seed, subreps).groupBy(*keys, "rep", "sub")
-            .agg(_weighted_corr("_ra", "_rb", "weight").alias("stat")))
+    boot = _corr_replicates(ranked, keys, "_ra", "_rb", [id_col], reps, seed, subreps)
     return student_bounds(boot, base, keys, alpha).withColumnRenamed("stat", "rho")
 
 

@@ -204,17 +204,6 @@ def _decomposed(total: DataFrame, groups: DataFrame, k: list[str], keys: list[st
                     F.col("_part.den").alias("den"), "n1", "n0"))
 
 
-def decompose_histogram(hist: DataFrame, keys: list[str], g: str, s: str = "score",
-                        sketch_from: DataFrame | None = None) -> DataFrame:
-    """Decomposition from a histogram by (keys, g, s): for what is costly to compute again, as its shuffle is shared
-    by the within and the total branch."""
-    fine, flat = hist, merged(hist, keys, s)
-    if not keys:
-        fine, flat = fine.withColumn("_all", F.lit(1)), flat.withColumn("_all", F.lit(1))
-    k = keys or ["_all"]
-    return _decomposed(auc_from_histogram(flat, k, s, sketch_from), auc_from_histogram(fine, [*k, g], s, sketch_from), k, keys)
-
-
 def _decompose_cells(df: DataFrame, keys: list[str], g: str, cells: list[Cell], weight: str | None = None, period: str | None = None) -> DataFrame:
     """``auc_decompose`` of every cell: a case is moved and sorted once for each score column, with all its labels. With a
     period: ``decompose_all``."""

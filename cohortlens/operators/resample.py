@@ -7,7 +7,7 @@ never copied, replicates have exactly n draws, and a recomputed task draws the s
 
 from __future__ import annotations
 
-from hashlib import md5
+from collections.abc import Callable
 from math import exp, factorial
 
 import numpy as np
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.draws import draw_uniform
+from ..functions.hashed import hashed
 from ..session import cut_lineage
 from .ordered import default_buckets, scan
 
@@ -31,38 +32,38 @@ def numbered(df: DataFrame, strata: list[str], order: list[str]) -> DataFrame:
 def _positions(seed: int, kind: str, key: str, lane: tuple, of: np.ndarray, n: int) -> np.ndarray:
     """Draws h(seed, kind, key, lane, i) mod n for the numbers i, as functions.draws.draw_index makes them."""
     lead = ":".join(str(v) for v in (seed, kind, key, *lane, "")).encode()
-    made = b"".join([md5(lead + b"%d" % i).digest() for i in of.tolist()])
-    return ((np.frombuffer(made, ">u8")[::2] >> np.uint64(12)).astype(np.int64)) % n  # 52 bits: the first 13 digits
+    return hashed(lead, of).astype(np.int64) % n
 
 
-def draw_weights(rows: DataFrame, strata: list[str], reps: int, seed: int, subreps: int = 0) -> DataFrame:
-    """strata, _idx, _w: times that each replicate draws the row, in the order of (rep, sub); rows never drawn are left out.
+def _block_rows(lanes: int) -> int:
+    """Positions of a stratum whose weights are counted in one place."""
+    return max(WEIGHTS_AT_ONCE // lanes, 1)
 
-    sub 0 is the replicate itself; sub 1.. resample the replicate. Draws need the sizes of strata only. A task draws for a
-    range of positions and packs what it drew by blocks of target positions, four bytes a draw; a block is then counted in
-    one place, whose size does not grow with the stratum.
-    """
+
+def _packed_draws(rows: DataFrame, strata: list[str], reps: int, seed: int, subreps: int = 0) -> DataFrame:
+    """strata, _block, _cells: the draws of a range of positions, for a replicate and its subs, that fall into a block of
+    target positions, four bytes each."""
     subs = subreps + 1
     lanes = reps * subs
-    chunk, block = max(DRAWS_AT_ONCE // lanes, 1), max(WEIGHTS_AT_ONCE // lanes, 1)
+    chunk, block = max(DRAWS_AT_ONCE // subs, 1), _block_rows(lanes)
     sizes = rows.groupBy(*strata).agg(F.max("_n").cast("bigint").alias("_n"))
     starts = F.sequence(F.lit(1).cast("bigint"), F.col("_n"), F.lit(chunk).cast("bigint"))
     text = F.concat_ws(":", *[F.col(c).cast("string") for c in strata])
     work = sizes.select(*strata, text.alias("_text"), "_n", F.explode(starts).alias("_first"))
+    work = work.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("_rep"))
     tasks = max(default_buckets(rows), rows.sparkSession.sparkContext.defaultParallelism)
-    work = work.repartition(tasks, *strata, "_first")
+    work = work.repartition(tasks, *strata, "_first", "_rep")
     keys = range(len(strata))
 
     def drawn(batches):
         for batch in batches:
             for row in range(len(batch)):
-                key, n, first = (batch.column(len(strata) + i)[row].as_py() for i in range(3))
+                key, n, first, rep = (batch.column(len(strata) + i)[row].as_py() for i in range(4))
                 own = np.arange(first, min(first + chunk, n + 1))
                 parts = []
-                for rep in range(1, reps + 1):
-                    for sub in range(subs):
-                        at = own if sub == 0 else _positions(seed, "s", key, (rep, sub), own, n) + 1
-                        parts.append(_positions(seed, "r", key, (rep,), at, n) * lanes + ((rep - 1) * subs + sub))
+                for sub in range(subs):
+                    at = own if sub == 0 else _positions(seed, "s", key, (rep, sub), own, n) + 1
+                    parts.append(_positions(seed, "r", key, (rep,), at, n) * lanes + ((rep - 1) * subs + sub))
                 cells = np.sort(np.concatenate(parts))
                 cuts = np.flatnonzero(np.diff(cells // (block * lanes), prepend=-1))
                 found = [(int(c[0] // (block * lanes)), c) for c in np.split(cells, cuts[1:])]
@@ -71,12 +72,32 @@ def draw_weights(rows: DataFrame, strata: list[str], reps: int, seed: int, subre
                     [*(pa.array([batch.column(i)[row].as_py()] * len(found), batch.schema.field(i).type) for i in keys),
                      pa.array([b for b, _ in found], pa.int64()), pa.array(packed, pa.binary())], names=[*strata, "_block", "_cells"])
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in strata)
-    packed = work.mapInArrow(drawn, f"{kinds}, _block bigint, _cells binary")
+    return work.mapInArrow(drawn, f"{_kinds(rows, strata)}, _block bigint, _cells binary")
+
+
+def _kinds(rows: DataFrame, cols: list[str]) -> str:
+    return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in cols)
+
+
+def _counts(cells: pa.ChunkedArray, block: int, lanes: int) -> np.ndarray:
+    """(positions of the block, lanes) from its packed draws."""
+    drawn = np.frombuffer(b"".join(cells.to_pylist()), "<u4")
+    return np.bincount(drawn, minlength=block * lanes).astype(np.int32).reshape(block, lanes)
+
+
+def draw_weights(rows: DataFrame, strata: list[str], reps: int, seed: int, subreps: int = 0) -> DataFrame:
+    """strata, _idx, _w: times that each replicate draws the row, in the order of (rep, sub); rows never drawn are left out.
+
+    sub 0 is the replicate itself; sub 1.. resample the replicate. Draws need the sizes of strata only. A task draws for a
+    range of positions and packs what it drew by blocks of target positions, four bytes a draw; a block is then counted in
+    one place, whose size does not grow with the stratum.
+    """
+    lanes = reps * (subreps + 1)
+    block, kinds = _block_rows(lanes), _kinds(rows, strata)
+    packed = _packed_draws(rows, strata, reps, seed, subreps)
 
     def counted(table: pa.Table) -> pa.Table:
-        cells = np.frombuffer(b"".join(table["_cells"].to_pylist()), "<u4")
-        w = np.bincount(cells, minlength=block * lanes).astype(np.int32).reshape(block, lanes)
+        w = _counts(table["_cells"], block, lanes)
         at = np.flatnonzero(w.any(axis=1))
         ends = pa.array(np.arange(0, (len(at) + 1) * lanes, lanes, dtype=np.int32))
         idx = pa.array(at + table["_block"][0].as_py() * block + 1, pa.int64())
@@ -103,6 +124,28 @@ def resample(df: DataFrame, strata: list[str], order: list[str], reps: int, seed
     return out.select(*kept, rep.cast("int").alias("rep"), *([sub.alias("sub")] if subreps else []), F.col("weight").cast("bigint").alias("weight"))
 
 
+def with_weights(df: DataFrame, strata: list[str], order: list[str], reps: int, seed: int, make: Callable[[pa.Table, np.ndarray], pa.Table],
+                 schema: str, subreps: int = 0) -> DataFrame:
+    """``make(rows, weights)`` over blocks of a stratum's rows, with their draws as (rows, lanes) in the order of (rep, sub).
+
+    As ``resample``, for what works on all replicates of a row at once: rows and draws meet by block, and no row is opened to
+    replicates. ``rows`` has the columns of ``df``; rows never drawn are among them, with weights 0.
+    """
+    rows = cut_lineage(numbered(df, strata, order))
+    lanes = reps * (subreps + 1)
+    block = _block_rows(lanes)
+    packed = _packed_draws(rows, strata, reps, seed, subreps)
+    names = df.columns
+
+    def met(own: pa.Table, drawn: pa.Table) -> pa.Table:
+        w = _counts(drawn["_cells"], block, lanes)
+        at = (own["_idx"].to_numpy() - 1) % block
+        return make(own.select(names), w[at])
+
+    blocked = rows.drop("_n").withColumn("_block", F.floor((F.col("_idx") - 1) / block).cast("bigint"))
+    return blocked.groupBy(*strata, "_block").cogroup(packed.groupBy(*strata, "_block")).applyInArrow(met, schema)
+
+
 # Cumulative Poisson(1) probabilities.
 POISSON_STEPS = [sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(12)]
 
